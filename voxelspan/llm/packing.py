@@ -5,9 +5,9 @@ their length. So the search runs on the counts of at most ``capacity`` lengths,
 
 * A filling starts from the largest length left. ``completions`` enumerates undominated fillings of the rest of
   the bin by depth-first branch and bound (lengths in descending order; a filling in which some left piece still
-  fits, or that a longer piece could replace, is dominated); a branch is pruned when its bound on the waste is no
-  better than the incumbent's. The incumbent starts as the best-fit filling, so a search that spends its
-  ``nodes`` keeps best fit or better. The waste bound is exact reachability of sums for short lists of lengths.
+  fits, or that a longer piece could replace, is dominated); a branch is pruned when all that it
+  could still add wastes no less than the incumbent. The incumbent starts as the best-fit filling, so a search that spends its
+  ``nodes`` keeps best fit or better.
 * A filling is used as often as the counts allow, then the search goes on with what is left. Each use empties at
   least one length, or nearly, so the number of fillings follows the number of lengths, not of documents.
 
@@ -37,11 +37,12 @@ NODES = 2_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, task long, local long"
 
 
-def best_fit(room: int, counts: np.ndarray) -> list[int]:
+def best_fit(room: int, counts: list[int]) -> list[int]:
     """Fill ``room`` with the longest length that fits, again and again."""
     out, used = [], Counter()
+    k = len(counts) - 1
     while room > 0:
-        k = int(min(room, len(counts) - 1))
+        k = min(room, k)
         while k > 0 and counts[k] - used[k] <= 0:
             k -= 1
         if k == 0:
@@ -52,20 +53,17 @@ def best_fit(room: int, counts: np.ndarray) -> list[int]:
     return out
 
 
-def completions(room: int, counts: np.ndarray, nodes: int = NODES) -> list[int]:
+def completions(room: int, counts: list[int], nodes: int = NODES) -> list[int]:
     """The filling of ``room`` with the least waste; of equal ones that with the fewest (so longest) pieces."""
     best = best_fit(room, counts)
     waste = room - sum(best)
     if waste == 0:
         return best
-    lengths = np.flatnonzero(counts[: room + 1])[::-1]
-    lengths = [int(x) for x in lengths if x > 0]
+    lengths = [x for x in range(min(room, len(counts) - 1), 0, -1) if counts[x]]
     if not lengths:
         return best
     shortest = lengths[-1]
     budget = nodes
-    below = np.zeros(len(counts), bool)
-    below[lengths] = True
 
     def search(at: int, left: int, chosen: list[int]) -> None:
         nonlocal best, waste, budget
@@ -74,7 +72,7 @@ def completions(room: int, counts: np.ndarray, nodes: int = NODES) -> list[int]:
             best, waste = list(chosen), left
         if waste == 0 or budget <= 0 or left < shortest:
             return
-        if left < len(below) and below[left] and left <= lengths[at] and counts[left] > chosen.count(left):
+        if left <= lengths[at] and counts[left] > chosen.count(left):
             best, waste = [*chosen, left], 0
             return
         for k in range(at, len(lengths)):
@@ -85,7 +83,7 @@ def completions(room: int, counts: np.ndarray, nodes: int = NODES) -> list[int]:
                 return
             if counts[x] <= chosen.count(x):
                 continue
-            if left >= x * (counts[x] - chosen.count(x)) and left - sum(y * int(counts[y]) for y in lengths[k : k + 64]) >= waste and len(lengths) - k <= 64:
+            if len(lengths) - k <= 8 and left - sum(y * counts[y] for y in lengths[k:]) >= waste:
                 return  # all that is left, together, wastes no less
             chosen.append(x)
             search(k, left - x, chosen)
@@ -97,10 +95,10 @@ def completions(room: int, counts: np.ndarray, nodes: int = NODES) -> list[int]:
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> tuple[np.ndarray, int]:
     """Runs (length, first number, last number + 1, first bin, offset) for all pieces, and the number of bins."""
-    left = np.zeros(capacity + 1, np.int64)
+    left = [0] * (capacity + 1)
     for length, n in counts.items():
         left[length] += n
-    taken = np.zeros(capacity + 1, np.int64)
+    taken = [0] * (capacity + 1)
     runs, bins = [], 0
     largest = capacity
     while True:
@@ -111,7 +109,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
         left[largest] -= 1
         filling = [largest, *completions(capacity - largest, left, nodes)]
         left[largest] += 1
-        times = min(int(left[x]) // k for x, k in Counter(filling).items())
+        times = min(left[x] // k for x, k in Counter(filling).items())
         offset = 0
         for x in filling:
             runs.append((x, taken[x], taken[x] + times, bins, offset))
