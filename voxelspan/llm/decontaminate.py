@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RATE = 0.1
+RATE = 0.05
 BLOCK_CHARS = 8_000_000
 WORD = re.compile(r"[^\W_]+")
 MATCHES = "doc_id long, item_id long, distance int, n_chars int, end int"
