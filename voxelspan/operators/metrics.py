@@ -100,8 +100,8 @@ def merge_small(edges: list[float], counts: list[int], min_n: int) -> list[float
     while len(counts) > 1 and min(counts) < min_n:
         k = counts.index(min(counts))
         to = k + 1 if k == 0 or k + 1 < len(counts) and counts[k + 1] < counts[k - 1] else k - 1
-        counts[to] += counts.pop(k)
-        del edges[max(k, to)]
+        counts[to] += counts[k]
+        del counts[k], edges[max(k, to)]
     return edges
 
 
