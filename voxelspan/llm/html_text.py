@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 SAMPLE = 1_000
 WORD_RANGE, TAG_RANGE = (0.2, 2.0), (-4.0, -0.05)
+#: Share of a tag's weight that it keeps inside menus and the like, which are left out anyway.
+SHUT_SHARE = 0.1
 TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(script|style|textarea|title|noscript|template|iframe|svg|xmp|object)\b(?:[^>"']|"[^"]*"|'[^']*')*(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'<]|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S | re.I)
 ATTRIBUTE = re.compile(r"""([a-zA-Z:_-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 #: Element names, roles and words of class names and ids. Fixed values.
@@ -141,6 +143,13 @@ def weights_of(counts: Counter) -> dict[str, float]:
     return out
 
 
+def gain(feature: str, text: str, shut: bool, weights: dict[str, float]) -> float:
+    """What an event adds to a stretch: words of open regions something, tags less than nothing, tags of menus and the like a tenth of that."""
+    if text:
+        return 0.0 if shut else weights[feature] * len(text.split())
+    return weights.get(feature.strip("/"), -1.0) * (SHUT_SHARE if shut else 1)
+
+
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
@@ -149,17 +158,13 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     start, span = 0, None
     opened, content = [], []  # content elements: first and last event
     for k, (feature, text, shut, _) in enumerate(seen):
-        if text:
-            gain = 0.0 if shut else weights[feature] * len(text.split())
-        else:
-            gain = weights.get(feature.strip("/"), -1.0)
-            if feature in CONTENT:
-                opened.append(k)
-            elif feature[0] == "/" and opened:
-                content.append((opened.pop(), k))
+        if not text and feature in CONTENT:
+            opened.append(k)
+        elif not text and feature[0] == "/" and opened:
+            content.append((opened.pop(), k))
         if total <= 0:
             total, start = 0.0, k
-        total += gain
+        total += gain(feature, text, shut, weights)
         if total > best:
             best, span = total, (start, k)
     if span is None:
