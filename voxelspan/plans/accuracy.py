@@ -8,6 +8,7 @@ from ..functions import columns as C
 from ..operators import conformal as cp
 from ..operators import metrics as m
 from ..operators import ranking as r
+from ..operators import significance as sg
 from .registry import query
 
 ERR = "count(*) AS n, avg(p - y) AS me, avg(abs(p - y)) AS mae, sqrt(avg((p - y) * (p - y))) AS rmse, CASE WHEN sum(y * y) - sum(y) * sum(y) / count(*) > 0 THEN 1 - sum((p - y) * (p - y)) / (sum(y * y) - sum(y) * sum(y) / count(*)) END AS r2, corr(y, p) AS r"
@@ -344,6 +345,54 @@ def _(t):
     return r.mcnemar(t.classes(), "truth", "a", "b", ["cell"])
 
 
+def _p(z: str) -> str:
+    """Two-sided normal tail as in ``ranking.normal_sf2``."""
+    x = f"(abs({z}) / sqrt(2.0))"
+    t, poly = f"(1 / (1 + {x} / 2))", "0.17087277"
+    for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+        poly = f"({poly} * t + ({c}))"
+    return f"(SELECT t * exp(-x * x + {poly}) FROM (SELECT {t} AS t, {x} AS x))"
+
+
+def _signed(source: str, by: str) -> str:
+    return f"""d AS (SELECT {by}, a - b AS d FROM {source} WHERE a <> b), k AS (SELECT *, rank() OVER (PARTITION BY {by} ORDER BY abs(d)) + (count(*) OVER (PARTITION BY {by}, abs(d)) - 1) / 2.0 AS r FROM d),
+t AS (SELECT {by}, sum(c * (c * c - 1.0)) AS ties FROM (SELECT {by}, abs(d) AS ad, count(*) AS c FROM d GROUP BY ALL) GROUP BY {by}), s AS (SELECT {by}, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus, sum(r) AS total, median(d) AS median_difference, avg((d < 0)::INT) AS a_lower FROM k GROUP BY {by}),
+z AS (SELECT {by}, n, w_plus, median_difference, a_lower, (2 * w_plus - total) / total AS rank_biserial, (w_plus - n * (n + 1) / 4) / sqrt((n * (n + 1.0) * (2 * n + 1) - ties / 2) / 24) AS z FROM s JOIN t USING ({by})), q AS (SELECT *, {_p('z')} AS p FROM z)"""
+
+
+def _holm_sql(within: str, tie: str) -> str:
+    part = f"PARTITION BY {within} " if within else ""
+    return f"SELECT * EXCLUDE (s), max(s) OVER ({part}ORDER BY p, {tie} ROWS UNBOUNDED PRECEDING) AS p_holm FROM (SELECT *, least(1.0, p * (count(*) OVER ({part}) - row_number() OVER ({part}ORDER BY p, {tie}) + 1)) AS s FROM q)"
+
+
+SIGNED = "w_plus median_difference a_lower rank_biserial z p p_holm"
+
+
+@query("t05_wilcoxon_vs_products", "WITH {fp}, l AS (SELECT 'p2' AS product, y, p, p2 AS v FROM fp UNION ALL SELECT 'slope', y, p, slope FROM fp), e AS (SELECT 'abs' AS metric, product, abs(p - y) AS a, abs(v - y) AS b FROM l UNION ALL SELECT 'square', product, (p - y) * (p - y), (v - y) * (v - y) FROM l), " + _signed("e", "metric, product") + " " + _holm_sql("metric", "product"), SIGNED, 4)
+def _(t):
+    return sg.wilcoxon_vs_products(t.fp(), "y", "p", ["p2", "slope"])
+
+
+def _f1_sql(p: str) -> str:
+    return f"(WITH c AS (SELECT cell, truth AS class, count(*) FILTER (truth = {p}) AS tp, count(*) FILTER (truth <> {p}) AS fn, 0 AS fp FROM classes GROUP BY ALL UNION ALL SELECT cell, {p}, 0, 0, count(*) FILTER (truth <> {p}) FROM classes GROUP BY ALL) SELECT cell, class, CASE WHEN sum(tp) + sum(fn) > 0 THEN 2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) END AS f1 FROM c GROUP BY ALL)"
+
+
+@query("t06_cell_paired_tests", "WITH {classes}, big AS (SELECT cell FROM classes GROUP BY cell HAVING count(*) >= 20), e AS (SELECT x.class, x.f1 AS a, y.f1 AS b FROM " + _f1_sql("a") + " x JOIN " + _f1_sql("b") + " y USING (cell, class) JOIN big USING (cell)), " + _signed("e", "class") + " " + _holm_sql("", "class"), SIGNED, 4)
+def _(t):
+    return sg.cell_paired_tests(t.classes(), "truth", "a", "b", "cell", 20)
+
+
+@query("r23_stratified_samples", "WITH r AS (SELECT * FROM part WHERE p_size < 10), a AS (SELECT p_partkey, p_type, 'reference' AS origin, row_number() OVER (PARTITION BY p_type ORDER BY md5(concat_ws('|', 'st', p_type, p_partkey)), p_partkey) AS k FROM r), b AS (SELECT p_partkey, p_type, 'random' AS origin, row_number() OVER (PARTITION BY p_type ORDER BY md5(concat_ws('|', 'st', p_type, p_partkey)), p_partkey) AS k FROM part WHERE p_size >= 10) SELECT p_partkey, p_type, origin FROM a WHERE k <= 4 UNION ALL SELECT p_partkey, p_type, origin FROM b WHERE k <= 6")
+def _(t):
+    return sg.stratified_samples(t.part.where("p_size < 10"), t.part, "p_type", 4, 6, "st", "p_partkey").select("p_partkey", "p_type", "origin")
+
+
+@query("a35_matched_band_table", "WITH {fp}, x AS (SELECT CAST(ceil(q / 10) AS INT) AS band, q, (flag = 'R')::INT AS g, y, slope FROM fp), u AS (SELECT band, 'y' AS value, g, y AS v FROM x UNION ALL SELECT band, 'slope', g, slope FROM x), c AS (" + CONTRAST.format(by="band, value, ", v="v") + " FROM u GROUP BY band, value), h AS (SELECT band, avg(q) FILTER (g = 1) - avg(q) FILTER (g = 0) AS height_difference FROM x GROUP BY band) SELECT band, value, n_high, n_low, delta, cohen_d, height_difference, abs(height_difference) <= 0.1 AS ok FROM c JOIN h USING (band)", "delta cohen_d height_difference")
+def _(t):
+    rows = t.fp().withColumns({"band": m.fixed_bin(F.col("q"), 10), "g": (F.col("flag") == "R").cast("int")})
+    return sg.matched_band_table(rows, "band", "q", "g", ["y", "slope"], 0.1)
+
+
 # conformal calibration
 
 KTH = "(SELECT biome, max(n) AS n_cal, min(s) FILTER (k >= ceil((n + 1) * {share})) AS q FROM (SELECT biome, s, row_number() OVER (PARTITION BY biome ORDER BY s) AS k, count(*) OVER (PARTITION BY biome) AS n FROM (SELECT biome, {score} AS s FROM triples)) GROUP BY biome)"
