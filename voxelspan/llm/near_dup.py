@@ -9,8 +9,8 @@
 3. ``BANDS`` bands of the signature give buckets. In each bucket every node is held against two hubs: the node with
    the most company in all its buckets, and the shortest one. Pairs whose signatures may reach the threshold are
    verified on their multisets, and links grow into classes by alternating large and small stars.
-4. The rest, exactly: members of a bucket that are still in different classes are compared by signature, in blocks
-   of ``BLOCK`` so that no task holds a bucket, and verified likewise. Pairs are written only if they pass.
+4. The rest, exactly: members of a bucket that are still in different classes are compared, in blocks of ``BLOCK``
+   so that no task holds a bucket, by signature and then by multiset. Only links that join classes are written.
 
 Nothing is capped. A pair of similarity 0.8 shares no band with probability 4.7e-8, and fails the signature
 bound ``LEAST`` with less than 1e-6.
@@ -96,7 +96,7 @@ def bag_minhash(n: int, owner: np.ndarray, hashes: np.ndarray, weights: np.ndarr
     r = 0
     while len(who):
         r += 1
-        u = mix(state + np.uint64(r) * _GOLD)
+        u = mix(state + np.uint64(r * int(_GOLD) % 2**64))
         t = t - np.log(((u >> np.uint64(24)).astype(np.float64) + 1.0) * 2.0**-40) / (width * SIZE)
         alive = t < best.reshape(n, SIZE).max(1)[own]
         t, u, state, own, low, width, most, who = (x[alive] for x in (t, u, state, own, low, width, most, who))
@@ -166,13 +166,15 @@ def _may_match(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
 
 
-def similarity(a: str, b: str) -> float:
-    """Weighted Jaccard similarity of the shingle multisets of two texts."""
-    (_, ha, _), (_, hb, _) = shingles([a]), shingles([b])
-    (x, nx), (y, ny) = np.unique(ha, return_counts=True), np.unique(hb, return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    both = int(np.minimum(nx[i], ny[j]).sum())
-    return both / max(1, len(ha) + len(hb) - both)
+def alike(a: tuple[np.ndarray, np.ndarray, int], b: tuple[np.ndarray, np.ndarray, int]) -> bool:
+    """Whether two multisets (sorted elements, counts, total) reach the similarity."""
+    (x, nx, n), (y, ny, m) = a, b
+    if min(n, m) < SIMILARITY * max(n, m) or not n:
+        return False
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    same = x[at] == y
+    both = int(np.minimum(nx[at[same]], ny[same]).sum())
+    return both >= SIMILARITY * (n + m - both)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -193,14 +195,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
             ok = []
             for a, b in zip(batch.column("_x").to_pylist(), batch.column("_y").to_pylist(), strict=True):
-                (x, nx, n), (y, ny, m) = bag(a), bag(b)
-                if min(n, m) < SIMILARITY * max(n, m):
-                    ok.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                same = x[at] == y
-                both = int(np.minimum(nx[at[same]], ny[same]).sum())
-                ok.append(both >= SIMILARITY * (n + m - both))
+                ok.append(alike(bag(a), bag(b)))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return rows.select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long").distinct()
@@ -226,36 +221,56 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def _across(kept: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of one bucket and different classes whose signatures may match."""
+def _across(kept: DataFrame, classes: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between members of one bucket that are in different classes: within a block, only those that join classes there.
+
+    A pair that shares several buckets is looked at in the first of them. The multisets are compared where the members meet, so no list of pairs arises.
+    """
     known = kept.join(classes, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class"))
     mixed = known.groupBy("bucket").agg(F.min("class").alias("_a"), F.max("class").alias("_b"), F.count("*").alias("_n")).where("_a <> _b").select("bucket", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
-    rows = known.join(mixed, "bucket").join(nodes.select("node", "signature"), "node")
+    rows = known.join(mixed, "bucket").join(nodes.select("node", "signature"), "node").join(texts, "node")
     own = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
     rows = rows.withColumn("block", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    rows = rows.withColumns({"i": F.least("block", "_other"), "j": F.greatest("block", "_other")}).select("bucket", "i", "j", "block", "node", "class", "signature")
+    names = ("bucket", "i", "j", "block", "node", "class", "signature", "text")
+    rows = rows.withColumns({"i": F.least("block", "_other"), "j": F.greatest("block", "_other")}).select(*names)
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
-    def compare(block: np.ndarray, node: np.ndarray, kind: np.ndarray, sig: np.ndarray, i: int, j: int) -> list[tuple[int, int]]:
+    def compare(group: tuple, held: list[tuple]) -> list[tuple[int, int]]:
+        bucket, i, j = group
+        block, node, kind = (np.asarray([r[k] for r in held]) for k in (3, 4, 5))
+        sig = np.frombuffer(b"".join(r[6] for r in held), np.uint32).reshape(-1, SIZE)
+        keys = bands_of(sig)
+        band = int(np.flatnonzero(keys[0] == bucket)[0])
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        bag: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
         out = []
+
+        def of(k: int) -> tuple[np.ndarray, np.ndarray, int]:
+            if k not in bag:
+                h = shingles([held[k][7]])[1]
+                bag[k] = (*np.unique(h, return_counts=True), len(h))
+            return bag[k]
+
         for a in left:
             other = right[(kind[right] != kind[a]) & ((node[right] > node[a]) | (i != j))]
-            hit = other[(sig[other] == sig[a]).mean(1) >= LEAST] if len(other) else other
-            out += [(int(max(node[a], node[b])), int(min(node[a], node[b]))) for b in hit]
+            if len(other):
+                other = other[(sig[other] == sig[a]).mean(1) >= LEAST]
+                other = other[(keys[other] == keys[a]).argmax(1) == band]
+            for b in other:
+                if kind[a] != kind[b] and alike(of(a), of(b)):
+                    out.append((int(max(node[a], node[b])), int(min(node[a], node[b]))))
+                    kind[kind == kind[b]] = kind[a]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
 
         def close() -> pa.RecordBatch:
-            block, node, kind = (np.asarray([r[k] for r in held]) for k in (3, 4, 5))
-            sig = np.frombuffer(b"".join(r[6] for r in held), np.uint32).reshape(-1, SIZE)
-            found = compare(block, node, kind, sig, group[1], group[2])
+            found = compare(group, held)
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "block", "node", "class", "signature")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if row[:3] != group:
                     if held:
                         yield close()
@@ -284,8 +299,7 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = stored(docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
     first = stored(_verified(_may_match(pairs, nodes), texts), "links")
     found = components(first)
-    more = _verified(_across(kept, found, nodes), texts)
-    found = components(first.union(more))
+    found = components(first.union(_across(kept, found, nodes, texts)))
     named = nodes.select("key", "node").join(found, "node", "left").select("key", F.coalesce("class", "node").alias("class_id"))
     known = signed.select("doc_id", "key").join(named, "key").select("doc_id", "class_id").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(known, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
