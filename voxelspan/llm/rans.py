@@ -16,6 +16,7 @@ further columns of the input are ignored.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,12 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import new_path, shared_dir, stored
+from .shared import drop_stored, new_path, stored
 from .tokens import encoder
 
 MAGIC = b"RANSIDS1"
-LANES, CHECK_EVERY = 512, 128
-BLOCK_TOKENS = 1 << 17
+LANES, CHECK_EVERY = 2048, 64
+BLOCK_TOKENS = 1 << 18
 BITS = 20
 LOW = 1 << 31
 HEAD = "<4sIIIIIIII"  # tag, docs, tokens, lanes, steps, doc bytes, checkpoints, words, crc of the rest
@@ -40,11 +41,11 @@ INDEX = "<qqII"  # offset, length, docs, tokens
 FOOT = "<qII8s"
 
 TOKENS = T.StructType([
-    T.StructField("segment", T.LongType()), T.StructField("block", T.LongType()), T.StructField("n_docs", T.LongType()),
+    T.StructField("segment", T.LongType()), T.StructField("block", T.LongType()), T.StructField("ahead", T.LongType()), T.StructField("n_docs", T.LongType()),
     T.StructField("n_tokens", T.LongType()), T.StructField("doc_ids", T.BinaryType()), T.StructField("nulls", T.BinaryType()),
     T.StructField("lengths", T.BinaryType()), T.StructField("ids", T.BinaryType()),
 ])
-DECODED = "segment long, block long, place long, doc_id long, n_tokens long, ids_crc32 long, before long, ids binary"
+DECODED = "segment long, block long, place long, doc_id long, n_tokens long, ids_crc32 long, start long, ids binary"
 
 
 class Table:
@@ -154,7 +155,7 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int, partitions: int |
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        segment, block, end = TaskContext.get().partitionId(), 0, np.asarray([end_id], "<u4").tobytes()
+        segment, block, ahead, end = TaskContext.get().partitionId(), 0, 0, np.asarray([end_id], "<u4").tobytes()
         coder = encoder(tokenizer, True)
         held: list[tuple[int | None, bytes]] = []
         size = 0
@@ -163,7 +164,7 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int, partitions: int |
             ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
             if len(ids) and ids.max() > 0xFFFF:
                 raise ValueError("ids above 65535 need a wider block")
-            row = {"segment": segment, "block": block, "n_docs": len(held), "n_tokens": len(ids), "doc_ids": np.asarray([x or 0 for x, _ in held], "<i8").tobytes(), "nulls": bytes(x is None for x, _ in held), "lengths": np.asarray([len(x) // 4 for _, x in held], "<u4").tobytes(), "ids": ids.astype("<u2").tobytes()}
+            row = {"segment": segment, "block": block, "ahead": ahead, "n_docs": len(held), "n_tokens": len(ids), "doc_ids": np.asarray([x or 0 for x, _ in held], "<i8").tobytes(), "nulls": bytes(x is None for x, _ in held), "lengths": np.asarray([len(x) // 4 for _, x in held], "<u4").tobytes(), "ids": ids.astype("<u2").tobytes()}
             return pa.RecordBatch.from_pylist([row])
 
         for batch in batches:
@@ -174,7 +175,7 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int, partitions: int |
                     size += len(ids) // 4 + 1
                     if size >= BLOCK_TOKENS:
                         yield close()
-                        held, size, block = [], 0, block + 1
+                        held, size, block, ahead = [], 0, block + 1, ahead + size
         if held:
             yield close()
 
@@ -218,7 +219,7 @@ def write_files(blocks: DataFrame, table: Table, folder: str) -> DataFrame:
                     out.write(MAGIC)
                     at = len(MAGIC)
                 data = pack_block(row["doc_ids"], row["nulls"], row["lengths"], row["ids"], table)
-                data += struct.pack("<qq", row["segment"], row["block"])
+                data += struct.pack("<qqq", row["segment"], row["block"], row["ahead"])
                 out.write(data)
                 index.append(struct.pack(INDEX, at, len(data), row["n_docs"], row["n_tokens"]))
                 at += len(data)
@@ -229,15 +230,18 @@ def write_files(blocks: DataFrame, table: Table, folder: str) -> DataFrame:
             fs.move(part, name + ".rans")
             yield pa.RecordBatch.from_pylist([{"path": name + ".rans", "segment": first[0], "block": first[1], "n_blocks": len(index)}])
 
-    return blocks.select("segment", "block", "n_docs", "n_tokens", "doc_ids", "nulls", "lengths", "ids").mapInArrow(write, "path string, segment long, block long, n_blocks long")
+    return blocks.select("segment", "block", "ahead", "n_docs", "n_tokens", "doc_ids", "nulls", "lengths", "ids").mapInArrow(write, "path string, segment long, block long, n_blocks long")
 
 
-def read_files(spark: SparkSession, folder: str, table: Table, with_ids: bool = True) -> DataFrame:
+def read_files(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     """Read a folder of id files: one row per document with its segment, block and place (``DECODED``)."""
     fs, base = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(base)
     paths = sorted(x.path for x in fs.get_file_info(pyarrow.fs.FileSelector(base)) if x.path.endswith(".rans"))
-    shared = spark.sparkContext.broadcast(table.to_bytes())
+    with fs.open_input_file(f"{base}/segments.json") as f:
+        firsts = spark.sparkContext.broadcast({int(k): v for k, v in json.loads(f.read()).items()})
+    with fs.open_input_file(f"{base}/table.bin") as f:
+        shared = spark.sparkContext.broadcast(f.read())
     listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 4096)), "path")
 
     def indexes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,36 +264,24 @@ def read_files(spark: SparkSession, folder: str, table: Table, with_ids: bool =
                 if row["path"] != open_path:
                     open_path, f = row["path"], fs.open_input_file(row["path"])
                 data = f.read_at(row["size"], row["at"])
-                segment, block = struct.unpack("<qq", data[-16:])
-                names, nulls, lengths, ids = unpack_block(data[:-16], table)
+                segment, block, ahead = struct.unpack("<qqq", data[-24:])
+                names, nulls, lengths, ids = unpack_block(data[:-24], table)
+                begin = firsts.value[segment] + ahead
                 raw, ends = ids.astype("<u4").tobytes(), np.cumsum(lengths, dtype=np.int64)
                 begins = ends - lengths
                 own = [raw[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 k = len(names)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(k, segment)), pa.array(np.full(k, block)), pa.array(np.arange(k)), pa.array(names, mask=nulls.astype(bool)), pa.array(lengths.astype(np.int64)),
-                    pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array(begins), pa.array(own if with_ids else [None] * k, pa.binary()),
-                ], ["segment", "block", "place", "doc_id", "n_tokens", "ids_crc32", "before", "ids"])
+                    pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array(begin + begins), pa.array(own if with_ids else [None] * k, pa.binary()),
+                ], ["segment", "block", "place", "doc_id", "n_tokens", "ids_crc32", "start", "ids"])
 
     spread = listed.mapInArrow(indexes, "path string, at long, size long")
     return spread.mapInArrow(decode, DECODED)
 
 
-def with_starts(read: DataFrame, totals: DataFrame) -> DataFrame:
-    """Add ``start``: ids of all documents before. totals: segment, block, n_tokens of every block."""
-    from pyspark.sql import Window
-
-    segments = totals.groupBy("segment").agg(F.sum("n_tokens").alias("n"))  # a row per partition
-    ahead = F.sum("n").over(Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1))
-    segments = segments.select("segment", F.coalesce(ahead, F.lit(0)).alias("_ahead"))
-    inner = F.sum("n_tokens").over(Window.partitionBy("segment").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    places = totals.select("segment", "block", F.coalesce(inner, F.lit(0)).alias("_inner")).join(segments, "segment")
-    places = places.select("segment", "block", (F.col("_ahead") + F.col("_inner")).alias("_start"))
-    return read.join(places, ["segment", "block"]).withColumn("start", F.col("_start") + F.col("before")).drop("_start")
-
-
-def write_token_ids(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> tuple[str, Table, DataFrame]:
-    """Tokenise, count and write all of ``docs``. Returns the folder, the shared table and the block totals."""
+def write_token_ids(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> str:
+    """Tokenise, count and write all of ``docs``: id files, ``table.bin``, and the ids before each segment in ``segments.json``. Returns the folder."""
     spark = docs.sparkSession
     folder = folder or new_path(spark, "token-ids")
     blocks = stored(token_blocks(docs, tokenizer, end_id), "token-blocks")
@@ -298,11 +290,15 @@ def write_token_ids(docs: DataFrame, tokenizer: str, end_id: int, folder: str |
     table = frequency_table(blocks)
     with fs.open_output_stream(f"{base}/table.bin") as f:
         f.write(table.to_bytes())
+    sizes = sorted((r["segment"], r["n"]) for r in blocks.groupBy("segment").agg(F.sum("n_tokens").alias("n")).collect())  # a row per partition
+    ends = np.cumsum([n for _, n in sizes], dtype=np.int64).tolist()
+    with fs.open_output_stream(f"{base}/segments.json") as f:
+        f.write(json.dumps({s: e - n for (s, n), e in zip(sizes, ends, strict=True)}).encode())
     write_files(blocks, table, folder).write.format("noop").mode("overwrite").save()
-    return folder, table, blocks.select("segment", "block", "n_tokens")
+    drop_stored(blocks)
+    return folder
 
 
 def token_ids_query(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    folder, table, totals = write_token_ids(docs, tokenizer, end_id)
-    read = read_files(docs.sparkSession, folder, table, with_ids=False)
-    return with_starts(read, totals).select("doc_id", "start", "n_tokens", "ids_crc32")
+    folder = write_token_ids(docs, tokenizer, end_id)
+    return read_files(docs.sparkSession, folder, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")

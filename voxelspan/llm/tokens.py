@@ -15,7 +15,8 @@ from collections.abc import Iterable
 
 CHUNK = re.compile(r"\s*\S+|\s+")
 UNUSUAL = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
-CACHED_CHUNKS = 600_000
+#: A worker keeps this many chunks, and as many that it used before those.
+CACHED_CHUNKS = 350_000
 MARKS = ".,;:!?"
 
 #: How byte-level models write each byte: printable ones as they are, the rest from U+0100 on.
@@ -37,6 +38,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.keep_space = keep_space
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -78,12 +80,14 @@ class Encoder:
 
         def flush() -> None:
             nonlocal size
-            cache = self.cache
-            need = set().union(*(x for x in held if isinstance(x, list))).difference(cache)
-            if len(cache) + len(need) > CACHED_CHUNKS:
-                cache.clear()
+            need = set().union(*(x for x in held if isinstance(x, list))).difference(self.cache)
+            if len(self.cache) > CACHED_CHUNKS:
+                self.cache, self.older = {}, self.cache
                 need = set().union(*(x for x in held if isinstance(x, list)))
-            self._learn(need)
+            cache, older = self.cache, self.older
+            again = [x for x in need if x in older]
+            cache.update((x, older[x]) for x in again)
+            self._learn(need.difference(again))
             get = cache.__getitem__
             out.extend(b"".join(map(get, x)) if isinstance(x, list) else self._direct([x])[0] for x in held)
             held.clear()
