@@ -251,6 +251,23 @@ def test_network_recall_on_unseen_examples():
     assert len(secret_scan.windows(long, 0, len(long))) > 10
 
 
+def test_network_is_asked_about_every_candidate(spark):
+    """Keys without a digit, short ones after a key-like word, and those that hold a rule's finding."""
+    texts = ["take QwErTyUiOpAsDfGhJkLzXcVbNm with", "use xoxb-1234567890123456-AbCdEfGhIjKlMnOpQrStUvWx now", "pwd: x7Gq2LmZ9rT4 here", "token = 0123456789abcdef0123", "the long way home"]
+    asked = [[t[a:b] for a, b in secret_scan.candidates(t, secret_scan.base_spans(t))] for t in texts]
+    assert asked == [[t.split()[1]] for t in texts[:3]] + [[], []]
+    docs = spark.createDataFrame([(k, t, None, "s", None) for k, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs).collect()}
+    assert got[0] == "take [SECRET] with" and got[1] == "use [SECRET] now" and got[2] == "pwd: [SECRET] here" and got[4] == texts[4]
+
+
+def test_runs_that_no_rule_finds_stay_unlabelled(spark):
+    key = "QwErTyUiOpAsDfGhJkLzXcVbNm7"
+    docs = spark.createDataFrame([(1, f"{key} and token = abcdefghijkl then"), (2, None)], "doc_id long, text string")
+    found, y = secret_scan.labelled_windows(docs)
+    assert y == [1] and "token = abcdefghijkl" in found[0]
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "see token = 0123456789abcdef0123 ok", "x", "s", 9), (2, None, None, "s", 0)], SCHEMA)
     a, b = secret_scan.redact(docs).orderBy("doc_id").collect()

@@ -1,11 +1,12 @@
 """Secret scans: pattern rules, and a character convolutional network for every other candidate.
 
-Rules find assignments, access keys and hexadecimal runs. The network, in numpy, judges each further run of 16 or
-more key characters that holds a digit, with ``CONTEXT`` characters on either side; long candidates are read whole,
-in overlapping windows whose features are pooled. It is trained on labelled findings: windows of a bounded,
-hash-ordered sample of documents, labelled by the rules (what an assignment or access rule finds is a secret, runs
-that no rule finds are not), and examples made by rule of further kinds of keys and of look-alikes (``examples``).
-Part of them is held back: Platt scaling calibrates the scores there, and the threshold is the highest that finds
+Rules find assignments, access keys and hexadecimal runs. The network, in numpy, judges each run of 16 or more key
+characters that does not lie wholly inside a rule's finding, and each run of ``SHORTEST`` or more after a word like key
+or password, with ``CONTEXT`` characters on either side; long candidates are read whole, in overlapping windows of which
+the highest counts. It is trained on labelled findings: windows of a bounded, hash-ordered sample of documents (what an
+assignment or access rule finds is a secret; words of the document, joined or put after a word like key, are none; runs
+that no rule finds stay unlabelled), and examples made by rule of further kinds of keys and of look-alikes
+(``examples``). Part of them is held back: Platt scaling calibrates the scores there, and the threshold is the highest that finds
 the share ``RECALL`` of the held-back secrets.
 
 Defined results: a null text counts as empty and has no spans; repeated rows are scanned each for itself; an empty
@@ -29,7 +30,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "cnn")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-DIGIT = re.compile(r"[0-9]")
+SHORTEST = 6
+#: A shorter run after a key-like word; the lookahead lets a key-like word be a run itself.
+SHORT = re.compile(rf"""(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|key|credentials?|bearer|auth(?:orization)?)(?=["']?(?:\s*(?:=>|[:=]|is\b)\s*|\s+)["']?([A-Za-z0-9+/_=-]{{{SHORTEST},15}})(?![A-Za-z0-9+/_=-]))""", re.ASCII)
+#: Neighbouring words of a text that look-alikes are made of.
+WORDS = re.compile(r"(?<![^\s])[A-Za-z]+(?: [A-Za-z]+){2,7}(?![^\s.,;])")
 CONTEXT, BODY = 24, 64
 WIDTH = CONTEXT + BODY + CONTEXT
 #: Most documents and windows of the training sample.
@@ -47,13 +52,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs of key characters with a digit that no rule's finding touches."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if DIGIT.search(text, a, b) and not any(x < b and a < y for x, _, y in found):
-            out.append((a, b))
-    return out
+    """Runs of key characters, shorter ones only after a key-like word, that do not lie wholly inside a rule's finding."""
+    runs = {m.span() for m in CANDIDATE.finditer(text)} | {m.span(1) for m in SHORT.finditer(text)}
+    return sorted((a, b) for a, b in runs if not any(x <= a and b <= y for x, _, y in found))
 
 
 def windows(text: str, a: int, b: int) -> list[str]:
@@ -103,6 +104,7 @@ class Network:
         names = ("e", "w", "b", "v", "c")
         first, second = ({k: np.zeros_like(getattr(self, k)) for k in names} for _ in range(2))
         order, step = np.random.default_rng(3), 0
+        steps = epochs * max(1, len(x) // 128)
         for _ in range(epochs):
             for at in np.array_split(order.permutation(len(x)), max(1, len(x) // 128)):
                 out, (rows, h, top, z) = self.forward(x[at])
@@ -119,7 +121,7 @@ class Network:
                 for k in names:
                     first[k] = 0.9 * first[k] + 0.1 * grad[k]
                     second[k] = 0.99 * second[k] + 0.01 * grad[k] ** 2
-                    setattr(self, k, (getattr(self, k) - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32))
+                    setattr(self, k, (getattr(self, k) - rate * (1 - (step - 1) / steps) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32))
 
     def calibrate(self, texts: list[str], y: np.ndarray) -> None:
         """Platt scaling by Newton's method, then the highest threshold with the wanted recall."""
@@ -135,21 +137,26 @@ class Network:
         self.limit = float(p[int((1 - RECALL) * len(p))]) if len(p) else 0.5
 
 
-def examples(n: int = 1_200, seed: int = 11) -> tuple[list[str], list[int]]:
+def examples(n: int = 4_000, seed: int = 11) -> tuple[list[str], list[int]]:
     """Labelled windows made by rule: keys of common shapes, and look-alikes that are none."""
     r = np.random.default_rng(seed)
     upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
     draw = lambda letters, k: "".join(letters[i] for i in r.integers(0, len(letters), k))
     words = lambda k: " ".join(draw(lower, int(r.integers(2, 9))) for _ in range(k))
+    spoken = lambda k: "".join("bcdfglmnprstvw"[int(r.integers(14))] + "aeiou"[int(r.integers(5))] for _ in range(k))
     mixed, out, y = upper + lower + digits, [], []
     for k in range(n):
         secret = k % 2
         if secret:
-            body = [lambda: "ghp_" + draw(mixed, 36), lambda: "xoxb-" + draw(digits, 11) + "-" + draw(mixed, 24), lambda: "sk-" + draw(mixed, 40), lambda: "eyJ" + draw(mixed + "_-", 48), lambda: draw(mixed + "+/", 40) + "=", lambda: draw(upper + digits, 32), lambda: draw(mixed, int(r.integers(20, 64)))][int(r.integers(7))]()
-            lead = ["key ", "Authorization: Bearer ", "export KEY=", "credential: ", "use "][int(r.integers(5))]
+            body = [
+                    lambda: "ghp_" + draw(mixed, 36), lambda: "xoxb-" + draw(digits, 11) + "-" + draw(mixed, 24), lambda: "sk-" + draw(mixed, 40), lambda: "eyJ" + draw(mixed + "_-", 48), lambda: draw(mixed + "+/", 40) + "=", lambda: draw(upper + digits, 32), lambda: draw(mixed, int(r.integers(20, 64))),
+                    lambda: "xoxb-" + draw(digits, 16) + "-" + draw(mixed, 24), lambda: draw(upper + lower, int(r.integers(16, 48))), lambda: draw(upper, int(r.integers(16, 40))), lambda: draw(mixed, int(r.integers(8, 16))), lambda: draw(lower + digits, int(r.integers(SHORTEST, 16))), lambda: spoken(2) + draw(digits, int(r.integers(2, 5))) + draw(mixed, int(r.integers(2, 6)))][int(r.integers(13))]()
+            lead = ["key ", "Authorization: Bearer ", "export KEY=", "credential: ", "use "][int(r.integers(5))] if len(body) >= 16 else ["key ", "Bearer ", "KEY=", "credential: ", "password is ", "pwd: ", "secret = '", "token: "][int(r.integers(8))]
         else:
-            body = [lambda: draw(lower, 7) + "-" + draw(lower, 6) + "-" + draw(digits, 4), lambda: "/".join(draw(lower, 6) for _ in range(4)) + "/" + draw(digits, 4), lambda: f"20{draw(digits, 2)}-0{draw(digits[1:], 1)}-1{draw(digits, 1)}T{draw(digits, 2)}-00-00", lambda: "_".join(draw(lower, 5) for _ in range(3)) + draw(digits, 1), lambda: "=" * 20 + draw(digits, 1), lambda: draw(digits, 3) + "-" + draw(digits, 3) + "-" + draw(digits, 4) + "-" + draw(digits, 5), lambda: draw(lower, 20) + draw(digits, 1)][int(r.integers(7))]()
-            lead = ["see ", "at ", "file ", "on ", "the "][int(r.integers(5))]
+            body = [
+                    lambda: draw(lower, 7) + "-" + draw(lower, 6) + "-" + draw(digits, 4), lambda: "/".join(draw(lower, 6) for _ in range(4)) + "/" + draw(digits, 4), lambda: f"20{draw(digits, 2)}-0{draw(digits[1:], 1)}-1{draw(digits, 1)}T{draw(digits, 2)}-00-00", lambda: "_".join(draw(lower, 5) for _ in range(3)) + draw(digits, 1), lambda: "=" * 20 + draw(digits, 1), lambda: draw(digits, 3) + "-" + draw(digits, 3) + "-" + draw(digits, 4) + "-" + draw(digits, 5), lambda: draw(lower, 20) + draw(digits, 1),
+                    lambda: "-=_/+"[int(r.integers(5))] * int(r.integers(16, 60)), lambda: spoken(int(r.integers(8, 14))), lambda: "-_/"[int(r.integers(3))].join(spoken(int(r.integers(2, 5))) for _ in range(4)), lambda: "".join(spoken(3).title() for _ in range(4)), lambda: spoken(3).ljust(SHORTEST, "s")][int(r.integers(12))]()
+            lead = ["see ", "at ", "file ", "on ", "the "][int(r.integers(5))] if len(body) >= 16 else ["the key ", "a token ", "secret ", "password is ", "key: "][int(r.integers(5))]
         text = f"{words(5)} {lead}{body} {words(5)}"
         a = text.index(body)
         got = windows(text, a, a + len(body))
@@ -158,8 +165,27 @@ def examples(n: int = 1_200, seed: int = 11) -> tuple[list[str], list[int]]:
     return out, y
 
 
+def look_alike(text: str, found: list[tuple[int, int, int]]) -> list[str]:
+    """Windows of a run that is no secret, made in the text of its own words: some joined, or one after a key-like word."""
+    n = len(text)
+    for m in WORDS.finditer(text, n // 3):
+        if any(x < m.end() and m.start() < y for x, _, y in found):
+            continue
+        words, long = m[0].split(" "), n % 3 < 2
+        before, after = text[: m.start()], text[m.end() :]
+        if long:
+            body = ("", "", "-", "_", "/")[n % 5].join(words)[:60]
+        else:
+            body = max(words, key=len)
+            before += ("key ", "the token ", "password is ", "secret ", "key: ")[n % 5]
+        if len(body) < (16 if long else SHORTEST):
+            continue
+        return windows(before + body + after, len(before), len(before) + len(body))
+    return []
+
+
 def labelled_windows(docs: DataFrame) -> tuple[list[str], list[int]]:
-    """At most SAMPLE_WINDOWS windows of a hash-ordered sample of SAMPLE_DOCS documents, labelled by the rules."""
+    """At most SAMPLE_WINDOWS windows of a hash-ordered sample of SAMPLE_DOCS documents: the rules' findings, and look-alikes."""
     names = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
     sample = docs.join(F.broadcast(names), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"))
 
@@ -168,8 +194,8 @@ def labelled_windows(docs: DataFrame) -> tuple[list[str], list[int]]:
             rows = []
             for text in batch.column("text").to_pylist():
                 found = base_spans(text)
-                spans = [(a, b, 1) for a, kind, b in found if kind < 2] + [(a, b, 0) for a, b in candidates(text, found)]
-                rows += [{"window": w, "secret": y} for a, b, y in spans for w in windows(text, a, b)]
+                rows += [{"window": w, "secret": 1} for a, kind, b in found if kind < 2 for w in windows(text, a, b)]
+                rows += [{"window": w, "secret": 0} for w in look_alike(text, found)]
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("window", pa.string()), ("secret", pa.int32())]))
 
     rows = sample.mapInArrow(cut, "window string, secret int").orderBy(F.xxhash64("window"), "window").limit(SAMPLE_WINDOWS).collect()
@@ -198,7 +224,8 @@ def find(texts: list[str], net: Network) -> list[list[tuple[int, int, int]]]:
         first = np.cumsum([0, *map(len, own[:-1])])
         best = net.probability(np.maximum.reduceat(raw, first))
         for (k, a, b), p in zip(part, best, strict=True):
-            if p >= net.limit:
+            last = spans[k][-1] if spans[k] else (0, 0, 0)
+            if p >= net.limit and not (last[1] == 3 and b <= last[2]):
                 spans[k].append((a, 3, b))
     return [sorted(s) for s in spans]
 
