@@ -73,6 +73,21 @@ def test_html_scan_is_the_best_stretch():
             assert kept in spans
 
 
+def test_html_scan_sets_the_region():
+    """Pages without article or main, with articles as teasers and as comments, and with a headline before the article."""
+    w = html_text.weights_of(sum((html_text.label_counts(p) for p in html_text.EXAMPLES), Counter()))
+    body = [f"Paragraph {k} of the story tells in plain words what happened on that day by the river." for k in range(8)]
+    told = "".join(f"<p>{x}</p>" for x in body)
+    menu = "<nav><ul><li><a href=x>Home</a></li></ul></nav>"
+    assert html_text.main_text(f"<body>{menu}<div><div>{told}</div></div><footer>c</footer>", w) == "\n".join(body)
+    got = html_text.main_text(f"<body>{menu}<div>{told}<article><h3>Next story</h3><p>A short teaser.</p></article></div><footer>c</footer>", w)
+    assert got.startswith("\n".join(body))
+    comment = "<article class='comment'><p>I was there too and it was grand, thanks for the story.</p></article>"
+    assert html_text.main_text(f"<body>{menu}<div>{told}{comment}{comment}</div>", w) == "\n".join(body)
+    assert html_text.main_text(f"<body>{menu}<article class='post comments-open'>{told}</article>{comment}", w) == "\n".join(body)
+    assert html_text.main_text(f"<body>{menu}<h1>The headline of the story</h1><article>{told}</article><footer>c</footer>", w) == "\n".join(["The headline of the story", *body])
+
+
 def test_html_query_gives_the_articles(spark):
     for r in queries.op1_html_extraction(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
         body = re.search(r"<article>(.*?)(</article>|\Z)", r["html"], re.S)[1].replace("\n", " ").replace("<br>", " ")

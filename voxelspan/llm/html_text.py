@@ -2,12 +2,12 @@
 
 A page is read once into tags and words. Each word scores positive (less inside a link), each tag negative, with
 weights learned from labelled pages; words of menus, forms, notices, comments and the like score nothing, so only
-their tags count. One linear scan finds the contiguous stretch with the highest sum. If it lies in an element that
-marks itself as the content (``article``, ``main``), the stretch is widened to that element. Its blocks, without
-those of menus and the like inside, are the text.
+their tags count. Where elements that mark themselves as the content (``article``, ``main``) hold half of a page's open
+words or more, words inside and outside them have weights of their own. One linear scan finds the contiguous stretch
+with the highest sum. Its blocks, without those of menus and the like inside, are the text.
 
-Labelled pages are ``EXAMPLES`` and at most ``SAMPLE`` pages of the table, in the order of a hash, in which such an
-element tells what is content. A weight is the logarithm of the odds that a feature lies inside the content,
+Labelled pages are ``EXAMPLES`` and at most ``SAMPLE`` pages of the table, in the order of a hash; of these, pages with
+half of their open words in such elements count. A weight is the logarithm of the odds that a feature lies inside the content,
 limited to ``WORD_RANGE`` and ``TAG_RANGE``.
 
 Defined results: a null or blank page has the empty text; a page without words in any open region has the empty text;
@@ -40,6 +40,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SHUT = frozenset("nav footer aside form menu button select option head dialog label fieldset canvas audio video".split())
 CONTENT = frozenset(("article", "main"))
 SHUT_ROLE = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
+#: Words that end the name of a state, not of a part (comments-open).
+STATE = frozenset("open opened closed enabled disabled on off".split())
 SHUT_WORD = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification popup modal newsletter subscribe subscription signup sidebar widget related recommended recommendations share sharing social comment comments disqus respond replies nav navbar navigation menu breadcrumb breadcrumbs footer header masthead toolbar pagination pager login search skip alert disclaimer".split())
 NEGATED = frozenset("has no with without is not".split())
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -59,7 +61,7 @@ def shuts(name: str, attributes: str, in_content: bool) -> bool:
     """Whether an element holds a menu, notice, advert, form, comments or the like."""
     if name in SHUT or name == "header" and not in_content:
         return True
-    if not attributes or name in ("html", "body") or name in CONTENT:
+    if not attributes or name in ("html", "body", "main"):
         return False
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
@@ -68,6 +70,8 @@ def shuts(name: str, attributes: str, in_content: bool) -> bool:
         if key in ("class", "id"):
             for one in value.split():
                 words = [w.lower() for w in NAME.findall(one)]
+                if name in CONTENT:  # topics and layouts are told there too: the first word decides
+                    words = words[:1] if words and words[-1] not in STATE else []
                 if words and words[0] not in NEGATED and not SHUT_WORD.isdisjoint(words):
                     return True
     return False
@@ -76,7 +80,7 @@ def shuts(name: str, attributes: str, in_content: bool) -> bool:
 def events(page: str) -> Iterator[tuple[str, str, bool, int]]:
     """(feature, text, shut, block): one for each tag (text empty) and each run of text.
 
-    Features: the name of a tag, ``"`` for words, ``@`` for words in a link. shut: inside a menu or the like. block: number of the block a run belongs to.
+    Features: the name of a tag, ``"`` for words, ``"+`` for words in a content element, ``@`` for words in a link. shut: inside a menu or the like. block: number of the block a run belongs to.
     """
     stack: list[tuple[str, bool, bool]] = []  # name, shuts, is content
     shut = content = links = block = at = 0
@@ -88,7 +92,7 @@ def events(page: str) -> Iterator[tuple[str, str, bool, int]]:
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
-            yield ("@" if links else '"'), page[at : m.start()], shut > 0, block
+            yield ("@" if links else '"+' if content else '"'), page[at : m.start()], shut > 0, block
         at = m.end()
         name = (m[3] or m[6] or "").lower()
         if not name:
@@ -112,11 +116,21 @@ def events(page: str) -> Iterator[tuple[str, str, bool, int]]:
         closed = name in VOID or attributes.endswith("/") and name not in BLOCK
         if not closed:
             a = shuts(name, attributes, content > 0)
-            stack.append((name, a, name in CONTENT))
-            shut, content, links = shut + a, content + (name in CONTENT), links + (name == "a")
+            marks = name in CONTENT and not a
+            stack.append((name, a, marks))
+            shut, content, links = shut + a, content + marks, links + (name == "a")
         yield name, "", shut > 0, block
     if at < len(page):
-        yield ("@" if links else '"'), page[at:], shut > 0, block
+        yield ("@" if links else '"+' if content else '"'), page[at:], shut > 0, block
+
+
+def marks_content(seen: list[tuple[str, str, bool, int]]) -> bool:
+    """Whether content elements hold half of the open words, links aside, or more."""
+    held = Counter({'"+': 0, '"': 0})
+    for feature, text, shut, _ in seen:
+        if text and not shut:
+            held[feature] += len(text.split())
+    return held['"+'] > 0 and held['"+'] >= held['"']
 
 
 def label_counts(page: str) -> Counter:
@@ -126,7 +140,7 @@ def label_counts(page: str) -> Counter:
     for feature, text, shut, _ in events(page):
         if feature.strip("/") in CONTENT and not text:
             depth = max(0, depth - 1 if feature[0] == "/" else depth + 1)
-            out[feature.strip("/"), 0] += 1
+            out[feature.strip("/"), int(not shut)] += 1
         else:
             out[feature, int(depth > 0 and not shut)] += len(text.split()) if text else 1
     return out
@@ -135,10 +149,13 @@ def label_counts(page: str) -> Counter:
 def weights_of(counts: Counter) -> dict[str, float]:
     inside = sum(n for (_, y), n in counts.items() if y) + 1
     outside = sum(n for (_, y), n in counts.items() if not y) + 1
-    out = {}
-    for feature in {f for f, _ in counts} | {'"', "@"}:
+    counts, out = Counter(counts), {}
+    for y in (0, 1):  # ``"-``: outside, on pages that mark their content; ``"``: on all other pages
+        counts['"-', y] = counts['"', y]
+        counts['"', y] += counts['"+', y]
+    for feature in {f for f, _ in counts} | {"@"}:
         odds = math.log((counts[feature, 1] + 0.5) / inside) - math.log((counts[feature, 0] + 0.5) / outside)
-        low, high = WORD_RANGE if feature in '"@' else TAG_RANGE
+        low, high = WORD_RANGE if feature[0] in '"@' else TAG_RANGE
         out[feature] = min(high, max(low, odds))
     return out
 
@@ -154,34 +171,20 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
     seen = list(events(page))
+    own = {'"': '"-'} if marks_content(seen) else {'"+': '"'}
     best = total = 0.0
     start, span = 0, None
-    opened, content = [], []  # content elements: first and last event
     for k, (feature, text, shut, _) in enumerate(seen):
-        if not text and feature in CONTENT:
-            opened.append(k)
-        elif not text and feature[0] == "/" and opened:
-            content.append((opened.pop(), k))
         if total <= 0:
             total, start = 0.0, k
-        total += gain(feature, text, shut, weights)
+        total += gain(own.get(feature, feature), text, shut, weights)
         if total > best:
             best, span = total, (start, k)
     if span is None:
         return ""
-    content += [(k, len(seen) - 1) for k in opened]
-    a, b = span
-    for x, y in content:  # the stretch is widened to content elements that it lies in or reaches into
-        if x <= b and a <= y:
-            a, b = min(a, x), max(b, y)
     blocks: dict[int, list[str]] = {}
-    marked = any(x <= b and a <= y for x, y in content)
-    depth = 0
-    for k in range(a, b + 1):
-        feature, text, shut, block = seen[k]
-        if not text and feature.strip("/") in CONTENT:
-            depth += -1 if feature[0] == "/" else 1
-        if text and not shut and (depth > 0 or not marked):
+    for feature, text, shut, block in seen[span[0] : span[1] + 1]:
+        if text and not shut:
             blocks.setdefault(block, []).append(text)
         elif feature == "br" and block in blocks:
             blocks[block].append(" ")
@@ -198,7 +201,8 @@ def fit(pages: DataFrame, most: int = SAMPLE) -> dict[str, float]:
         total: Counter = Counter()
         for batch in batches:
             for page in batch.column("html").to_pylist():
-                total.update(label_counts(page))
+                if marks_content(list(events(page))):
+                    total.update(label_counts(page))
         rows = [{"feature": f, "inside": y, "n": n} for (f, y), n in total.items() if f in BLOCK or f in KNOWN]
         yield pa.RecordBatch.from_pylist(rows, pa.schema([("feature", pa.string()), ("inside", pa.int32()), ("n", pa.int64())]))
 
@@ -212,7 +216,7 @@ def fit(pages: DataFrame, most: int = SAMPLE) -> dict[str, float]:
 
 
 #: Features besides block elements that have a weight of their own; other elements share a fixed one.
-KNOWN = frozenset('" @ a b i u em strong span br img code sup sub small font script style noscript svg iframe title textarea template input button select label'.split()) | VOID
+KNOWN = frozenset('" "+ @ a b i u em strong span br img code sup sub small font script style noscript svg iframe title textarea template input button select label'.split()) | VOID
 
 
 def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
