@@ -139,6 +139,26 @@ def test_decontamination_matches_brute_force(spark):
     assert decontaminate.matches(d.limit(0), b).count() == 0 == decontaminate.matches(d, b.limit(0)).count()
 
 
+def test_passages_within_a_tenth_are_found(spark):
+    """Replaced words, and edits of every number up to the budget, against the table of distances."""
+    r = random.Random(8)
+    item = " ".join("".join(r.choice("abcdeilmnorstu") for _ in range(6)) for _ in range(28))
+    other = item.split()
+    other[7], other[19] = "xxxxxx", "yyyyyy"
+    d = spark.createDataFrame([(1, words(r, 60) + " " + " ".join(other) + " " + words(r, 60)), (2, words(r, 200))], "doc_id long, text string")
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [(x["doc_id"], x["distance"]) for x in decontaminate.matches(d, b).collect()] == [(1, 12)]
+    items = [(k, decontaminate.normal(words(r, n))) for k, n in enumerate([1, 2, 3, 5, 9, 15, 25, 40])]
+    finder = decontaminate.Finder(items, 0.1)
+    for _ in range(40):
+        k, x = r.choice(items)
+        at = [r.randrange(len(x)) for _ in range(r.randint(0, decontaminate.budget(x, 0.1)))]
+        y = "".join(c if j not in at else r.choice(["", "x", "q" + c]) for j, c in enumerate(x))
+        text = decontaminate.normal(words(r, 20) + y + words(r, 20))
+        want = {(i, plain_distance(t, text)) for i, t in items if plain_distance(t, text) <= decontaminate.budget(t, 0.1)}
+        assert {f[:2] for f in finder.find(text)} == want
+
+
 # 3
 
 def check_packing(rows, capacity=packing.CAPACITY):

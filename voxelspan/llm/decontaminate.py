@@ -1,10 +1,11 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts and test items are lower-cased and reduced to words with one space around each. An item of m characters may
-differ by k = floor(``RATE`` * m) edits. Cut into k + 1 pieces, it keeps at least one whole wherever it occurs within
-k edits, so an automaton over all pieces finds every place worth a look. Hits of an item whose implied starts lie
-within 2 k of each other share one stretch of text, which Myers' bit-parallel algorithm reads once for the smallest
-distance of the item to any part of it; a stretch never exceeds the text, however often a piece recurs.
+differ by k = floor(``RATE`` * m) edits. Cut into k + s pieces, it keeps at least s whole wherever it occurs within k
+edits, and the starts that these imply differ by k at most, so an automaton over all pieces finds every place worth a
+look: a span of k starts with s different pieces. s is such that a piece has about ``PIECE`` characters, 1 at least.
+Overlapping stretches of text around such spans are joined and read once by Myers' bit-parallel algorithm for the
+smallest distance of the item to any part of them; a stretch never exceeds the text, however often a piece recurs.
 
 The items go to the tasks in blocks of about ``BLOCK_CHARS`` characters, each held against all documents.
 
@@ -22,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RATE = 0.05
+RATE = 0.1
+PIECE = 8
 BLOCK_CHARS = 8_000_000
 WORD = re.compile(r"[^\W_]+")
 MATCHES = "doc_id long, item_id long, distance int, n_chars int, end int"
@@ -38,12 +40,17 @@ def budget(item: str, rate: float = RATE) -> int:
     return int(rate * len(item))
 
 
-def pieces(item: str, k: int) -> list[tuple[int, str]]:
-    """k + 1 pieces of nearly equal length, with their place in the item."""
-    cuts = [len(item) * i // (k + 1) for i in range(k + 2)]
+def pieces(item: str, k: int, s: int = 1) -> list[tuple[int, str]]:
+    """k + s pieces of nearly equal length, with their place in the item."""
+    cuts = [len(item) * i // (k + s) for i in range(k + s + 1)]
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def wanted(item: str, k: int) -> int:
+    """How many pieces besides k the item is cut into."""
+    return max(1, len(item) // PIECE - k)
+
+
 def myers(item: str, text: str, k: int) -> tuple[int, int] | None:
     """Smallest distance of ``item`` to any part of ``text`` and the first end of such a part; None if above k."""
     masks: dict[str, int] = {}
@@ -73,14 +80,37 @@ def myers(item: str, text: str, k: int) -> tuple[int, int] | None:
     return best
 
 
+def stretches(found: list[tuple[int, int]], k: int, s: int, m: int) -> list[list[int]]:
+    """(left, right) of the stretches around spans of k implied starts with s different pieces; found: (implied start, piece)."""
+    found.sort()
+    out: list[list[int]] = []
+    held: dict[int, int] = {}
+    first = 0
+    for start, piece in found:
+        held[piece] = held.get(piece, 0) + 1
+        while found[first][0] < start - k:
+            gone = found[first][1]
+            held[gone] -= 1
+            if not held[gone]:
+                del held[gone]
+            first += 1
+        if len(held) >= s:
+            left, right = max(0, found[first][0] - k), start + m + k
+            if out and left <= out[-1][1]:
+                out[-1][1] = right
+            else:
+                out.append([left, right])
+    return out
+
+
 class Finder:
     def __init__(self, items: list[tuple[int, str]], rate: float):
         import ahocorasick
 
-        self.items = [(i, t, budget(t, rate)) for i, t in items]
+        self.items = [(i, t, k, wanted(t, k)) for i, t in items for k in [budget(t, rate)]]
         held: dict[str, list[tuple[int, int]]] = {}
-        for n, (_, text, k) in enumerate(self.items):
-            for at, piece in pieces(text, k):
+        for n, (_, text, k, s) in enumerate(self.items):
+            for at, piece in pieces(text, k, s):
                 held.setdefault(piece, []).append((n, at + len(piece)))
         self.automaton = ahocorasick.Automaton()
         for piece, where in held.items():
@@ -89,23 +119,20 @@ class Finder:
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item id, distance, length, end) for each item within its budget somewhere in the normal text."""
-        starts: dict[int, list[int]] = {}
+        hits: dict[int, list[tuple[int, int]]] = {}
         for end, where in self.automaton.iter(text):
             for n, ahead in where:
-                starts.setdefault(n, []).append(end + 1 - ahead)
+                hits.setdefault(n, []).append((end + 1 - ahead, ahead))
         out = []
-        for n, found in starts.items():
-            name, item, k = self.items[n]
-            found.sort()
-            best, first = None, found[0]
-            for a, b in zip(found, [*found[1:], None], strict=True):
-                if b is not None and b - a <= 2 * k:
-                    continue
-                left = max(0, first - k)
-                got = myers(item, text[left : a + len(item) + k], k)
+        for n, found in hits.items():
+            name, item, k, s = self.items[n]
+            if len(found) < s:
+                continue
+            best = None
+            for left, right in stretches(found, k, s, len(item)):
+                got = myers(item, text[left:right], k)
                 if got and (best is None or got[0] < best[0]):
                     best = got[0], left + got[1]
-                first = b
             if best:
                 out.append((name, best[0], len(item), best[1]))
         return sorted(out)
