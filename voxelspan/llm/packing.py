@@ -1,27 +1,30 @@
-"""Best-fit packing of token sequences by bin completion over the table of lengths.
+"""Best-fit packing of token sequences by bin-completion branch-and-bound over the table of lengths.
 
 Documents are tokenised and those longer than ``capacity`` cut; the pieces then differ, for packing, only in
 their length. So the search runs on the counts of at most ``capacity`` lengths, whatever the corpus holds:
 
-* A filling starts from the largest length left. ``completions`` enumerates undominated fillings of the rest of
-  the bin by depth-first branch and bound (lengths in descending order; a filling in which some left piece still
-  fits, or that a longer piece could replace, is dominated); a branch is pruned when all that it
-  could still add wastes no less than the incumbent. The incumbent starts as the best-fit filling, so a search that spends its
-  ``nodes`` keeps best fit or better.
-* A filling is used as often as the counts allow, then the search goes on with what is left. Each use empties at
-  least one length, or nearly, so the number of fillings follows the number of lengths, not of documents.
+* Incumbents: best-fit decreasing, and best fit with a subset-sum search for the least waste of each sequence. If one
+  of them meets the lower bound (total length, and Martello and Toth's bound on large pieces), it is optimal.
+* Otherwise ``complete`` branches: the largest length left opens a sequence, and the undominated fillings of its room
+  come in order of their waste. A filling is dominated if a left piece still fits, or can take the place of one or two of
+  its pieces. A branch is pruned when its waste exceeds what one sequence less than the incumbent could leave empty.
+  Each filling is tried as often as the counts allow, and once.
+
+The search ends when every branch is closed (the plan is optimal), or after ``nodes`` steps with the best plan so far;
+``nodes=None`` sets no limit.
 
 Spark numbers the pieces of each length without gathering them: ``local`` counts within a task, ``ahead`` sums the
 tasks before. A piece's number picks the run (filling, repetition, slot) that holds it.
 
 Defined results: null text counts as empty (only the end id); equal rows are packed each for itself; rows with a
-null ``doc_id`` are packed too; an empty table gives no rows; further columns are ignored.
+null ``doc_id`` are packed too; an empty table gives no rows; further columns are ignored. Strings of special tokens
+in a text are ordinary text.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,89 +36,227 @@ from .shared import stored
 from .tokens import encoder
 
 CAPACITY = 4096
-NODES = 2_000
+#: Steps of the branch-and-bound (None: until all branches are closed), and of the subset-sum search for one sequence of an incumbent.
+NODES, STEPS = 100_000, 2_000
+#: Levels of the search that keep their table of reachable sums.
+KEPT_SUMS = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, task long, local long"
 
 
-def best_fit(room: int, counts: list[int]) -> list[int]:
-    """Fill ``room`` with the longest length that fits, again and again."""
-    out, used = [], Counter()
-    k = len(counts) - 1
+Plan = list[tuple[list[tuple[int, int]], int]]  # fillings as (length, times within), and how often each is used
+
+
+def best_fit(room: int, left: list[int], top: int) -> list[tuple[int, int]]:
+    """Fill ``room`` with the longest length of at most ``top`` that fits, again and again."""
+    out = []
+    k = min(room, top)
     while room > 0:
         k = min(room, k)
-        while k > 0 and counts[k] - used[k] <= 0:
+        while k > 0 and not left[k]:
             k -= 1
         if k == 0:
             break
-        out.append(k)
-        used[k] += 1
-        room -= k
+        out.append((k, n := min(left[k], room // k)))
+        room -= n * k
+        k -= 1
     return out
 
 
-def completions(room: int, counts: list[int], nodes: int = NODES) -> list[int]:
-    """The filling of ``room`` with the least waste; of equal ones that with the fewest (so longest) pieces."""
-    best = best_fit(room, counts)
-    waste = room - sum(best)
-    if waste == 0:
-        return best
-    lengths = [x for x in range(min(room, len(counts) - 1), 0, -1) if counts[x]]
-    if not lengths:
+def least_waste(room: int, left: list[int], top: int, steps: int = STEPS) -> list[tuple[int, int]]:
+    """The filling of ``room`` with the least waste that ``steps`` steps find; best fit or better."""
+    best = best_fit(room, left, top)
+    waste = room - sum(x * n for x, n in best)
+    if not waste:
         return best
-    shortest = lengths[-1]
-    budget = nodes
-
-    def search(at: int, left: int, chosen: list[int]) -> None:
-        nonlocal best, waste, budget
-        budget -= 1
-        if left < waste:
-            best, waste = list(chosen), left
-        if waste == 0 or budget <= 0 or left < shortest:
-            return
-        if left <= lengths[at] and counts[left] > chosen.count(left):
-            best, waste = [*chosen, left], 0
+    sums = Sums(room, left, top)
+    for spare in range(waste):
+        for found in sums.fillings(room - spare):
+            return found
+        if sums.steps > steps:
+            break
+    return best
+
+
+class Sums:
+    """Fillings from the counts ``left`` of lengths up to ``top``, by the sums that the lengths up to each can reach."""
+
+    def __init__(self, room: int, left: list[int], top: int):
+        self.left, self.top, self.room, self.steps, self.reach = left, min(room, top), room, 0, None
+
+    def table(self) -> tuple[list[int], list[int]]:
+        """The lengths in ascending order, and for each k the sums of the first k as bits."""
+        if self.reach is None:
+            full, sums, lengths = (1 << (self.room + 1)) - 1, [1], []
+            for x in range(1, self.top + 1):
+                n = min(self.left[x], self.room // x)
+                if n:
+                    bits, part = sums[-1], 1
+                    while n:
+                        part = min(part, n)
+                        bits |= bits << part * x & full
+                        n -= part
+                        part *= 2
+                    sums.append(bits)
+                    lengths.append(x)
+            self.reach = lengths, sums
+        return self.reach
+
+    def fillings(self, target: int, below: int | None = None) -> Iterator[list[tuple[int, int]]]:
+        """All fillings that sum to ``target``, long pieces first; below: how many of the lengths may be used."""
+        if target == 0:
+            yield []
             return
-        for k in range(at, len(lengths)):
-            x = lengths[k]
-            if x > left:
-                continue
-            if waste == 0 or budget <= 0:
+        lengths, sums = self.table()
+        k = len(lengths) if below is None else below
+        while k and sums[k] >> target & 1:
+            x = lengths[k - 1]
+            for n in range(min(self.left[x], target // x), 0, -1):
+                self.steps += 1
+                lengths, sums = self.table()
+                if sums[k - 1] >> (target - n * x) & 1:
+                    for rest in self.fillings(target - n * x, k - 1):
+                        yield [(x, n), *rest]
+            lengths, sums = self.table()
+            k -= 1
+
+
+def dominated(filling: list[tuple[int, int]], spare: int, left: list[int], top: int) -> bool:
+    """Whether a left piece fits into the spare room, alone or in the place of one or two pieces of the filling."""
+    used = dict(filling)
+    free = lambda a, b: any(left[x] > used.get(x, 0) for x in range(max(a, 1), min(b, top) + 1))
+    if spare and (free(1, spare) or any(free(x + 1, x + spare) for x, _ in filling)):
+        return True
+    return any(free(x + y, x + y + spare) for i, (x, n) in enumerate(filling) for y, _ in filling[i if n > 1 else i + 1 :])
+
+
+def low_bound(counts: np.ndarray, capacity: int) -> int:
+    """Sequences that any plan needs: by total length, and by Martello and Toth's bound for each least length k."""
+    size = np.arange(capacity + 1)
+    n, total = np.cumsum(counts), np.cumsum(counts * size)
+    best = -(-int(total[-1]) // capacity)
+    half = capacity // 2
+    for k in range(1, half + 1):
+        large, middle = int(n[capacity] - n[half]), int(n[capacity - k] - n[half])
+        room = middle * capacity - int(total[capacity - k] - total[half])
+        best = max(best, large + max(0, -(-(int(total[half] - total[k - 1]) - room) // capacity)))
+    return best
+
+
+def dive(left: list[int], capacity: int, fill) -> Plan:
+    """A plan that fills each sequence in turn around the largest length left."""
+    left, out, top = list(left), [], capacity
+    while True:
+        while top and not left[top]:
+            top -= 1
+        if not top:
+            return out
+        left[top] -= 1
+        filling = [(top, 1)]
+        for x, n in fill(capacity - top, left, top):
+            filling = [(x, n + 1)] if x == top else [*filling, (x, n)]
+        left[top] += 1
+        times = min(left[x] // n for x, n in filling)
+        for x, n in filling:
+            left[x] -= n * times
+        out.append((filling, times))
+
+
+def complete(left: list[int], capacity: int, best: Plan, low: int, nodes: int | None) -> Plan:
+    """Bin completion: a plan with fewer sequences than ``best``, down to ``low``, if there is one and the steps suffice."""
+    left, total = list(left), sum(x * n for x, n in enumerate(left))
+    most = sum(t for _, t in best)
+    path: Plan = []
+    kept: deque[Sums] = deque()
+    bins = wasted = steps = 0
+
+    def children(top: int) -> Iterator[tuple[list[tuple[int, int]], int, int]]:
+        """(filling, times, spare) of the undominated fillings around a piece of length ``top``."""
+        nonlocal steps
+        room = capacity - top
+        left[top] -= 1
+        sums = Sums(room, left, top)
+        sums.table()
+        left[top] += 1
+        kept.append(sums)
+        if len(kept) > KEPT_SUMS:
+            kept.popleft().reach = None
+        for spare in range(room + 1):
+            if wasted + spare > (most - 1) * capacity - total:
+                return
+            own = sums.fillings(room - spare)
+            while True:
+                left[top] -= 1
+                before = sums.steps
+                rest = next(own, None)
+                bad = rest is not None and dominated(rest, spare, left, top)
+                left[top] += 1
+                steps += sums.steps - before + 1
+                if nodes is not None and steps > nodes or rest is None:
+                    break
+                if bad:
+                    continue
+                filling = [(top, rest[0][1] + 1), *rest[1:]] if rest and rest[0][0] == top else [(top, 1), *rest]
+                times = min(left[x] // n for x, n in filling)
+                yield filling, times, spare
+                if times > 1:
+                    yield filling, 1, spare
+            if nodes is not None and steps > nodes:
                 return
-            if counts[x] <= chosen.count(x):
-                continue
-            if len(lengths) - k <= 8 and left - sum(y * counts[y] for y in lengths[k:]) >= waste:
-                return  # all that is left, together, wastes no less
-            chosen.append(x)
-            search(k, left - x, chosen)
-            chosen.pop()
-
-    search(0, room, [])
+
+    def largest() -> int:
+        top = path[-1][0][0][0] if path else capacity
+        while top and not left[top]:
+            top -= 1
+        return top
+
+    levels = [children(largest())]
+    spares: list[int] = []
+    while levels:
+        got = next(levels[-1], None)
+        if got is None:
+            levels.pop()
+            if path:
+                filling, times = path.pop()
+                bins, wasted = bins - times, wasted - times * spares.pop()
+                for x, n in filling:
+                    left[x] += n * times
+            continue
+        filling, times, spare = got
+        if wasted + times * spare > (most - 1) * capacity - total:
+            continue
+        path.append((filling, times))
+        spares.append(spare)
+        bins, wasted = bins + times, wasted + times * spare
+        for x, n in filling:
+            left[x] -= n * times
+        top = largest()
+        if top:
+            levels.append(children(top))
+            continue
+        best, most = list(path), bins
+        if most <= low:
+            break
+        levels.append(iter(()))
     return best
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> tuple[np.ndarray, int]:
-    """Runs (length, first number, last number + 1, first bin, offset) for all pieces, and the number of bins."""
+def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = NODES) -> tuple[np.ndarray, int]:
+    """Runs (length, first number, last number + 1, first sequence, offset) for all pieces, and the number of sequences."""
     left = [0] * (capacity + 1)
     for length, n in counts.items():
         left[length] += n
-    taken = [0] * (capacity + 1)
-    runs, bins = [], 0
-    largest = capacity
-    while True:
-        while largest > 0 and left[largest] == 0:
-            largest -= 1
-        if largest == 0:
-            break
-        left[largest] -= 1
-        filling = [largest, *completions(capacity - largest, left, nodes)]
-        left[largest] += 1
-        times = min(left[x] // k for x, k in Counter(filling).items())
+    low = low_bound(np.asarray(left), capacity)
+    best = min((dive(left, capacity, fill) for fill in (best_fit, least_waste)), key=lambda p: sum(t for _, t in p))
+    if sum(t for _, t in best) > low:
+        best = complete(left, capacity, best, low, nodes)
+    taken, runs, bins = [0] * (capacity + 1), [], 0
+    for filling, times in best:
         offset = 0
-        for x in filling:
-            runs.append((x, taken[x], taken[x] + times, bins, offset))
-            taken[x] += times
-            left[x] -= times
-            offset += x
+        for x, n in filling:
+            for _ in range(n):
+                runs.append((x, taken[x], taken[x] + times, bins, offset))
+                taken[x] += times
+                offset += x
         bins += times
     return np.asarray(runs, np.int64).reshape(-1, 5), bins
 
@@ -171,5 +312,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
             yield pa.RecordBatch.from_arrays([*columns, pa.array(run[:, 3] + number - run[:, 1]), pa.array(run[:, 4])], [*kept, "sequence_id", "offset"])
 
     kept = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-    numbered = cut.join(by_task.select("task", "length", "ahead"), ["task", "length"]).select(*kept, (F.col("local") + F.col("ahead")).alias("_number"))
+    ahead_of = by_task.select("task", "length", "ahead").hint("merge")  # a row per task and length: too many to broadcast
+    numbered = cut.join(ahead_of, ["task", "length"]).select(*kept, (F.col("local") + F.col("ahead")).alias("_number"))
     return numbered.mapInArrow(place, ", ".join(c for c in PIECES.split(", ") if c.split()[0] in kept) + ", sequence_id long, offset long")
