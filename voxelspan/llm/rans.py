@@ -9,6 +9,9 @@ and several readers can decode one block side by side. Blocks and the file index
 File: ``MAGIC``, blocks, index (one ``INDEX`` record per block), ``FOOT`` (index offset, blocks, crc, MAGIC).
 Block: ``HEAD``, documents (zlib of int64 ids, null flags, uint32 lengths), checkpoints, words.
 
+A block's ids pass between tasks as 16-bit numbers where they fit, else as 32-bit ones; strings of special tokens in a
+text are ordinary text.
+
 Defined results: null text counts as empty (only the end id); rows with a null ``doc_id`` come first; rows
 with equal ``doc_id`` are ordered by the hash of their text; an empty table gives no files and no rows;
 further columns of the input are ignored.
@@ -119,8 +122,13 @@ def decode_ids(n: int, first: int, last: int, at: int, states: np.ndarray, words
     return table.symbols[out.reshape(-1)[: max(0, n - first * LANES)]]
 
 
+def id_kind(ids: bytes, n: int) -> str:
+    """Type of n ids in so many bytes: 16 bits each where all of a block fit, else 32."""
+    return "<u4" if len(ids) == 4 * n and n else "<u2"
+
+
 def pack_block(doc_ids: bytes, nulls: bytes, lengths: bytes, ids: bytes, table: Table) -> bytes:
-    tokens = np.frombuffer(ids, "<u2")
+    tokens = np.frombuffer(ids, id_kind(ids, int(np.frombuffer(lengths, "<u4").sum())))
     marks, words = encode_ids(tokens, table)
     docs = zlib.compress(doc_ids + nulls + lengths)
     rest = docs + b"".join(struct.pack("<I", at) + x.astype("<u8").tobytes() for at, x in marks) + words.tobytes()
@@ -162,9 +170,8 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int, partitions: int |
 
         def close() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
-            if len(ids) and ids.max() > 0xFFFF:
-                raise ValueError("ids above 65535 need a wider block")
-            row = {"segment": segment, "block": block, "ahead": ahead, "n_docs": len(held), "n_tokens": len(ids), "doc_ids": np.asarray([x or 0 for x, _ in held], "<i8").tobytes(), "nulls": bytes(x is None for x, _ in held), "lengths": np.asarray([len(x) // 4 for _, x in held], "<u4").tobytes(), "ids": ids.astype("<u2").tobytes()}
+            kind = "<u4" if len(ids) and ids.max() > 0xFFFF else "<u2"
+            row = {"segment": segment, "block": block, "ahead": ahead, "n_docs": len(held), "n_tokens": len(ids), "doc_ids": np.asarray([x or 0 for x, _ in held], "<i8").tobytes(), "nulls": bytes(x is None for x, _ in held), "lengths": np.asarray([len(x) // 4 for _, x in held], "<u4").tobytes(), "ids": ids.astype(kind).tobytes()}
             return pa.RecordBatch.from_pylist([row])
 
         for batch in batches:
@@ -188,12 +195,14 @@ def frequency_table(blocks: DataFrame) -> Table:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for ids in batch.column("ids").to_pylist():
-                total += np.bincount(np.frombuffer(ids, "<u2"), minlength=1 << 16)
+            for n, ids in zip(batch.column("n_tokens").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                own = np.bincount(np.frombuffer(ids, id_kind(ids, n)), minlength=len(total))
+                own[: len(total)] += total
+                total = own
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["symbol", "n"])
 
-    rows = blocks.select("ids").mapInArrow(count, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toPandas()
+    rows = blocks.select("n_tokens", "ids").mapInArrow(count, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toPandas()
     return Table(rows["symbol"].to_numpy(), rows["n"].to_numpy())
 
 
