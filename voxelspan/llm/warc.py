@@ -1,9 +1,10 @@
 """WARC records in ZIP archives: writer, and a reader that takes records by range without extracting.
 
-An archive holds stored members: ``data-N.warc`` with records, and ``data-N.cdx`` with their places. The reader
-parses the end record, the ZIP64 end record where there is one, and the central directory; a stored member's bytes
-lie in the file as they are, so an index entry gives the absolute place of a record, and neighbouring records are
-fetched in one range read. Compressed or encrypted members are an error: no range of them can be read.
+An archive holds stored members: ``data-N.warc.gz`` with records, each compressed for itself as the WARC standard has
+it, and ``data-N.cdx`` with their places. The reader parses the end record, the ZIP64 end record where there is one, and
+the central directory; a stored member's bytes lie in the file as they are, so an index entry gives the absolute place
+of a record, and neighbouring records are fetched in one range read. Records that are not compressed are read as well.
+Members that ZIP itself has compressed or encrypted are an error: no range of them can be read.
 
 Of pages with equal payloads (SHA-1 and length) of at least ``revisit_from`` bytes the one with the largest page_id
 is a response, the others are revisit records that refer to it; they keep its HTTP headers, so the length stays known.
@@ -20,6 +21,7 @@ import hashlib
 import struct
 import urllib.parse
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,10 +29,12 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path
+from .shared import new_path, stored
 
 MEMBER_BYTES = 16 << 20
 RANGE_BYTES = 4 << 20
+#: Effort of the records' compression; groups of equal payloads, by count, that every task may hold (some 100 bytes each).
+LEVEL, HELD_GROUPS = 4, 200_000
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -49,7 +53,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def parse(data: bytes) -> dict:
-    """Fields of one record; the payload's digest is checked."""
+    """Fields of one record, compressed or not; the payload's digest is checked."""
+    if data[:2] == b"\x1f\x8b":
+        data = zlib.decompress(data, 31)
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
@@ -110,7 +116,10 @@ def with_types(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumns({"sha": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html")})
     groups = rows.where(F.col("size") >= revisit_from).groupBy("sha", "size").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return rows.join(groups, ["sha", "size"], "left").select("page_id", "url", "html", "sha", F.when(F.col("page_id") < F.col("_last"), F.col("_last")).alias("refers_to"))
+    groups = stored(groups, "groups")
+    few = groups.count() <= HELD_GROUPS  # then no page needs to move; beyond that pages and groups meet by digest
+    joined = rows.join(F.broadcast(groups) if few else groups.hint("merge"), ["sha", "size"], "left")
+    return joined.select("page_id", "url", "html", "sha", F.when(F.col("page_id") < F.col("_last"), F.col("_last")).alias("refers_to"))
 
 
 def write_archives(rows: DataFrame, folder: str) -> None:
@@ -127,7 +136,7 @@ def write_archives(rows: DataFrame, folder: str) -> None:
 
         def flush() -> None:
             nonlocal n
-            archive.writestr(f"data-{n:05d}.warc", bytes(body))
+            archive.writestr(f"data-{n:05d}.warc.gz", bytes(body))
             archive.writestr(f"data-{n:05d}.cdx", "\n".join(index))
             body.clear(), index.clear()
             n += 1
@@ -139,6 +148,8 @@ def write_archives(rows: DataFrame, folder: str) -> None:
                     archive = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
                 digest = base64.b32encode(bytes.fromhex(row["sha"])).decode()
                 data = record(row["page_id"], row["url"], row["html"].encode(), digest, row["refers_to"])
+                squeeze = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                data = squeeze.compress(data) + squeeze.flush()
                 index.append(f"{'-' if row['page_id'] is None else row['page_id']} {len(body)} {len(data)}")
                 body += data
                 count += 1
@@ -174,7 +185,7 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = False)
                     for name, (at, size) in members.items():
                         if not name.endswith(".cdx"):
                             continue
-                        start = members[name[:-4] + ".warc"][0]
+                        start = (members.get(name[:-4] + ".warc.gz") or members[name[:-4] + ".warc"])[0]
                         first, sizes = None, []
                         for line in f.read_at(size, at).decode().split("\n"):
                             _, place, length = line.split(" ")
