@@ -48,8 +48,8 @@ PLAIN = frozenset("html body div article main section span center font tbody the
 SMALL = frozenset("p h1 h2 h3 h4 h5 h6 span b i em strong small a li td th tr dt dd figcaption img br code time cite q sub sup u font label".split())
 CLOSES = {"p": frozenset(("p",)), "li": frozenset(("li", "p")), "dt": frozenset(("dt", "dd", "p")), "dd": frozenset(("dt", "dd", "p")), "tr": frozenset(("td", "th", "tr", "p")), "td": frozenset(("td", "th", "p")), "th": frozenset(("td", "th", "p")), "option": frozenset(("option",))}
 #: Class names that the made examples use around content and around other parts. Fixed values.
-GOOD_NAMES = "content post entry story article text body page article-body post-content entry-content main-content post-header entry-header article-header post-title entry-title post-body story-body page-content articleBody post-meta entry-summary wrapper container row inner layout column".split()
-STATE_NAMES = "comments-open ads-enabled has-sidebar no-sidebar sharing-disabled no-comments with-banner newsletter-on".split()
+GOOD_NAMES = "content post entry story article text body page article-body post-content entry-content main-content post-header entry-header article-header post-title entry-title post-body story-body page-content articleBody post-meta entry-summary wrapper container row inner layout column site-content site-main page-body top-story bottom-text my-post side-story content-box text-list post-area entry-wrap story-section text-block body-container post-item".split()
+STATE_NAMES = "comments-open ads-enabled has-sidebar no-sidebar sharing-disabled no-comments banner-on newsletter-on".split()
 BAD_NAMES = "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification popup modal newsletter subscribe subscription signup sidebar widget related recommended recommendations share sharing social comment comments disqus respond replies nav navbar navigation menu breadcrumb breadcrumbs footer header masthead toolbar pagination pager login search skip alert disclaimer".split()
 BAD_ROLES = "navigation banner contentinfo complementary search alert dialog form menu toolbar".split()
 
@@ -75,7 +75,7 @@ def own_features(name: str, attributes: str, top: bool) -> list[str]:
                 elif len(words) == 1:
                     out.append(f"c:{words[0]}")
                 elif words:
-                    out += [f"c:{one.lower()}", f"f:{words[0]}", f"z:{words[-1]}"]
+                    out += [f"f:{words[0]}", f"z:{words[-1]}"]
     return out
 
 
