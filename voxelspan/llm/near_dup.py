@@ -207,14 +207,15 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = held.union(held.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # stored, as Spark can split the many rows of a hub over tasks only where both sides of a join come from shuffles of their own
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))  # neighbours above go to the least
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stored(large.where("a <> b").distinct(), "large")
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         new = stored(small.where("a <> b").distinct(), "edges")
         now = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003)).first()
-        drop_stored(held)
+        drop_stored(held, least, large, low)
         held = new
         if now == mark:
             return held.select(F.col("a").alias("node"), F.col("b").alias("class"))
@@ -306,7 +307,11 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of every class, and all rows without an id."""
+    """The document with the smallest id of every class, and all rows without an id.
+
+    Of several rows with that id the one whose text has the smallest hash stays, of equal texts the one with the smallest hash of the row.
+    """
     keep = classes(docs).where("doc_id = class_id").select("doc_id")
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    of = F.struct(F.xxhash64("text").alias("t"), F.xxhash64(*docs.columns).alias("r"))
+    kept = docs.join(keep, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), of).alias("_row")).select("_row.*")
     return kept.unionByName(docs.where("doc_id is null"))
