@@ -6,8 +6,11 @@ edits, and the starts that these imply differ by k at most, so an automaton over
 look: a span of k starts with s different pieces. s is such that a piece has about ``PIECE`` characters, 1 at least.
 Overlapping stretches of text around such spans are joined and read once by Myers' bit-parallel algorithm for the
 smallest distance of the item to any part of them; a stretch never exceeds the text, however often a piece recurs.
+Where one string is more than ``REPEATED`` pieces of an item, each of its hits is worth a look, and only the range of
+the starts it implies is kept, so a repetitive item in a repetitive text costs no list of pieces and hits.
 
-The items go to the tasks in blocks of about ``BLOCK_CHARS`` characters, each held against all documents.
+The items go to the tasks in blocks of about ``BLOCK_CHARS`` characters, by a hash of id and text, each held against all
+documents.
 
 Defined results: null or blank texts and items match nothing; of several places of an item in a text the one with the
 smallest distance, then the first end, counts; items with the same text are reported each; repeated rows are searched
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 
 RATE = 0.1
 PIECE = 8
+REPEATED = 4
 BLOCK_CHARS = 8_000_000
 WORD = re.compile(r"[^\W_]+")
 MATCHES = "doc_id long, item_id long, distance int, n_chars int, end int"
@@ -80,10 +84,21 @@ def myers(item: str, text: str, k: int) -> tuple[int, int] | None:
     return best
 
 
-def stretches(found: list[tuple[int, int]], k: int, s: int, m: int) -> list[list[int]]:
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping (left, right) joined."""
+    out: list[tuple[int, int]] = []
+    for left, right in sorted(spans):
+        if out and left <= out[-1][1]:
+            out[-1] = out[-1][0], max(right, out[-1][1])
+        else:
+            out.append((left, right))
+    return out
+
+
+def stretches(found: list[tuple[int, int]], k: int, s: int, m: int) -> list[tuple[int, int]]:
     """(left, right) of the stretches around spans of k implied starts with s different pieces; found: (implied start, piece)."""
     found.sort()
-    out: list[list[int]] = []
+    out: list[tuple[int, int]] = []
     held: dict[int, int] = {}
     first = 0
     for start, piece in found:
@@ -95,12 +110,8 @@ def stretches(found: list[tuple[int, int]], k: int, s: int, m: int) -> list[list
                 del held[gone]
             first += 1
         if len(held) >= s:
-            left, right = max(0, found[first][0] - k), start + m + k
-            if out and left <= out[-1][1]:
-                out[-1][1] = right
-            else:
-                out.append([left, right])
-    return out
+            out.append((max(0, found[first][0] - k), start + m + k))
+    return joined(out)
 
 
 class Finder:
@@ -114,22 +125,36 @@ class Finder:
                 held.setdefault(piece, []).append((n, at + len(piece)))
         self.automaton = ahocorasick.Automaton()
         for piece, where in held.items():
-            self.automaton.add_word(piece, where)
+            by: dict[int, list[int]] = {}
+            for n, ahead in where:
+                by.setdefault(n, []).append(ahead)
+            once = [(n, a) for n, aheads in by.items() if len(aheads) <= REPEATED for a in aheads]
+            often = [(n, min(a), max(a)) for n, a in by.items() if len(a) > REPEATED]
+            self.automaton.add_word(piece, (once, often))
         self.automaton.make_automaton()
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item id, distance, length, end) for each item within its budget somewhere in the normal text."""
         hits: dict[int, list[tuple[int, int]]] = {}
-        for end, where in self.automaton.iter(text):
-            for n, ahead in where:
+        spans: dict[int, list[tuple[int, int]]] = {}
+        for end, (once, often) in self.automaton.iter(text):
+            for n, ahead in once:
                 hits.setdefault(n, []).append((end + 1 - ahead, ahead))
+            for n, low, high in often:  # ends come in order, so a range can only meet the last one
+                _, item, k, _ = self.items[n]
+                left, right = max(0, end + 1 - high - k), end + 1 - low + len(item) + k
+                own = spans.setdefault(n, [])
+                if own and left <= own[-1][1]:
+                    own[-1] = min(left, own[-1][0]), max(right, own[-1][1])
+                else:
+                    own.append((left, right))
         out = []
-        for n, found in hits.items():
+        for n in hits.keys() | spans.keys():
             name, item, k, s = self.items[n]
-            if len(found) < s:
-                continue
+            found = hits.get(n, [])
+            places = stretches(found, k, s, len(item)) if len(found) >= s else []
             best = None
-            for left, right in stretches(found, k, s, len(item)):
+            for left, right in joined(places + spans.get(n, [])):
                 got = myers(item, text[left:right], k)
                 if got and (best is None or got[0] < best[0]):
                     best = got[0], left + got[1]
@@ -139,12 +164,12 @@ class Finder:
 
 
 def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """Normal items in blocks of about ``block_chars`` characters, by a hash of their text."""
+    """Normal items in blocks of about ``block_chars`` characters."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // block_chars)
     for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()  # about block_chars characters
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()  # about block_chars characters
         block = [(r["item_id"], t) for r in rows if (t := normal(r["text"]))]
         if block:
             yield block
