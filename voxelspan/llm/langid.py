@@ -19,18 +19,22 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import Numbers
+
 BUCKETS = 1 << 15
 TRAIN_DOCS = 12_000
 ORDERS = (1, 2, 3, 4)
 PENALTY, CLIP = 12.0, 6.0
 WORD = re.compile(r"[^\W\d_]+")
+#: A worker keeps the scores of so many words before it starts anew.
+SEEN_WORDS = 500_000
 #: First code point and name of script ranges; what lies before the next entry belongs to it. Fixed values.
 SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"),
@@ -64,6 +68,21 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(own)
 
 
+def letters_of(run: str) -> list[tuple[int, str]]:
+    """The words of a run that also holds numbers other than digits (fractions, circled ones), with their places."""
+    shown = "".join(c if c.isalpha() else " " for c in run)
+    return [(m.start(), m.group()) for m in re.finditer(r"\S+", shown)]
+
+
+def words_of(text: str) -> list[str]:
+    runs = WORD.findall(text)
+    return runs if all(map(str.isalpha, runs)) else [w for run in runs for _, w in letters_of(run)]
+
+
+def starts_of(text: str) -> list[int]:
+    return [m.start() + at for m in WORD.finditer(text) for at, _ in letters_of(m.group())]
+
+
 class Model:
     def __init__(self, langs: list[str], counts: np.ndarray, letters: np.ndarray):
         """counts: (BUCKETS, languages) of n-grams; letters: (scripts, languages) of words."""
@@ -71,8 +90,17 @@ class Model:
         shares = (counts + 0.5) / (counts.sum(0) + 0.5 * BUCKETS)
         self.logs = np.log(shares).astype(np.float32)
         self.allowed = letters >= 0.001 * np.maximum(letters.sum(0), 1)
-        self.known: dict[str, int] = {}
-        self.scores = np.zeros((0, len(langs)), np.float32)
+        self.seen, self.scores = Numbers(), np.zeros((0, len(langs)))
+
+    def scores_of(self, words: Iterator[str], n: int) -> np.ndarray:
+        """``word_scores`` of n words in any case; those of words met before are kept."""
+        if len(self.seen) > SEEN_WORDS:
+            self.seen, self.scores = Numbers(), self.scores[:0]
+        code = np.fromiter(map(self.seen.__getitem__, words), np.int64, n)
+        new = [w.lower() for w in self.seen.new]
+        self.seen.new.clear()
+        self.scores = np.concatenate([self.scores, *(self.word_scores(new[k : k + 50_000]) for k in range(0, len(new), 50_000))])
+        return self.scores[code]
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """(words, languages): 0 for the best language of a word, less for others, CLIP below at most."""
@@ -131,14 +159,11 @@ def paths(s: np.ndarray, sizes: np.ndarray) -> list[np.ndarray | int]:
 
 def label(texts: list[str], model: Model) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
     """(language, score, spans) of each text."""
-    found = [list(WORD.finditer(t)) for t in texts] if len(texts) < 2 else [WORD.findall(t) for t in texts]
-    if len(texts) < 2:
-        found = [[m.group() for m in x] for x in found]
-    flat = [w.lower() for x in found for w in x]
-    if not flat or not model.langs:
+    found = [words_of(t) for t in texts]
+    n = sum(map(len, found))
+    if not n or not model.langs:
         return [("und", 0.0, [])] * len(texts)
-    code, words = pd.factorize(np.asarray(flat, dtype=object))
-    s = np.concatenate([model.word_scores(list(words[k : k + 50_000])) for k in range(0, len(words), 50_000)])[code]
+    s = model.scores_of(chain.from_iterable(found), n)
     sizes = np.asarray([len(x) for x in found])
     got = iter(paths(s, sizes[sizes > 0]))
     out = []
@@ -154,7 +179,7 @@ def label(texts: list[str], model: Model) -> list[tuple[str, float, list[tuple[i
         letters = np.bincount(path, weights=sizes_, minlength=len(model.langs))
         k = int(letters.argmax())
         turns = np.flatnonzero(np.diff(path)) + 1
-        starts = [m.start() for m in WORD.finditer(text)]
+        starts = starts_of(text)
         cuts = [0, *(starts[t] for t in turns.tolist()), len(text)]
         spans = [(a, b, model.langs[path[t]]) for a, b, t in zip(cuts[:-1], cuts[1:], [0, *turns.tolist()], strict=True)]
         out.append((model.langs[k], float(letters[k] / letters.sum()), spans))
@@ -171,7 +196,7 @@ def fit(train: DataFrame, most: int = TRAIN_DOCS) -> Model:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = WORD.findall(text.lower())
+                words = words_of(text.lower())
                 if not words:
                     continue
                 held = counts.setdefault(lang, np.zeros(BUCKETS + len(NAMES), np.int64))
