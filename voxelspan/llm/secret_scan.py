@@ -6,8 +6,8 @@ or password, with ``CONTEXT`` characters on either side; long candidates are rea
 the highest counts. It is trained on labelled findings: windows of a bounded, hash-ordered sample of documents (what an
 assignment or access rule finds is a secret; words of the document, joined or put after a word like key, are none; runs
 that no rule finds stay unlabelled), and examples made by rule of further kinds of keys and of look-alikes
-(``examples``). Part of them is held back: Platt scaling calibrates the scores there, and the threshold is the highest that finds
-the share ``RECALL`` of the held-back secrets.
+(``examples``). A quarter of the documents and of the made examples, all of their windows, is held back: Platt scaling calibrates the
+scores there, and the threshold is the highest that finds the share ``RECALL`` of the held-back secrets.
 
 Defined results: a null text counts as empty and has no spans; repeated rows are scanned each for itself; an empty
 table gives no rows; without sampled documents the network is trained on the made examples alone; further columns
@@ -137,14 +137,14 @@ class Network:
         self.limit = float(p[int((1 - RECALL) * len(p))]) if len(p) else 0.5
 
 
-def examples(n: int = 4_000, seed: int = 11) -> tuple[list[str], list[int]]:
-    """Labelled windows made by rule: keys of common shapes, and look-alikes that are none."""
+def examples(n: int = 4_000, seed: int = 11) -> tuple[list[str], list[int], list[int]]:
+    """Labelled windows made by rule, and the number of the example that each is from: keys of common shapes, and look-alikes that are none."""
     r = np.random.default_rng(seed)
     upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
     draw = lambda letters, k: "".join(letters[i] for i in r.integers(0, len(letters), k))
     words = lambda k: " ".join(draw(lower, int(r.integers(2, 9))) for _ in range(k))
     spoken = lambda k: "".join("bcdfglmnprstvw"[int(r.integers(14))] + "aeiou"[int(r.integers(5))] for _ in range(k))
-    mixed, out, y = upper + lower + digits, [], []
+    mixed, out, y, origin = upper + lower + digits, [], [], []
     for k in range(n):
         secret = k % 2
         if secret:
@@ -162,7 +162,8 @@ def examples(n: int = 4_000, seed: int = 11) -> tuple[list[str], list[int]]:
         got = windows(text, a, a + len(body))
         out += got
         y += [secret] * len(got)
-    return out, y
+        origin += [k // 2] * len(got)
+    return out, y, origin
 
 
 def look_alike(text: str, found: list[tuple[int, int, int]]) -> list[str]:
@@ -184,29 +185,27 @@ def look_alike(text: str, found: list[tuple[int, int, int]]) -> list[str]:
     return []
 
 
-def labelled_windows(docs: DataFrame) -> tuple[list[str], list[int]]:
-    """At most SAMPLE_WINDOWS windows of a hash-ordered sample of SAMPLE_DOCS documents: the rules' findings, and look-alikes."""
+def labelled_windows(docs: DataFrame) -> tuple[list[str], list[int], list[int]]:
+    """At most SAMPLE_WINDOWS windows of a hash-ordered sample of SAMPLE_DOCS documents, and a hash of the text each is from: the rules' findings, and look-alikes."""
     names = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    sample = docs.join(F.broadcast(names), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"))
+    sample = docs.join(F.broadcast(names), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("text"), F.lit(1 << 20)).cast("int").alias("origin"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column("text").to_pylist():
+            for text, origin in zip(batch.column("text").to_pylist(), batch.column("origin").to_pylist(), strict=True):
                 found = base_spans(text)
-                rows += [{"window": w, "secret": 1} for a, kind, b in found if kind < 2 for w in windows(text, a, b)]
-                rows += [{"window": w, "secret": 0} for w in look_alike(text, found)]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("window", pa.string()), ("secret", pa.int32())]))
+                rows += [{"window": w, "secret": 1, "origin": origin} for a, kind, b in found if kind < 2 for w in windows(text, a, b)]
+                rows += [{"window": w, "secret": 0, "origin": origin} for w in look_alike(text, found)]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("window", pa.string()), ("secret", pa.int32()), ("origin", pa.int32())]))
 
-    rows = sample.mapInArrow(cut, "window string, secret int").orderBy(F.xxhash64("window"), "window").limit(SAMPLE_WINDOWS).collect()
-    return [r["window"] for r in rows], [r["secret"] for r in rows]
+    rows = sample.mapInArrow(cut, "window string, secret int, origin int").orderBy(F.xxhash64("window"), "window").limit(SAMPLE_WINDOWS).collect()
+    return [r["window"] for r in rows], [r["secret"] for r in rows], [r["origin"] for r in rows]
 
 
 def fit(docs: DataFrame) -> Network:
-    texts, y = examples()
-    more, labels = labelled_windows(docs.select("doc_id", "text"))
-    texts, y = texts + more, np.asarray(y + labels, np.float64)
-    held = np.arange(len(texts)) % 4 == 0
+    texts, y, origin = (a + b for a, b in zip(examples(), labelled_windows(docs.select("doc_id", "text")), strict=True))
+    y, held = np.asarray(y, np.float64), np.asarray(origin) % 4 == 0
     net = Network()
     net.train(codes([t for t, h in zip(texts, held, strict=True) if not h]), y[~held])
     net.calibrate([t for t, h in zip(texts, held, strict=True) if h], y[held])
