@@ -79,22 +79,30 @@ def realistic(profile: Column, low: float, high: float) -> Column:
     return F.exists(profile, lambda x: x.isNotNull()) & ~F.exists(profile, lambda x: (x < low) | (x > high))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def profile_histogram(profile: Column, width: float, top: float) -> Column:
     """Counts of the positive values, clipped at ``top``, in bins of ``width``."""
     n = math.ceil(top / width)
-    values = F.filter(profile, lambda x: x > 0)
-    at = F.transform(values, lambda x: F.least(F.floor(F.least(x, F.lit(top)) / width), F.lit(n - 1)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.size(F.filter(at, lambda x: x == k)))
+    at = F.transform(F.filter(profile, lambda x: x > 0), lambda x: F.least(F.floor(F.least(x, F.lit(top)) / width), F.lit(n - 1)).cast("int"))
+    return let(at, lambda held: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.size(F.filter(held, lambda x: x == k))))
 
 
 def diversity(profile: Column, width: float, top: float, low: int, high: int) -> dict[str, Column]:
-    """Shannon diversity fhd of the height bins, its exponential, the inverse of the summed squares, canopy ratio."""
-    counts = F.filter(profile_histogram(profile, width, top), lambda c: c > 0)
-    shares = F.transform(counts, lambda c: c / F.aggregate(counts, F.lit(0), lambda a, x: a + x))
-    fhd = F.when(F.size(shares) > 0, -F.aggregate(shares, F.lit(0.0), lambda a, p: a + p * F.ln(p)))
-    squares = F.aggregate(shares, F.lit(0.0), lambda a, p: a + p * p)
+    """Shannon diversity fhd of the height bins, its exponential, the inverse of the summed squares, canopy ratio.
+
+    With counts c of the bins and their sum n: fhd = ln n - sum(c ln c) / n, and the summed squares are sum(c c) / n n.
+    """
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("c_ln"), F.lit(0.0).alias("c_c"))
+    add = lambda a, c: F.struct((a["n"] + c).alias("n"), (a["c_ln"] + F.when(c > 0, c * F.ln(c)).otherwise(0.0)).alias("c_ln"), (a["c_c"] + c * c).alias("c_c"))
+    sums = F.aggregate(profile_histogram(profile, width, top), zero, add)
+    shares = let(sums, lambda s: F.struct((F.ln(s["n"]) - s["c_ln"] / s["n"]).alias("fhd"), (s["n"] * s["n"] / s["c_c"]).alias("enl2d"), s["n"].alias("n")))
+    fhd = F.when(shares["n"] > 0, shares["fhd"])
     ratio = F.when(level(profile, high) > 0, (level(profile, high) - F.greatest(level(profile, low), F.lit(0))) / level(profile, high))
-    return {"fhd": fhd, "enl1d": F.exp(fhd), "enl2d": F.when(squares > 0, 1 / squares), "canopy_ratio": ratio}
+    return {"fhd": fhd, "enl1d": F.exp(fhd), "enl2d": F.when(shares["n"] > 0, shares["enl2d"]), "canopy_ratio": ratio}
 
 
 def profile_auc(profile: Column, top: int, least: float) -> Column:

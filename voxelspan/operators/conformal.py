@@ -40,16 +40,27 @@ def kth_smallest(df: DataFrame, value: str, by: Sequence[str], share: float, out
     return run.groupBy(*by).agg(F.max("_n").alias("n_cal"), F.min(F.when(hit, F.col(value))).alias(out))
 
 
+def fit_all_offsets(df: DataFrame, methods: Sequence[str], by: Sequence[str], y: str, lo: str, mid: str, hi: str, alpha: float) -> DataFrame:
+    """Offsets q_lo and q_hi per group and method, all in one pass; two-sided methods spend half of alpha on each side."""
+    sides = []
+    for name in methods:
+        low, high = scores(name, *map(F.col, (y, lo, mid, hi)))
+        two = name.startswith("se")
+        for side, score in (("lo", low), ("hi", high))[: 1 + two]:
+            sides.append(F.struct(F.lit(name).alias("method"), F.lit(side).alias("_side"), F.lit(1 - (alpha / 2 if two else alpha)).alias("_share"), score.cast("double").alias("_s")))
+    rows = df.select(*by, F.explode(F.array(*sides)).alias("_e")).select(*by, "_e.*")
+    counts = rows.groupBy(*by, "method", "_side", "_share", "_s").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*by, "method", "_side")
+    run = counts.withColumns({"_n": F.sum("_c").over(w), "_r": F.sum("_c").over(w.orderBy("_s").rowsBetween(Window.unboundedPreceding, 0))})
+    hit = F.when(F.col("_r") >= F.ceil((F.col("_n") + 1) * F.col("_share")), F.col("_s"))
+    q = lambda side: F.min(F.when(F.col("_side") == side, hit))
+    one = F.max((F.col("_side") == "hi").cast("int")) == 0
+    return run.groupBy(*by, "method").agg(q("lo").alias("q_lo"), F.when(one, q("lo")).otherwise(q("hi")).alias("q_hi"), F.max("_n").alias("n_cal"))
+
+
 def fit_offsets(df: DataFrame, method: str, by: Sequence[str], y: str, lo: str, mid: str, hi: str, alpha: float) -> DataFrame:
-    """Offsets q_lo and q_hi per group; two-sided methods spend half of alpha on each side."""
-    low, high = scores(method, *map(F.col, (y, lo, mid, hi)))
-    rows = df.select(*by, low.alias("_low"), high.alias("_high"))
-    side = 1 - (alpha / 2 if method.startswith("se") else alpha)
-    a = kth_smallest(rows, "_low", by, side, "q_lo")
-    if not method.startswith("se"):
-        return a.select(*by, F.lit(method).alias("method"), "q_lo", F.col("q_lo").alias("q_hi"), "n_cal")
-    b = kth_smallest(rows, "_high", by, side, "q_hi").drop("n_cal")
-    return a.join(b, list(by)).select(*by, F.lit(method).alias("method"), "q_lo", "q_hi", "n_cal")
+    """Offsets of one method."""
+    return fit_all_offsets(df, [method], by, y, lo, mid, hi, alpha)
 
 
 def calibrate(df: DataFrame, offsets: DataFrame, method: str, by: Sequence[str], lo: str, mid: str, hi: str) -> DataFrame:

@@ -134,12 +134,29 @@ def append_new(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     return old.unionByName(new.join(old.select(*key).distinct(), list(key), "left_anti"), allowMissingColumns=True)
 
 
+def scenes_near(days: DataFrame, scenes: DataFrame, tile: str, day: str, scene_day: str, window: int) -> DataFrame:
+    """Pairs of (tile, day) and scenes of the tile at most ``window`` days away, with ``gap``; they meet in buckets of days as wide as the window."""
+    number = lambda c: F.floor(F.unix_date(F.col(c).cast("date")) / window)
+    near = days.withColumn("_w", F.explode(F.sequence(number(day) - 1, number(day) + 1)))
+    rows = near.join(scenes.withColumn("_w", number(scene_day)), [tile, "_w"]).drop("_w")
+    return rows.withColumn("gap", F.abs(F.datediff(F.col(day), F.col(scene_day)))).where(F.col("gap") <= window)
+
+
 def scene_candidates(points: DataFrame, scenes: DataFrame, pid: str, tile: str, day: str, scene: str, scene_day: str, cloud: str, window: int, most: int, least: int) -> DataFrame:
-    """Per point up to ``most`` scenes of its tile by cloud and day gap; the window of days holds only where ``least`` scenes remain in it."""
-    rows = points.join(scenes, tile).withColumn("gap", F.abs(F.datediff(F.col(day), F.col(scene_day))))
-    enough = F.count_if(F.col("gap") <= window).over(Window.partitionBy(pid)) >= least
-    kept = rows.withColumn("_ok", ~enough | (F.col("gap") <= window)).where("_ok").drop("_ok")
-    return first_n(kept, [pid], most, F.col(cloud), F.col("gap"), F.col(scene))
+    """Per point up to ``most`` scenes of its tile by cloud and day gap; the window of days holds only where ``least`` scenes remain in it.
+
+    Points of one tile and day share their scenes, so those are found once for each tile and day. All scenes of a tile are looked at only for days with too few in the window.
+    """
+    days = points.select(tile, day).distinct()
+    inside = scenes_near(days.where(F.col(day).isNotNull()), scenes, tile, day, scene_day, window)
+    w = Window.partitionBy(tile, day)
+    ranked = inside.withColumns({"_n": F.count("*").over(w), "_k": F.row_number().over(w.orderBy(F.col(cloud), F.col("gap"), F.col(scene)))}).where(F.col("_n") >= least)
+    enough = ranked.where("_k = 1").select(tile, F.col(day).alias("_day"))
+    lacking = days.join(enough, (days[tile] == enough[tile]) & (days[day] == F.col("_day")), "left_anti")
+    others = lacking.join(scenes, tile).withColumn("gap", F.abs(F.datediff(F.col(day), F.col(scene_day))))
+    found = ranked.where(F.col("_k") <= most).drop("_n", "_k").unionByName(first_n(others, [tile, day], most, F.col(cloud), F.col("gap"), F.col(scene)))
+    found = found.withColumnsRenamed({tile: "_tile", day: "_day"})
+    return points.join(found, (points[tile] == F.col("_tile")) & points[day].eqNullSafe(F.col("_day"))).drop("_tile", "_day")
 
 
 def best_scene(candidates: DataFrame, pid: str, scene: str, defect: str, gap: str, most: float) -> DataFrame:
@@ -148,10 +165,12 @@ def best_scene(candidates: DataFrame, pid: str, scene: str, defect: str, gap: st
 
 def expanding_window(points: DataFrame, scenes: DataFrame, pid: str, tile: str, day: str, scene: str, scene_day: str, step: int, span: int = 365) -> DataFrame:
     """Scenes of the smallest window of ``step`` days on both sides, widened step by step, that holds any."""
-    gap = F.abs(F.datediff(F.col(day), F.col(scene_day)))
-    rows = points.join(scenes, tile).withColumn("gap", gap).where(F.col("gap") <= span // 2).withColumn("level", F.greatest(F.ceil(F.col("gap") / step), F.lit(1)))
-    least = F.min("level").over(Window.partitionBy(pid))
-    return rows.withColumn("_l", least).where("level = _l").drop("_l")
+    days = points.where(F.col(day).isNotNull()).select(tile, day).distinct()
+    near = scenes_near(days, scenes, tile, day, scene_day, span // 2).withColumn("level", F.greatest(F.ceil(F.col("gap") / step), F.lit(1)))
+    least = F.min("level").over(Window.partitionBy(tile, day))
+    best = near.withColumn("_l", least).where("level = _l").drop("_l")
+    return points.join(best, [tile, day])
+
 
 
 def assign_split(points: DataFrame, tiles: DataFrame, pid: str, tile: str, split: str, order: Sequence[str], rest: str = "train") -> DataFrame:

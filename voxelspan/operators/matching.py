@@ -1,15 +1,13 @@
-"""Matching, drawn points and per-row profile work; pandas only inside bounded groups."""
+"""Matching, drawn points, shifts and profiles; pandas only inside the chains of a match."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import first_n, pick_order
-
 
 def points_in_boxes(boxes: DataFrame, name: str, box: Sequence[str], n: int, seed: str) -> DataFrame:
     """n uniform points in each box, from md5 so that they do not depend on partitions."""
@@ -21,7 +19,7 @@ def points_in_boxes(boxes: DataFrame, name: str, box: Sequence[str], n: int, see
 
 
 def greedy_match(df: DataFrame, bin_column: str, id_column: str, height: str, high: str, tolerance: float) -> DataFrame:
-    """One-to-one matches of high (1) and low (0) rows nearest in height, highs ascending, within a tolerance.
+    """One-to-one matches of high (1) and low (0) rows nearest in height, highs ascending, nearer than a tolerance.
 
     Heights of a bin are cut where neighbours lie the tolerance or more apart: chains cannot match each other, so each is
     matched alone; chains of one side go. Of equally near lows the one reached in fewer outward steps wins, then the taller one.
@@ -53,7 +51,7 @@ def greedy_match(df: DataFrame, bin_column: str, id_column: str, height: str, hi
             options += [(at[j] - h, j - up, 0, j)] if j < len(at) else []
             if options:
                 best = min(options)
-            if best and best[0] <= tolerance:
+            if best and best[0] < tolerance:
                 free[best[3]] = False
                 out.append((name, names[best[3]], best[0]))
         own = rows[bin_column].iloc[0]
@@ -64,29 +62,52 @@ def greedy_match(df: DataFrame, bin_column: str, id_column: str, height: str, hi
     return chains.groupBy(bin_column, "_part").applyInPandas(match_all, f"{bin_column} {kind}, high_id {name}, low_id {name}, distance double")
 
 
-def hodges_lehmann(a: DataFrame, b: DataFrame, value: str, by: str, id_column: str, most: int) -> DataFrame:
-    """Median of the cross differences a - b per group; of larger groups ``most`` rows a side by pick order, as the definition asks."""
-    pick = lambda df: first_n(df, [by], most, pick_order("hl", id_column), F.col(id_column)).select(by, value)
-    pairs = pick(a).join(pick(b).withColumnRenamed(value, "_v"), by)
-    return pairs.groupBy(by).agg(F.median(F.col(value) - F.col("_v")).alias("shift"), F.count("*").alias("pairs"))
+def _slots(df: DataFrame, sizes: DataFrame, by: str, id_column: str) -> DataFrame:
+    """Rows with the slot, of their group's number of slots, that a hash of the id gives."""
+    return df.join(sizes, by).withColumn("_slot", F.pmod(F.xxhash64(F.lit("hl"), id_column), F.col("_m")))
+
+
+def hodges_lehmann(a: DataFrame, b: DataFrame, value: str, by: str, id_column: str, pairs: int = 4_000_000) -> DataFrame:
+    """Median of the cross differences a - b per group.
+
+    Exact for groups of at most ``pairs`` pairs. Rows of larger ones fall into slots by a hash of their id, and those of one slot meet: each pair has the same chance, all rows count, and about ``pairs`` pairs come of it.
+    """
+    a, b = (df.where(F.col(value).isNotNull()).select(by, value, F.col(id_column).cast("string").alias("_id")) for df in (a, b))
+    n = lambda df, c: df.groupBy(by).agg(F.count("*").alias(c))
+    sizes = n(a, "_x").join(n(b, "_y"), by).select(by, F.greatest(F.ceil(F.col("_x") * F.col("_y") / pairs), F.lit(1)).alias("_m"))
+    met = _slots(a, sizes, by, "_id").join(_slots(b, sizes, by, "_id").select(by, "_slot", F.col(value).alias("_v")), [by, "_slot"])
+    return met.groupBy(by).agg(F.median(F.col(value) - F.col("_v")).alias("shift"), F.count("*").alias("pairs"))
+
+
+def pseudomedian(df: DataFrame, value: str, by: str, id_column: str, pairs: int = 4_000_000) -> DataFrame:
+    """Median of the Walsh averages (x_i + x_j) / 2, i <= j, per group: the one-sample Hodges-Lehmann estimate. Larger groups as in ``hodges_lehmann``."""
+    rows = df.where(F.col(value).isNotNull()).select(by, value, F.col(id_column).cast("string").alias("_id"))
+    n = F.count("*")
+    sizes = rows.groupBy(by).agg(F.greatest(F.ceil(n * (n + 1) / 2 / pairs), F.lit(1)).alias("_m"))
+    own = _slots(rows, sizes, by, "_id")
+    met = own.join(own.select(by, "_slot", F.col(value).alias("_v"), F.col("_id").alias("_j")), [by, "_slot"]).where("_id <= _j")
+    return met.groupBy(by).agg(F.median((F.col(value) + F.col("_v")) / 2).alias("pseudomedian"), F.count("*").alias("pairs"))
 
 
 def vertical_profiles(df: DataFrame, id_column: str, profile: str, step: float) -> DataFrame:
-    """Density of levels over height (d level / d height) on an even grid, smoothed over three points."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        for rows in batches:
-            out = []
-            for values in rows[profile]:
-                h, first = np.unique(np.asarray(values, float), return_index=True)
-                grid = np.arange(h[0], h[-1] + step, step) if len(h) > 1 else np.zeros(0)
-                if len(grid) < 3:
-                    out.append([])
-                    continue
-                density = np.diff(np.interp(grid, h, first)) / step
-                out.append(np.convolve(np.pad(density, 1, "edge"), np.ones(3) / 3, "valid").tolist())
-            yield pd.DataFrame({id_column: rows[id_column], "density": out})
-
-    return df.select(id_column, profile).mapInPandas(run, f"{id_column} {df.schema[id_column].dataType.simpleString()}, density array<double>")
+    """Density of levels over height (d level / d height) on an even grid, smoothed over three points; empty for fewer than three grid points.
+
+    Heights between two levels are interpolated; of levels at one height the lowest counts.
+    """
+    heights = F.array_distinct(F.array_sort(F.filter(profile, lambda x: x.isNotNull())))
+    rows = df.select(id_column, F.col(profile).alias("_p"), heights.alias("_h")).withColumn("_k", F.transform("_h", lambda h: F.array_position("_p", h) - 1))
+    low, high = F.get("_h", F.lit(0)), F.element_at("_h", -1)
+    steps = F.when(F.size("_h") > 1, F.ceil((high + step - low) / step)).otherwise(0)
+    rows = rows.withColumn("_n", steps.cast("int"))
+
+    def at(g: Column) -> Column:
+        i = F.greatest(F.size(F.filter("_h", lambda h: h <= g)) - 1, F.lit(0))
+        x0, x1, y0, y1 = F.get("_h", i), F.get("_h", i + 1), F.get("_k", i), F.get("_k", i + 1)
+        return F.when(x1.isNull(), y0).otherwise(y0 + (y1 - y0) * (g - x0) / (x1 - x0))
+
+    grid = F.transform(F.sequence(F.lit(0), F.greatest(F.col("_n"), F.lit(1)) - 1), lambda k: at(low + k * step))
+    rows = rows.withColumn("_v", F.when(F.col("_n") >= 3, grid))
+    rows = rows.withColumn("_d", F.transform(F.sequence(F.lit(0), F.size("_v") - 2), lambda k: (F.get("_v", k + 1) - F.get("_v", k)) / step))
+    m = F.size("_d")
+    smooth = F.transform("_d", lambda x, k: (F.get("_d", F.greatest(k - 1, F.lit(0))) + x + F.get("_d", F.least(k + 1, m - 1))) / 3)
+    return rows.select(id_column, F.when(F.col("_n") >= 3, smooth).otherwise(F.array().cast("array<double>")).alias("density"))

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import exact_quantiles
+
 By = Sequence[str]
 
 
@@ -115,7 +117,7 @@ def bin_of(value: Column, edges: Sequence[float]) -> Column:
 
 def equal_count_edges(df: DataFrame, value: str, n_bins: int, min_n: int) -> list[float]:
     """Quantile edges without repeats, merged until each bin has ``min_n`` rows (n_bins + 1 numbers reach the driver)."""
-    q = df.agg(F.percentile(value, F.array(*(F.lit(k / n_bins) for k in range(n_bins + 1)))).alias("q")).first()["q"] or []
+    q = exact_quantiles(df, value, [k / n_bins for k in range(n_bins + 1)])
     return _merged(df, value, sorted(set(q)), min_n)
 
 

@@ -49,9 +49,29 @@ def tercile_labels(df: DataFrame, value: str, bin_column: str, q: float, min_n:
     return df.join(edges, bin_column).withColumn(out, label).drop("_n", "_q")
 
 
+def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], accuracy: int = 1_000) -> list[float]:
+    """Interpolated quantiles of a whole table, exactly; [] for a table without values. One number per share reaches the driver.
+
+    A first pass brackets each quantile by approximate ones, off by a share 1 / accuracy of the rows at most; a second counts the rows below each bracket and looks at those inside it alone.
+    """
+    near = [min(1.0, max(0.0, s + d / accuracy)) for s in shares for d in (-2, 2)]
+    first = df.agg(F.count(value).alias("n"), F.min(value).alias("a"), F.max(value).alias("b"), F.percentile_approx(value, near, accuracy).alias("q")).first()
+    if not first["n"]:
+        return []
+    brackets = [(first["a"] if near[2 * k] == 0 else first["q"][2 * k], first["b"] if near[2 * k + 1] == 1 else first["q"][2 * k + 1]) for k in range(len(shares))]
+    of = lambda k: (F.col(value) >= F.lit(brackets[k][0])) & (F.col(value) <= F.lit(brackets[k][1]))
+    counts = df.agg(*(F.count_if(F.col(value) < F.lit(lo)).alias(f"below_{k}") for k, (lo, _) in enumerate(brackets)), *(F.count_if(of(k)).alias(f"in_{k}") for k in range(len(shares)))).first()
+    at = [((first["n"] - 1) * s - counts[f"below_{k}"]) / max(1, counts[f"in_{k}"] - 1) for k, s in enumerate(shares)]
+    row = df.agg(*(F.percentile(F.when(of(k), F.col(value)), F.lit(min(1.0, max(0.0, x)))).alias(f"q_{k}") for k, x in enumerate(at))).first()
+    return [float(row[f"q_{k}"]) for k in range(len(shares))]
+
+
 def global_terciles(df: DataFrame, value: str, q: float, out: str = "label") -> DataFrame:
-    edges = df.agg(F.percentile(value, F.array(F.lit(q), F.lit(1 - q))).alias("_q"))
-    return df.crossJoin(F.broadcast(edges)).withColumn(out, F.when(F.col(value) >= F.col("_q")[1], 1).when(F.col(value) <= F.col("_q")[0], 0)).drop("_q")  # one row
+    """1 for the top q of the table, 0 for the bottom q, null between."""
+    edges = exact_quantiles(df, value, [q, 1 - q])
+    if not edges:
+        return df.withColumn(out, F.lit(None).cast("int"))
+    return df.withColumn(out, F.when(F.col(value) >= edges[1], 1).when(F.col(value) <= edges[0], 0))
 
 
 def first_per_key(df: DataFrame, key: Sequence[str], *order: Column) -> DataFrame:
@@ -158,31 +178,65 @@ def normal_sf2(z: Column) -> Column:
     return t * F.exp(-x * x + poly)
 
 
-def paired_wilcoxon(df: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame:
-    """Signed-rank test of a - b (zeros dropped, normal approximation with tie correction): W+, z, p, rank-biserial r, win rate."""
-    d = df.dropna(subset=[a, b]).withColumn("_d", F.col(a) - F.col(b)).where("_d <> 0").withColumn("_a", F.abs("_d"))
-    rows = avg_rank(d, "_a", by, "_r")
-    ties = d.groupBy(*by, "_a").agg(F.count("*").alias("_t")).groupBy(*by).agg(F.sum(F.col("_t") * (F.col("_t") * F.col("_t") - 1).cast("double")).alias("_ties"))
-    s = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.sum("_r").alias("_all"), F.median("_d").alias("median_difference"), F.avg((F.col("_d") < 0).cast("double")).alias("a_lower")).join(ties, list(by))
-    n = F.col("n").cast("double")
-    sd = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("_ties") / 2) / 24)
-    z = (F.col("w_plus") - n * (n + 1) / 4) / sd
-    return s.select(*by, "n", "w_plus", "median_difference", "a_lower", ((2 * F.col("w_plus") - F.col("_all")) / F.col("_all")).alias("rank_biserial"), z.alias("z")).withColumn("p", normal_sf2(F.col("z")))
+def exact_signed_rank(w_plus: Column, n: Column, most: int = 50) -> Column:
+    """Exact two-sided p of a signed-rank statistic of n pairs without ties or zeros; null for more than ``most``."""
+    size = n * (n + 1) / 2 + 1
+    start = F.transform(F.sequence(F.lit(0), size.cast("int") - 1), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
+    shares = F.aggregate(F.sequence(F.lit(1), n.cast("int")), start, lambda acc, k: F.transform(acc, lambda x, i: (x + F.coalesce(F.get(acc, i - k), F.lit(0.0))) / 2))
+    tail = lambda keep: F.aggregate(F.filter(shares, keep), F.lit(0.0), lambda a, x: a + x)
+    return F.when((n > 0) & (n <= most), F.least(F.lit(1.0), 2 * F.least(tail(lambda x, i: i <= w_plus), tail(lambda x, i: i >= w_plus))))
+
+
+def paired_wilcoxon(df: DataFrame, a: str, b: str, by: Sequence[str], zeros: str = "wilcox") -> DataFrame:
+    """Signed-rank test of a - b: pairs, zeros, median difference over all pairs, W+, z, p, rank-biserial r, share where a is lower.
+
+    zeros: ``wilcox`` drops zero differences before they are ranked, ``pratt`` after. The normal approximation with tie correction; where there are no ties or zeros and at most 50 pairs, ``p_exact`` besides.
+    """
+    d = df.dropna(subset=[a, b]).withColumn("_d", F.col(a) - F.col(b)).withColumn("_a", F.abs("_d"))
+    all_pairs = d.groupBy(*by).agg(F.count_if(F.col("_d") == 0).alias("n_zero"), F.median("_d").alias("median_difference"))
+    ranked = avg_rank(d if zeros == "pratt" else d.where("_d <> 0"), "_a", by, "_r").where("_d <> 0")
+    ties = d.where("_d <> 0").groupBy(*by, "_a").agg(F.count("*").alias("_t")).groupBy(*by).agg(F.sum(F.col("_t") * (F.col("_t") * F.col("_t") - 1).cast("double")).alias("_ties"))
+    s = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.sum("_r").alias("_all"), F.avg((F.col("_d") < 0).cast("double")).alias("a_lower")).join(ties, list(by))
+    s = all_pairs.join(s, list(by), "left").fillna(0, ["n"])
+    n, z0 = F.col("n").cast("double"), F.col("n_zero").cast("double")
+    mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1)
+    if zeros == "pratt":
+        m = n + z0
+        mean, var = (m * (m + 1) - z0 * (z0 + 1)) / 4, m * (m + 1) * (2 * m + 1) - z0 * (z0 + 1) * (2 * z0 + 1)
+    z = (F.col("w_plus") - mean) / F.sqrt((var - F.col("_ties") / 2) / 24)
+    exact = F.when((F.col("_ties") == 0) & (F.col("n_zero") == 0), exact_signed_rank(F.col("w_plus"), F.col("n")))
+    out = s.select(*by, "n", "n_zero", "w_plus", "median_difference", "a_lower", ((2 * F.col("w_plus") - F.col("_all")) / F.col("_all")).alias("rank_biserial"), z.alias("z"), exact.alias("p_exact"))
+    return out.withColumn("p", normal_sf2(F.col("z")))
 
 
 def rank_sum(df: DataFrame, value: str, group: str, by: Sequence[str]) -> DataFrame:
-    """Mann-Whitney U of group 1 against 0, P(a > b) and rank-biserial correlation."""
-    rows = avg_rank(df.where(F.col(value).isNotNull()), value, by, "_r")
+    """Mann-Whitney U of group 1 against 0, P(a > b), rank-biserial correlation, and p by the normal approximation with tie and continuity correction."""
+    given = df.where(F.col(value).isNotNull())
+    rows = avg_rank(given, value, by, "_r")
     n1, n0 = F.count_if(F.col(group) == 1), F.count_if(F.col(group) == 0)
     u = F.sum(F.when(F.col(group) == 1, F.col("_r")).otherwise(0.0)) - n1 * (n1 + 1) / 2
-    out = rows.groupBy(*by).agg(n1.alias("n1"), n0.alias("n0"), u.alias("u"))
+    ties = given.groupBy(*by, value).agg(F.count("*").cast("double").alias("_t")).groupBy(*by).agg(F.sum(F.col("_t") * F.col("_t") * F.col("_t") - F.col("_t")).alias("_ties"))
+    out = rows.groupBy(*by).agg(n1.alias("n1"), n0.alias("n0"), u.alias("u")).join(ties, list(by))
     share = F.try_divide("u", F.col("n1") * F.col("n0"))
-    return out.withColumns({"p_greater": share, "rank_biserial": 2 * share - 1})
+    both, n = F.col("n1").cast("double") * F.col("n0"), (F.col("n1") + F.col("n0")).cast("double")
+    sd = F.sqrt(both / 12 * (n + 1 - F.try_divide("_ties", n * (n - 1))))
+    z = F.try_divide(F.greatest(F.abs(F.col("u") - both / 2) - 0.5, F.lit(0.0)), sd)
+    return out.withColumns({"p_greater": share, "rank_biserial": 2 * share - 1, "p": F.least(F.lit(1.0), normal_sf2(z))}).drop("_ties")
+
+
+def exact_binomial(k: Column, n: Column) -> Column:
+    """Two-sided p of k hits in n fair draws: twice the tail up to min(k, n - k), summed from its largest term; null for n = 0."""
+    least = F.least(k, n - k).cast("int")
+    ratio = lambda i: i / (n - i + 1)
+    steps = F.when(least > 0, F.sequence(F.lit(1), F.greatest(least, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    zero = F.struct(F.lit(1.0).alias("sum"), F.lit(0.0).alias("log"))
+    held = F.aggregate(steps, zero, lambda acc, i: F.struct((1 + acc["sum"] * ratio(i)).alias("sum"), (acc["log"] - F.ln(ratio(i))).alias("log")))
+    return F.when(n > 0, F.least(F.lit(1.0), 2 * held["sum"] * F.exp(held["log"] - n * F.ln(F.lit(2.0)))))
 
 
 def mcnemar(df: DataFrame, truth: str, a: str, b: str, by: Sequence[str]) -> DataFrame:
-    """Discordant counts, odds ratio and the chi-square statistic with continuity correction."""
+    """Discordant counts, odds ratio, the chi-square statistic with continuity correction, and the exact two-sided binomial p."""
     ra, rb = F.col(a) == F.col(truth), F.col(b) == F.col(truth)
     out = df.groupBy(*by).agg(F.count_if(ra & ~rb).alias("only_a"), F.count_if(~ra & rb).alias("only_b"))
     x, y = F.col("only_a"), F.col("only_b")
-    return out.withColumns({"odds_ratio": F.try_divide(x, y), "chi2": F.try_divide((F.abs(x - y) - 1) * (F.abs(x - y) - 1), x + y)})
+    return out.withColumns({"odds_ratio": F.try_divide(x, y), "chi2": F.try_divide((F.abs(x - y) - 1) * (F.abs(x - y) - 1), x + y), "p": exact_binomial(x, x + y)})

@@ -78,12 +78,19 @@ def per_image_offsets(df: DataFrame, image: str, pixel: str, value: str, kind: s
 
 
 def same_season_offset(df: DataFrame, tile: str, image: str, year: str, doy: str, value: str, window: int) -> DataFrame:
-    """Value of an image less the median of other years' images within a window of days of the year. Days meet in buckets as wide as the window."""
-    near = F.explode(F.sequence(F.floor(F.col(doy) / window) - 1, F.floor(F.col(doy) / window) + 1))
-    a = df.select(tile, image, F.col(year).alias("_y"), F.col(doy).alias("_d"), F.col(value).alias("_v"), near.alias("_w"))
-    b = df.select(tile, F.col(year).alias("_oy"), F.col(doy).alias("_od"), F.col(value).alias("_ov"), F.floor(F.col(doy) / window).alias("_w"))
-    rows = a.join(b, [tile, "_w"]).where((F.col("_y") != F.col("_oy")) & (F.abs(F.col("_d") - F.col("_od")) <= window))
-    return rows.groupBy(tile, image).agg((F.max("_v") - F.median("_ov")).alias("offset"), F.count("*").alias("n"))
+    """Value of an image less the median of other years' images within a window of days of the year.
+
+    Days of the year meet in buckets as wide as the window. A bucket's images and those of its two neighbours are one array, which stands beside each image of the bucket; so no pair of images becomes a row. An array holds a tile's images of three windows of days, over all years.
+    """
+    bucket = F.floor(F.col(doy) / window)
+    near = df.where(F.col(value).isNotNull()).select(tile, F.struct(F.col(year).alias("y"), F.col(doy).alias("d"), F.col(value).cast("double").alias("v")).alias("_o"), F.explode(F.sequence(bucket - 1, bucket + 1)).alias("_w"))
+    held = near.groupBy(tile, "_w").agg(F.collect_list("_o").alias("_held"))
+    rows = df.select(tile, image, F.col(year).alias("_y"), F.col(doy).alias("_d"), F.col(value).cast("double").alias("_v"), bucket.alias("_w")).join(held, [tile, "_w"])
+    others = F.filter("_held", lambda o: (o["y"] != F.col("_y")) & (F.abs(o["d"] - F.col("_d")) <= window))
+    rows = rows.select(tile, image, "_v", F.array_sort(F.transform(others, lambda o: o["v"])).alias("_s")).where(F.size("_s") > 0)
+    n = F.size("_s")
+    median = (F.get("_s", F.floor((n - 1) / 2).cast("int")) + F.get("_s", F.floor(n / 2).cast("int"))) / 2
+    return rows.select(tile, image, (F.col("_v") - median).alias("offset"), n.cast("bigint").alias("n"))
 
 
 def climatology_anomaly(df: DataFrame, tile: str, year: str, doy: str, value: str) -> DataFrame:

@@ -324,40 +324,42 @@ def _(t):
     return r.holm(p, "p", ["biome"], "tile")
 
 
+def _p(z: str) -> str:
+    """Two-sided normal tail as in ``ranking.normal_sf2``."""
+    x = f"(abs({z}) / sqrt(2.0))"
+    t, poly = f"(1 / (1 + {x} / 2))", "0.17087277"
+    for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+        poly = f"({poly} * t + ({c}))"
+    return f"(SELECT t * exp(-x * x + {poly}) FROM (SELECT {t} AS t, {x} AS x))"
+
+
 WILCOXON = """d AS (SELECT biome, abs(p - y) - abs(p2 - y) AS d FROM fp WHERE abs(p - y) <> abs(p2 - y)), k AS (SELECT *, rank() OVER (PARTITION BY biome ORDER BY abs(d)) + (count(*) OVER (PARTITION BY biome, abs(d)) - 1) / 2.0 AS r FROM d),
-t AS (SELECT biome, sum(c * (c * c - 1.0)) AS ties FROM (SELECT biome, abs(d), count(*) AS c FROM d GROUP BY ALL) GROUP BY biome), s AS (SELECT biome, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus, sum(r) AS total, median(d) AS median_difference, avg((d < 0)::INT) AS a_lower FROM k GROUP BY biome)"""
+t AS (SELECT biome, sum(c * (c * c - 1.0)) AS ties FROM (SELECT biome, abs(d), count(*) AS c FROM d GROUP BY ALL) GROUP BY biome), s AS (SELECT biome, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus, sum(r) AS total, avg((d < 0)::INT) AS a_lower FROM k GROUP BY biome), m AS (SELECT biome, count(*) FILTER (abs(p - y) = abs(p2 - y)) AS n_zero, median(abs(p - y) - abs(p2 - y)) AS median_difference FROM fp GROUP BY biome)"""
 
 
-@query("t01_paired_wilcoxon", "WITH {fp}, " + WILCOXON + " SELECT biome, n, w_plus, median_difference, a_lower, (2 * w_plus - total) / total AS rank_biserial, (w_plus - n * (n + 1) / 4) / sqrt((n * (n + 1.0) * (2 * n + 1) - ties / 2) / 24) AS z FROM s JOIN t USING (biome)", "w_plus median_difference a_lower rank_biserial z")
+@query("t01_paired_wilcoxon", "WITH {fp}, " + WILCOXON + ", q AS (SELECT biome, n, n_zero, w_plus, median_difference, a_lower, (2 * w_plus - total) / total AS rank_biserial, (w_plus - n * (n + 1) / 4) / sqrt((n * (n + 1.0) * (2 * n + 1) - ties / 2) / 24) AS z FROM s JOIN t USING (biome) JOIN m USING (biome)) SELECT *, " + _p("z") + " AS p FROM q", "w_plus median_difference a_lower rank_biserial z p")
 def _(t):
     e = t.fp().select("biome", F.abs(F.col("p") - F.col("y")).alias("a"), F.abs(F.col("p2") - F.col("y")).alias("b"))
-    return r.paired_wilcoxon(e, "a", "b", ["biome"]).drop("p")
+    return r.paired_wilcoxon(e, "a", "b", ["biome"]).drop("p_exact")
 
 
-@query("t02_rank_sum", """WITH {fp}, k AS (SELECT biome, flag, rank() OVER (PARTITION BY biome ORDER BY y) + (count(*) OVER (PARTITION BY biome, y) - 1) / 2.0 AS r FROM fp), s AS (SELECT biome, count(*) FILTER (flag = 'R') AS n1, count(*) FILTER (flag <> 'R') AS n0, sum(r) FILTER (flag = 'R') AS s FROM k GROUP BY biome)
-SELECT biome, n1, n0, s - n1 * (n1 + 1) / 2 AS u, (s - n1 * (n1 + 1) / 2) / (n1 * n0) AS p_greater, 2 * (s - n1 * (n1 + 1) / 2) / (n1 * n0) - 1 AS rank_biserial FROM s""", "u p_greater rank_biserial")
+@query("t02_rank_sum", """WITH {fp}, k AS (SELECT biome, flag, rank() OVER (PARTITION BY biome ORDER BY y) + (count(*) OVER (PARTITION BY biome, y) - 1) / 2.0 AS r FROM fp), s AS (SELECT biome, count(*) FILTER (flag = 'R') AS n1, count(*) FILTER (flag <> 'R') AS n0, sum(r) FILTER (flag = 'R') AS s FROM k GROUP BY biome),
+t AS (SELECT biome, sum(c * c * c - c) AS ties FROM (SELECT biome, y, CAST(count(*) AS DOUBLE) AS c FROM fp GROUP BY ALL) GROUP BY biome),
+u AS (SELECT biome, n1, n0, s - n1 * (n1 + 1) / 2 AS u, n1 + CAST(n0 AS DOUBLE) AS n, ties FROM s JOIN t USING (biome)), z AS (SELECT *, greatest(abs(u - n1 * n0 / 2) - 0.5, 0) / sqrt(CAST(n1 AS DOUBLE) * n0 / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM u)
+SELECT biome, n1, n0, u, u / (n1 * n0) AS p_greater, 2 * u / (n1 * n0) - 1 AS rank_biserial, least(1.0, """ + _p("z") + """) AS p FROM z""", "u p_greater rank_biserial p")
 def _(t):
     return r.rank_sum(t.fp().withColumn("g", (F.col("flag") == "R").cast("int")), "y", "g", ["biome"])
 
 
-@query("t04_mcnemar", "WITH {classes}, c AS (SELECT cell, count(*) FILTER (a = truth AND b <> truth) AS only_a, count(*) FILTER (a <> truth AND b = truth) AS only_b FROM classes GROUP BY cell) SELECT *, only_a / nullif(only_b, 0) AS odds_ratio, (abs(only_a - only_b) - 1) * (abs(only_a - only_b) - 1) / nullif(only_a + only_b, 0) AS chi2 FROM c", "odds_ratio chi2")
+@query("t04_mcnemar", "WITH {classes}, c AS (SELECT cell, count(*) FILTER (a = truth AND b <> truth) AS only_a, count(*) FILTER (a <> truth AND b = truth) AS only_b FROM classes GROUP BY cell) SELECT *, only_a / nullif(only_b, 0) AS odds_ratio, (abs(only_a - only_b) - 1) * (abs(only_a - only_b) - 1) / nullif(only_a + only_b, 0) AS chi2, CASE WHEN only_a + only_b > 0 THEN least(1.0, 2 * list_sum(list_transform(range(0, least(only_a, only_b) + 1), lambda i: exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2.0))))) END AS p FROM c", "odds_ratio chi2 p")
 def _(t):
     return r.mcnemar(t.classes(), "truth", "a", "b", ["cell"])
 
 
-def _p(z: str) -> str:
-    """Two-sided normal tail as in ``ranking.normal_sf2``."""
-    x = f"(abs({z}) / sqrt(2.0))"
-    t, poly = f"(1 / (1 + {x} / 2))", "0.17087277"
-    for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
-        poly = f"({poly} * t + ({c}))"
-    return f"(SELECT t * exp(-x * x + {poly}) FROM (SELECT {t} AS t, {x} AS x))"
-
-
 def _signed(source: str, by: str) -> str:
     return f"""d AS (SELECT {by}, a - b AS d FROM {source} WHERE a <> b), k AS (SELECT *, rank() OVER (PARTITION BY {by} ORDER BY abs(d)) + (count(*) OVER (PARTITION BY {by}, abs(d)) - 1) / 2.0 AS r FROM d),
-t AS (SELECT {by}, sum(c * (c * c - 1.0)) AS ties FROM (SELECT {by}, abs(d) AS ad, count(*) AS c FROM d GROUP BY ALL) GROUP BY {by}), s AS (SELECT {by}, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus, sum(r) AS total, median(d) AS median_difference, avg((d < 0)::INT) AS a_lower FROM k GROUP BY {by}),
-z AS (SELECT {by}, n, w_plus, median_difference, a_lower, (2 * w_plus - total) / total AS rank_biserial, (w_plus - n * (n + 1) / 4) / sqrt((n * (n + 1.0) * (2 * n + 1) - ties / 2) / 24) AS z FROM s JOIN t USING ({by})), q AS (SELECT *, {_p('z')} AS p FROM z)"""
+t AS (SELECT {by}, sum(c * (c * c - 1.0)) AS ties FROM (SELECT {by}, abs(d) AS ad, count(*) AS c FROM d GROUP BY ALL) GROUP BY {by}), s AS (SELECT {by}, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus, sum(r) AS total, avg((d < 0)::INT) AS a_lower FROM k GROUP BY {by}), m AS (SELECT {by}, count(*) FILTER (a = b) AS n_zero, median(a - b) AS median_difference FROM {source} WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY {by}),
+z AS (SELECT {by}, n, n_zero, w_plus, median_difference, a_lower, (2 * w_plus - total) / total AS rank_biserial, (w_plus - n * (n + 1) / 4) / sqrt((n * (n + 1.0) * (2 * n + 1) - ties / 2) / 24) AS z FROM s JOIN t USING ({by}) JOIN m USING ({by})), q AS (SELECT *, {_p('z')} AS p FROM z)"""
 
 
 def _holm_sql(within: str, tie: str) -> str:
@@ -370,7 +372,7 @@ SIGNED = "w_plus median_difference a_lower rank_biserial z p p_holm"
 
 @query("t05_wilcoxon_vs_products", "WITH {fp}, l AS (SELECT 'p2' AS product, y, p, p2 AS v FROM fp UNION ALL SELECT 'slope', y, p, slope FROM fp), e AS (SELECT 'abs' AS metric, product, abs(p - y) AS a, abs(v - y) AS b FROM l UNION ALL SELECT 'square', product, (p - y) * (p - y), (v - y) * (v - y) FROM l), " + _signed("e", "metric, product") + " " + _holm_sql("metric", "product"), SIGNED, 4)
 def _(t):
-    return sg.wilcoxon_vs_products(t.fp(), "y", "p", ["p2", "slope"])
+    return sg.wilcoxon_vs_products(t.fp(), "y", "p", ["p2", "slope"]).drop("p_exact")
 
 
 def _f1_sql(p: str) -> str:
@@ -379,7 +381,7 @@ def _f1_sql(p: str) -> str:
 
 @query("t06_cell_paired_tests", "WITH {classes}, big AS (SELECT cell FROM classes GROUP BY cell HAVING count(*) >= 20), e AS (SELECT x.class, x.f1 AS a, y.f1 AS b FROM " + _f1_sql("a") + " x JOIN " + _f1_sql("b") + " y USING (cell, class) JOIN big USING (cell)), " + _signed("e", "class") + " " + _holm_sql("", "class"), SIGNED, 4)
 def _(t):
-    return sg.cell_paired_tests(t.classes(), "truth", "a", "b", "cell", 20)
+    return sg.cell_paired_tests(t.classes(), "truth", "a", "b", "cell", 20).drop("p_exact")
 
 
 @query("r23_stratified_samples", "WITH r AS (SELECT * FROM part WHERE p_size < 10), a AS (SELECT p_partkey, p_type, 'reference' AS origin, row_number() OVER (PARTITION BY p_type ORDER BY md5(concat_ws('|', 'st', p_type, p_partkey)), p_partkey) AS k FROM r), b AS (SELECT p_partkey, p_type, 'random' AS origin, row_number() OVER (PARTITION BY p_type ORDER BY md5(concat_ws('|', 'st', p_type, p_partkey)), p_partkey) AS k FROM part WHERE p_size >= 10) SELECT p_partkey, p_type, origin FROM a WHERE k <= 4 UNION ALL SELECT p_partkey, p_type, origin FROM b WHERE k <= 6")
@@ -416,11 +418,7 @@ def _fit_sql() -> str:
 @query("c02_fit_cqr", _fit_sql(), "q_lo q_hi", 8)
 def _(t):
     """Offsets of all six score variants."""
-    out = None
-    for name in cp.METHODS:
-        part = cp.fit_offsets(t.triples(), name, ["biome"], "y", "lo", "mid", "hi", 0.1)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return cp.fit_all_offsets(t.triples(), cp.METHODS, ["biome"], "y", "lo", "mid", "hi", 0.1)
 
 
 CAL = "o AS (SELECT biome, q FROM " + KTH.format(share=0.9, score="greatest(lo - y, y - hi)") + "), c AS (SELECT t.*, lo - coalesce(q, 0) AS cal_lo, hi + coalesce(q, 0) AS cal_hi FROM triples t LEFT JOIN o USING (biome))"

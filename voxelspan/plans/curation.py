@@ -44,12 +44,13 @@ def _(t):
     return t.profiles().where(C.realistic(F.col("profile"), 0.0, 30.0)).groupBy("label").agg(F.count("*").alias("n"))
 
 
-SHOT = "l_orderkey * 10000000000000 + l_linenumber * 100000000 + l_partkey"
+SHOT = "l_orderkey % 900000 * 10000000000000 + l_linenumber % 1000 * 100000000 + l_partkey % 100000000"
 
 
-@query("f08_decode_shot_id", "SELECT DISTINCT l_orderkey AS orbit, CAST(l_linenumber AS BIGINT) AS minor_frame, l_partkey AS within_beam FROM lineitem WHERE l_orderkey < 900000")
+@query("f08_decode_shot_id", "SELECT DISTINCT l_orderkey % 900000 AS orbit, CAST(l_linenumber AS BIGINT) % 1000 AS minor_frame, l_partkey % 100000000 AS within_beam FROM lineitem")
 def _(t):
-    s = t.lineitem.where("l_orderkey < 900000").selectExpr(f"{SHOT} as shot")
+    """Orders fold into 900,000 orbits, so every shot id fits a bigint."""
+    s = t.lineitem.selectExpr(f"{SHOT} as shot")
     return s.select(*(c.alias(k) for k, c in C.shot_parts(F.col("shot")).items())).distinct()
 
 

@@ -39,12 +39,12 @@ def _(t):
     return jo.assign_tile(t.points(), t.boxes().select("name", "ring"), "id", "lon", "lat", "name", "ring", 10.0, "left").select("id", "name")
 
 
-ORBITS = "orbits AS (SELECT o_orderkey AS orbit, CAST(o_custkey % 400 - 200 AS DOUBLE) AS ox0, CAST(o_custkey % 400 - 200 + 3 AS DOUBLE) AS ox1, CAST(o_orderkey % 80 - 40 AS DOUBLE) AS oy0, CAST(o_orderkey % 80 - 38 AS DOUBLE) AS oy1, month(o_orderdate) AS month FROM orders WHERE o_orderkey % 4 = 0)"
+ORBITS = "orbits AS (SELECT o_orderkey AS orbit, CAST(o_custkey % 400 - 200 AS DOUBLE) AS ox0, CAST(o_custkey % 400 - 200 + 3 AS DOUBLE) AS ox1, CAST(o_orderkey % 80 - 40 AS DOUBLE) AS oy0, CAST(o_orderkey % 80 - 38 AS DOUBLE) AS oy1, month(o_orderdate) AS month FROM orders)"
 PAIRS = "pairs AS (SELECT name, orbit, min(abs(s)) > 0 AS wrapped, bool_or(month BETWEEN 5 AND 8) AS in_growing FROM boxes, (VALUES (0), (360), (-360)) v(s), orbits WHERE x0 + s <= ox1 AND x1 + s >= ox0 AND y0 <= oy1 AND y1 >= oy0 GROUP BY name, orbit)"
 
 
 def _pairs(t):
-    orbits = t.orders.where("o_orderkey % 4 = 0").selectExpr("o_orderkey as orbit", "cast(o_custkey % 400 - 200 as double) as ox0", "cast(o_custkey % 400 - 197 as double) as ox1", "cast(o_orderkey % 80 - 40 as double) as oy0", "cast(o_orderkey % 80 - 38 as double) as oy1", "month(o_orderdate) as month")
+    orbits = t.orders.selectExpr("o_orderkey as orbit", "cast(o_custkey % 400 - 200 as double) as ox0", "cast(o_custkey % 400 - 197 as double) as ox1", "cast(o_orderkey % 80 - 40 as double) as oy0", "cast(o_orderkey % 80 - 38 as double) as oy1", "month(o_orderdate) as month")
     tiles = t.boxes().select("name", *BOX).withColumn("months", F.array(*map(F.lit, (5, 6, 7, 8))))
     return jo.tile_orbit_pairs(tiles, orbits, "name", "orbit", BOX, ("ox0", "oy0", "ox1", "oy1"), "month", "months", 10.0)
 
