@@ -1,8 +1,12 @@
 """Operators against brute force, and their invariants."""
 
+import hashlib
+import math
 import os
+import random
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -148,3 +152,126 @@ def test_ledger_stream_equals_batch(spark, tmp_path):
     ledger.run_available(ledger.ledger_stream(stream, "key", "status", "time", "seq"), sink, str(tmp_path / "ck"))
     batch = {r["key"]: r["status"] for r in cu.ledger_fold(spark.createDataFrame(rows, schema), "key", "status", "time", "seq").collect()}
     assert {k: v for k, v in held.items() if v != "reset"} == batch == {"a": "done", "c": "done"}
+
+
+def test_greedy_match_at_the_tolerance(spark):
+    """A pair at the tolerance is none, whatever lies between; against a walk over all lows."""
+    rows = [("a", 10.0, 1), ("b", 12.0, 0)]
+    df = lambda r: spark.createDataFrame([(1, *x) for x in r], "bin int, id string, height double, high int")
+    got = lambda r: sorted((x["high_id"], x["low_id"]) for x in ma.greedy_match(df(r), "bin", "id", "height", "high", 2.0).collect())
+    assert got(rows) == [] and got([*rows, ("c", 11.0, 1)]) == [("c", "b")]
+    r = random.Random(4)
+    for _ in range(3):
+        own = [(f"r{k:02d}", r.randint(0, 60) / 2, r.randint(0, 1)) for k in range(60)]
+        lows = sorted((h, i) for i, h, side in own if side == 0)
+        free, want = [True] * len(lows), []
+        for h, i in sorted((h, i) for i, h, side in own if side == 1):
+            first = sum(x < h for x, _ in lows)
+            options = [(abs(lows[k][0] - h), first - 1 - k if k < first else k - first, k < first, k) for k in range(len(lows)) if free[k]]
+            near = [min((o for o in options if o[2] == side), key=lambda o: o[1]) for side in (True, False) if any(o[2] == side for o in options)]
+            best = min(near, default=None)
+            if best and best[0] < 2.0:
+                free[best[3]] = False
+                want.append((i, lows[best[3]][1]))
+        assert got(own) == sorted(want)
+
+
+def test_exact_p_values(spark):
+    """Signed ranks over all sign patterns, and binomial tails, against sums over every case."""
+    for n in (1, 3, 6, 10):
+        sums = [sum(k + 1 for k in range(n) if bits >> k & 1) for bits in range(2**n)]
+        df = spark.createDataFrame([(float(w), n) for w in range(n * (n + 1) // 2 + 1)], "w double, n int")
+        for x in df.select("w", rk.exact_signed_rank(F.col("w"), F.col("n")).alias("p")).collect():
+            low, high = sum(s <= x["w"] for s in sums), sum(s >= x["w"] for s in sums)
+            assert x["p"] == pytest.approx(min(1, 2 * min(low, high) / 2**n))
+    cases = [(k, n) for n in (1, 2, 9, 40, 3000) for k in {0, 1, n // 3, n // 2, n}]
+    for x in spark.createDataFrame([*cases, (0, 0)], "k long, n long").select("k", "n", rk.exact_binomial(F.col("k"), F.col("n")).alias("p")).collect():
+        k, n = x["k"], x["n"]
+        assert x["p"] is None if n == 0 else x["p"] == pytest.approx(min(1.0, 2 * sum(math.comb(n, i) for i in range(min(k, n - k) + 1)) / 2**n), rel=1e-9)
+
+
+def test_signed_rank_of_zeros(spark):
+    """Medians take all pairs; Pratt's way ranks zeros and then drops them."""
+    d = [0.0, 0.0, 0.0, 1.0, -2.0, 3.0, 4.0]
+    df = spark.createDataFrame([(1, x, 0.0) for x in d] + [(2, 5.0, 5.0), (2, None, 1.0)], "g int, a double, b double")
+    got = {r["g"]: r for r in rk.paired_wilcoxon(df, "a", "b", ["g"]).collect()}
+    assert (got[1]["n"], got[1]["n_zero"], got[1]["median_difference"], got[1]["w_plus"]) == (4, 3, 0.0, 8.0)
+    assert (got[2]["n"], got[2]["n_zero"], got[2]["median_difference"], got[2]["p"]) == (0, 1, 0.0, None)
+    pratt = {r["g"]: r for r in rk.paired_wilcoxon(df, "a", "b", ["g"], "pratt").collect()}
+    assert pratt[1]["w_plus"] == 4 + 6 + 7 and pratt[1]["n"] == 4
+
+
+def test_shifts_of_large_groups_come_from_pairs_of_all_rows(spark):
+    a = spark.range(600).selectExpr("1 as g", "cast(id as double) as v", "id")
+    b = spark.range(500).selectExpr("1 as g", "cast(id * 0.5 as double) as v", "id")
+    exact = ma.hodges_lehmann(a, b, "v", "g", "id").first()
+    assert exact["pairs"] == 300_000 and exact["shift"] == float(np.median(np.arange(600)[:, None] - 0.5 * np.arange(500)[None, :]))
+    drawn = ma.hodges_lehmann(a, b, "v", "g", "id", 20_000).first()
+    assert 10_000 < drawn["pairs"] < 40_000 and abs(drawn["shift"] - exact["shift"]) < 20
+    walsh = ma.pseudomedian(b, "v", "g", "id").first()
+    v = 0.5 * np.arange(500)
+    i, j = np.triu_indices(500)
+    assert walsh["pairs"] == len(i) and walsh["pseudomedian"] == float(np.median((v[i] + v[j]) / 2))
+
+
+def test_vertical_profiles_match_numpy(spark):
+    r = random.Random(2)
+    rows = [(k, sorted(round(r.uniform(0, 30), 1) for _ in range(r.randint(1, 40)))) for k in range(40)] + [(90, [5.0, 5.0]), (91, []), (92, None)]
+    got = {x["id"]: x["density"] for x in ma.vertical_profiles(spark.createDataFrame(rows, "id int, p array<double>"), "id", "p", 2.0).collect()}
+    for k, values in rows:
+        h, first = np.unique(np.asarray(values or [], float), return_index=True)
+        grid = np.arange(h[0], h[-1] + 2.0, 2.0) if len(h) > 1 else np.zeros(0)
+        want = [] if len(grid) < 3 else np.convolve(np.pad(np.diff(np.interp(grid, h, first)) / 2.0, 1, "edge"), np.ones(3) / 3, "valid").tolist()
+        assert got[k] == pytest.approx(want)
+
+
+def test_exact_quantiles(spark):
+    r = random.Random(6)
+    for values in ([r.gauss(0, 5) for _ in range(3_000)], [r.randint(0, 3) for _ in range(500)], [7.0], [1.0, 2.0], [None, 4.0, None]):
+        df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double")
+        shares = [0.0, 0.2, 0.25, 0.5, 0.9, 1.0]
+        assert rk.exact_quantiles(df, "v", shares) == pytest.approx(np.quantile([v for v in values if v is not None], shares).tolist())
+    assert rk.exact_quantiles(df.limit(0), "v", [0.5]) == []
+
+
+def test_image_bootstrap_matches_a_plain_loop(spark):
+    r = random.Random(7)
+    rows = [(p, y, i, float(r.randint(0, 50))) for p in range(4) for y in (1, 2) for i in range(5) if r.random() < 0.8]
+    df = spark.createDataFrame(rows, "pixel int, year int, image int, value double")
+    got = {(x["replicate"], x["year"]): x["median"] for x in rs.image_bootstrap(df, "pixel", "year", "image", "value", 6).collect()}
+    images = {y: sorted({i for _, z, i, _ in rows if z == y}) for y in (1, 2)}
+    draws = spark.createDataFrame([(y, k, d, len(images[y])) for y in (1, 2) for k in range(6) for d in range(len(images[y]))], "year int, replicate int, d long, n long")
+    picked = {}
+    for x in draws.select("year", "replicate", rs.draw(F.col("replicate") * 100 + F.col("year") % 100, F.col("d"), F.col("n")).alias("i")).collect():
+        picked.setdefault((x["replicate"], x["year"]), []).append(images[x["year"]][x["i"]])
+    for (k, y), own in picked.items():
+        medians = []
+        for p in range(4):
+            held = sorted(v for i in own for q, z, j, v in rows if (q, z, j) == (p, y, i))
+            if held:
+                medians.append(held[(len(held) - 1) // 2])
+        assert got[k, y] == float(np.median(medians))
+
+
+def test_manifest_hashes(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"one")
+    got = so.dataset_manifest(spark, str(tmp_path)).first()
+    assert (got["file"], got["length"], got["sha256"]) == ("a.txt", 3, hashlib.sha256(b"one").hexdigest())
+
+
+def test_diversity_of_edge_profiles(spark):
+    """Null, empty, negative, constant and single-level profiles, and values above the cap."""
+    from voxelspan.functions import columns as C
+
+    rows = [(0, None), (1, []), (2, [-1.0, 0.0]), (3, [7.0] * 4), (4, [-3.0, 1.0]), (5, [1.0, 6.0, 500.0, 59.0])]
+    df = spark.createDataFrame(rows, "id int, p array<double>")
+    got = {x["id"]: x for x in df.select("id", *(c.alias(k) for k, c in C.diversity(F.col("p"), 5.0, 60.0, 0, 3).items())).collect()}
+    assert all(got[k]["fhd"] is None and got[k]["enl2d"] is None for k in (0, 1, 2))
+    assert got[3]["fhd"] == pytest.approx(0) and got[3]["enl2d"] == pytest.approx(1) == got[4]["enl2d"]
+    assert got[5]["fhd"] == pytest.approx(1.5 * math.log(2)) and got[5]["enl2d"] == pytest.approx(16 / 6) and got[5]["canopy_ratio"] == pytest.approx(58 / 59)
+
+
+@pytest.mark.parametrize("name", ["y12_same_season_offset", "j17_scene_candidates", "j28_expanding_window_scenes", "t01_paired_wilcoxon", "t02_rank_sum", "t04_mcnemar", "t03_hodges_lehmann", "t03_pseudomedian", "f08_decode_shot_id", "r21_pixel_biome", "j11_attach_by_pixel", "j21_grid_assign", "y03_yearly_truth_metrics", "y11_per_image_height_offsets", "s03_read_delimited_header", "s05_read_geojson_csv", "s06_write_by_tile", "s08_read_items_for_tiles", "w03_global_residual_terciles", "a08_equal_count_bins"])
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
+def test_sql_of_this_round(spark, name):
+    compared(spark, name)

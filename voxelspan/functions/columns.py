@@ -99,7 +99,7 @@ def diversity(profile: Column, width: float, top: float, low: int, high: int) ->
     zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("c_ln"), F.lit(0.0).alias("c_c"))
     add = lambda a, c: F.struct((a["n"] + c).alias("n"), (a["c_ln"] + F.when(c > 0, c * F.ln(c)).otherwise(0.0)).alias("c_ln"), (a["c_c"] + c * c).alias("c_c"))
     sums = F.aggregate(profile_histogram(profile, width, top), zero, add)
-    shares = let(sums, lambda s: F.struct((F.ln(s["n"]) - s["c_ln"] / s["n"]).alias("fhd"), (s["n"] * s["n"] / s["c_c"]).alias("enl2d"), s["n"].alias("n")))
+    shares = let(sums, lambda s: F.struct((F.ln(s["n"]) - F.try_divide(s["c_ln"], s["n"])).alias("fhd"), F.try_divide(s["n"] * s["n"], s["c_c"]).alias("enl2d"), s["n"].alias("n")))
     fhd = F.when(shares["n"] > 0, shares["fhd"])
     ratio = F.when(level(profile, high) > 0, (level(profile, high) - F.greatest(level(profile, low), F.lit(0))) / level(profile, high))
     return {"fhd": fhd, "enl1d": F.exp(fhd), "enl2d": F.when(shares["n"] > 0, shares["enl2d"]), "canopy_ratio": ratio}

@@ -235,3 +235,35 @@ def defect_cover(patches: DataFrame, pid: str, scene: str, value: str, classes:
 def attach_by_coordinates(left: DataFrame, right: DataFrame, lat: str, lon: str, label: str) -> DataFrame:
     """Label of the row with bit-equal coordinates (of several the smallest)."""
     return left.join(right.groupBy(lat, lon).agg(F.min(label).alias(label)), [lat, lon], "left")
+
+
+def attach_by_pixel(left: DataFrame, right: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Columns of the row at the same pixel; of several rows there the first by their values. Pixels without one give nulls."""
+    one = right.groupBy(*key).agg(F.min(F.struct(*columns)).alias("_r"))
+    return left.join(one, list(key), "left").select(*left.columns, *(F.col(f"_r.{c}").alias(c) for c in columns))
+
+
+def pixel_biome(pixels: DataFrame, biomes: DataFrame, x: str, y: str, biome: str, ring: str, degrees: float, key: Sequence[str]) -> DataFrame:
+    """Biome of the polygon that holds a pixel's centre (of several the smallest), 0 without one."""
+    hits = points_in_polygons(pixels, biomes.select(biome, ring), x, y, ring, degrees).groupBy(*key).agg(F.min(biome).alias(biome))
+    return pixels.join(hits, list(key), "left").fillna(0, [biome])
+
+
+def grid_cell(lon: Column, lat: Column, degrees: float) -> Column:
+    """Number of a point's cell in the grid of whole cells of the globe, by column from the west, then row from the south."""
+    rows = round(180 / degrees)
+    return (F.least(F.floor((lon + 180) / degrees), F.lit(round(360 / degrees) - 1)) * rows + F.least(F.floor((lat + 90) / degrees), F.lit(rows - 1))).cast("bigint")
+
+
+def grid_cells(land: DataFrame, box: Sequence[str], degrees: float) -> DataFrame:
+    """Cells of the grid that touch a land box: cell_id and the centre's lon and lat."""
+    n_rows = round(180 / degrees)
+    span = lambda a, b, shift, most: F.explode(F.sequence(F.greatest(F.floor((F.col(a) + shift) / degrees), F.lit(0)), F.least(F.floor((F.col(b) + shift) / degrees), F.lit(most - 1))))
+    cells = land.select(span(box[0], box[2], 180, round(360 / degrees)).alias("_i"), *box).select("_i", span(box[1], box[3], 90, n_rows).alias("_j")).distinct()
+    return cells.select((F.col("_i") * n_rows + F.col("_j")).cast("bigint").alias("cell_id"), ((F.col("_i") + 0.5) * degrees - 180).alias("lon"), ((F.col("_j") + 0.5) * degrees - 90).alias("lat"))
+
+
+def grid_assign(points: DataFrame, cells: DataFrame, x: str, y: str, degrees: float) -> DataFrame:
+    """Points with the land cell that holds them (null cell_id outside the grid's cells) and its centre."""
+    own = cells.withColumnsRenamed({"lon": "cell_lon", "lat": "cell_lat"})
+    return points.withColumn("_cell", grid_cell(F.col(x), F.col(y), degrees)).join(own, F.col("_cell") == own["cell_id"], "left").drop("_cell")

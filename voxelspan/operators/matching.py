@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
 import pandas as pd
@@ -29,33 +30,40 @@ def greedy_match(df: DataFrame, bin_column: str, id_column: str, height: str, hi
     chains = df.withColumn("_g", gap.cast("int")).withColumn("chain", F.sum("_g").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_g")
 
     both = chains.groupBy(bin_column, "chain").agg(F.max(high).alias("_x"), F.min(high).alias("_y")).where("_x = 1 and _y = 0").select(bin_column, "chain")
-    chains = chains.join(both, [bin_column, "chain"]).withColumn("_part", F.pmod("chain", F.lit(64)))
+    chains = chains.join(both, [bin_column, "chain"]).withColumn("_part", F.pmod("chain", F.lit(16)))
+
+    def free(next_: list[int], k: int) -> int:
+        while next_[k] != k:
+            next_[k] = next_[next_[k]]
+            k = next_[k]
+        return k
+
+    def match(names: list, heights: list, sides: list) -> list[tuple]:
+        """Matches of one chain, its rows in the order of height and id. ``up`` and ``down`` lead to the next low that is free; 0 and n + 1 stand for none."""
+        lows = [k for k, side in enumerate(sides) if side == 0]
+        at, n, out = [heights[k] for k in lows], len(lows), []
+        up, down = list(range(n + 2)), list(range(n + 2))
+        for name, h, side in zip(names, heights, sides, strict=True):
+            if side != 1:
+                continue
+            first = bisect_left(at, h) + 1  # lows are numbered from 1
+            i, j = free(down, first - 1), free(up, first)
+            options = [(h - at[i - 1], first - 1 - i, 1, i)] if i else []
+            options += [(at[j - 1] - h, j - first, 0, j)] if j <= n else []
+            if options and min(options)[0] < tolerance:
+                distance, _, _, k = min(options)
+                down[k], up[k] = k - 1, k + 1
+                out.append((name, names[lows[k - 1]], float(distance)))
+        return out
 
     def match_all(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([match(own) for _, own in rows.groupby("chain")], ignore_index=True)
-
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([height, id_column])
-        lows, highs = rows[rows[high] == 0], rows[rows[high] == 1]
-        at, free, out = lows[height].to_numpy(), [True] * len(lows), []
-        names = lows[id_column].to_numpy()
-        for name, h in zip(highs[id_column], highs[height], strict=True):
-            up = int(at.searchsorted(h))
-            down, best = up - 1, None
-            i, j = down, up
-            while i >= 0 and (not free[i]):
-                i -= 1
-            while j < len(at) and (not free[j]):
-                j += 1
-            options = [(h - at[i], down - i, 1, i)] if i >= 0 else []
-            options += [(at[j] - h, j - up, 0, j)] if j < len(at) else []
-            if options:
-                best = min(options)
-            if best and best[0] < tolerance:
-                free[best[3]] = False
-                out.append((name, names[best[3]], best[0]))
-        own = rows[bin_column].iloc[0]
-        return pd.DataFrame([(own, a, b, float(d)) for a, b, d in out], columns=[bin_column, "high_id", "low_id", "distance"]).astype({"high_id": object, "low_id": object, "distance": float})
+        rows = rows.sort_values(["chain", height, id_column])
+        names, heights, sides = (rows[c].tolist() for c in (id_column, height, high))
+        cuts = [0, *(rows["chain"].diff().to_numpy()[1:].nonzero()[0] + 1).tolist(), len(rows)]
+        found = [x for a, b in zip(cuts, cuts[1:], strict=False) for x in match(names[a:b], heights[a:b], sides[a:b])]
+        out = pd.DataFrame(found, columns=["high_id", "low_id", "distance"]).astype({"high_id": object, "low_id": object, "distance": float})
+        out.insert(0, bin_column, rows[bin_column].iloc[0])
+        return out
 
     kind = df.schema[bin_column].dataType.simpleString()
     name = df.schema[id_column].dataType.simpleString()

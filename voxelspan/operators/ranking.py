@@ -58,7 +58,8 @@ def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], accuracy
     first = df.agg(F.count(value).alias("n"), F.min(value).alias("a"), F.max(value).alias("b"), F.percentile_approx(value, near, accuracy).alias("q")).first()
     if not first["n"]:
         return []
-    brackets = [(first["a"] if near[2 * k] == 0 else first["q"][2 * k], first["b"] if near[2 * k + 1] == 1 else first["q"][2 * k + 1]) for k in range(len(shares))]
+    few = first["n"] <= 10 * accuracy  # a bracket then might hold no two neighbours
+    brackets = [(first["a"] if few or near[2 * k] == 0 else first["q"][2 * k], first["b"] if few or near[2 * k + 1] == 1 else first["q"][2 * k + 1]) for k in range(len(shares))]
     of = lambda k: (F.col(value) >= F.lit(brackets[k][0])) & (F.col(value) <= F.lit(brackets[k][1]))
     counts = df.agg(*(F.count_if(F.col(value) < F.lit(lo)).alias(f"below_{k}") for k, (lo, _) in enumerate(brackets)), *(F.count_if(of(k)).alias(f"in_{k}") for k in range(len(shares)))).first()
     at = [((first["n"] - 1) * s - counts[f"below_{k}"]) / max(1, counts[f"in_{k}"] - 1) for k, s in enumerate(shares)]

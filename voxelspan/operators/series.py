@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import interval_metrics, weighted_pool
+
 
 def complete_pixels(df: DataFrame, tile: str, pixel: str, year: str, value: str, least_share: float) -> DataFrame:
     """Rows of years with enough valid pixels in their tile, at pixels valid in all those years."""
@@ -104,3 +106,23 @@ def scene_counts(candidates: DataFrame, selected: DataFrame, tile: str, year: st
     a = candidates.groupBy(tile, year).agg(F.count_distinct(scene).alias("candidates"))
     b = selected.groupBy(tile, year).agg(F.count_distinct(scene).alias("selected"), F.avg(cloud).alias("mean_cloud"), F.max(cloud).alias("max_cloud"))
     return a.join(b, [tile, year], "left").fillna(0, ["selected"])
+
+
+def yearly_truth_metrics(df: DataFrame, tile: str, biome: str, year: str, level: str, y: str, lo: str, mid: str, hi: str) -> DataFrame:
+    """Interval metrics per tile, year and level, pooled by number of rows per year and level for each biome, and for all (pooled = 1)."""
+    tiles = interval_metrics(df, y, lo, hi, mid, [tile, biome, year, level])
+    return weighted_pool(tiles, [year, level], biome, ["coverage", "above", "below", "median_bias", "mae", "width"])
+
+
+def per_image_height_offsets(images: DataFrame, yearly: DataFrame, tile: str, pixel: str, year: str, image: str, value: str, least: float, share: float = 0.5) -> DataFrame:
+    """Offset of each image at the vegetated pixels of its tile, beside the offset of its year there.
+
+    Pixels are those of ``complete_pixels`` of the yearly values; vegetated ones have a median over years of ``least`` or more. An image's offset is the median of its values less these medians; equal_share is the share of its values that equal the year's.
+    """
+    whole = complete_pixels(yearly, tile, pixel, year, value, share)
+    medians = whole.groupBy(tile, pixel).agg(F.median(value).alias("_m")).where(F.col("_m") >= least)
+    base = whole.join(medians, [tile, pixel])
+    years = base.groupBy(tile, year).agg(F.median(F.col(value) - F.col("_m")).alias("year_offset"))
+    rows = images.where(F.col(value).isNotNull()).join(base.select(tile, pixel, year, F.col(value).alias("_y"), "_m"), [tile, pixel, year])
+    of = rows.groupBy(tile, year, image).agg(F.count("*").alias("n_pixels"), F.median(F.col(value) - F.col("_m")).alias("offset"), F.avg((F.col(value) == F.col("_y")).cast("double")).alias("equal_share"))
+    return of.join(years, [tile, year])

@@ -462,3 +462,16 @@ def _(t):
 def _(t):
     rows = _applied(t).distinct()
     return cp.check_offsets(rows, rows, ["biome", "tile", "y", "lo", "mid", "hi"], ["new_lo", "new_hi"])
+
+
+@query("c03_calibrate", "WITH {triples}, " + CAL + " SELECT tile, count(*) AS n, sum(cal_lo) AS cal_lo, sum(cal_hi) AS cal_hi FROM c GROUP BY tile", "cal_lo cal_hi", 2)
+def _(t):
+    rows = t.triples()
+    done = cp.calibrate(rows, cp.fit_offsets(rows, "cqr", ["biome"], "y", "lo", "mid", "hi", 0.1), "cqr", ["biome"], "lo", "mid", "hi")
+    return done.groupBy("tile").agg(F.count("*").alias("n"), F.sum("cal_lo").alias("cal_lo"), F.sum("cal_hi").alias("cal_hi"))
+
+
+@query("c06_pinball_loss", "WITH {triples} SELECT biome, avg(greatest((0.1 - 1) * (y - lo), 0.1 * (y - lo))) AS low, avg(greatest((0.5 - 1) * (y - mid), 0.5 * (y - mid))) AS middle, avg(greatest((0.9 - 1) * (y - hi), 0.9 * (y - hi))) AS high FROM triples GROUP BY biome", "low middle high")
+def _(t):
+    loss = lambda c, q: F.avg(C.pinball_loss(F.col("y"), F.col(c), q))
+    return t.triples().groupBy("biome").agg(loss("lo", 0.1).alias("low"), loss("mid", 0.5).alias("middle"), loss("hi", 0.9).alias("high"))

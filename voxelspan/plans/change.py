@@ -203,3 +203,29 @@ def _(t):
 def _(t):
     s = t.scenes()
     return se.scene_counts(s, s.where("cloud < 30"), "tile", "year", "scene", "cloud")
+
+
+@query("y03_yearly_truth_metrics", """WITH {fp}, v AS (SELECT tile, biome, year(ts) AS year, beam AS level, CAST(round(y) AS INT) AS y, CAST(q * 1500 AS INT) AS lo, CAST(q * 2000 AS INT) AS mid, CAST(q * 2500 AS INT) AS hi FROM fp),
+m AS (SELECT tile, biome, year, level, count(*) AS n, avg((y BETWEEN lo AND hi)::INT) AS coverage, avg((y > hi)::INT) AS above, avg((y < lo)::INT) AS below, median(mid - y) AS median_bias, avg(abs(mid - y)) AS mae, avg(hi - lo) AS width FROM v GROUP BY ALL)
+SELECT year, level, biome, CAST(grouping(biome) AS INT) AS pooled, CAST(sum(n) AS BIGINT) AS n, sum(coverage * n) / sum(n) AS coverage, sum(above * n) / sum(n) AS above, sum(below * n) / sum(n) AS below, sum(median_bias * n) / sum(n) AS median_bias, sum(mae * n) / sum(n) AS mae, sum(width * n) / sum(n) AS width FROM m GROUP BY GROUPING SETS ((year, level, biome), (year, level))""", "coverage above below median_bias mae width")
+def _(t):
+    v = t.fp().selectExpr("tile", "biome", "year(ts) as year", "beam as level", "cast(round(y) as int) as y", "cast(q * 1500 as int) as lo", "cast(q * 2000 as int) as mid", "cast(q * 2500 as int) as hi")
+    return se.yearly_truth_metrics(v, "tile", "biome", "year", "level", "y", "lo", "mid", "hi")
+
+
+@query("y11_per_image_height_offsets", """WITH e AS (SELECT user_id % 10 AS tile, user_id AS pixel, weekofyear(ts) AS year, dayofyear(ts) AS image, value FROM events), i AS (SELECT tile, pixel, year, image, max(value) AS value FROM e GROUP BY ALL), s AS (SELECT tile, pixel, year, max(value) AS value FROM e GROUP BY ALL),
+np AS (SELECT tile, count(DISTINCT pixel) AS p FROM s GROUP BY tile), y AS (SELECT tile, year FROM (SELECT tile, year, count(DISTINCT pixel) AS v FROM s GROUP BY ALL) JOIN np USING (tile) WHERE v >= 0.5 * p), k AS (SELECT s.* FROM s JOIN y USING (tile, year)),
+w AS (SELECT tile, pixel FROM (SELECT tile, pixel, count(DISTINCT year) AS c FROM k GROUP BY ALL) JOIN (SELECT tile, count(*) AS n FROM y GROUP BY tile) USING (tile) WHERE c = n), m AS (SELECT tile, pixel, median(value) AS m FROM k JOIN w USING (tile, pixel) GROUP BY ALL HAVING median(value) >= 50),
+b AS (SELECT k.tile, k.pixel, k.year, k.value AS yv, m FROM k JOIN m USING (tile, pixel)), o AS (SELECT tile, year, median(yv - m) AS year_offset FROM b GROUP BY ALL)
+SELECT i.tile, i.year, i.image, count(*) AS n_pixels, median(i.value - m) AS "offset", avg((i.value = yv)::INT) AS equal_share, any_value(year_offset) AS year_offset FROM i JOIN b ON i.tile = b.tile AND i.pixel = b.pixel AND i.year = b.year JOIN o ON o.tile = i.tile AND o.year = i.year GROUP BY i.tile, i.year, i.image""", '"offset" equal_share year_offset')
+def _(t):
+    """Days as images of weeks as years."""
+    e = t.events.selectExpr("user_id % 10 as tile", "user_id as pixel", "weekofyear(ts) as year", "dayofyear(ts) as image", "value")
+    images = e.groupBy("tile", "pixel", "year", "image").agg(F.max("value").alias("value"))
+    return se.per_image_height_offsets(images, e.groupBy("tile", "pixel", "year").agg(F.max("value").alias("value")), "tile", "pixel", "year", "image", "value", 50)
+
+
+@query("y07_undisturbed_mask", "SELECT l_suppkey AS tile, count(*) AS n, count(*) FILTER (l_linenumber <> 3 AND l_tax < 0.07 AND l_returnflag <> 'R') AS undisturbed FROM lineitem GROUP BY ALL")
+def _(t):
+    marks = t.lineitem.selectExpr("l_suppkey as tile", "cast(l_linenumber = 3 as int) as loss", "case when l_tax >= 0.07 then 1 end as fire", "cast(l_returnflag = 'R' as int) as gain")
+    return marks.groupBy("tile").agg(F.count("*").alias("n"), F.count_if(C.undisturbed(F.col("loss"), F.col("fire"), F.col("gain"))).alias("undisturbed"))

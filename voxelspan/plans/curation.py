@@ -261,3 +261,72 @@ def _(t):
 def _(t):
     s = t.lineitem.selectExpr("l_suppkey as tile", "l_orderkey", "l_linenumber")
     return jo.append_new(s.where("tile % 2 = 0"), s.where("tile % 2 = 1"), ["l_orderkey", "l_linenumber"]).groupBy("tile").agg(F.count("*").alias("n"))
+
+
+@query("f04_class_filter", "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY ALL")
+def _(t):
+    return cu.class_filter(t.customer, "c_mktsegment", ["BUILDING", "MACHINERY"]).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+
+
+@query("s01_read_tiles", "SELECT 'supplier' AS tile, s_nationkey, count(*) AS n FROM supplier GROUP BY ALL")
+def _(t):
+    """The tile is the stem of a file; of a table in many files, the folder's."""
+    rows = so.read_tiles(t.spark, f"{t.sf_dir}/supplier.parquet", ["s_nationkey"])
+    return rows.withColumn("tile", F.when(F.col("tile").startswith("part-"), "supplier").otherwise(F.col("tile"))).groupBy("tile", "s_nationkey").agg(F.count("*").alias("n"))
+
+
+@query("s10_select_columns", "SELECT s_nationkey, s_acctbal FROM supplier")
+def _(t):
+    return so.read_tiles(t.spark, f"{t.sf_dir}/supplier.parquet", ["s_nationkey", "s_acctbal"], tile=None)
+
+
+@query("s03_read_delimited_header", "SELECT CAST(s_suppkey AS DOUBLE) AS LFID, CASE WHEN s_suppkey % 5 <> 0 THEN CAST(CAST(floor(s_acctbal) AS BIGINT) AS DOUBLE) END AS ZH, CAST(s_nationkey AS DOUBLE) AS RH10 FROM supplier")
+def _(t):
+    path = t.scratch("delimited")
+    rows = t.supplier.selectExpr("s_nationkey as k", "1 as kind", "concat_ws('  ', s_suppkey, if(s_suppkey % 5 = 0, -999, cast(floor(s_acctbal) as bigint)), s_nationkey) as value")
+    heads = t.supplier.selectExpr("s_nationkey as k").distinct().selectExpr("k", "0 as kind", "'# LFID ZH  RH10' as value")
+    rows.union(heads).repartition("k").sortWithinPartitions("kind").select("value").write.text(path)
+    return so.read_delimited_header(t.spark, path).drop("source_file")
+
+
+@query("s04_read_metrics_csv", "SELECT CAST(s_suppkey AS DOUBLE) AS lfid, CAST(s_nationkey AS DOUBLE) AS fhd FROM supplier")
+def _(t):
+    path = t.scratch("metrics")
+    t.supplier.selectExpr("s_suppkey as `LFID `", "s_nationkey as FHD", "s_name as other").write.option("header", True).csv(path)
+    return so.read_metrics_csv(t.spark, path, ["lfid", "fhd"])
+
+
+@query("s05_read_geojson_csv", "SELECT CAST(s_suppkey AS VARCHAR) AS id, s_suppkey % 180 + 0.5 AS lon, s_nationkey + 0.25 AS lat FROM supplier", "lon lat")
+def _(t):
+    path = t.scratch("geojson")
+    point = "to_json(named_struct('type', 'Point', 'coordinates', array(s_suppkey % 180 + 0.5D, s_nationkey + 0.25D)))"
+    t.supplier.selectExpr("s_suppkey as id", f"{point} as geo").write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return so.read_geojson_csv(t.spark, path, "geo", r"part-(\d+)").drop("date")
+
+
+@query("s06_write_by_tile", "SELECT l_suppkey AS tile, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY ALL", "quantity")
+def _(t):
+    path = t.scratch("tiles")
+    so.write_by_tile(t.lineitem.selectExpr("l_suppkey as tile", "l_orderkey", "l_quantity"), path, "tile")
+    rows = t.spark.read.parquet(path)
+    return rows.groupBy(F.col("tile").cast("bigint").alias("tile"), ).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+@query("s07_consolidate_by_zone", "SELECT concat('Z', CAST(l_suppkey % 7 AS VARCHAR)) AS zone, count(*) AS n, count(DISTINCT l_suppkey) AS tiles FROM lineitem GROUP BY ALL")
+def _(t):
+    path = t.scratch("zones")
+    so.consolidate_by_zone(t.lineitem.selectExpr("concat('Z', l_suppkey % 7, '-', l_suppkey) as tile", "l_orderkey"), path, "tile", 2)
+    return t.spark.read.parquet(path).groupBy("zone").agg(F.count("*").alias("n"), F.count_distinct("tile").alias("tiles"))
+
+
+@query("s08_read_items_for_tiles", "SELECT concat('Z', CAST(l_suppkey % 7 AS VARCHAR), '-', CAST(l_suppkey AS VARCHAR)) AS tile, count(*) AS n FROM lineitem WHERE l_suppkey IN (1, 8, 9) GROUP BY ALL")
+def _(t):
+    path = t.scratch("items")
+    so.consolidate_by_zone(t.lineitem.selectExpr("concat('Z', l_suppkey % 7, '-', l_suppkey) as tile", "l_orderkey"), path, "tile", 2)
+    return so.read_items_for_tiles(t.spark, path, ["Z1-1", "Z1-8", "Z2-9"], "tile", 2).groupBy("tile").agg(F.count("*").alias("n"))
+
+
+@query("s11_dataset_manifest")
+def _(t):
+    """Files of a table with their SHA-256; a test holds it against hashlib."""
+    return so.dataset_manifest(t.spark, f"{t.sf_dir}/supplier.parquet").drop("modificationTime")

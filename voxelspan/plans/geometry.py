@@ -226,3 +226,23 @@ def _(t):
     p = t.points()
     right = p.where("nation < 10").selectExpr("lat", "lon", "nation as label")
     return jo.attach_by_coordinates(p.select("id", "lat", "lon"), right, "lat", "lon", "label").select("id", "label")
+
+
+@query("j11_attach_by_pixel", "WITH {pixels}, r AS (SELECT o_orderkey % 100 AS row, o_custkey % 100 AS col, min({{'price': o_totalprice, 'status': o_orderstatus}}) AS r FROM orders WHERE o_orderkey % 100 < 80 GROUP BY ALL) SELECT p.row, p.col, p.value, r.price, r.status FROM pixels p LEFT JOIN (SELECT row, col, r.price AS price, r.status AS status FROM r) r ON p.row = r.row AND p.col = r.col")
+def _(t):
+    right = t.orders.where("o_orderkey % 100 < 80").selectExpr("o_orderkey % 100 as row", "o_custkey % 100 as col", "o_totalprice as price", "o_orderstatus as status")
+    return jo.attach_by_pixel(t.pixels().select("row", "col", "value"), right, ["row", "col"], ["price", "status"])
+
+
+@query("r21_pixel_biome", "WITH {pixels}, {boxes}, p AS (SELECT row, col, col * 3.6 - 178.2 AS lon, row * 1.8 - 89.1 AS lat FROM pixels) SELECT row, col, coalesce(min(tile + 1), 0) AS biome FROM p LEFT JOIN boxes ON lon >= x0 AND lon < x1 AND lat >= y0 AND lat < y1 GROUP BY row, col")
+def _(t):
+    px = t.pixels().selectExpr("row", "col", "cast(col * 3.6 - 178.2 as double) as lon", "cast(row * 1.8 - 89.1 as double) as lat")
+    biomes = t.boxes().selectExpr("tile + 1 as biome", "ring")
+    return jo.pixel_biome(px, biomes, "lon", "lat", "biome", "ring", 10.0, ["row", "col"]).select("row", "col", "biome")
+
+
+@query("j21_grid_assign", "WITH {points}, {boxes}, c AS (SELECT DISTINCT i * 90 + j AS cell_id, (i + 0.5) * 2 - 180 AS lon, (j + 0.5) * 2 - 90 AS lat FROM boxes, range(180) a(i), range(90) b(j) WHERE x0 < 150 AND i BETWEEN greatest(floor((x0 + 180) / 2), 0) AND floor((x1 + 180) / 2) AND j BETWEEN greatest(floor((y0 + 90) / 2), 0) AND floor((y1 + 90) / 2)) SELECT id, c.cell_id, c.lon AS cell_lon, c.lat AS cell_lat FROM points p LEFT JOIN c ON c.cell_id = floor((p.lon + 180) / 2) * 90 + floor((p.lat + 90) / 2)", "cell_lon cell_lat")
+def _(t):
+    """Points in the cells, two degrees wide, that touch a box (land)."""
+    cells = jo.grid_cells(t.boxes().where("x0 < 150"), BOX, 2.0)
+    return jo.grid_assign(t.points().select("id", "lon", "lat"), cells, "lon", "lat", 2.0).select("id", "cell_id", "cell_lon", "cell_lat")

@@ -172,6 +172,13 @@ def _(t):
     return res.groupBy("biome").agg(F.count("*").alias("n"), F.corr("residual", "slope").alias("r"))
 
 
+@query("b05_image_bootstrap")
+def _(t):
+    """Median per replicate and week of images (days) drawn with replacement; a test holds it against a plain loop."""
+    e = t.events.selectExpr("user_id as pixel", "weekofyear(ts) as year", "dayofyear(ts) as image", "value").groupBy("pixel", "year", "image").agg(F.max("value").alias("value"))
+    return rs.image_bootstrap(e, "pixel", "year", "image", "value", 3)
+
+
 @query("w14_points_in_polygons")
 def _(t):
     """Points drawn in each box; their number and place are checked in the tests."""
