@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; ``run`` writes every stage's result
 as Parquet in the shared folder and reads it again, so a lost executor costs no more than the stage at hand.
+
+All stages but the last return the columns they get, whatever else these are named; an empty table gives an empty one; long texts
+are read whole. What each does with null, blank, equal and repeated rows stands at the stage.
 """
 
 from __future__ import annotations
@@ -15,27 +18,42 @@ from voxelspan.llm.shared import stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the likelihood ratio accept."""
+    """Documents that the base rules and the likelihood ratio accept.
+
+    Null and blank texts have no words and go; repeated rows and rows without an id are judged each for itself; a score equal to the threshold stays.
+    """
     return quality.judge(docs, table(spark, sf_dir, "labels")).where(F.col("kept")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: that with the smallest id."""
+    """One document of each near-duplicate class: that with the smallest id.
+
+    Texts without words, null ones among them, are classes of their own and stay; of rows with one id one stays, by a hash of its text; rows without an id stay.
+    """
     return near_dup.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item within the error budget."""
+    """Documents that hold no benchmark item within the error budget.
+
+    Null and blank texts hold none and stay; a distance equal to the budget counts as held; repeated rows go or stay together.
+    """
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with what the secret scan found replaced by a mark."""
+    """All documents, with what the secret scan found replaced by a mark.
+
+    A null text stays null; of findings that overlap the first starts the mark and the last ends it; repeated rows are redacted alike.
+    """
     return secret_scan.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, placed in sequences."""
+    """Pieces of all documents, placed in sequences.
+
+    A null or empty text is one piece, the end id; repeated rows and rows without an id are packed each for itself.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1)
 
 
