@@ -693,3 +693,25 @@ def test_pipeline_stages_take_effect(spark):
     assert safe.keys() == clean.keys() and not any(secret_scan.base_spans(t.replace("[SECRET]", "")) for t in safe.values())
     check_packing(kept["best-fit packing"].collect())
     assert {r["doc_id"] for r in kept["best-fit packing"].collect()} == set(safe)
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Null, empty, blank, long, equal and repeated rows, rows without an id, clashing columns, and empty tables."""
+    docs = odd_docs(spark)
+    ids = lambda df: sorted((x["doc_id"] for x in df.select("doc_id").collect()), key=lambda d: (d is None, d or 0))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF).persist()
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        if name == "quality rules":
+            assert out.columns == docs.columns and set(ids(out)) <= {3, 4, 5, None}
+        elif name == "near duplicates":
+            assert out.columns == docs.columns and ids(out) == [0, 1, 2, 3, 4, 5, 6, 7, None]
+            again = stage(spark, docs.repartition(3), SF)
+            assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
+        elif name == "best-fit packing":
+            check_packing(out.collect())
+            assert set(ids(out)) == {0, 1, 2, 3, 4, 5, 6, 7, None}
+        else:
+            assert out.columns == docs.columns and ids(out) == ids(docs)
+            assert [x["text"] for x in out.where("doc_id = 0").collect()] == [None]
+        out.unpersist()
