@@ -207,15 +207,14 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = held.union(held.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # stored, as Spark can split the many rows of a hub over tasks only where both sides of a join come from shuffles of their own
-        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))  # neighbours above go to the least
-        large = stored(large.where("a <> b").distinct(), "large")
-        low = stored(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+        large = large.where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         new = stored(small.where("a <> b").distinct(), "edges")
         now = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003)).first()
-        drop_stored(held, least, large, low)
+        drop_stored(held)
         held = new
         if now == mark:
             return held.select(F.col("a").alias("node"), F.col("b").alias("class"))
