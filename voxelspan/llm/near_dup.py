@@ -38,6 +38,8 @@ BANDS, ROWS = 32, 4
 SIZE = BANDS * ROWS
 LEAST = 0.62
 BLOCK = 256
+#: Keys over which the links of one node are dealt.
+SALTS = 64
 WORD = re.compile(r"[^\W_]+")
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -201,17 +203,23 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long").distinct()
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with ``m``, the least b of their a. The rows of one a are dealt over ``SALTS`` keys, so that a hub is not one task."""
+    dealt = edges.withColumn("_s", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    part = dealt.groupBy("a", "_s").agg(F.min("b").alias("m"))
+    whole = part.groupBy("a").agg(F.min("m").alias("m"), F.collect_list("_s").alias("_s"))  # at most SALTS rows of one a
+    return dealt.join(whole.select("a", "m", F.explode("_s").alias("_s")), ["a", "_s"]).select("a", "b", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, class): smallest node of each connected component of edges (a, b), by large and small stars."""
     held = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     while True:
         both = held.union(held.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))  # neighbours above go to the least
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        large = _with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()  # neighbours above go to the least
+        ends = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))
+        small = _with_least(large).select(ends.alias("_e")).select("_e.*")
         new = stored(small.where("a <> b").distinct(), "edges")
         now = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003)).first()
         drop_stored(held)
