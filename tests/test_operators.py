@@ -17,6 +17,7 @@ from voxelspan.operators import joins as jo
 from voxelspan.operators import matching as ma
 from voxelspan.operators import metrics as m
 from voxelspan.operators import ranking as rk
+from voxelspan.operators import regression as re_
 from voxelspan.operators import resampling as rs
 from voxelspan.plans import catalogue
 from voxelspan.sources import tiles as so
@@ -271,6 +272,31 @@ def test_diversity_of_edge_profiles(spark):
     assert got[5]["fhd"] == pytest.approx(1.5 * math.log(2)) and got[5]["enl2d"] == pytest.approx(16 / 6) and got[5]["canopy_ratio"] == pytest.approx(58 / 59)
 
 
+def test_random_intercept_matches_dense_matrices(spark):
+    r = np.random.default_rng(4)
+    band = r.integers(0, 6, 90)
+    x, g = r.normal(50, 9, 90), r.integers(0, 2, 90)
+    y = 3 + 1.5 * g + 0.2 * x + r.normal(0, 2, 6)[band] + r.normal(0, 1, 90)
+    rows = [(float(a), int(b), float(c), int(d), "k") for a, b, c, d in zip(y, g, x, band, strict=True)] + [(None, 1, 2.0, 3, "k"), (1.0, 1, None, 3, "k")]
+    df = spark.createDataFrame(rows, "y double, g int, x double, band int, cell string")
+    got = {t["term"]: t for t in re_.random_intercept_fit(df, "y", ["g", "x"], "band", levels={"cell": ["k", "m"]}).collect()}
+    assert set(got) == {"g", "x"} and got["g"]["n"] == 90 and got["g"]["bands"] == 6
+    design, same = np.column_stack([np.ones(90), g, x]), (band[:, None] == band[None, :]).astype(float)
+
+    def dense(ratio):
+        v = np.linalg.inv(np.eye(90) + ratio * same)
+        a = design.T @ v @ design
+        beta = np.linalg.solve(a, design.T @ v @ y)
+        s2 = (y - design @ beta) @ v @ (y - design @ beta) / 87
+        return 87 * np.log(s2) - np.linalg.slogdet(v)[1] + np.linalg.slogdet(a)[1], beta, np.sqrt(s2 * np.diag(np.linalg.inv(a)))
+
+    crit, beta, se = dense(got["g"]["ratio"])
+    assert crit <= min(dense(k)[0] for k in np.exp(np.linspace(-8, 5, 80))) + 1e-9
+    assert np.allclose([got["g"]["coef"], got["x"]["coef"]], beta[1:]) and np.allclose([got["g"]["se"], got["x"]["se"]], se[1:])
+    one = re_.random_intercept_fit(df.where("band = 1"), "y", ["g", "x"], "band").collect()
+    assert {t["ratio"] for t in one} == {0.0} and re_.random_intercept_fit(df.limit(0), "y", ["g", "x"], "band").count() == 0
+
+
 @pytest.mark.parametrize("name", ["y12_same_season_offset", "j17_scene_candidates", "j28_expanding_window_scenes", "t01_paired_wilcoxon", "t02_rank_sum", "t04_mcnemar", "t03_hodges_lehmann", "t03_pseudomedian", "f08_decode_shot_id", "r21_pixel_biome", "j11_attach_by_pixel", "j21_grid_assign", "y03_yearly_truth_metrics", "y11_per_image_height_offsets", "s03_read_delimited_header", "s05_read_geojson_csv", "s06_write_by_tile", "s08_read_items_for_tiles", "w03_global_residual_terciles", "a08_equal_count_bins"])
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
 def test_sql_of_this_round(spark, name):

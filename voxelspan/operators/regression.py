@@ -169,6 +169,79 @@ def oof_residual_corr(df: DataFrame, targets: tuple[str, str], x: str, tile: str
     return out
 
 
+def random_intercept_fit(df: DataFrame, y: str, terms: Sequence[str], band: str, by: Sequence[str] = (), levels: dict[str, Sequence] | None = None) -> DataFrame:
+    """Per fit ``by`` and term: coefficient of y on the terms with a random intercept per band (REML), se, normal 95 % interval and p.
+
+    levels: categories and their values, each but the first an indicator; terms without spread are left out. ratio: variance of the
+    intercepts over that of the residuals; with one band it is 0 and the fit is least squares. Rows with a null in any column are left out.
+
+    Spark sums products of the centred columns per band; a task then holds one row per band of a fit, and searches the ratio.
+    """
+    import pandas as pd
+
+    wide = df.withColumns({f"{c}={v}": (F.col(c) == v).cast("double") for c, values in (levels or {}).items() for v in list(values)[1:]})
+    names = [*terms, *(c for c in wide.columns if c not in df.columns)]
+    keys = list(by)
+    given = wide.dropna(subset=[y, band, *names, *keys]).select(*keys, F.col(band).alias("_band"), *(F.col(f"`{c}`").cast("double").alias(f"_x{j}") for j, c in enumerate([*names, y])))
+    columns = [f"_x{j}" for j in range(len(names) + 1)]
+    means = given.groupBy(*keys).agg(*(F.avg(c).alias(f"_m{c}") for c in columns))
+    rows = given.join(means, keys) if keys else given.crossJoin(F.broadcast(means))  # one row
+    rows = rows.withColumns({c: F.col(c) - F.col(f"_m{c}") for c in columns})
+    pairs = [(j, k) for j in range(len(columns)) for k in range(j, len(columns))]
+    sums = rows.groupBy(*keys, "_band").agg(F.count("*").cast("double").alias("_n"), *(F.sum(c).alias(c) for c in columns), *(F.sum(F.col(columns[j]) * F.col(columns[k])).alias(f"_g{j}_{k}") for j, k in pairs))
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys), "term string", "coef double", "se double", "low double", "high double", "p double", "ratio double", "n bigint", "bands bigint"])
+
+    def fit(held: pd.DataFrame) -> pd.DataFrame:
+        found = [(*(held[k].iloc[0] for k in keys), *x) for x in reml(names, held["_n"].to_numpy(), held[columns].to_numpy(), {(j, k): held[f"_g{j}_{k}"].sum() for j, k in pairs})]
+        return pd.DataFrame(found, columns=[*keys, "term", "coef", "se", "low", "high", "p", "ratio", "n", "bands"])
+
+    return sums.withColumn("_all", F.lit(0)).groupBy("_all", *keys).applyInPandas(fit, schema)
+
+
+def reml(names: Sequence[str], sizes, sums, products: dict[tuple[int, int], float]) -> list[tuple]:
+    """Terms of a random-intercept fit from rows per band, sums per band of the centred columns (y last) and their products over all bands."""
+    import math
+
+    import numpy as np
+
+    n, y = sizes.sum(), len(names)
+    kept = [j for j in range(y) if products[j, j] > 1e-12 * n]
+    s = np.column_stack([sizes, sums[:, kept]])
+    xx = np.zeros((len(kept) + 1,) * 2)
+    xx[0, 0] = n
+    for a, j in enumerate(kept):
+        for b, k in enumerate(kept):
+            xx[a + 1, b + 1] = products[min(j, k), max(j, k)]
+    scale = np.sqrt(np.diag(xx))
+    s, xx = s / scale, xx / np.outer(scale, scale)
+    xy, free = np.array([0.0, *(products[j, y] for j in kept)]) / scale, n - len(kept) - 1
+    if free <= 0:
+        return []
+
+    def solved(ratio: float) -> tuple:
+        w = ratio / (1 + sizes * ratio)
+        a = xx - (s * w[:, None]).T @ s
+        b = xy - s.T @ (w * sums[:, y])
+        beta = np.linalg.solve(a, b)
+        variance = max(products[y, y] - float(w @ sums[:, y] ** 2) - float(b @ beta), 1e-300) / free
+        return free * math.log(variance) + float(np.log1p(sizes * ratio).sum()) + np.linalg.slogdet(a)[1], beta, variance, a
+
+    ratio = 0.0
+    if len(sizes) > 1:
+        logs = np.linspace(-18.0, 9.0, 109)
+        at = int(np.argmin([solved(math.exp(x))[0] for x in logs]))
+        low, high = logs[max(at - 1, 0)], logs[min(at + 1, len(logs) - 1)]
+        for _ in range(60):
+            a, b = low + (high - low) * 0.382, low + (high - low) * 0.618
+            low, high = (low, b) if solved(math.exp(a))[0] < solved(math.exp(b))[0] else (a, high)
+        best = math.exp((low + high) / 2)
+        ratio = best if solved(best)[0] < solved(0.0)[0] else 0.0
+    _, beta, variance, a = solved(ratio)
+    se = np.sqrt(variance * np.diag(np.linalg.inv(a))) / scale
+    beta = beta / scale
+    return [(names[j], float(beta[i + 1]), float(se[i + 1]), float(beta[i + 1] - 1.959963985 * se[i + 1]), float(beta[i + 1] + 1.959963985 * se[i + 1]), math.erfc(abs(beta[i + 1]) / se[i + 1] / math.sqrt(2)) if se[i + 1] > 0 else 0.0, ratio, int(n), len(sizes)) for i, j in enumerate(kept)]
+
+
 def shape_baselines(df: DataFrame, target: str, x: str, tile: str, folds: int) -> DataFrame:
     """RMSE out of fold of the mean, a linear model and a forest."""
     from pyspark.ml.regression import LinearRegression, RandomForestRegressor

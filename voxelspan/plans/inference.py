@@ -117,6 +117,14 @@ def _(t):
     return re_.sens_residual_corr(t.fp(), "y", "slope", "q", "biome")
 
 
+@query("g09_random_intercept_fit")
+def _(t):
+    """A test holds it against dense matrices."""
+    f = t.fp().select("y", (F.col("flag") == "R").cast("int").alias("high"), "q", "status", "biome")
+    fits = re_.random_intercept_fit(f, "y", ["high", "q"], "biome", ["status"])
+    return fits.select("status", "term", *(F.round(c, 3).alias(c) for c in ("coef", "se", "low", "high")), F.round("p", 4).alias("p"), "n", "bands")
+
+
 @query("g10_ratio_decomposition", "WITH {fp}, m AS (SELECT biome, avg(y) FILTER (flag = 'R') AS na, avg(p) FILTER (flag = 'R') AS da, avg(y) FILTER (flag <> 'R') AS nb, avg(p) FILTER (flag <> 'R') AS db FROM fp GROUP BY biome), c AS (SELECT biome, ln(na / nb) AS num, -ln(da / db) AS den FROM m) SELECT biome, num + den AS contrast, num / (num + den) AS numerator_share, den / (num + den) AS denominator_share FROM c", "contrast numerator_share denominator_share")
 def _(t):
     of = lambda c, hit: F.avg(F.when(hit, F.col(c)))
