@@ -297,7 +297,7 @@ def test_random_intercept_matches_dense_matrices(spark):
     assert {t["ratio"] for t in one} == {0.0} and re_.random_intercept_fit(df.limit(0), "y", ["g", "x"], "band").count() == 0
 
 
-@pytest.mark.parametrize("name", ["y12_same_season_offset", "j17_scene_candidates", "j28_expanding_window_scenes", "t01_paired_wilcoxon", "t02_rank_sum", "t04_mcnemar", "t03_hodges_lehmann", "t03_pseudomedian", "f08_decode_shot_id", "r21_pixel_biome", "j11_attach_by_pixel", "j21_grid_assign", "y03_yearly_truth_metrics", "y11_per_image_height_offsets", "s03_read_delimited_header", "s05_read_geojson_csv", "s06_write_by_tile", "s08_read_items_for_tiles", "w03_global_residual_terciles", "a08_equal_count_bins"])
+@pytest.mark.parametrize("name", ["y12_same_season_offset", "j17_scene_candidates", "j28_expanding_window_scenes", "t01_paired_wilcoxon", "t02_rank_sum", "t04_mcnemar", "t03_hodges_lehmann", "t03_pseudomedian", "f08_decode_shot_id", "r21_pixel_biome", "j11_attach_by_pixel", "j21_grid_assign", "y03_yearly_truth_metrics", "y13_growing_anomaly", "y13_weather_anomalies", "y11_per_image_height_offsets", "s03_read_delimited_header", "s05_read_geojson_csv", "s06_write_by_tile", "s08_read_items_for_tiles", "w03_global_residual_terciles", "a08_equal_count_bins"])
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
 def test_sql_of_this_round(spark, name):
     compared(spark, name)

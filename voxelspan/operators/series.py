@@ -101,6 +101,20 @@ def climatology_anomaly(df: DataFrame, tile: str, year: str, doy: str, value: st
     return df.join(base, [tile, doy]).groupBy(tile, year).agg(F.avg(F.col(value) - F.col("_m")).alias("anomaly"))
 
 
+def growing_anomaly(df: DataFrame, tile: str, year: str, doy: str, value: str, growing: Column) -> DataFrame:
+    """Per tile and year the median over growing composites of value less the median over years of the same tile and day of year."""
+    base = df.groupBy(tile, doy).agg(F.median(value).alias("_m"))
+    return df.where(growing).join(base, [tile, doy]).groupBy(tile, year).agg(F.median(F.col(value) - F.col("_m")).alias("anomaly"), F.count("*").alias("n"))
+
+
+def weather_anomalies(df: DataFrame, tile: str, year: str, growing: Column, totals: Sequence[str] = (), means: Sequence[str] = ()) -> DataFrame:
+    """Growing months per tile and year: totals in percent above the tile's mean over years, means less the tile's mean over years."""
+    years = df.where(growing).groupBy(tile, year).agg(*(F.sum(c).alias(c) for c in totals), *(F.avg(c).alias(c) for c in means))
+    w = Window.partitionBy(tile)  # a row per year
+    percent = [(100 * (F.try_divide(F.col(c), F.avg(c).over(w)) - 1)).alias(f"{c}_percent") for c in totals]
+    return years.select(tile, year, *percent, *((F.col(c) - F.avg(c).over(w)).alias(f"{c}_anomaly") for c in means))
+
+
 def scene_counts(candidates: DataFrame, selected: DataFrame, tile: str, year: str, scene: str, cloud: str) -> DataFrame:
     """Candidate and selected scenes per tile and year, and the clouds of the selected."""
     a = candidates.groupBy(tile, year).agg(F.count_distinct(scene).alias("candidates"))

@@ -199,6 +199,19 @@ def _(t):
     return se.climatology_anomaly(t.scenes().withColumn("d", F.expr("doy div 30")), "tile", "year", "d", "value")
 
 
+GROWING = "month BETWEEN tile % 4 + 1 AND tile % 4 + 6"
+
+
+@query("y13_growing_anomaly", "WITH {scenes}, s AS (SELECT tile, year, doy // 30 AS d, month(day) AS month, value FROM scenes), m AS (SELECT tile, d, median(value) AS m FROM s GROUP BY ALL) SELECT s.tile, year, median(value - m) AS anomaly, count(*) AS n FROM s JOIN m ON m.tile = s.tile AND m.d = s.d WHERE " + GROWING.replace("tile", "s.tile") + " GROUP BY ALL", "anomaly")
+def _(t):
+    return se.growing_anomaly(t.scenes().withColumns({"d": F.expr("doy div 30"), "month": F.month("day")}), "tile", "year", "d", "value", F.expr(GROWING))
+
+
+@query("y13_weather_anomalies", "WITH {scenes}, y AS (SELECT tile, year, sum(value) AS v, avg(cloud) AS c FROM (SELECT *, month(day) AS month FROM scenes) WHERE " + GROWING + " GROUP BY ALL) SELECT tile, year, 100 * (v / avg(v) OVER (PARTITION BY tile) - 1) AS value_percent, c - avg(c) OVER (PARTITION BY tile) AS cloud_anomaly FROM y", "value_percent cloud_anomaly")
+def _(t):
+    return se.weather_anomalies(t.scenes().withColumn("month", F.month("day")), "tile", "year", F.expr(GROWING), ["value"], ["cloud"])
+
+
 @query("y14_scene_counts", "WITH {scenes}, a AS (SELECT tile, year, count(DISTINCT scene) AS candidates FROM scenes GROUP BY ALL), b AS (SELECT tile, year, count(DISTINCT scene) AS selected, avg(cloud) AS mean_cloud, max(cloud) AS max_cloud FROM scenes WHERE cloud < 30 GROUP BY ALL) SELECT tile, year, candidates, coalesce(selected, 0) AS selected, mean_cloud, max_cloud FROM a LEFT JOIN b USING (tile, year)", "mean_cloud max_cloud")
 def _(t):
     s = t.scenes()
