@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, langid, near_dup, packing, quality, rans, secret_scan, warc
+from . import chat, decontaminate, html_text, langid, near_dup, packing, quality, rans, secret_scan, simhash, warc
 from .shared import table
 
 
@@ -66,6 +66,10 @@ def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.token_ids_query(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 _ESCAPED = "replace({x}, '\\', '\\\\')"
 for _c in chat.CONTROL:
     _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}\\{_c[1:]}')"
