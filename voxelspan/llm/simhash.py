@@ -227,7 +227,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE,
     """(doc_id, fingerprint as 16 hexadecimal digits, component_id), one row per row of ``docs(doc_id, text)``."""
     rows = stored(fingerprints(docs, width), "simhash")
     prints = stored(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fingerprints")
-    grown = components(links(prints.select("fingerprint"), radius, block)).withColumnRenamed("node", "fingerprint")
+    grown = components(links(prints.select("fingerprint"), radius, block)).select(F.col("node").alias("fingerprint"), "class")
+    grown = grown.union(grown.select("class", "class").distinct())  # the class's own node has no row
     linked = _least_of_class(prints.join(grown, "fingerprint"))
     known = stored(prints.join(linked, "fingerprint", "left").select("fingerprint", "n", F.coalesce("component_id", "least").alias("component_id")), "components")
     often = F.broadcast(known.where(F.col("n") > hot).drop("n"))  # at most a row for ``hot`` rows
