@@ -116,9 +116,9 @@ def squares(points: DataFrame, centre: list[int]) -> dict[tuple[int, int], int]:
 
 
 def fit(points: DataFrame) -> Model | None:
-    """Model of the rows of ``points(x)``, of which a distinct one counts once; None without rows."""
+    """Model of the rows of ``points(x)``, of which a distinct one counts once; None without rows or dimensions."""
     n, sums = totals(points)
-    if not n:
+    if not sums:
         return None
     size = len(sums)
     centre = [(2 * s + n) // (2 * n) for s in sums]
@@ -196,7 +196,7 @@ def whitened_components(df: DataFrame, name: str, vector: str, k: int = COMPONEN
     points = distinct_points(rows)
     model = fit(points)
     out = ["component int", "n long", "deviation long", "whitened double", "explained double", "identity_error double"]
-    if model is None or not model.sums:
+    if model is None:
         return rows.select(name, *(F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in out)).where(F.lit(False))
     trace, error = float(np.trace(model.covariance)), identity_error(points, model, k)
     shares = [float(e) / trace if trace > 0 else None for e in model.values[:k]]
