@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import PAIRS, pair_order_statistic
+
 
 def points_in_boxes(boxes: DataFrame, name: str, box: Sequence[str], n: int, seed: str) -> DataFrame:
     """n uniform points in each box, from md5 so that they do not depend on partitions."""
@@ -70,31 +72,16 @@ def greedy_match(df: DataFrame, bin_column: str, id_column: str, height: str, hi
     return chains.groupBy(bin_column, "_part").applyInPandas(match_all, f"{bin_column} {kind}, high_id {name}, low_id {name}, distance double")
 
 
-def _slots(df: DataFrame, sizes: DataFrame, by: str, id_column: str) -> DataFrame:
-    """Rows with the slot, of their group's number of slots, that a hash of the id gives."""
-    return df.join(sizes, by).withColumn("_slot", F.pmod(F.xxhash64(F.lit("hl"), id_column), F.col("_m")))
-
+def hodges_lehmann(a: DataFrame, b: DataFrame, value: str, by: str, pairs: int = PAIRS) -> DataFrame:
+    """Median of the cross differences a - b per group, exactly, with their number. Nulls don't count; groups with an empty side have no row."""
+    return pair_order_statistic(a, b, value, by, pairs=pairs).select(F.col("g").alias(by), F.col("middle").alias("shift"), "pairs")
 
-def hodges_lehmann(a: DataFrame, b: DataFrame, value: str, by: str, id_column: str, pairs: int = 4_000_000) -> DataFrame:
-    """Median of the cross differences a - b per group.
 
-    Exact for groups of at most ``pairs`` pairs. Rows of larger ones fall into slots by a hash of their id, and those of one slot meet: each pair has the same chance, all rows count, and about ``pairs`` pairs come of it.
-    """
-    a, b = (df.where(F.col(value).isNotNull()).select(by, value, F.col(id_column).cast("string").alias("_id")) for df in (a, b))
-    n = lambda df, c: df.groupBy(by).agg(F.count("*").alias(c))
-    sizes = n(a, "_x").join(n(b, "_y"), by).select(by, F.greatest(F.ceil(F.col("_x") * F.col("_y") / pairs), F.lit(1)).alias("_m"))
-    met = _slots(a, sizes, by, "_id").join(_slots(b, sizes, by, "_id").select(by, "_slot", F.col(value).alias("_v")), [by, "_slot"])
-    return met.groupBy(by).agg(F.median(F.col(value) - F.col("_v")).alias("shift"), F.count("*").alias("pairs"))
-
-
-def pseudomedian(df: DataFrame, value: str, by: str, id_column: str, pairs: int = 4_000_000) -> DataFrame:
-    """Median of the Walsh averages (x_i + x_j) / 2, i <= j, per group: the one-sample Hodges-Lehmann estimate. Larger groups as in ``hodges_lehmann``."""
-    rows = df.where(F.col(value).isNotNull()).select(by, value, F.col(id_column).cast("string").alias("_id"))
-    n = F.count("*")
-    sizes = rows.groupBy(by).agg(F.greatest(F.ceil(n * (n + 1) / 2 / pairs), F.lit(1)).alias("_m"))
-    own = _slots(rows, sizes, by, "_id")
-    met = own.join(own.select(by, "_slot", F.col(value).alias("_v"), F.col("_id").alias("_j")), [by, "_slot"]).where("_id <= _j")
-    return met.groupBy(by).agg(F.median((F.col(value) + F.col("_v")) / 2).alias("pseudomedian"), F.count("*").alias("pairs"))
+def pseudomedian(df: DataFrame, value: str, by: str, pairs: int = PAIRS) -> DataFrame:
+    """Median of the Walsh averages (x_i + x_j) / 2, i <= j, per group, exactly: the one-sample Hodges-Lehmann estimate. Nulls don't count."""
+    rows = df.select(by, F.col(value).cast("double").alias(value))
+    other = rows.select(by, (-F.col(value)).alias(value))
+    return pair_order_statistic(rows, other, value, by, own=True, pairs=pairs).select(F.col("g").alias(by), (F.col("middle") / 2).alias("pseudomedian"), "pairs")
 
 
 def vertical_profiles(df: DataFrame, id_column: str, profile: str, step: float) -> DataFrame:

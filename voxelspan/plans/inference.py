@@ -201,14 +201,14 @@ def _(t):
 
 @query("t03_hodges_lehmann", "WITH a AS (SELECT s_nationkey % 5 AS g, s_acctbal AS v FROM supplier), b AS (SELECT c_nationkey % 5 AS g, c_acctbal AS v FROM customer) SELECT g, median(a.v - b.v) AS shift, count(*) AS pairs FROM a JOIN b USING (g) GROUP BY g", "shift")
 def _(t):
-    a = t.supplier.selectExpr("s_nationkey % 5 as g", "s_acctbal as v", "s_suppkey as id")
-    b = t.customer.selectExpr("c_nationkey % 5 as g", "c_acctbal as v", "c_custkey as id")
-    return ma.hodges_lehmann(a, b, "v", "g", "id")
+    a = t.supplier.selectExpr("s_nationkey % 5 as g", "s_acctbal as v")
+    b = t.customer.selectExpr("c_nationkey % 5 as g", "c_acctbal as v")
+    return ma.hodges_lehmann(a, b, "v", "g")
 
 
 @query("t03_pseudomedian", "WITH a AS (SELECT c_nationkey AS g, c_acctbal AS v, CAST(c_custkey AS VARCHAR) AS id FROM customer) SELECT g, median((x.v + y.v) / 2) AS pseudomedian, count(*) AS pairs FROM a x JOIN a y USING (g) WHERE x.id <= y.id GROUP BY g", "pseudomedian")
 def _(t):
-    return ma.pseudomedian(t.customer.selectExpr("c_nationkey as g", "c_acctbal as v", "c_custkey as id"), "v", "g", "id")
+    return ma.pseudomedian(t.customer.selectExpr("c_nationkey as g", "c_acctbal as v"), "v", "g")
 
 
 @query("r03_vertical_profile")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_path
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 DIGITS = 6
@@ -45,13 +45,7 @@ class Tables:
 
     def scratch(self, name: str) -> str:
         """A new path for files in the folder that driver and executors share (``spark.checkpoint.dir``; one process alone may go without)."""
-        base = self.spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not self.spark.conf.get("spark.master", "").startswith("local") or "cluster" in self.spark.conf.get("spark.master", ""):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-            self.spark.conf.set("spark.checkpoint.dir", base)
-        return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        return scratch_path(self.spark, name)
 
     def fp(self) -> DataFrame:
         """Footprints with a truth, two predictions, sensitivity and slope."""
