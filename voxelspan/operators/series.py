@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,20 +81,76 @@ def per_image_offsets(df: DataFrame, image: str, pixel: str, value: str, kind: s
     return rows.groupBy(image).agg(F.count("*").alias("n"), *(of(k, n) for k, n in least.items()))
 
 
+class RankIndex:
+    """Counts by value rank and place of a sequence: for any stretch of it, how many of its ranks have a bit set, bit by bit from the highest.
+
+    Each level holds the sequence sorted by the bits before it, and running counts of the zeros of its own bit; memory is the sequence times the bits of a rank.
+    """
+
+    def __init__(self, ranks: np.ndarray, bits: int):
+        self.bits, self.zeros = bits, []
+        for bit in range(bits - 1, -1, -1):
+            one = (ranks >> bit) & 1
+            self.zeros.append(np.concatenate([[0], np.cumsum(1 - one)]))
+            ranks = ranks[np.argsort(one, kind="stable")]
+
+    def split(self, level: int, at: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Number of zeros in each stretch, and where its zeros and its ones lie on the next level."""
+        run = self.zeros[level]
+        low = [run[at[0]], run[at[1]]]
+        return low[1] - low[0], low, [x - z + run[-1] for x, z in zip(at, low, strict=True)]
+
+
+def others_median(year: np.ndarray, day: np.ndarray, value: np.ndarray, asked: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per asked row the median and number of the values within ``window`` days in other years; NaN where there are none.
+
+    The k-th value is found bit by bit of its rank, in the index by day less that by year and day.
+    """
+    order = np.argsort(value, kind="stable")
+    rank = np.empty(len(value), np.int64)
+    rank[order] = np.arange(len(value))
+    bits = max(1, int(len(value) - 1).bit_length())
+    by_day = np.argsort(day, kind="stable")
+    key = year * 1_000_003 + day
+    by_year = np.argsort(key, kind="stable")
+    whole, own = RankIndex(rank[by_day], bits), RankIndex(rank[by_year], bits)
+    d, k = day[asked], key[asked]
+    a = [np.searchsorted(day[by_day], d - window), np.searchsorted(day[by_day], d + window, "right")]
+    b = [np.searchsorted(key[by_year], k - window), np.searchsorted(key[by_year], k + window, "right")]
+    n = (a[1] - a[0]) - (b[1] - b[0])
+    found = []
+    for wanted in ((n - 1) // 2, n // 2):
+        x, y, left, at = a, b, wanted.copy(), np.zeros(len(d), np.int64)
+        for level in range(bits):
+            zx, x0, x1 = whole.split(level, x)
+            zy, y0, y1 = own.split(level, y)
+            up = left >= zx - zy
+            left = np.where(up, left - (zx - zy), left)
+            at = at * 2 + up
+            x = [np.where(up, q, p) for p, q in zip(x0, x1, strict=True)]
+            y = [np.where(up, q, p) for p, q in zip(y0, y1, strict=True)]
+        found.append(value[order[np.minimum(at, len(value) - 1)]])
+    return np.where(n > 0, (found[0] + found[1]) / 2, np.nan), n
+
+
 def same_season_offset(df: DataFrame, tile: str, image: str, year: str, doy: str, value: str, window: int) -> DataFrame:
-    """Value of an image less the median of other years' images within a window of days of the year.
+    """Value of an image less the median of other years' images within a window of days of the year (no wrap at new year), and their number.
 
-    Days of the year meet in buckets as wide as the window. A bucket's images and those of its two neighbours are one array, which stands beside each image of the bucket; so no pair of images becomes a row. An array holds a tile's images of three windows of days, over all years.
+    Days meet in buckets of twice the window, each with the days beside it that its images reach: an image is in two buckets at most. A bucket of a tile is one task's group and holds an index of ranks over all years, linear in its images (times the bits of their number). Images without year, day or value neither count nor come out; nor do those without others.
     """
-    bucket = F.floor(F.col(doy) / window)
-    near = df.where(F.col(value).isNotNull()).select(tile, F.struct(F.col(year).alias("y"), F.col(doy).alias("d"), F.col(value).cast("double").alias("v")).alias("_o"), F.explode(F.sequence(bucket - 1, bucket + 1)).alias("_w"))
-    held = near.groupBy(tile, "_w").agg(F.collect_list("_o").alias("_held"))
-    rows = df.select(tile, image, F.col(year).alias("_y"), F.col(doy).alias("_d"), F.col(value).cast("double").alias("_v"), bucket.alias("_w")).join(held, [tile, "_w"])
-    others = F.filter("_held", lambda o: (o["y"] != F.col("_y")) & (F.abs(o["d"] - F.col("_d")) <= window))
-    rows = rows.select(tile, image, "_v", F.array_sort(F.transform(others, lambda o: o["v"])).alias("_s")).where(F.size("_s") > 0)
-    n = F.size("_s")
-    median = (F.get("_s", F.floor((n - 1) / 2).cast("int")) + F.get("_s", F.floor(n / 2).cast("int"))) / 2
-    return rows.select(tile, image, (F.col("_v") - median).alias("offset"), n.cast("bigint").alias("n"))
+    wide = 2 * window
+    own = F.floor(F.col(doy) / wide)
+    near = F.sequence(F.floor((F.col(doy) - window) / wide), F.floor((F.col(doy) + window) / wide))
+    rows = df.dropna(subset=[year, doy, value]).select(F.col(tile).alias("_t"), F.col(image).alias("_i"), F.col(year).cast("long").alias("_y"), F.col(doy).cast("long").alias("_d"), F.col(value).cast("double").alias("_v"), own.alias("_o"), F.explode(near).alias("_w"))
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (tile, image)}
+
+    def match(held: pd.DataFrame) -> pd.DataFrame:
+        asked = np.flatnonzero((held["_o"] == held["_w"]).to_numpy())
+        median, n = others_median(held["_y"].to_numpy(), held["_d"].to_numpy(), held["_v"].to_numpy(), asked, window)
+        out = pd.DataFrame({tile: held["_t"].iloc[asked].to_numpy(), image: held["_i"].iloc[asked].to_numpy(), "offset": held["_v"].to_numpy()[asked] - median, "n": n})
+        return out[n > 0]
+
+    return rows.groupBy("_t", "_w").applyInPandas(match, f"`{tile}` {kinds[tile]}, `{image}` {kinds[image]}, offset double, n bigint")
 
 
 def climatology_anomaly(df: DataFrame, tile: str, year: str, doy: str, value: str) -> DataFrame:
