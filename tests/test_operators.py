@@ -56,7 +56,8 @@ def test_global_rank_does_not_depend_on_partitions(spark):
 
 def test_conformal_order_statistic(spark):
     df = spark.createDataFrame([(1, k) for k in range(1, 20)] + [(2, 5)], "g int, s int")
-    got = {r["g"]: r["q"] for r in cp.kth_smallest(df, "s", ["g"], 0.9, "q").collect()}
+    rows = df.select("g", F.col("s").alias("y"), *(F.lit(0).alias(c) for c in ("lo", "mid", "hi")))  # the score is y
+    got = {r["g"]: r["q_lo"] for r in cp.fit_offsets(rows, "cqr", ["g"], "y", "lo", "mid", "hi", 0.1).collect()}
     assert got == {1: 18, 2: None}  # k = ceil(20 * 0.9); k = 2 > n = 1
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import quantile_sort
+from .order import beside, order_statistics
 
 METHODS = ("cqr", "cqr_r", "cqr_m", "se", "se_r", "se_m")
 
@@ -31,31 +32,19 @@ def scores(method: str, y: Column, lo: Column, mid: Column, hi: Column) -> tuple
     return (low, high) if method.startswith("se") else (F.greatest(low, high),) * 2
 
 
-def kth_smallest(df: DataFrame, value: str, by: Sequence[str], share: float, out: str) -> DataFrame:
-    """The k-th smallest value with k = ceil((n + 1) share), exactly, from counts per value; null where k > n."""
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by)
-    run = counts.withColumns({"_n": F.sum("_c").over(w), "_r": F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))})
-    hit = F.col("_r") >= F.ceil((F.col("_n") + 1) * share)
-    return run.groupBy(*by).agg(F.max("_n").alias("n_cal"), F.min(F.when(hit, F.col(value))).alias(out))
-
-
 def fit_all_offsets(df: DataFrame, methods: Sequence[str], by: Sequence[str], y: str, lo: str, mid: str, hi: str, alpha: float) -> DataFrame:
-    """Offsets q_lo and q_hi per group and method, all in one pass; two-sided methods spend half of alpha on each side."""
+    """Offsets q_lo and q_hi per group and method: the score of rank k = ceil((n + 1) (1 - alpha)), exactly, null where k > n; two-sided methods spend half of alpha on each side. Rows with a null score don't count."""
     sides = []
     for name in methods:
         low, high = scores(name, *map(F.col, (y, lo, mid, hi)))
-        two = name.startswith("se")
-        for side, score in (("lo", low), ("hi", high))[: 1 + two]:
-            sides.append(F.struct(F.lit(name).alias("method"), F.lit(side).alias("_side"), F.lit(1 - (alpha / 2 if two else alpha)).alias("_share"), score.cast("double").alias("_s")))
+        for side, score in (("lo", low), ("hi", high))[: 1 + name.startswith("se")]:
+            sides.append(F.struct(F.lit(name).alias("method"), F.lit(side).alias("_side"), score.cast("double").alias("_s")))
     rows = df.select(*by, F.explode(F.array(*sides)).alias("_e")).select(*by, "_e.*")
-    counts = rows.groupBy(*by, "method", "_side", "_share", "_s").agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by, "method", "_side")
-    run = counts.withColumns({"_n": F.sum("_c").over(w), "_r": F.sum("_c").over(w.orderBy("_s").rowsBetween(Window.unboundedPreceding, 0))})
-    hit = F.when(F.col("_r") >= F.ceil((F.col("_n") + 1) * F.col("_share")), F.col("_s"))
-    q = lambda side: F.min(F.when(F.col("_side") == side, hit))
-    one = F.max((F.col("_side") == "hi").cast("int")) == 0
-    return run.groupBy(*by, "method").agg(q("lo").alias("q_lo"), F.when(one, q("lo")).otherwise(q("hi")).alias("q_hi"), F.max("_n").alias("n_cal"))
+    share = F.when(F.col("method").startswith("se"), 1 - alpha / 2).otherwise(1 - alpha)
+    found = order_statistics(rows, "_s", [*by, "method", "_side"], [lambda n: F.ceil((n + 1) * share) - 1]).withColumn("_q", F.get("at", F.lit(0)))
+    q = lambda side: F.max(F.when(F.col("_side") == side, F.col("_q")))
+    one = F.count("*") == 1
+    return found.groupBy(*by, "method").agg(q("lo").alias("q_lo"), F.when(one, q("lo")).otherwise(q("hi")).alias("q_hi"), F.max("n").alias("n_cal"))
 
 
 def fit_offsets(df: DataFrame, method: str, by: Sequence[str], y: str, lo: str, mid: str, hi: str, alpha: float) -> DataFrame:
@@ -78,6 +67,33 @@ def coverage_report(df: DataFrame, by: Sequence[str], y: str, lo: str, hi: str)
     return df.groupBy(*by).agg(F.count("*").alias("n"), inside(lo, hi).alias("coverage"), inside("cal_lo", "cal_hi").alias("cal_coverage"), (F.avg(F.col(hi) - F.col(lo)) / 10).alias("width"), (F.avg(F.col("cal_hi") - F.col("cal_lo")) / 10).alias("cal_width"))
 
 
+def calibrate_all(df: DataFrame, offsets: DataFrame, methods: Sequence[str], by: Sequence[str], lo: str, mid: str, hi: str) -> DataFrame:
+    """``calibrate`` for every method: each row once per method, with ``method``, ``cal_lo`` and ``cal_hi``."""
+    a, m, b = map(F.col, (lo, mid, hi))
+    kind = lambda k: F.col("method").endswith(k)
+    low = F.when(kind("_r"), _width(b - a)).when(kind("_m"), _width(m - a)).otherwise(1)
+    high = F.when(kind("_r"), _width(b - a)).when(kind("_m"), _width(b - m)).otherwise(1)
+    rows = df.withColumn("method", F.explode(F.array(*map(F.lit, methods))))
+    rows = beside(rows, offsets.select(*by, "method", "q_lo", "q_hi"), [*by, "method"], "left")
+    return rows.withColumns({"cal_lo": F.coalesce(a - F.col("q_lo") * low, a), "cal_hi": F.coalesce(b + F.col("q_hi") * high, b)}).drop("q_lo", "q_hi")
+
+
+SCORES = ("coverage", "cal_coverage", "width", "cal_width")
+
+
+def coverage_by_method(calibrated: DataFrame, group: str, level: str, y: str, lo: str, hi: str) -> DataFrame:
+    """``coverage_report`` per method, group and level, and per method and level the mean over groups weighted by their rows (``all_groups`` true, the group null)."""
+    per = coverage_report(calibrated, ["method", group, level], y, lo, hi).withColumn("all_groups", F.lit(False))
+    whole = per.groupBy("method", level).agg(F.sum("n").alias("_n"), *((F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in SCORES))
+    whole = whole.withColumnRenamed("_n", "n").withColumns({group: F.lit(None).cast(per.schema[group].dataType), "all_groups": F.lit(True)})
+    return per.unionByName(whole)
+
+
+def coverage_pivot(report: DataFrame, group: str, level: str, methods: Sequence[str], score: str = "cal_coverage") -> DataFrame:
+    """One row per group and level of ``coverage_by_method`` with a column per method."""
+    return report.groupBy(group, level, "all_groups").pivot("method", list(methods)).agg(F.first(score))
+
+
 def apply_offsets(df: DataFrame, offsets: DataFrame, by: Sequence[str], lo: str, mid: str, hi: str, nodata: float = 32767) -> DataFrame:
     """Bounds moved by c_lo and c_hi, never past the median; nodata and groups without offsets stay."""
     rows = df.join(offsets.select(*by, "c_lo", "c_hi"), list(by), "left")

@@ -11,7 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import exact_quantiles
+from ..functions.distributions import correlation_p, student_sf2
+from .order import beside, quantiles
+from .ranking import exact_quantiles, global_avg_rank, spearman
 
 By = Sequence[str]
 
@@ -36,6 +38,11 @@ def error_metrics(df: DataFrame, y: str, p: str, by: By = ()) -> DataFrame:
     return pairs(df, y, p).groupBy(*by).agg(*_error_columns(y, p))
 
 
+def error_tests(df: DataFrame, y: str, p: str, by: By = ()) -> DataFrame:
+    """``error_metrics`` with the two-sided p of Pearson's r (null below three pairs)."""
+    return error_metrics(df, y, p, by).withColumn("p", correlation_p(F.col("r"), F.col("n")))
+
+
 def tile_sums(df: DataFrame, y: str, p: str, tile: str) -> DataFrame:
     """Per tile what pooled metrics need: n, sums of error, squared error, y and y squared."""
     e = F.col(p) - F.col(y)
@@ -183,15 +190,25 @@ def height_match_table(df: DataFrame, height: str, group: str, bin_column: str)
 
 
 def reference_group_compare(df: DataFrame, value: str, is_reference: str, by: str) -> DataFrame:
-    """Per group: reference mean, sd, p10, p90; the others' mean, Cohen's d (mean of population variances) and shares beyond p10 and p90."""
-    ref = df.where(F.col(is_reference)).groupBy(by).agg(F.avg(value).alias("ref_mean"), F.stddev_pop(value).alias("ref_sd"), F.percentile(value, F.lit(0.1)).alias("p10"), F.percentile(value, F.lit(0.9)).alias("p90"))
-    rows = df.where(~F.col(is_reference)).join(ref, by)
+    """Per group: reference mean, sd, p10, p90; the others' mean, Cohen's d (mean of population variances), shares beyond p10 and p90, Welch's t and p.
+
+    Groups without reference or other values go; with one value on a side, or none that differ, t and p are null.
+    """
+    given = df.where(F.col(value).isNotNull())
+    known = given.where(F.col(is_reference))
+    q = quantiles(known, value, [by], [0.1, 0.9]).select(by, F.col("q")[0].alias("p10"), F.col("q")[1].alias("p90"))
+    moments = given.groupBy(by).agg(*(x.alias(f"{k}{name}") for k, side in (("ref_", F.col(is_reference)), ("", ~F.col(is_reference))) for name, x in (
+        ("n", F.count_if(side)), ("mean", F.avg(F.when(side, F.col(value)))), ("sd", F.stddev_pop(F.when(side, F.col(value)))), ("v", F.var_samp(F.when(side, F.col(value)))))))
+    rows = beside(given.where(~F.col(is_reference)), q, [by])
     share = lambda c: F.avg(c.cast("double"))
-    out = rows.groupBy(by).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("_sd"), share(F.col(value) < F.col("p10")).alias("below_p10"), share(F.col(value) > F.col("p90")).alias("above_p90"),
-        *(F.max(c).alias(c) for c in ("ref_mean", "ref_sd", "p10", "p90")))
-    d = F.try_divide(F.col("mean") - F.col("ref_mean"), F.sqrt((F.col("_sd") * F.col("_sd") + F.col("ref_sd") * F.col("ref_sd")) / 2))
-    return out.withColumn("cohen_d", d).drop("_sd")
+    beyond = rows.groupBy(by).agg(share(F.col(value) < F.col("p10")).alias("below_p10"), share(F.col(value) > F.col("p90")).alias("above_p90"), F.max("p10").alias("p10"), F.max("p90").alias("p90"))
+    out = beside(beyond, moments, [by])
+    d = F.try_divide(F.col("mean") - F.col("ref_mean"), F.sqrt((F.col("sd") * F.col("sd") + F.col("ref_sd") * F.col("ref_sd")) / 2))
+    a, b = F.try_divide("v", "n"), F.try_divide("ref_v", "ref_n")
+    t = F.try_divide(F.col("mean") - F.col("ref_mean"), F.sqrt(a + b))
+    free = F.try_divide((a + b) * (a + b), a * a / (F.col("n") - 1) + b * b / (F.col("ref_n") - 1))
+    out = out.withColumns({"cohen_d": d, "welch_t": t, "welch_df": free})
+    return out.select(by, "n", "mean", "below_p10", "above_p90", "ref_mean", "ref_sd", "p10", "p90", "cohen_d", "welch_t", student_sf2(F.col("welch_t"), F.col("welch_df")).alias("welch_p"))
 
 
 def headline_share(df: DataFrame, value: str, is_reference: str, by: str, min_reference: int) -> DataFrame:
@@ -222,6 +239,32 @@ def class_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return c.select("class", (tp + fn).alias("support"), F.try_divide(tp, tp + fp).alias("precision"), F.try_divide(tp, tp + fn).alias("recall"), F.try_divide(2 * tp, 2 * tp + fp + fn).alias("f1"), ((F.col("_n") - fp - fn) / F.col("_n")).alias("accuracy"))
 
 
+def class_report_averages(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """``class_report`` with a row for the macro average, where every class counts once, and one for the average weighted by support; their accuracy is the share of rows that are right.
+
+    Rows with a null on either side don't count; only classes that occur as truth or prediction have a row; undefined scores count as 0 in the averages.
+    """
+    rows = pairs(df, truth, predicted)
+    per = class_report(rows, truth, predicted).withColumn("class", F.col("class").cast("string"))
+    right = rows.agg(F.avg((F.col(truth) == F.col(predicted)).cast("double")).alias("accuracy"))
+    names = ("precision", "recall", "f1")
+    score = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    macro = per.agg(F.sum("support").alias("support"), *(F.avg(score(c)).alias(c) for c in names)).withColumn("class", F.lit("macro"))
+    weighted = per.agg(F.sum("support").alias("support"), *(F.try_divide(F.sum(score(c) * F.col("support")), F.sum("support")).alias(c) for c in names)).withColumn("class", F.lit("weighted"))
+    averages = macro.unionByName(weighted).where("support is not null").crossJoin(F.broadcast(right))  # one row
+    return per.unionByName(averages)
+
+
+def correlation_report(df: DataFrame, x: str, y: str, by: By, min_n: int) -> DataFrame:
+    """Pearson and Spearman r, r squared, n and the p of Pearson's r per group with at least ``min_n`` pairs, and over all rows (group null, overall true)."""
+    rows = df.dropna(subset=[x, y, *by])
+    per = spearman(rows, x, y, by).where(F.col("n") >= min_n).withColumn("overall", F.lit(False))
+    ranked = global_avg_rank(global_avg_rank(rows.select(x, y), x, "_rx"), y, "_ry")
+    one = ranked.agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman")).withColumn("r_squared", F.col("pearson") * F.col("pearson"))
+    one = one.withColumns({"overall": F.lit(True), **{c: F.lit(None).cast(df.schema[c].dataType) for c in by}})
+    return per.unionByName(one.where("n > 0")).withColumn("p", correlation_p(F.col("pearson"), F.col("n")))
+
+
 def class_scores_by_cell(df: DataFrame, truth: str, predicted: str, cell: str, min_n: int) -> DataFrame:
     """Recall, precision and F1 per class and cell with at least ``min_n`` rows; null without support."""
     big = df.groupBy(cell).agg(F.count("*").alias("n")).where(F.col("n") >= min_n)
@@ -250,10 +293,12 @@ def headline_effect(df: DataFrame, truth: str, a: str, b: str) -> DataFrame:
 
 def bias_stats(df: DataFrame, residual: str, by: By, min_n: int) -> DataFrame:
     """Mean, median and mean within [p5, p95] of residuals, for groups with more than ``min_n`` rows before and after nulls go."""
-    q = df.groupBy(*by).agg(F.count("*").alias("_all"), F.count(residual).alias("n"), F.avg(residual).alias("mean"), F.median(residual).alias("median"), F.percentile(residual, F.array(F.lit(0.05), F.lit(0.95))).alias("_q"))
-    q = q.where((F.col("_all") > min_n) & (F.col("n") > min_n))
-    trimmed = df.join(q.select(*by, "_q"), list(by)).where((F.col(residual) >= F.col("_q")[0]) & (F.col(residual) <= F.col("_q")[1])).groupBy(*by).agg(F.avg(residual).alias("trimmed_mean"))
-    return q.join(trimmed, list(by)).select(*by, "n", "mean", "median", "trimmed_mean")
+    by = list(by)
+    counts = df.groupBy(*by).agg(F.count("*").alias("_all"), F.count(residual).alias("n"), F.avg(residual).alias("mean")).where((F.col("_all") > min_n) & (F.col("n") > min_n))
+    q = beside(counts, quantiles(df, residual, by, [0.05, 0.5, 0.95]).select(*by, F.col("q").alias("_q")), by)
+    kept = beside(df, q.select(*by, "_q"), by).where((F.col(residual) >= F.col("_q")[0]) & (F.col(residual) <= F.col("_q")[2]))
+    trimmed = kept.groupBy(*by).agg(F.avg(residual).alias("trimmed_mean"))
+    return beside(q, trimmed, by).select(*by, "n", "mean", F.col("_q")[1].alias("median"), "trimmed_mean")
 
 
 def bias_variants(df: DataFrame, y: str, p: str, tile: str, level: str, bias: DataFrame) -> DataFrame:
@@ -279,8 +324,8 @@ def channel_stats(df: DataFrame, channel: str, value: str, nodata: float | None
 
 def level_histogram(df: DataFrame, level: str, value: str, n_bins: int, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Counts per level in n equal bins between two quantiles; bins 0 and n + 1 (outliers) get the largest inner count."""
-    edges = df.groupBy(level).agg(F.percentile(value, F.lit(low)).alias("_lo"), F.percentile(value, F.lit(high)).alias("_hi"))
-    rows = df.join(edges, level).where(F.col("_hi") > F.col("_lo"))
+    edges = quantiles(df, value, [level], [low, high]).select(level, F.col("q")[0].alias("_lo"), F.col("q")[1].alias("_hi"))
+    rows = beside(df, edges, [level]).where(F.col("_hi") > F.col("_lo"))
     at = F.least(F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * n_bins), F.lit(n_bins - 1)).cast("int") + 1
     k = F.when(F.col(value) < F.col("_lo"), 0).when(F.col(value) > F.col("_hi"), n_bins + 1).otherwise(at)
     counts = rows.groupBy(level, k.alias("bin")).agg(F.count("*").alias("n"))
@@ -319,9 +364,10 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def distribution_summary(df: DataFrame, value: str, by: By) -> DataFrame:
     """n, mean, sample sd, min, quartiles, max."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    rows = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), q.alias("_q"), F.max(value).alias("max"))
-    return rows.select(*by, "n", "mean", "sd", "min", *(F.col("_q")[k].alias(c) for k, c in enumerate(("p25", "p50", "p75"))), "max")
+    by = list(by)
+    rows = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"))
+    q = quantiles(df, value, by, [0.25, 0.5, 0.75]).select(*by, F.col("q").alias("_q"))
+    return beside(rows, q, by, "left").select(*by, "n", "mean", "sd", "min", *(F.col("_q")[k].alias(c) for k, c in enumerate(("p25", "p50", "p75"))), "max")
 
 
 def residual_describe(df: DataFrame, residual: str, height: str, edges: Sequence[float], by: By = ()) -> DataFrame:

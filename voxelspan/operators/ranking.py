@@ -11,6 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.distributions import normal_sf2, rank_sum_sf2
+from ..sources.scratch import stored
+from .order import beside, quantiles
+
 
 def pick_order(seed: str, *columns: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *(F.col(c).cast("string") for c in columns)))
@@ -24,16 +28,18 @@ def avg_rank(df: DataFrame, value: str, by: Sequence[str], out: str = "rank") ->
 
 
 def global_avg_rank(df: DataFrame, value: str, out: str = "rank") -> DataFrame:
-    """Tie-averaged rank over the whole table without a single-partition window."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    ranged = counts.repartitionByRange(n, value).withColumn("_part", F.spark_partition_id())
-    totals = ranged.groupBy("_part").agg(F.sum("_n").alias("_sum"))  # a row per partition
+    """Tie-averaged rank over the whole table without a single-partition window: null where the value is.
+
+    The counts of the distinct values are sorted by range and stored with their place, so that both readers see one cut; a table with a row per task has the rows before it.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    held = stored(counts.repartitionByRange("_v").sortWithinPartitions("_v").withColumn("_at", F.monotonically_increasing_id()), "ranks")
+    held = held.withColumn("_part", F.shiftright("_at", 33))
+    totals = held.groupBy("_part").agg(F.sum("_n").alias("_sum"))  # a row per task
     ahead = totals.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
-    inner = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = ranged.withColumn("_inner", inner).join(F.broadcast(ahead), "_part").select(F.col(value), (F.col("_ahead") + F.col("_inner") + (F.col("_n") + 1) / 2).alias(out))
-    return df.join(ranks, value, "left")
+    inner = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = held.withColumn("_inner", inner).join(F.broadcast(ahead), "_part").select("_v", (F.col("_ahead") + F.col("_inner") + (F.col("_n") + 1) / 2).alias(out))
+    return df.join(ranks, F.col(value) == F.col("_v"), "left").drop("_v")
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
@@ -44,9 +50,9 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
 
 def tercile_labels(df: DataFrame, value: str, bin_column: str, q: float, min_n: int, out: str = "label") -> DataFrame:
     """1 for the top q of a bin, 0 for the bottom q, null between; bins with fewer than ``min_n`` rows go."""
-    edges = df.groupBy(bin_column).agg(F.count(value).alias("_n"), F.percentile(value, F.array(F.lit(q), F.lit(1 - q))).alias("_q")).where(F.col("_n") >= min_n)
+    edges = quantiles(df, value, [bin_column], [q, 1 - q]).where(F.col("n") >= min_n).select(bin_column, F.col("q").alias("_q"))
     label = F.when(F.col(value) >= F.col("_q")[1], 1).when(F.col(value) <= F.col("_q")[0], 0)
-    return df.join(edges, bin_column).withColumn(out, label).drop("_n", "_q")
+    return beside(df, edges, [bin_column]).withColumn(out, label).drop("_q")
 
 
 def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], accuracy: int = 1_000) -> list[float]:
@@ -119,10 +125,10 @@ def density_sample(df: DataFrame, areas: DataFrame, zone: str, area: str, seed:
 
 
 def split_tiles(tiles: DataFrame, tile: str, shares: Sequence[tuple[str, float]], seed: str, rest: str = "train") -> DataFrame:
-    """Disjoint sets of int(n * share) distinct tiles in pick order; the others are ``rest``. A row per tile: a small table."""
+    """Disjoint sets of int(n * share) distinct tiles in pick order; the others are ``rest``. Tiles are numbered as ranges with offsets, so no task holds all."""
     names = tiles.select(tile).distinct()
-    w = Window.orderBy(pick_order(seed, tile), tile)
-    rows = names.withColumn("_k", F.row_number().over(w)).crossJoin(F.broadcast(names.agg(F.count("*").alias("_n"))))
+    numbered = global_avg_rank(names.withColumn("_o", F.struct(pick_order(seed, tile).alias("p"), F.col(tile).alias("t"))), "_o", "_k").drop("_o")
+    rows = numbered.crossJoin(F.broadcast(names.agg(F.count("*").alias("_n"))))  # one row
     out, low = F.lit(rest), F.lit(0)
     split = None
     for name, share in shares:
@@ -169,16 +175,6 @@ def holm(df: DataFrame, p: str, within: Sequence[str], *tie: str) -> DataFrame:
     return step.withColumn("p_holm", F.max("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
 
 
-def normal_sf2(z: Column) -> Column:
-    """Two-sided tail of the normal distribution (series and rational form of erfc, relative error below 1.2e-7)."""
-    x = F.abs(z) / 2**0.5
-    t = 1 / (1 + x / 2)
-    poly = F.lit(0.17087277)
-    for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
-        poly = poly * t + c
-    return t * F.exp(-x * x + poly)
-
-
 def exact_signed_rank(w_plus: Column, n: Column, most: int = 50) -> Column:
     """Exact two-sided p of a signed-rank statistic of n pairs without ties or zeros; null for more than ``most``."""
     size = n * (n + 1) / 2 + 1
@@ -211,7 +207,10 @@ def paired_wilcoxon(df: DataFrame, a: str, b: str, by: Sequence[str], zeros: str
 
 
 def rank_sum(df: DataFrame, value: str, group: str, by: Sequence[str]) -> DataFrame:
-    """Mann-Whitney U of group 1 against 0, P(a > b), rank-biserial correlation, and p by the normal approximation with tie and continuity correction."""
+    """Mann-Whitney U of group 1 against 0, P(a > b), rank-biserial correlation, and p by the normal approximation with tie and continuity correction.
+
+    Where no values are equal and neither group has more than 50, ``p_exact`` besides.
+    """
     given = df.where(F.col(value).isNotNull())
     rows = avg_rank(given, value, by, "_r")
     n1, n0 = F.count_if(F.col(group) == 1), F.count_if(F.col(group) == 0)
@@ -222,7 +221,28 @@ def rank_sum(df: DataFrame, value: str, group: str, by: Sequence[str]) -> DataFr
     both, n = F.col("n1").cast("double") * F.col("n0"), (F.col("n1") + F.col("n0")).cast("double")
     sd = F.sqrt(both / 12 * (n + 1 - F.try_divide("_ties", n * (n - 1))))
     z = F.try_divide(F.greatest(F.abs(F.col("u") - both / 2) - 0.5, F.lit(0.0)), sd)
-    return out.withColumns({"p_greater": share, "rank_biserial": 2 * share - 1, "p": F.least(F.lit(1.0), normal_sf2(z))}).drop("_ties")
+    exact = rank_sum_sf2(F.when(F.col("_ties") == 0, F.col("u")).cast("double"), F.col("n1"), F.col("n0"))
+    return out.withColumns({"p_greater": share, "rank_biserial": 2 * share - 1, "p": F.least(F.lit(1.0), normal_sf2(z)), "p_exact": exact}).drop("_ties")
+
+
+def rank_sum_shift(df: DataFrame, value: str, group: str, by: str) -> DataFrame:
+    """``rank_sum`` with the Hodges-Lehmann shift of group 1 against 0, exactly."""
+    from .order import pair_order_statistic
+
+    of = lambda k: df.where(F.col(group) == k).select(by, value)
+    shift = pair_order_statistic(of(1), of(0), value, by).select(F.col("g").alias(by), F.col("middle").alias("shift"))
+    return beside(rank_sum(df, value, group, [by]), shift, [by], "left")
+
+
+def paired_wilcoxon_shift(df: DataFrame, a: str, b: str, by: str, zeros: str = "wilcox", level: float = 0.05) -> DataFrame:
+    """``paired_wilcoxon`` with the Hodges-Lehmann estimate (median of the Walsh averages of a - b, zeros included) and ``a_better``: a is lower and p below the level."""
+    from .order import pair_order_statistic
+
+    d = df.dropna(subset=[a, b]).select(by, (F.col(a) - F.col(b)).cast("double").alias("_d"))
+    other = d.select(by, (-F.col("_d")).alias("_d"))
+    shift = pair_order_statistic(d, other, "_d", by, own=True).select(F.col("g").alias(by), (F.col("middle") / 2).alias("hodges_lehmann"))
+    out = beside(paired_wilcoxon(df, a, b, [by], zeros), shift, [by], "left")
+    return out.withColumn("a_better", (F.coalesce("p_exact", "p") < level) & (F.col("hodges_lehmann") < 0))
 
 
 def exact_binomial(k: Column, n: Column) -> Column:

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import global_avg_rank
+
 PRIME, FACTOR = 2147483647, 48271
 
 
@@ -22,8 +24,9 @@ def draw(replicate: Column, number: Column, n: Column) -> Column:
 
 
 def numbered_blocks(blocks: DataFrame, key: str) -> DataFrame:
-    """Blocks with a number from 0 in the order of their key. A row per block: a small table."""
-    return blocks.withColumn("_i", F.row_number().over(Window.orderBy(key)) - 1)
+    """Blocks (one row each) with a number from 0 in the order of their key, numbered as ranges with offsets."""
+    keyed = blocks.withColumn("_key", F.struct(key))  # a null key is a block too
+    return global_avg_rank(keyed, "_key", "_i").withColumn("_i", F.col("_i").cast("long") - 1).drop("_key")
 
 
 def replicate_sums(blocks: DataFrame, key: str, sums: Sequence[str], replicates: int) -> DataFrame:

@@ -21,11 +21,19 @@ def wilcoxon_vs_products(df: DataFrame, y: str, base: str, products: Sequence[st
     return holm(paired_wilcoxon(rows, "a", "b", ["metric", "product"]), "p", ["metric"], "product")
 
 
-def cell_paired_tests(df: DataFrame, truth: str, a: str, b: str, cell: str, min_n: int) -> DataFrame:
-    """Signed-rank test over cells of two models' F1 per class, Holm over classes."""
+def cell_paired_tests(df: DataFrame, truth: str, a: str, b: str, cell: str, min_n: int, macro: bool = False) -> DataFrame:
+    """Signed-rank test over cells of two models' F1 per class, Holm over classes.
+
+    macro: besides, a row (class null, macro true) over each cell's mean F1 of the classes it has; it is no part of the Holm family and its ``p_holm`` is null.
+    """
     f1 = lambda p, c: class_scores_by_cell(df, truth, p, cell, min_n).select(cell, "class", F.col("f1").alias(c))
     rows = f1(a, "a").join(f1(b, "b"), [cell, "class"])
-    return holm(paired_wilcoxon(rows, "a", "b", ["class"]).withColumn("_all", F.lit(1)), "p", ["_all"], "class").drop("_all")
+    per = holm(paired_wilcoxon(rows, "a", "b", ["class"]).withColumn("_all", F.lit(1)), "p", ["_all"], "class").drop("_all")
+    if not macro:
+        return per
+    means = rows.groupBy(cell).agg(F.avg("a").alias("a"), F.avg("b").alias("b")).withColumn("_one", F.lit(1))
+    one = paired_wilcoxon(means, "a", "b", ["_one"]).drop("_one").withColumns({"class": F.lit(None).cast(per.schema["class"].dataType), "p_holm": F.lit(None).cast("double"), "macro": F.lit(True)})
+    return per.withColumn("macro", F.lit(False)).unionByName(one)
 
 
 def stratified_samples(reference: DataFrame, pixels: DataFrame, stratum: str, most: int, n: int, seed: str, *ids: str) -> DataFrame:
