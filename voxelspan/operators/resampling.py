@@ -29,13 +29,26 @@ def numbered_blocks(blocks: DataFrame, key: str) -> DataFrame:
     return global_avg_rank(keyed, "_key", "_i").withColumn("_i", F.col("_i").cast("long") - 1).drop("_key")
 
 
+def picks(held: DataFrame, replicates: int) -> DataFrame:
+    """(replicate, _i, _k): how often each replicate draws the blocks numbered ``_i``; blocks it leaves out have no row."""
+    n = held.agg(F.count("*").cast("long").alias("_n")).where("_n > 0")
+    draws = n.select("_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).withColumn("_d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    return draws.select("replicate", draw(F.col("replicate"), F.col("_d"), F.col("_n")).alias("_i")).groupBy("replicate", "_i").agg(F.count("*").alias("_k"))
+
+
 def replicate_sums(blocks: DataFrame, key: str, sums: Sequence[str], replicates: int) -> DataFrame:
     """Sums of the drawn blocks' statistics per replicate; as many draws as blocks."""
     held = numbered_blocks(blocks, key)
-    n = held.agg(F.count("*").cast("long").alias("_n"))
-    draws = n.select("_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).withColumn("_d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    picked = draws.select("replicate", draw(F.col("replicate"), F.col("_d"), F.col("_n")).alias("_i")).groupBy("replicate", "_i").agg(F.count("*").alias("_k"))
-    return picked.join(held, "_i").groupBy("replicate").agg(*(F.sum(F.col(c) * F.col("_k")).alias(c) for c in sums))
+    return picks(held, replicates).join(held, "_i").groupBy("replicate").agg(*(F.sum(F.col(c) * F.col("_k")).alias(c) for c in sums))
+
+
+def multiplicities(blocks: DataFrame, key: str, replicates: int) -> DataFrame:
+    """(key, times): per block an array of how often each replicate draws it, so that rows need not be copied per replicate."""
+    held = numbered_blocks(blocks, key)
+    drawn = picks(held, replicates).groupBy("_i").agg(F.map_from_entries(F.collect_list(F.struct("replicate", "_k"))).alias("_m"))  # at most ``replicates`` entries
+    times = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: F.coalesce(F.try_element_at("_m", r), F.lit(0)))
+    none = F.array_repeat(F.lit(0).cast("long"), replicates)
+    return held.join(drawn, "_i", "left").select(key, F.coalesce(times, none).alias("times"))
 
 
 def error_sums(df: DataFrame, y: str, a: str, b: str, block: str) -> DataFrame:
