@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import inside
+from ..sources.scratch import stored
 from .order import PAIRS, pair_order_statistic
 
 
@@ -21,6 +23,69 @@ def points_in_boxes(boxes: DataFrame, name: str, box: Sequence[str], n: int, see
     return rows.select(name, "point", x.alias("lon"), y.alias("lat"))
 
 
+def ring_area(ring: Column) -> Column:
+    """Area inside a ring of struct<x,y>, by the shoelace formula about its first corner."""
+    n = F.size(ring)
+    o = F.get(ring, F.lit(0))
+
+    def term(i: Column) -> Column:
+        a, b = F.get(ring, i), F.get(ring, (i + 1) % n)
+        return (a["x"] - o["x"]) * (b["y"] - o["y"]) - (b["x"] - o["x"]) * (a["y"] - o["y"])
+
+    return F.when(n > 2, F.abs(F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), term), F.lit(0.0), lambda s, x: s + x)) / 2).otherwise(F.lit(0.0))
+
+
+def part_counts(parts: DataFrame, name: str, part: str, ring: str, n: int) -> DataFrame:
+    """``parts`` with ``_k``, its share of the name's n points by area, rounded (halves to even); the largest part, of equal ones the first, takes the rest. Names without area have no row."""
+    w = Window.partitionBy(name)  # the parts of one name
+    rows = parts.withColumn("_area", ring_area(F.col(ring))).withColumn("_all", F.sum("_area").over(w)).where("_all > 0")
+    rows = rows.withColumn("_k", F.bround(F.lit(n) * F.col("_area") / F.col("_all")).cast("long"))
+    first = F.row_number().over(w.orderBy(F.desc("_area"), part)) == 1
+    return rows.withColumn("_k", F.when(first, F.col("_k") + n - F.sum("_k").over(w)).otherwise(F.col("_k"))).where("_k > 0").drop("_area", "_all")
+
+
+def _box(ring: Column) -> list[Column]:
+    side = lambda c, f: f(F.transform(ring, lambda p: p[c]))
+    return [side("x", F.array_min), side("y", F.array_min), side("x", F.array_max), side("y", F.array_max)]
+
+
+def points_in_polygons(parts: DataFrame, name: str, part: str, ring: str, n: int, seed: str, rounds: int = 16) -> DataFrame:
+    """(name, part, point, lon, lat): n uniform points inside each name's rings, which share them by area.
+
+    Each part has an endless row of candidates in its box, from md5 of seed, name, part and number; its points are the first of them
+    inside the ring, so they depend on nothing else. Every round tries more candidates for the parts that still lack points: 4 n, then twice as many.
+    A part too thin to be hit in all rounds is an error. n is the caller's: one part's candidates of a round are one group.
+    """
+    lacking = stored(part_counts(parts.select(name, part, ring), name, part, ring, n).withColumn("_found", F.lit(0).cast("long")))
+    out, start = None, 0
+    for r in range(rounds):
+        stop = start + 4 * n * 2**r
+        tried = lacking.withColumn("_c", F.explode(F.sequence(F.lit(start), F.lit(stop - 1))))
+        digest = F.md5(F.concat_ws("|", F.lit(seed), F.col(name).cast("string"), F.col(part).cast("string"), F.col("_c").cast("string")))
+        u = lambda at, d=digest: F.conv(F.substring(d, at, 8), 16, 10).cast("double") / 2.0**32
+        x0, y0, x1, y1 = _box(F.col(ring))
+        tried = tried.withColumns({"lon": x0 + u(1) * (x1 - x0), "lat": y0 + u(9) * (y1 - y0)}).where(inside(F.col("lon"), F.col("lat"), F.col(ring)))
+        at = F.col("_found") + F.row_number().over(Window.partitionBy(name, part).orderBy("_c")) - 1
+        found = stored(tried.withColumn("point", at).where(F.col("point") < F.col("_k")).select(name, part, "point", "lon", "lat"))
+        out = found if out is None else out.unionByName(found)
+        more = found.groupBy(name, part).agg(F.count("*").alias("_more"))
+        lacking = stored(lacking.join(more, [name, part], "left").withColumn("_found", F.col("_found") + F.coalesce("_more", F.lit(0))).drop("_more").where("_found < _k"))
+        if lacking.isEmpty():
+            return out
+        start = stop
+    raise ValueError(f"no point found in {lacking.count()} parts after {start} candidates: too thin")
+
+
+def lattice_in_polygons(parts: DataFrame, name: str, part: str, ring: str, n: int) -> DataFrame:
+    """(name, part, point, lon, lat): the points inside the ring of an even lattice of m x m over the part's box, its borders left out; m is the square root of the part's share of n, rounded up."""
+    rows = part_counts(parts.select(name, part, ring), name, part, ring, n).withColumn("_m", F.ceil(F.sqrt("_k")))
+    rows = rows.withColumn("point", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") * F.col("_m") - 1)))
+    x0, y0, x1, y1 = _box(F.col(ring))
+    at = lambda low, high, k: low + (high - low) * (k + 1) / (F.col("_m") + 1)
+    rows = rows.withColumns({"lon": at(x0, x1, F.col("point") % F.col("_m")), "lat": at(y0, y1, F.floor(F.col("point") / F.col("_m")))})
+    return rows.where(inside(F.col("lon"), F.col("lat"), F.col(ring))).select(name, part, "point", "lon", "lat")
+
+
 def greedy_match(df: DataFrame, bin_column: str, id_column: str, height: str, high: str, tolerance: float) -> DataFrame:
     """One-to-one matches of high (1) and low (0) rows nearest in height, highs ascending, nearer than a tolerance.
 

@@ -7,9 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+from .order import beside, quantiles
 from .ranking import global_avg_rank
 
 PRIME, FACTOR = 2147483647, 48271
@@ -131,3 +135,53 @@ def image_bootstrap(df: DataFrame, pixel: str, year: str, image: str, value: str
     run = rows.withColumns({"_t": F.sum("_k").over(p), "_r": F.sum("_k").over(p.orderBy(value, image).rowsBetween(Window.unboundedPreceding, 0))})
     medians = run.where(2 * F.col("_r") >= F.col("_t")).groupBy("replicate", year, pixel).agg(F.min(value).alias("_m"))
     return medians.groupBy("replicate", year).agg(F.median("_m").alias("median"))
+
+
+def image_bootstrap_change(df: DataFrame, tile: str, pixel: str, year: str, image: str, value: str, replicates: int, parts: int = 16) -> DataFrame:
+    """(tile, year, boot, change): median over pixels of the change from the tile's year before, with the images of every year drawn anew; boot 0 takes each image once.
+
+    A pixel's year is the lower median of its values on the drawn images, as often as they are drawn. An image carries an array of
+    how often each replicate draws it, so no row is copied per replicate; a tile's pixels are dealt over ``parts`` tasks. Nulls don't count; a
+    change needs both years; years or tiles without changes have no row.
+    """
+    keys = [tile, year]
+    images = df.select(*keys, image).distinct()
+    w = Window.partitionBy(*keys)  # the images of a tile's year
+    held = images.withColumns({"_i": F.row_number().over(w.orderBy(image)) - 1, "_n": F.count("*").over(w)})
+    sizes = held.select(*keys, "_n").distinct().withColumn("_seed", F.pmod(F.xxhash64(*keys), F.lit(100_000)) * 4096)
+    draws = sizes.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    drawn = draws.select(*keys, "_r", draw(F.col("_seed") + F.col("_r"), F.col("_d"), F.col("_n")).alias("_i")).groupBy(*keys, "_i", "_r").agg(F.count("*").alias("_k"))
+    per = drawn.groupBy(*keys, "_i").agg(F.map_from_entries(F.collect_list(F.struct("_r", "_k"))).alias("_m"))  # at most ``replicates`` entries
+    times = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: F.coalesce(F.try_element_at("_m", r), F.lit(0)).cast("int"))
+    times = F.concat(F.array(F.lit(1)), F.coalesce(times, F.array_repeat(F.lit(0), replicates)))
+    known = stored(beside(held, per, [*keys, "_i"], "left").select(F.col(tile).alias("_tile"), F.col(year).alias("_year"), F.col(image).alias("_image"), times.alias("_times")), "images")
+    rows = df.where(F.col(value).isNotNull()).select(F.col(tile).alias("_tile"), F.col(year).alias("_year"), F.col(pixel).alias("_pixel"), F.col(image).alias("_image"), F.col(value).cast("double").alias("_value"))
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("_pixel"), F.lit(parts)).cast("int"))
+    spread = known.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    kind = {c: df.schema[c].dataType.simpleString() for c in (tile, year, pixel)}
+
+    def medians(mine: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(drawn):
+            return pd.DataFrame(columns=["_tile", "_year", "_pixel", "_medians"])
+        count = dict(zip(drawn["_image"], (np.asarray(x) for x in drawn["_times"]), strict=True))
+        mine = mine.sort_values(["_pixel", "_value"], kind="stable")
+        codes, names = pd.factorize(mine["_pixel"])
+        out, value = [], mine["_value"].to_numpy()
+        weight = np.stack([count[x] for x in mine["_image"]])
+        starts = np.flatnonzero(np.diff(codes, prepend=-1))
+        for a, b in zip(starts, [*starts[1:], len(codes)], strict=True):
+            run = np.cumsum(weight[a:b], axis=0)
+            total = run[-1]
+            at = (run * 2 < total).sum(0)  # first place with half of the draws
+            out.append([float(v) if t else None for v, t in zip(value[a:b][np.minimum(at, b - a - 1)], total, strict=True)])
+        return pd.DataFrame({"_tile": [mine["_tile"].iloc[0]] * len(out), "_year": [mine["_year"].iloc[0]] * len(out), "_pixel": names, "_medians": out})
+
+    yearly = rows.groupBy("_tile", "_year", "_part").cogroup(spread.groupBy("_tile", "_year", "_part")).applyInPandas(medians, f"_tile {kind[tile]}, _year {kind[year]}, _pixel {kind[pixel]}, _medians array<double>")
+    yearly = stored(yearly, "medians")
+    years = yearly.select("_tile", "_year").distinct()
+    before = years.withColumn("_before", F.lag("_year").over(Window.partitionBy("_tile").orderBy("_year"))).where("_before is not null")  # a row per year
+    now = beside(yearly, before, ["_tile", "_year"])
+    then = yearly.select("_tile", F.col("_year").alias("_before"), "_pixel", F.col("_medians").alias("_old"))
+    change = beside(now, then, ["_tile", "_before", "_pixel"]).select("_tile", "_year", F.posexplode(F.zip_with("_medians", "_old", lambda x, y: x - y)).alias("boot", "change"))
+    found = quantiles(change, "change", ["_tile", "_year", "boot"], [0.5])
+    return found.select(F.col("_tile").alias(tile), F.col("_year").alias(year), "boot", F.col("q")[0].alias("change"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import accuracy, change, curation, geometry, inference, models, statistics  # noqa: F401  (they register their queries)
+from . import accuracy, change, curation, geometry, inference, models, samples, statistics  # noqa: F401  (they register their queries)
 from .registry import QUERIES, SQL
 
 
