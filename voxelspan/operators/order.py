@@ -94,6 +94,23 @@ def quantiles(df: DataFrame, value: str, by: Sequence[str], shares: Sequence[flo
     return found.select(*by, "n", F.array(*(one(k, s) for k, s in enumerate(shares))).alias("q"))
 
 
+def running_sums(df: DataFrame, by: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
+    """``df`` with ``before_<c>``: the sum of each column over the group's rows that come before in the order, for groups of any size.
+
+    Rows are sorted by range and stored; sums within a task's stretch of a group are windows, and a table with a row per stretch has the sums before it. ``order`` has no repeats within a group.
+    """
+    by = list(by)
+    ranged = df.repartitionByRange(*by, order).sortWithinPartitions(*by, order) if by else df.repartitionByRange(order).sortWithinPartitions(order)
+    held = stored(ranged.withColumn("_at", F.monotonically_increasing_id()), "sorted").withColumn("_part", F.shiftright("_at", 33))
+    spans = held.groupBy(*by, "_part").agg(*(F.sum(c).alias(f"_t_{c}") for c in columns))
+    w = (Window.partitionBy(*by) if by else Window).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
+    spans = spans.select(*by, "_part", *(F.coalesce(F.sum(f"_t_{c}").over(w), F.lit(0)).alias(f"_b_{c}") for c in columns))
+    inner = Window.partitionBy(*by, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = beside(held, spans, [*by, "_part"])
+    rows = rows.withColumns({f"before_{c}": F.col(f"_b_{c}") + F.coalesce(F.sum(c).over(inner), F.lit(0)) for c in columns})
+    return rows.drop("_at", "_part", *(f"_b_{c}" for c in columns))
+
+
 def _cells_of(df: DataFrame, value: str, by: str) -> DataFrame:
     """Distinct values with their number and cell."""
     rows = df.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import avg_rank, pick_order
+from ..functions.distributions import student_sf2
+from ..sources.scratch import stored
+from .order import beside, running_sums
+from .ranking import avg_rank, global_avg_rank, pick_order
 
 
 def ols_fit(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame:
@@ -70,11 +73,15 @@ def sens_residual_corr(df: DataFrame, a: str, b: str, x: str, by: str) -> DataFr
 
 
 def interaction_test(df: DataFrame, y: str, sens: str, group: str) -> DataFrame:
-    """Slope of y on sensitivity in either group, their difference (the interaction) and its z."""
+    """Slope of y on sensitivity in either group, their difference (the interaction), its z, and ``p`` by Student's t with Welch's degrees of freedom."""
     g = df.groupBy(group).agg(F.count("*").alias("n"), F.regr_slope(y, sens).alias("slope"), F.regr_syy(y, sens).alias("syy"), F.regr_sxx(y, sens).alias("sxx"), F.regr_sxy(y, sens).alias("sxy"))
     g = g.withColumn("v", (F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")) / (F.col("n") - 2) / F.col("sxx"))
     of = lambda c, k: F.max(F.when(F.col(group) == k, F.col(c)))
-    return g.agg(of("slope", 1).alias("slope_high"), of("slope", 0).alias("slope_low"), (of("slope", 1) - of("slope", 0)).alias("interaction"), ((of("slope", 1) - of("slope", 0)) / F.sqrt(of("v", 1) + of("v", 0))).alias("z"))
+    a, b = of("v", 1), of("v", 0)
+    one = g.agg(
+        of("slope", 1).alias("slope_high"), of("slope", 0).alias("slope_low"), (of("slope", 1) - of("slope", 0)).alias("interaction"), ((of("slope", 1) - of("slope", 0)) / F.sqrt(a + b)).alias("z"),
+        F.try_divide((a + b) * (a + b), a * a / (of("n", 1) - 2) + b * b / (of("n", 0) - 2)).alias("_df"))
+    return one.withColumn("p", student_sf2(F.col("z"), F.col("_df"))).drop("_df")
 
 
 def bin_trend(df: DataFrame, bin_column: str, value: str) -> DataFrame:
@@ -89,11 +96,14 @@ def fold_of(key: str, folds: int, seed: str = "fold") -> Column:
 
 
 def auc(df: DataFrame, score: str, label: str, by: Sequence[str]) -> DataFrame:
-    """Area under the ROC curve by rank sum."""
-    rows = avg_rank(df, score, by, "_r")
-    n1, n0 = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
-    u = F.sum(F.when(F.col(label) == 1, F.col("_r")).otherwise(0.0)) - n1 * (n1 + 1) / 2
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.try_divide(u, n1 * n0).alias("auc"))
+    """Area under the ROC curve per group, ties counted half, from counts per score and running sums over ranges of them; null where a class is missing."""
+    by = list(by)
+    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    counts = rows.groupBy(*by, F.col(score).alias("_score")).agg(F.count_if(F.col(label) == 1).alias("_n1"), F.count_if(F.col(label) == 0).alias("_n0"))
+    run = running_sums(counts, by, "_score", ["_n0"])
+    n1, n0 = F.sum("_n1"), F.sum("_n0")
+    u = F.sum(F.col("_n1").cast("double") * (F.col("before__n0") + F.col("_n0") / 2))
+    return run.groupBy(*by).agg((n1 + n0).alias("n"), F.try_divide(u, n1.cast("double") * n0).alias("auc"))
 
 
 def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -130,6 +140,123 @@ def grouped_cv_classify(df: DataFrame, features: Sequence[str], label: str, tile
     return auc(p, "score", label, ["fold"]).join(rest, "fold")
 
 
+def _scores(p: DataFrame, label: str, by: Sequence[str]) -> DataFrame:
+    """n, AUC, balanced accuracy and F1 per group of out-of-fold scores; a score of one half or more counts as a hit."""
+    by = list(by)
+    hit, y = F.col("score") >= 0.5, F.col(label)
+    tp, tn, n1, n0 = F.count_if((y == 1) & hit), F.count_if((y == 0) & ~hit), F.count_if(y == 1), F.count_if(y == 0)
+    rest = p.groupBy(*by).agg(((F.try_divide(tp, n1) + F.try_divide(tn, n0)) / 2).alias("balanced_accuracy"), F.try_divide(2 * tp, tp + n1 + n0 - tn).alias("f1"))
+    return beside(auc(p, "score", label, by), rest, by)
+
+
+def cross_validated(df: DataFrame, features: Sequence[str], label: str, tile: str, folds: int | None, kind: str = "logistic", trees: int = 20) -> tuple[DataFrame, list[tuple[int, list[float]]]]:
+    """Out-of-fold scores of every row with a label and features, and per fold the importance of each feature.
+
+    folds None leaves out one tile at a time: a model per tile, so for few tiles. Otherwise folds are whole tiles by a hash. Classes weigh
+    alike. A fold whose training rows lack a class is left out. Importance is the absolute coefficient of the standardised feature, or a forest's impurity importance.
+    """
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    from pyspark.ml.functions import vector_to_array
+
+    given = df.dropna(subset=[*features, label, tile])
+    if folds is None:
+        number = global_avg_rank(given.select(tile).distinct(), tile, "_k").select(tile, (F.col("_k") - 1).cast("int").alias("fold"))
+        given = given.join(number, tile)
+    else:
+        given = given.withColumn("fold", fold_of(tile, folds))
+    rows = stored(_assembled(given, features).withColumn("_label", F.col(label).cast("double")), "assembled")
+    counts = {(r["fold"], r["_label"]): r["n"] for r in rows.groupBy("fold", "_label").agg(F.count("*").alias("n")).collect()}  # two per fold
+    total = {y: sum(n for (_, k), n in counts.items() if k == y) for y in (0.0, 1.0)}
+    out, weights = None, []
+    for k in sorted({f for f, _ in counts}):
+        left = {y: total[y] - counts.get((k, y), 0) for y in total}
+        if not all(left.values()):
+            continue
+        n = sum(left.values())
+        train = rows.where(F.col("fold") != k).withColumn("_weight", F.when(F.col("_label") == 1, n / (2 * left[1.0])).otherwise(n / (2 * left[0.0])))
+        if kind == "logistic":
+            model = LogisticRegression(featuresCol="_x", labelCol="_label", weightCol="_weight", maxIter=50).fit(train)
+            sd = train.agg(*(F.stddev_pop(c).alias(c) for c in features)).first()
+            weights.append((k, [abs(float(b)) * float(sd[c]) for b, c in zip(model.coefficients, features, strict=True)]))
+        else:
+            model = RandomForestClassifier(featuresCol="_x", labelCol="_label", weightCol="_weight", numTrees=trees, seed=1).fit(train)
+            weights.append((k, [float(x) for x in model.featureImportances.toArray()]))
+        part = model.transform(rows.where(F.col("fold") == k)).select(*df.columns, "fold", vector_to_array("probability")[1].alias("score"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = given.select(*df.columns, "fold", F.lit(None).cast("double").alias("score")).where(F.lit(False))
+    return stored(out, "scores"), weights
+
+
+def classify_report(df: DataFrame, feature_sets: dict[str, Sequence[str]], label: str, tile: str, bin_column: str, folds: int | None, kind: str = "logistic") -> DataFrame:
+    """(features, part, name, n, auc, balanced_accuracy, f1, importance): per feature set its folds, their means, the pooled scores, the pooled scores per bin, and the mean importance of each feature. See ``cross_validated``."""
+    out = None
+    for name, features in feature_sets.items():
+        p, weights = cross_validated(df, features, label, tile, folds, kind)
+        spark = df.sparkSession
+        per = _scores(p, label, ["fold"])
+        numbers = ["n", "auc", "balanced_accuracy", "f1"]
+        as_part = lambda d, part, key: d.select(F.lit(part).alias("part"), key.cast("string").alias("name"), F.col("n").cast("double").alias("n"), *numbers[1:], F.lit(None).cast("double").alias("importance"))
+        parts = as_part(per, "fold", F.col("fold"))
+        parts = parts.unionByName(as_part(per.agg(*(F.avg(c).alias(c) for c in numbers)), "mean", F.lit("all")))
+        parts = parts.unionByName(as_part(_scores(p, label, []), "pooled", F.lit("all")))
+        parts = parts.unionByName(as_part(_scores(p, label, [bin_column]), "bin", F.col(bin_column)))
+        means = [(f, sum(w[k] for _, w in weights) / len(weights)) for k, f in enumerate(features)] if weights else []
+        told = spark.createDataFrame(means, "name string, importance double").select(F.lit("importance").alias("part"), "name", *(F.lit(None).cast("double").alias(c) for c in numbers), "importance")
+        parts = parts.unionByName(told).withColumn("features", F.lit(name))
+        out = parts if out is None else out.unionByName(parts)
+    return out.where("n is not null or importance is not null")
+
+
+def permutation_importance(df: DataFrame, features: Sequence[str], label: str, tile: str, folds: int, seed: str, *ids: str) -> DataFrame:
+    """(feature, auc, permuted_auc, loss): AUC over all out-of-fold scores of a logistic fit, and with one feature's values dealt anew.
+
+    A feature's values are permuted within tiles: the rows of a tile in the order of their ids get the values in the order of a hash. The models are those of the true values.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
+
+    given = df.dropna(subset=[*features, label, tile]).select(tile, *ids, *features, F.col(label).cast("double").alias("_label")).withColumn("fold", fold_of(tile, folds))
+    w = Window.partitionBy(tile)  # the rows of a tile
+    base = stored(given.withColumn("_at", F.row_number().over(w.orderBy(*ids))), "rows")
+    tables = {None: base}
+    for f in features:
+        dealt = base.select(tile, F.row_number().over(w.orderBy(pick_order(f"{seed}|{f}", tile, *ids), *ids)).alias("_at"), F.col(f).alias("_dealt"))
+        tables[f] = base.join(dealt, [tile, "_at"]).drop(f).withColumnRenamed("_dealt", f)
+    models = {k: LogisticRegression(featuresCol="_x", labelCol="_label", maxIter=50).fit(_assembled(base.where(F.col("fold") != k), features)) for k in range(folds)}
+    out = None
+    for f, table in tables.items():
+        for k, model in models.items():
+            part = model.transform(_assembled(table.where(F.col("fold") == k), features)).select(F.lit(f).alias("feature"), "_label", vector_to_array("probability")[1].alias("score"))
+            out = part if out is None else out.unionByName(part)
+    found = auc(out, "score", "_label", ["feature"])
+    whole = found.where("feature is null").select(F.col("auc").alias("_auc"))
+    return found.where("feature is not null").crossJoin(F.broadcast(whole)).select("feature", F.col("_auc").alias("auc"), F.col("auc").alias("permuted_auc"), (F.col("_auc") - F.col("auc")).alias("loss"))  # one row
+
+
+def class_sets_report(df: DataFrame, feature_sets: dict[str, Sequence[str]], label: str, tile: str, folds: int, kind: str = "logit") -> DataFrame:
+    """``class_report_averages`` of out-of-fold predictions for every feature set. kind: multinomial ``logit``, or ``boosted`` trees, one class against the rest."""
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
+
+    from .metrics import class_report_averages
+
+    def make():
+        if kind == "logit":
+            return LogisticRegression(featuresCol="_x", labelCol="_label", family="multinomial", maxIter=20)
+        return OneVsRest(classifier=GBTClassifier(featuresCol="_x", labelCol="_label", maxIter=5, maxDepth=3, seed=1), featuresCol="_x", labelCol="_label")
+
+    out = None
+    for name, features in feature_sets.items():
+        rows = stored(_assembled(df.dropna(subset=[label]), features).withColumn("_fold", fold_of(tile, folds)).withColumn("_label", F.col(label).cast("double")), "assembled")
+        held = None
+        for k in range(folds):
+            part = make().fit(rows.where(F.col("_fold") != k)).transform(rows.where(F.col("_fold") == k)).select(F.col("_label").cast("int").alias("truth"), F.col("prediction").cast("int").alias("predicted"))
+            held = part if held is None else held.unionByName(part)
+        one = class_report_averages(stored(held, "predictions"), "truth", "predicted").withColumn("features", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def multinomial_classify(df: DataFrame, feature_sets: dict[str, Sequence[str]], label: str, tile: str, folds: int) -> DataFrame:
     """Accuracy out of fold of a multinomial logit on each feature set."""
     from pyspark.ml.classification import LogisticRegression

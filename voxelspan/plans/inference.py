@@ -9,6 +9,7 @@ from ..operators import matching as ma
 from ..operators import regression as re_
 from ..operators import resampling as rs
 from ..operators.metrics import fixed_bin, interval_metrics
+from .accuracy import student_p
 from .registry import query
 
 REPLICATES = 50
@@ -133,7 +134,7 @@ def _(t):
     return m.select("biome", *(c.alias(k) for k, c in C.ratio_shares(*map(F.col, ("na", "da", "nb", "db"))).items()))
 
 
-@query("g11_interaction_test", "WITH {fp}, g AS (SELECT (flag = 'R')::INT AS g, count(*) AS n, regr_slope(y, sens) AS s, regr_syy(y, sens) AS syy, regr_sxx(y, sens) AS sxx, regr_sxy(y, sens) AS sxy FROM fp GROUP BY 1), v AS (SELECT g, s, (syy - sxy * sxy / sxx) / (n - 2) / sxx AS v FROM g) SELECT max(s) FILTER (g = 1) AS slope_high, max(s) FILTER (g = 0) AS slope_low, max(s) FILTER (g = 1) - max(s) FILTER (g = 0) AS interaction, (max(s) FILTER (g = 1) - max(s) FILTER (g = 0)) / sqrt(max(v) FILTER (g = 1) + max(v) FILTER (g = 0)) AS z FROM v", "slope_high slope_low interaction z", 4)
+@query("g11_interaction_test", "WITH {fp}, g AS (SELECT (flag = 'R')::INT AS g, count(*) AS n, regr_slope(y, sens) AS s, regr_syy(y, sens) AS syy, regr_sxx(y, sens) AS sxx, regr_sxy(y, sens) AS sxy FROM fp GROUP BY 1), v AS (SELECT g, s, (syy - sxy * sxy / sxx) / (n - 2) / sxx AS v, n FROM g), w AS (SELECT max(s) FILTER (g = 1) AS slope_high, max(s) FILTER (g = 0) AS slope_low, max(s) FILTER (g = 1) - max(s) FILTER (g = 0) AS interaction, (max(s) FILTER (g = 1) - max(s) FILTER (g = 0)) / sqrt(max(v) FILTER (g = 1) + max(v) FILTER (g = 0)) AS z, pow(max(v) FILTER (g = 1) + max(v) FILTER (g = 0), 2) / (pow(max(v) FILTER (g = 1), 2) / (max(n) FILTER (g = 1) - 2) + pow(max(v) FILTER (g = 0), 2) / (max(n) FILTER (g = 0) - 2)) AS df FROM v) SELECT * EXCLUDE (df), " + student_p("z", "df") + " AS p FROM w", "slope_high slope_low interaction z p", 4)
 def _(t):
     return re_.interaction_test(t.fp().withColumn("g", (F.col("flag") == "R").cast("int")), "y", "sens", "g")
 

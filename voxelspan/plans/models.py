@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import gram as gr
+from ..operators import regression as re_
 from .accuracy import student_p
 from .inference import CI, REPLICATES, _reps
 from .registry import query
@@ -67,3 +68,36 @@ def _(t):
 def _(t):
     """Tests hold bins and intervals against plain refits."""
     return calibration(t).curve()
+
+
+def _classes(t):
+    return t.fp().selectExpr("shot", "beam", "part", "tile", "tile % 6 as site", "biome", "q", "slope", "sens", "cast(y - p + slope * 500 > 0 as int) as g", "cast(floor(least(y, 99999) / 34000) as int) as class")
+
+
+@query("g12_classify_report")
+def _(t):
+    """Folds of whole tiles; tests hold the scores against plain ones."""
+    return re_.classify_report(_classes(t), {"height": ["q"], "both": ["q", "slope", "sens"]}, "g", "tile", "biome", 3)
+
+
+@query("g12_leave_one_tile_out")
+def _(t):
+    """One site left out at a time."""
+    return re_.classify_report(_classes(t), {"both": ["q", "slope"]}, "g", "site", "biome", None)
+
+
+@query("g12_permutation_importance")
+def _(t):
+    return re_.permutation_importance(_classes(t), ["q", "slope", "sens"], "g", "tile", 3, "perm", "shot", "beam", "part")
+
+
+@query("g13_class_sets_report")
+def _(t):
+    """Multinomial logit on each feature set, a report per class and the averages."""
+    return re_.class_sets_report(_classes(t), {"height": ["q"], "both": ["q", "slope"]}, "class", "tile", 2)
+
+
+@query("g13_boosted_report")
+def _(t):
+    """Boosted trees, one class against the rest."""
+    return re_.class_sets_report(_classes(t), {"both": ["q", "slope"]}, "class", "tile", 2, "boosted")
