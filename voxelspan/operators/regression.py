@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import shape_rmse
 from ..functions.distributions import student_sf2
 from ..sources.scratch import stored
-from .order import beside, running_sums
+from .order import beside, quantiles, running_sums
 from .ranking import avg_rank, global_avg_rank, pick_order
 
 
@@ -381,3 +382,36 @@ def shape_baselines(df: DataFrame, target: str, x: str, tile: str, folds: int) -
     for name, make in makers.items():
         mean = mean.union(out_of_fold(df, make, [x], target, tile, folds, "_p").select(F.lit(name), F.col(target) - F.col("_p")))
     return mean.groupBy("model").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"))
+
+
+def profile_baselines(df: DataFrame, profile: str, others: Sequence[str], height: str, tile: str, folds: int, bins: int = 20) -> DataFrame:
+    """(model, n, rmse, and delta_<other> per other profile): shape RMSE on the tiles of fold 0 of profiles predicted from height by a fit on all other tiles, for all levels at once.
+
+    Models: ``mean`` (the mean profile), ``linear`` (a line per level), ``bins`` (the mean profile of each of equal-count bins of height). The others are
+    profiles that stand beside the true one; each has a row of its own, and delta = (rmse of the model - rmse of the other) / rmse of the model.
+    A row's shape RMSE is over its levels. Rows with a null, or of another length than the shortest training profile, don't count.
+    """
+    rows = df.dropna(subset=[profile, height, tile, *others]).select(F.col(profile).alias("_y"), F.col(height).cast("double").alias("_h"), (fold_of(tile, folds) == 0).alias("_test"), *others)
+    rows = stored(rows, "profiles")
+    train = rows.where(~F.col("_test"))
+    size = train.agg(F.min(F.size("_y"))).first()[0]
+    edges = quantiles(train, "_h", [], [k / bins for k in range(1, bins)]).first()
+    names = ["mean", "linear", "bins", *others]
+    schema = "model string, n long, rmse double" + "".join(f", delta_{x} double" for x in others)
+    if size is None or edges is None:
+        return df.sparkSession.createDataFrame([], schema)
+    cut = sorted(set(edges["q"]))
+    at = F.size(F.filter(F.array(*map(F.lit, cut)), lambda e: e <= F.col("_h")))
+    levels = lambda d: d.where(F.size("_y") == size).select("_h", at.alias("_b"), F.posexplode("_y").alias("_k", "_v"))
+    long = levels(train)
+    # one row for all levels of a model
+    fits = long.groupBy("_k").agg(F.avg("_v").alias("mean"), F.regr_slope("_v", "_h").alias("b"), F.regr_intercept("_v", "_h").alias("a"))
+    fits = fits.agg(F.array_sort(F.collect_list(F.struct("_k", "mean", F.coalesce("a", "mean").alias("a"), F.coalesce("b", F.lit(0.0)).alias("b")))).alias("_f"))
+    means = long.groupBy("_b", "_k").agg(F.avg("_v").alias("m")).groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("_k", "m"))).alias("_m"))  # a row per bin
+    test = rows.where(F.col("_test") & (F.size("_y") == size)).withColumn("_b", at).crossJoin(F.broadcast(fits)).join(means, "_b", "left")
+    mean = F.transform("_f", lambda f: f["mean"])
+    predicted = {"mean": mean, "linear": F.transform("_f", lambda f: f["a"] + f["b"] * F.col("_h")), "bins": F.coalesce(F.transform("_m", lambda m: m["m"]), mean), **{x: F.col(x) for x in others}}
+    per = test.select(*(shape_rmse(predicted[x], F.col("_y")).alias(x) for x in names))
+    one = per.agg(F.count("*").alias("n"), *(F.avg(x).alias(x) for x in names))
+    told = F.explode(F.array(*(F.struct(F.lit(x).alias("model"), F.col("n"), F.col(x).alias("rmse"), *(F.try_divide(F.col(x) - F.col(o), F.col(x)).alias(f"delta_{o}") for o in others)) for x in names)))
+    return one.select(told.alias("_t")).select("_t.*")
