@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import interval_metrics, weighted_pool
+from .order import beside, quantiles
+from .ranking import global_avg_rank
 
 
 def complete_pixels(df: DataFrame, tile: str, pixel: str, year: str, value: str, least_share: float) -> DataFrame:
@@ -61,6 +63,39 @@ def cloud_leak(df: DataFrame, pixel: str, year: str, ok: Column, score: str, lea
     return rows.withColumn("share", F.try_divide("leaked", "used"))
 
 
+def anomaly_summary(changes: DataFrame, group: str, change: str, anomaly: str) -> DataFrame:
+    """Per group n, medians of change and anomaly, and the same with Spearman's r over all rows (group null, overall true). Rows with a null in either don't count."""
+    rows = changes.dropna(subset=[change, anomaly]).select(group, change, anomaly)
+
+    def medians(by: list[str]) -> DataFrame:
+        one = lambda c: quantiles(rows, c, by, [0.5]).select(*by, "n", F.col("q")[0].alias(f"median_{c}"))
+        return beside(one(change), one(anomaly).drop("n"), by)
+
+    ranked = global_avg_rank(global_avg_rank(rows, change, "_rx"), anomaly, "_ry")
+    r = ranked.agg(F.corr("_rx", "_ry").alias("spearman"))
+    overall = medians([]).crossJoin(r).withColumns({group: F.lit(None).cast(changes.schema[group].dataType), "overall": F.lit(True)})  # one row each
+    return medians([group]).withColumns({"spearman": F.lit(None).cast("double"), "overall": F.lit(False)}).unionByName(overall)
+
+
+def cloud_leak_tiles(leak: DataFrame, tile: str, year: str) -> DataFrame:
+    """Median share of leaked images over the pixels of a tile and year; pixel-years without used images don't count."""
+    return quantiles(leak, "share", [tile, year], [0.5]).select(tile, year, "n", F.col("q")[0].alias("share_median"))
+
+
+def cloud_leak_bins(leak: DataFrame, deviation: str, edges: Sequence[float]) -> DataFrame:
+    """Per bin of the leaked share, [edge, next edge) and the last one closed, n, median deviation and median share. Rows outside the edges or with a null don't count."""
+    at = F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges[1:-1])), lambda e: e <= F.col("share")))
+    rows = leak.dropna(subset=["share", deviation]).where((F.col("share") >= edges[0]) & (F.col("share") <= edges[-1])).withColumn("bin", at)
+    one = lambda c, name: quantiles(rows, c, ["bin"], [0.5]).select("bin", "n", F.col("q")[0].alias(name))
+    return beside(one(deviation, "deviation_median"), one("share", "share_median").drop("n"), ["bin"])
+
+
+def darkest_clear(df: DataFrame, image: str, value: str, clear: Column, least: int = 50, share: float = 0.02) -> DataFrame:
+    """Per image the quantile ``share`` of its clear pixels' values, null for fewer than ``least`` of them, and their number; images without clear pixels have no row."""
+    q = quantiles(df.where(clear), value, [image], [share])
+    return q.select(image, F.col("n").alias("n_clear"), F.when(F.col("n") >= least, F.col("q")[0]).alias("p2_clear"))
+
+
 def input_offsets(df: DataFrame, tile: str, pixel: str, year: str, bands: Sequence[str], masks: dict[str, Column]) -> DataFrame:
     """``year_offsets`` of every band under every mask."""
     out = None

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 from ..operators import conformal as cp
 from ..operators import metrics as m
 from ..operators import ranking as r
+from ..operators import regression as re_
+from ..operators import resampling as rs
+from ..operators import series as se
 from ..operators import significance as sg
 from .accuracy import ERR, RANKS, REPORT, SIGNED, _f1_sql, _holm_sql, _signed, student_p
+from .inference import CI, DIFF, ERRORS, REPLICATES, _reps
 from .registry import query
 
 R_P = student_p("(r * sqrt((n - 2) / (1 - r * r)))", "(n - 2)")
@@ -82,3 +86,51 @@ def _(t):
 @query("c04_coverage_pivot", "WITH {triples}, " + COVERAGE + " SELECT biome, level, all_groups, " + ", ".join(f"max(cal_coverage) FILTER (method = '{x}') AS {x}" for x in cp.METHODS) + " FROM rep GROUP BY biome, level, all_groups", " ".join(cp.METHODS))
 def _(t):
     return cp.coverage_pivot(_by_method(t), "biome", "level", cp.METHODS)
+
+
+@query("y06_anomaly_summary", "WITH {series}, c AS (SELECT tile, avg(value) FILTER (year = 10) - avg(value) FILTER (year IN (1, 2, 3)) AS change, pixel % 4 AS g, pixel, ((pixel * 37) % 101) * 1.5 AS anomaly FROM series GROUP BY tile, pixel), d AS (SELECT * FROM c WHERE change IS NOT NULL), r AS (SELECT *, rank() OVER (ORDER BY change) + (count(*) OVER (PARTITION BY change) - 1) / 2.0 AS a, rank() OVER (ORDER BY anomaly) + (count(*) OVER (PARTITION BY anomaly) - 1) / 2.0 AS b FROM d) SELECT g, count(*) AS n, median(change) AS median_change, median(anomaly) AS median_anomaly, NULL AS spearman, false AS overall FROM d GROUP BY g UNION ALL SELECT NULL, count(*), median(change), median(anomaly), corr(a, b), true FROM r", "median_change median_anomaly spearman")
+def _(t):
+    s = t.series()
+    anomalies = s.select("pixel").distinct().withColumn("anomaly", F.expr("((pixel * 37) % 101) * 1.5"))
+    changes = se.anomaly_change(s, anomalies, "pixel", "year", "value", 10, [1, 2, 3], "anomaly")
+    return se.anomaly_summary(changes.withColumn("g", F.expr("pixel % 4")), "g", "change", "anomaly")
+
+
+_LEAK = "l AS (SELECT user_id % 10 AS tile, user_id AS pixel, dayofmonth(ts) AS year, count(*) FILTER (event_type <> 'error' AND value < 50) / nullif(count(*) FILTER (event_type <> 'error'), 0) AS share, avg(value) AS dev FROM events GROUP BY ALL), k AS (SELECT * FROM l WHERE share IS NOT NULL)"
+
+
+def _leak(t):
+    e = t.events.selectExpr("user_id as pixel", "dayofmonth(ts) as year", "event_type", "value")
+    leak = se.cloud_leak(e, "pixel", "year", F.col("event_type") != "error", "value", 50)
+    return leak.join(e.groupBy("pixel", "year").agg(F.avg("value").alias("dev")), ["pixel", "year"]).withColumn("tile", F.expr("pixel % 10"))
+
+
+@query("y08_cloud_leak_tiles", "WITH " + _LEAK + " SELECT tile, year, count(*) AS n, median(share) AS share_median FROM k GROUP BY tile, year", "share_median")
+def _(t):
+    return se.cloud_leak_tiles(_leak(t), "tile", "year")
+
+
+@query("y08_cloud_leak_bins", "WITH " + _LEAK + " SELECT (share >= 0.2)::INT + (share >= 0.5)::INT + (share >= 0.8)::INT AS bin, count(*) AS n, median(dev) AS deviation_median, median(share) AS share_median FROM k WHERE share BETWEEN 0 AND 1 GROUP BY 1", "deviation_median share_median")
+def _(t):
+    return se.cloud_leak_bins(_leak(t), "dev", [0.0, 0.2, 0.5, 0.8, 1.0])
+
+
+@query("y10_darkest_clear", "SELECT dayofmonth(ts) AS image, count(*) AS n_clear, CASE WHEN count(*) >= 50 THEN quantile_cont(value, 0.02) END AS p2_clear FROM events WHERE event_type <> 'error' AND value IS NOT NULL GROUP BY 1", "p2_clear")
+def _(t):
+    return se.darkest_clear(t.events.selectExpr("dayofmonth(ts) as image", "value", "event_type"), "image", "value", F.col("event_type") != "error")
+
+
+_ROWS = "fp AS (SELECT c_custkey AS tile, c_acctbal AS y, c_acctbal + (c_custkey * 13) % 1000 - 500 AS p, c_acctbal + (c_custkey * 29) % 1400 - 600 AS p2 FROM customer)"
+
+
+@query("b01_bootstrap_iid", "WITH " + _ROWS + ", " + ERRORS + ", " + _reps("n", "ea", "eb", "aa", "ab", "sa", "sb") + ", long AS (" + " UNION ALL ".join(f"SELECT '{k}' AS metric, {x.format(f='', g='')} AS v FROM reps" for k, x in DIFF.items()) + "), tot AS (" + " UNION ALL ".join(f"SELECT '{k}' AS metric, {x.format(f='sum(', g=')')} AS difference FROM blocks" for k, x in DIFF.items()) + ") SELECT metric, any_value(difference) AS difference, " + CI.format(x="v") + f", greatest(least(2 * least(avg((v <= 0)::INT), avg((v >= 0)::INT)), 1), 1.0 / {REPLICATES}) AS p FROM long JOIN tot USING (metric) GROUP BY metric", "difference low high p")
+def _(t):
+    """Single rows drawn: the block is a row's id."""
+    rows = t.customer.selectExpr("c_custkey as id", "c_acctbal as y", "c_acctbal + (c_custkey * 13) % 1000 - 500 as p", "c_acctbal + (c_custkey * 29) % 1400 - 600 as p2")
+    return rs.bootstrap_metric_diff(rows, "y", "p", "p2", "id", REPLICATES)
+
+
+@query("g15_complexity_report", "WITH {fp}, f AS (SELECT regr_slope(y, q) AS s, regr_intercept(y, q) AS i FROM fp), e AS (SELECT biome, round(y - s * q - i, 4) AS y, slope FROM fp, f), rx AS (SELECT *, rank() OVER (PARTITION BY biome ORDER BY y) + (count(*) OVER (PARTITION BY biome, y) - 1) / 2.0 AS a, rank() OVER (PARTITION BY biome ORDER BY slope) + (count(*) OVER (PARTITION BY biome, slope) - 1) / 2.0 AS b FROM e), o AS (SELECT *, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS a, rank() OVER (ORDER BY slope) + (count(*) OVER (PARTITION BY slope) - 1) / 2.0 AS b FROM e), u AS (SELECT biome, " + _CORR + ", false AS overall FROM rx GROUP BY biome HAVING count(*) >= 30 UNION ALL SELECT NULL, " + _CORR + ", true FROM o) SELECT *, " + student_p("(pearson * sqrt((n - 2) / (1 - pearson * pearson)))", "(n - 2)") + " AS p FROM u", "pearson spearman r_squared p", 5)
+def _(t):
+    rows = re_.ols_residual(t.fp(), "y", "q", []).select("biome", F.round("residual", 4).alias("residual"), "slope")
+    return m.correlation_report(rows, "residual", "slope", ["biome"], 30)
