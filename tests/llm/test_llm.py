@@ -715,3 +715,20 @@ def test_pipeline_stages_on_odd_rows(spark):
             assert out.columns == docs.columns and ids(out) == ids(docs)
             assert [x["text"] for x in out.where("doc_id = 0").collect()] == [None]
         out.unpersist()
+
+
+def test_a_long_turn_is_cut_in_one_pass(spark):
+    """Time follows the length of a turn: 4 million characters, some of them outside the basic plane."""
+    import time
+
+    from voxelspan.llm import chat
+
+    took = {}
+    for n in (250_000, 1_000_000):
+        text = "ab\n😀" * n
+        rows = spark.createDataFrame([(1, 0, "user", "x" + text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+        began = time.time()
+        out = chat.read_back(chat.format_chats(rows)).first()
+        took[n] = time.time() - began
+        assert [t["text"] for t in out["turns"]] == ["x" + text, text] and out["loss_text"] == text
+    assert took[1_000_000] < 10 * max(took[250_000], 1.0)
