@@ -17,7 +17,9 @@ are ignored by ``scan`` and kept by ``redact``.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -51,10 +53,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def reach(found: list[tuple[int, int, int]]) -> Callable[[int], int]:
+    """Of findings in the order of their start: how far those that start at a place or before reach; -1 if none does."""
+    starts, ends = [x for x, _, _ in found], [*accumulate((y for _, _, y in found), max)]
+
+    def to(at: int) -> int:
+        k = bisect_right(starts, at)
+        return ends[k - 1] if k else -1
+
+    return to
+
+
 def candidates(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Runs of key characters, shorter ones only after a key-like word, that do not lie wholly inside a rule's finding."""
-    runs = {m.span() for m in CANDIDATE.finditer(text)} | {m.span(1) for m in SHORT.finditer(text)}
-    return sorted((a, b) for a, b in runs if not any(x <= a and b <= y for x, _, y in found))
+    runs, to = {m.span() for m in CANDIDATE.finditer(text)} | {m.span(1) for m in SHORT.finditer(text)}, reach(found)
+    return sorted((a, b) for a, b in runs if to(a) < b)
 
 
 def windows(text: str, a: int, b: int) -> list[str]:
@@ -168,9 +181,9 @@ def examples(n: int = 4_000, seed: int = 11) -> tuple[list[str], list[int], list
 
 def look_alike(text: str, found: list[tuple[int, int, int]]) -> list[str]:
     """Windows of a run that is no secret, made in the text of its own words: some joined, or one after a key-like word."""
-    n = len(text)
+    n, to = len(text), reach(found)
     for m in WORDS.finditer(text, n // 3):
-        if any(x < m.end() and m.start() < y for x, _, y in found):
+        if to(m.end() - 1) > m.start():
             continue
         words, long = m[0].split(" "), n % 3 < 2
         before, after = text[: m.start()], text[m.end() :]
