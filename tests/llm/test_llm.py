@@ -732,3 +732,36 @@ def test_a_long_turn_is_cut_in_one_pass(spark):
         took[n] = time.time() - began
         assert [t["text"] for t in out["turns"]] == ["x" + text, text] and out["loss_text"] == text
     assert took[1_000_000] < 10 * max(took[250_000], 1.0)
+
+
+def test_candidates_of_many_findings_are_those_of_a_plain_test():
+    """Findings that overlap and nest; and time that follows the length of the text."""
+    import random
+    import time
+
+    from voxelspan.llm import secret_scan as ss
+
+    rng = random.Random(2)
+    for _ in range(300):
+        found = sorted((a, 0, a + rng.randint(1, 40)) for a in (rng.randint(0, 200) for _ in range(rng.randint(0, 12))))
+        to = ss.reach(found)
+        for a in range(0, 220, 3):
+            b = a + rng.randint(1, 30)
+            assert (to(a) >= b) == any(x <= a and b <= y for x, _, y in found)
+            assert (to(b - 1) > a) == any(x < b and a < y for x, _, y in found)
+    took = []
+    for n in (4_000, 32_000):
+        text = "".join(f"password=abcdef{k:09d}xyz and AKIA{k:016d} then " for k in range(n))
+        began = time.process_time()
+        ss.candidates(text, ss.base_spans(text))
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * max(took[0], 0.02)
+
+
+def test_texts_of_one_id_are_linked(spark):
+    from voxelspan.llm import near_dup
+
+    a, b = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
+    rows = [(1, a), (10, a), (10, b), (5, b), (7, b), (20, "alone words here"), (None, a)]
+    found = {r["doc_id"]: r["class_id"] for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: 1, 10: 1, 5: 1, 7: 1, 20: 20, None: None}

@@ -65,7 +65,8 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     total = np.zeros(len(h), np.uint64)
     for k in range(SHINGLE):
         part = np.zeros(len(h), np.uint64)
-        part[: len(h) - k] = h[k:]
+        if k < len(h):  # a batch may have fewer words than a shingle
+            part[: len(h) - k] = h[k:]
         part[left <= k] = 0  # only in texts shorter than a shingle does this matter
         total = mix(total * _GOLD + part + np.uint64(k + 1))
     keep = (left >= SHINGLE) | ((place == 0) & (np.repeat(sizes, sizes) < SHINGLE))
@@ -221,7 +222,7 @@ def components(edges: DataFrame) -> DataFrame:
         ends = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))
         small = _with_least(large).select(ends.alias("_e")).select("_e.*")
         new = stored(small.where("a <> b").distinct(), "edges")
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003)).first()
+        now = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         drop_stored(held)
         held = new
         if now == mark:
@@ -305,7 +306,10 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs = pairs.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
     wanted = kept.select(F.col("node").alias("doc_id")).distinct()
     texts = stored(docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
-    first = stored(_verified(_may_match(pairs, nodes), texts), "links")
+    often = signed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    several = signed.join(often, "doc_id").select("doc_id", "key").join(nodes.select("key", "node"), "key").select("doc_id", "node")
+    own = several.join(several.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")  # texts of one id
+    first = stored(_verified(_may_match(pairs, nodes), texts).union(own).distinct(), "links")
     found = components(first)
     found = components(first.union(_across(kept, found, nodes, texts)))
     named = nodes.select("key", "node").join(found, "node", "left").select("key", F.coalesce("class", "node").alias("class_id"))
