@@ -1,4 +1,4 @@
-"""Matching, drawn points, shifts and profiles; pandas only inside the chains of a match."""
+"""Matching, drawn points, shifts and profiles; pandas only inside the stretches of a match."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import inside
 from ..sources.scratch import stored
-from .order import PAIRS, pair_order_statistic
+from .order import PAIRS, beside, pair_order_statistic
 
 
 def points_in_boxes(boxes: DataFrame, name: str, box: Sequence[str], n: int, seed: str) -> DataFrame:
@@ -86,55 +86,89 @@ def lattice_in_polygons(parts: DataFrame, name: str, part: str, ring: str, n: in
     return rows.where(inside(F.col("lon"), F.col("lat"), F.col(ring))).select(name, part, "point", "lon", "lat")
 
 
-def greedy_match(df: DataFrame, bin_column: str, id_column: str, height: str, high: str, tolerance: float) -> DataFrame:
-    """One-to-one matches of high (1) and low (0) rows nearest in height, highs ascending, nearer than a tolerance.
+def _free(next_: list[int], k: int) -> int:
+    while next_[k] != k:
+        next_[k] = next_[next_[k]]
+        k = next_[k]
+    return k
 
-    Heights of a bin are cut where neighbours lie the tolerance or more apart: chains cannot match each other, so each is
-    matched alone; chains of one side go. Of equally near lows the one reached in fewer outward steps wins, then the taller one.
+
+def match_stretch(highs: list[tuple], lows: list[tuple], taken: set, tolerance: float) -> list[tuple]:
+    """Matches (high, low, distance, low's number) of highs (height, id) with lows (height, id), both in order; ``taken`` lows are not free.
+
+    ``up`` and ``down`` lead to the next low that is free; 0 and n + 1 stand for none.
+    """
+    at, n, out = [h for h, _ in lows], len(lows), []
+    up, down = list(range(n + 2)), list(range(n + 2))
+    for k, (_, name) in enumerate(lows, 1):
+        if name in taken:
+            down[k], up[k] = k - 1, k + 1
+    for h, name in highs:
+        first = bisect_left(at, h) + 1  # lows are numbered from 1
+        i, j = _free(down, first - 1), _free(up, first)
+        options = [(h - at[i - 1], first - 1 - i, 1, i)] if i else []
+        options += [(at[j - 1] - h, j - first, 0, j)] if j <= n else []
+        if options and min(options)[0] < tolerance:
+            distance, _, _, k = min(options)
+            down[k], up[k] = k - 1, k + 1
+            out.append((name, lows[k - 1][1], float(distance), k - 1))
+    return out
+
+
+def greedy_match(df: DataFrame, bin_column: str, id_column: str, height: str, high: str, tolerance: float, size: int = 20_000) -> DataFrame:
+    """One-to-one matches of high (1) and low (0) rows nearest in height, highs ascending (of equal ones by id), nearer than a tolerance.
+
+    Of equally near lows the one reached in fewer outward steps wins, then the taller one. A bin's highs are cut into stretches of equal height,
+    of about ``size`` rows on average in the largest bin and at least two tolerances, each with the lows that its highs reach, so a low is in two stretches at most. All
+    stretches are matched at once; where the lows that a stretch took are in the next one's reach, that one is matched again without
+    them, until nothing changes: a stretch is right once the one below it is. A task holds one stretch. The cut does not change the result. Ids are unique within a bin; rows with a null in height or side don't count.
     """
-    w = Window.partitionBy(bin_column).orderBy(height, id_column)
-    gap = F.coalesce(F.col(height) - F.lag(height).over(w), F.lit(0.0)) >= tolerance
-    chains = df.withColumn("_g", gap.cast("int")).withColumn("chain", F.sum("_g").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_g")
-
-    both = chains.groupBy(bin_column, "chain").agg(F.max(high).alias("_x"), F.min(high).alias("_y")).where("_x = 1 and _y = 0").select(bin_column, "chain")
-    chains = chains.join(both, [bin_column, "chain"]).withColumn("_part", F.pmod("chain", F.lit(16)))
-
-    def free(next_: list[int], k: int) -> int:
-        while next_[k] != k:
-            next_[k] = next_[next_[k]]
-            k = next_[k]
-        return k
-
-    def match(names: list, heights: list, sides: list) -> list[tuple]:
-        """Matches of one chain, its rows in the order of height and id. ``up`` and ``down`` lead to the next low that is free; 0 and n + 1 stand for none."""
-        lows = [k for k, side in enumerate(sides) if side == 0]
-        at, n, out = [heights[k] for k in lows], len(lows), []
-        up, down = list(range(n + 2)), list(range(n + 2))
-        for name, h, side in zip(names, heights, sides, strict=True):
-            if side != 1:
-                continue
-            first = bisect_left(at, h) + 1  # lows are numbered from 1
-            i, j = free(down, first - 1), free(up, first)
-            options = [(h - at[i - 1], first - 1 - i, 1, i)] if i else []
-            options += [(at[j - 1] - h, j - first, 0, j)] if j <= n else []
-            if options and min(options)[0] < tolerance:
-                distance, _, _, k = min(options)
-                down[k], up[k] = k - 1, k + 1
-                out.append((name, names[lows[k - 1]], float(distance)))
-        return out
-
-    def match_all(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["chain", height, id_column])
-        names, heights, sides = (rows[c].tolist() for c in (id_column, height, high))
-        cuts = [0, *(rows["chain"].diff().to_numpy()[1:].nonzero()[0] + 1).tolist(), len(rows)]
-        found = [x for a, b in zip(cuts, cuts[1:], strict=False) for x in match(names[a:b], heights[a:b], sides[a:b])]
-        out = pd.DataFrame(found, columns=["high_id", "low_id", "distance"]).astype({"high_id": object, "low_id": object, "distance": float})
-        out.insert(0, bin_column, rows[bin_column].iloc[0])
-        return out
-
-    kind = df.schema[bin_column].dataType.simpleString()
-    name = df.schema[id_column].dataType.simpleString()
-    return chains.groupBy(bin_column, "_part").applyInPandas(match_all, f"{bin_column} {kind}, high_id {name}, low_id {name}, distance double")
+    rows = df.dropna(subset=[height, high]).where(F.col(high).isin(0, 1))
+    most = rows.groupBy(bin_column).agg(F.count("*").alias("n"), (F.max(height) - F.min(height)).cast("double").alias("range")).agg(F.max(F.struct("n", "range"))).first()[0]
+    wide = max(2.0 * tolerance, most["range"] * size / most["n"]) if most else 1.0
+    rows = rows.select(F.col(bin_column).alias("_bin"), F.col(id_column).alias("_id"), F.col(height).cast("double").alias("_h"), F.col(high).cast("int").alias("_high"))
+    at = lambda h: F.floor(h / wide)
+    reach = F.when(F.col("_high") == 1, F.array(at(F.col("_h")))).otherwise(F.sequence(at(F.col("_h") - tolerance), at(F.col("_h") + tolerance)))
+    rows = rows.withColumn("_last", at(F.col("_h") + tolerance)).withColumn("_s", F.explode(reach))
+    both = rows.groupBy("_bin", "_s").agg(F.max("_high").alias("_x"), F.min("_high").alias("_y")).where("_x = 1 and _y = 0").select("_bin", "_s")
+    rows = stored(beside(rows, both, ["_bin", "_s"]), "stretches")
+    kind, name = df.schema[bin_column].dataType.simpleString(), df.schema[id_column].dataType.simpleString()
+    schema = f"_bin {kind}, _s bigint, high_id {name}, low_id {name}, distance double, _last bigint"
+    spark = df.sparkSession
+
+    def match(held: pd.DataFrame, taken: pd.DataFrame) -> pd.DataFrame:
+        columns = ["_bin", "_s", "high_id", "low_id", "distance", "_last"]
+        if not len(held):
+            return pd.DataFrame(columns=columns)
+        held = held.sort_values(["_h", "_id"])
+        highs, lows = held[held["_high"] == 1], held[held["_high"] == 0]
+        pairs = lambda x: list(zip(x["_h"].tolist(), x["_id"].tolist(), strict=True))
+        last = lows["_last"].tolist()
+        found = match_stretch(pairs(highs), pairs(lows), set(taken["low_id"]), tolerance)
+        return pd.DataFrame([(held["_bin"].iloc[0], held["_s"].iloc[0], a, b, d, last[k]) for a, b, d, k in found], columns=columns)
+
+    def borders(found: DataFrame) -> DataFrame:
+        """Lows that a stretch took and the next one reaches."""
+        return found.where(F.col("_last") > F.col("_s")).select("_bin", (F.col("_s") + 1).alias("_s"), "low_id")
+
+    def marks(taken: DataFrame, c: str) -> DataFrame:
+        return taken.groupBy("_bin", "_s").agg(F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("low_id").cast("decimal(20,0)")).alias("h")).alias(c))
+
+    taken = spark.createDataFrame([], f"_bin {kind}, _s bigint, low_id {name}")
+    found, again = spark.createDataFrame([], schema), both
+    while True:
+        part = beside(rows, again, ["_bin", "_s"])
+        fresh = part.groupBy("_bin", "_s").cogroup(taken.groupBy("_bin", "_s")).applyInPandas(match, schema)
+        kept = beside(found, again.withColumn("_again", F.lit(1)), ["_bin", "_s"], "left").where("_again is null").drop("_again")
+        found = stored(kept.unionByName(fresh), "matches")
+        new = stored(borders(found), "taken")
+        known = marks(new, "_new")
+        changed = beside(both, known, ["_bin", "_s"], "left")
+        changed = beside(changed, marks(taken, "_old"), ["_bin", "_s"], "left").where(~F.col("_new").eqNullSafe(F.col("_old")))
+        again = stored(changed.select("_bin", "_s"), "again")
+        if again.isEmpty():
+            return found.select(F.col("_bin").alias(bin_column), "high_id", "low_id", "distance")
+        taken = new
 
 
 def hodges_lehmann(a: DataFrame, b: DataFrame, value: str, by: str, pairs: int = PAIRS) -> DataFrame:
