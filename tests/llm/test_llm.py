@@ -36,16 +36,17 @@ def odd_docs(spark):
 
 
 @cache
-def tokenizer(path):
+def tokenizer(path, literal):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    if literal:
+        t.encode_special_tokens = True
     return t
 
 
-def direct(path, text):
-    return tokenizer(path).encode(text or "", add_special_tokens=False).ids
+def direct(path, text, literal=False):
+    return tokenizer(path, literal).encode(text or "", add_special_tokens=False).ids
 
 
 # 1
@@ -254,7 +255,8 @@ def least_bins(items, room):
 
 
 def check_plan(counts, capacity=packing.CAPACITY, nodes=packing.NODES):
-    runs, bins = packing.plan(counts, capacity, nodes)
+    runs, bins, low = packing.plan(counts, capacity, nodes)
+    assert bins >= low
     assert all(sum(b - a for x, a, b, _, _ in runs.tolist() if x == k) == n for k, n in counts.items())
     return bins
 
@@ -274,6 +276,19 @@ def test_packing_meets_the_bound_and_small_cases_are_best():
     assert check_plan(Counter([60, 50, 40, 30, 20]), 100, 0) == 2
 
 
+def test_packing_of_lengths_of_which_few_go_together():
+    r = random.Random(1)
+    for a, b, most in ((900, 1500, 271), (1300, 2048, 535), (800, 1360, 224), (1280, 1600, 201)):
+        counts = {x: r.randint(1, 2) for x in range(a, b)}
+        assert check_plan(counts) <= most
+    for _ in range(60):
+        items = [r.randint(15, 60) for _ in range(r.randint(3, 10))]
+        assert packing.low_bound(np.bincount(items, minlength=101), 100) <= least_bins(sorted(items, reverse=True), 100)
+    many = {x: r.randint(100, 3_000) for x in range(900, 1500)}  # dealt out many at once
+    runs, bins, low = packing.plan(many)
+    assert check_plan(many) == bins and bins <= 1.03 * low
+
+
 def test_word_ids_are_those_of_the_library():
     """Random mixed strings, and whole documents, as they are cut into parts and encoded whole."""
     from voxelspan.llm import tokens
@@ -282,10 +297,12 @@ def test_word_ids_are_those_of_the_library():
     letters = "abcXYZ éÉßİıſßÅ012½²①.,;:!?'\"$%&-_  \n\n\t\r\xa0\u200b\u0307ǅΣςж中ａ’“<|endoftext|>"
     texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 25))) for _ in range(6_000)]
     texts += ["BELEDİYESİ.", "İ?", "don't ", "<|endoftext|> a<|endoftext|>.", "a  b", "a\n\n\nb", "a\n\n b", " a", "\na", " \na", "a \n", "", "\n", " ", "x\n\ny"]
+    texts += ["".join(r.choice(("<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", " ", "\n", "Ab", "<|", "é")) for _ in range(r.randint(0, 8))) for _ in range(2_000)]
     for path, keep in ((BYTE, True), (WORD, False)):
-        coder = tokens.Encoder(path, keep)
-        want = [np.asarray(direct(path, t), "<u4").tobytes() for t in texts]
-        assert coder.encode(texts) == want == coder.encode(texts, 500)
+        for literal in (False, True):
+            coder = tokens.Encoder(path, keep, literal)
+            want = [np.asarray(direct(path, t, literal), "<u4").tobytes() for t in texts]
+            assert coder.encode(texts) == want == coder.encode(texts, 500)
 
 
 # 4

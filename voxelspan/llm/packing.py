@@ -3,26 +3,28 @@
 Documents are tokenised and those longer than ``capacity`` cut; the pieces then differ, for packing, only in
 their length. So the search runs on the counts of at most ``capacity`` lengths, whatever the corpus holds:
 
-* Incumbents: best-fit decreasing, and best fit with a subset-sum search for the least waste of each sequence. If one
-  of them meets the lower bound (total length, and Martello and Toth's bound on large pieces), it is optimal.
+* Incumbents: best-fit decreasing, best fit with a subset-sum search for the least waste of each sequence, and tiers of
+  equally many pieces (``balanced``). If one of them meets the lower bound (``low_bound``), it is optimal.
 * Otherwise ``complete`` branches: the largest length left opens a sequence, and the undominated fillings of its room
   come in order of their waste. A filling is dominated if a left piece still fits, or can take the place of one or two of
   its pieces. A branch is pruned when its waste exceeds what one sequence less than the incumbent could leave empty.
   Each filling is tried as often as the counts allow, and once.
 
 The search ends when every branch is closed (the plan is optimal), or after ``nodes`` steps with the best plan so far;
-``nodes=None`` sets no limit.
+``nodes=None`` sets no limit. Every row tells the lower bound (``bound``), so a plan that may not be the best shows: it has
+more sequences than that.
 
 Spark numbers the pieces of each length without gathering them: ``local`` counts within a task, ``ahead`` sums the
 tasks before. A piece's number picks the run (filling, repetition, slot) that holds it.
 
 Defined results: null text counts as empty (only the end id); equal rows are packed each for itself; rows with a
 null ``doc_id`` are packed too; an empty table gives no rows; further columns are ignored. Strings of special tokens
-in a text are ordinary text.
+in a text get the ids that the library's plain call gives them (``tokens``).
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -40,6 +42,8 @@ CAPACITY = 4096
 NODES, STEPS = 100_000, 2_000
 #: Levels of the search that keep their table of reachable sums.
 KEPT_SUMS = 64
+#: Pieces that ``balanced`` deals out at once; of more, every so many of a length stand for one.
+DEALT = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, task long, local long"
 
 
@@ -129,11 +133,39 @@ def dominated(filling: list[tuple[int, int]], spare: int, left: list[int], top:
     return any(free(x + y, x + y + spare) for i, (x, n) in enumerate(filling) for y, _ in filling[i if n > 1 else i + 1 :])
 
 
+def crowd_bound(counts: np.ndarray, capacity: int) -> int:
+    """Sequences needed by the pieces of which at most q go together, for the q that asks for most; and by rounding lengths to k-ths of a sequence."""
+    size = np.arange(capacity + 1)
+    n, total = np.cumsum(counts), np.cumsum(counts * size)
+    pieces = int(n[-1])
+
+    def smallest(m: int) -> int:
+        """Total length of the m smallest pieces."""
+        x = int(np.searchsorted(n, m))
+        return int(total[x]) - (int(n[x]) - m) * x
+
+    best = 0
+    for q in range(1, min(capacity, pieces - 1) + 1):
+        if smallest(q + 1) > capacity:
+            return max(best, -(-pieces // q))
+        a, b = 0, pieces - q - 1  # the first place from which q + 1 neighbours do not fit; b: the last place there is
+        if smallest(b + q + 1) - smallest(b) > capacity:
+            while a < b:
+                m = (a + b) // 2
+                a, b = (a, m) if smallest(m + q + 1) - smallest(m) > capacity else (m + 1, b)
+            best = max(best, -(-(pieces - a) // q))
+    for k in range(1, 100):
+        whole = (k + 1) * size % capacity == 0
+        share = np.where(whole, k * size, (k + 1) * size // capacity * capacity)  # in parts of k * capacity
+        best = max(best, -(-sum(int(c) * int(x) for c, x in zip(counts, share, strict=True) if c) // (k * capacity)))
+    return best
+
+
 def low_bound(counts: np.ndarray, capacity: int) -> int:
-    """Sequences that any plan needs: by total length, and by Martello and Toth's bound for each least length k."""
+    """Sequences that any plan needs: by total length, by Martello and Toth's bound for each least length k, and by ``crowd_bound``."""
     size = np.arange(capacity + 1)
     n, total = np.cumsum(counts), np.cumsum(counts * size)
-    best = -(-int(total[-1]) // capacity)
+    best = max(-(-int(total[-1]) // capacity), crowd_bound(counts, capacity))
     half = capacity // 2
     for k in range(1, half + 1):
         large, middle = int(n[capacity] - n[half]), int(n[capacity - k] - n[half])
@@ -161,6 +193,59 @@ def dive(left: list[int], capacity: int, fill) -> Plan:
         out.append((filling, times))
 
 
+def dealt(pieces: list[int], q: int, capacity: int) -> list[list[int]] | None:
+    """``pieces``, in ascending order, dealt out by q: the longest left goes to the emptiest sequence; None if one overflows."""
+    bins: list[list[int]] = [[] for _ in range(-(-len(pieces) // q))]
+    heap = [(0, k) for k in range(len(bins))]
+    for x in reversed(pieces):
+        full, k = heapq.heappop(heap)
+        if full + x > capacity:
+            return None
+        bins[k].append(x)
+        if len(bins[k]) < q:
+            heapq.heappush(heap, (full + x, k))
+    return bins
+
+
+def tiers(pieces: list[int], capacity: int) -> list[list[int]]:
+    """Sequences of equally many pieces: as few of the longest as can be by 1, of those left as few by 2, and so on."""
+    out: list[list[int]] = []
+    q = 1
+    while len(pieces) > q:
+        a, b, found = 0, -(-len(pieces) // q), None
+        while a < b:  # fewest sequences of q, if those left can be dealt out by q + 1
+            m = (a + b) // 2
+            at = len(pieces) - m * q
+            long = dealt(pieces[at:], q, capacity)
+            short = dealt(pieces[:at], q + 1, capacity) if long is not None else None
+            if short is None:
+                a = m + 1
+            else:
+                b, found = m, (at, long, short)
+        if found is None:
+            return [*out, *dealt(pieces, q, capacity)]  # as was tried before
+        at, long, short = found
+        out += long
+        pieces = pieces[:at]
+        q += 1
+    return [*out, pieces] if pieces else out
+
+
+def balanced(left: list[int], capacity: int) -> Plan:
+    """A plan of ``tiers``; of many pieces, every 2^k of a length are dealt out as one, what is over in halves of that, and so on."""
+    left, out = list(left), []
+    scale = 1
+    while sum(n // scale for n in left) > DEALT:
+        scale *= 2
+    while scale:
+        for held in tiers([x for x, n in enumerate(left) for _ in range(n // scale)], capacity):
+            times = {x: held.count(x) for x in set(held)}
+            out.append((sorted(times.items(), reverse=True), scale))
+        left = [n % scale for n in left]
+        scale //= 2
+    return out
+
+
 def complete(left: list[int], capacity: int, best: Plan, low: int, nodes: int | None) -> Plan:
     """Bin completion: a plan with fewer sequences than ``best``, down to ``low``, if there is one and the steps suffice."""
     left, total = list(left), sum(x * n for x, n in enumerate(left))
@@ -240,14 +325,17 @@ def complete(left: list[int], capacity: int, best: Plan, low: int, nodes: int |
     return best
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = NODES) -> tuple[np.ndarray, int]:
-    """Runs (length, first number, last number + 1, first sequence, offset) for all pieces, and the number of sequences."""
+def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = NODES) -> tuple[np.ndarray, int, int]:
+    """Runs (length, first number, last number + 1, first sequence, offset) for all pieces, the number of sequences, and its lower bound."""
     left = [0] * (capacity + 1)
     for length, n in counts.items():
         left[length] += n
     low = low_bound(np.asarray(left), capacity)
-    best = min((dive(left, capacity, fill) for fill in (best_fit, least_waste)), key=lambda p: sum(t for _, t in p))
-    if sum(t for _, t in best) > low:
+    used = lambda p: sum(t for _, t in p)
+    best = min((dive(left, capacity, fill) for fill in (best_fit, least_waste)), key=used)
+    if used(best) > low:
+        best = min(best, balanced(left, capacity), key=used)
+    if used(best) > low:
         best = complete(left, capacity, best, low, nodes)
     taken, runs, bins = [0] * (capacity + 1), [], 0
     for filling, times in best:
@@ -258,7 +346,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = N
                 taken[x] += times
                 offset += x
         bins += times
-    return np.asarray(runs, np.int64).reshape(-1, 5), bins
+    return np.asarray(runs, np.int64).reshape(-1, 5), bins, low
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -290,14 +378,14 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """Every piece with its ``sequence_id`` and ``offset``; sequences have no gaps."""
+    """Every piece with its ``sequence_id`` and ``offset``; sequences have no gaps. ``bound``: sequences that any plan needs."""
     spark = docs.sparkSession
     cut = stored(pieces(docs, tokenizer, end_id, capacity, with_ids), "pieces")
     by_task = cut.groupBy("task", "length").agg(F.count("*").alias("n"))
     ahead = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     by_task = stored(by_task.select("task", "length", "n", F.coalesce(ahead, F.lit(0)).alias("ahead")), "lengths")
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    runs, _ = plan(counts, capacity)
+    runs, _, low = plan(counts, capacity)
     order = np.lexsort((runs[:, 1], runs[:, 0]))
     shared = spark.sparkContext.broadcast(runs[order])
     width = int(runs[:, 2].max()) + 1 if len(runs) else 1
@@ -314,4 +402,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
     kept = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     ahead_of = by_task.select("task", "length", "ahead").hint("merge")  # a row per task and length: too many to broadcast
     numbered = cut.join(ahead_of, ["task", "length"]).select(*kept, (F.col("local") + F.col("ahead")).alias("_number"))
-    return numbered.mapInArrow(place, ", ".join(c for c in PIECES.split(", ") if c.split()[0] in kept) + ", sequence_id long, offset long")
+    placed = numbered.mapInArrow(place, ", ".join(c for c in PIECES.split(", ") if c.split()[0] in kept) + ", sequence_id long, offset long")
+    return placed.withColumn("bound", F.lit(low).cast("long"))
