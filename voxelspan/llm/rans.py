@@ -9,8 +9,8 @@ and several readers can decode one block side by side. Blocks and the file index
 File: ``MAGIC``, blocks, index (one ``INDEX`` record per block), ``FOOT`` (index offset, blocks, crc, MAGIC).
 Block: ``HEAD``, documents (zlib of int64 ids, null flags, uint32 lengths), checkpoints, words.
 
-A block's ids pass between tasks as 16-bit numbers where they fit, else as 32-bit ones; strings of special tokens in a
-text are ordinary text.
+A block's ids pass between tasks as 16-bit numbers where they fit, else as 32-bit ones. Strings of special tokens in
+a text get the ids that the library's plain call gives them.
 
 Defined results: null text counts as empty (only the end id); rows with a null ``doc_id`` come first; rows
 with equal ``doc_id`` are ordered by the hash of their text; an empty table gives no files and no rows;

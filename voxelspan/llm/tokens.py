@@ -6,7 +6,8 @@ Each worker numbers the parts it meets, has the library encode those that are ne
 texts by number. Texts with other white space or control characters, on whose class Python and the library may differ,
 are encoded whole.
 
-Strings of special tokens inside a text are ordinary text (``encode_special_tokens``), so no document can write one.
+A text that holds the string of a special token is encoded whole and gets that token's id, as by the library's plain call;
+``literal`` encoders take such strings as ordinary text (``encode_special_tokens``), so that no document can write one.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SHOWN = {b: b for b in _PRINTED} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 SPACE = chr(SHOWN[32])
 
-_encoders: dict[tuple[str, bool], "Encoder"] = {}
+_encoders: dict[tuple[str, bool, bool], "Encoder"] = {}
 
 
 class Numbers(dict):
@@ -52,12 +53,15 @@ class Numbers(dict):
 class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, keep_space: bool):
+    def __init__(self, path: str, keep_space: bool, literal: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
+        names = [] if literal else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, names)) or "(?!)", re.I)
+        self.mark = re.match(r"[^A-Za-z]*", os.path.commonprefix(names))[0]  # in every text that holds one
         self.model = self.tokenizer.model
         self.keep_space = keep_space
         self.marks: dict[str, list[int]] = {}
@@ -172,7 +176,8 @@ class Encoder:
         gc.disable()  # the many small lists made here hold no cycles
         try:
             for text in texts:
-                held.append(text if UNUSUAL.search(text) else self.parts(text))
+                whole = UNUSUAL.search(text) or self.mark in text and self.special.search(text)
+                held.append(text if whole else self.parts(text))
                 size += len(text)
                 if size >= at_once:
                     flush()
@@ -183,9 +188,9 @@ class Encoder:
         return out
 
 
-def encoder(path: str, keep_space: bool) -> Encoder:
-    """The worker's encoder of this tokenizer file. keep_space: white space reaches the ids."""
-    key = (path, keep_space)
+def encoder(path: str, keep_space: bool, literal: bool = False) -> Encoder:
+    """The worker's encoder of this tokenizer file. keep_space: white space reaches the ids; literal: special tokens' strings are ordinary text."""
+    key = (path, keep_space, literal)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, keep_space)
+        _encoders[key] = Encoder(path, keep_space, literal)
     return _encoders[key]
