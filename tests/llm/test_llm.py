@@ -319,7 +319,7 @@ def plain_base(text):
 def plain_quality(docs, labels):
     """(doc row: kept) with the same n-grams, over plain counters instead of hashed buckets."""
     good = {d for d, q in labels.items() if q == 1}
-    pairs = lambda w: [("w", x) for x in w] + [("e", x[-2:], (w[k + 1] if k + 1 < len(w) else "")[-2:]) for k, x in enumerate(w)]
+    pairs = lambda w: [("w", x) for x in w] + [("e", x, w[k + 1] if k + 1 < len(w) else "") for k, x in enumerate(w)]
     raw, target = Counter(), Counter()
     for d, t in docs:
         g = pairs(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
@@ -341,6 +341,7 @@ def test_quality_base_and_odd_rows(spark):
         base = plain_base(x["text"])
         assert (x["n_words"], x["word_chars"], x["n_symbols"], x["n_dup_lines"], x["n_repeat_words"]) == base
         assert x["base_failed"] == (base[0] < 50 or 100 * base[4] > 50 * base[0]) and not (x["kept"] and x["base_failed"])
+    assert sorted(map(repr, quality.keep(docs, labels).collect())) == sorted(repr(r) for r in docs.join(spark.createDataFrame([(x["text"],) for x in rows if x["kept"]], "t string").distinct(), F.col("text").eqNullSafe(F.col("t"))).drop("t").collect())
     none = quality.judge(docs, labels.limit(0)).collect()
     assert all(x["kept"] == (not x["base_failed"]) for x in none)
     assert quality.judge(docs.limit(0), labels).count() == 0
