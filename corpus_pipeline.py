@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from voxelspan.llm import decontaminate, near_dup, packing, quality, secret_scan
 from voxelspan.llm.shared import stored, table
@@ -22,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and blank texts have no words and go; repeated rows and rows without an id are judged each for itself; a score equal to the threshold stays.
     """
-    return quality.judge(docs, table(spark, sf_dir, "labels")).where(F.col("kept")).select(*docs.columns)
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
