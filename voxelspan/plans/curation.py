@@ -282,11 +282,12 @@ def _(t):
 
 @query("s03_read_delimited_header", "SELECT CAST(s_suppkey AS DOUBLE) AS LFID, CASE WHEN s_suppkey % 5 <> 0 THEN CAST(CAST(floor(s_acctbal) AS BIGINT) AS DOUBLE) END AS ZH, CAST(s_nationkey AS DOUBLE) AS RH10 FROM supplier")
 def _(t):
+    """Missing heights are written as NaN, which no balance is; -999 is one."""
     path = t.scratch("delimited")
-    rows = t.supplier.selectExpr("s_nationkey as k", "1 as kind", "concat_ws('  ', s_suppkey, if(s_suppkey % 5 = 0, -999, cast(floor(s_acctbal) as bigint)), s_nationkey) as value")
+    rows = t.supplier.selectExpr("s_nationkey as k", "1 as kind", "concat_ws('  ', s_suppkey, if(s_suppkey % 5 = 0, 'NaN', cast(cast(floor(s_acctbal) as bigint) as string)), s_nationkey) as value")
     heads = t.supplier.selectExpr("s_nationkey as k").distinct().selectExpr("k", "0 as kind", "'# LFID ZH  RH10' as value")
     rows.union(heads).repartition("k").sortWithinPartitions("kind").select("value").write.text(path)
-    return so.read_delimited_header(t.spark, path).drop("source_file")
+    return so.read_delimited_header(t.spark, path, float("nan")).drop("source_file")
 
 
 @query("s04_read_metrics_csv", "SELECT CAST(s_suppkey AS DOUBLE) AS lfid, CAST(s_nationkey AS DOUBLE) AS fhd FROM supplier")
