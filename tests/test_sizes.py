@@ -31,3 +31,25 @@ def test_rows_at_one_position_are_compared_once(spark, monkeypatch):
     best = jo.best_within(a, b, "i", "j", "x", "y", "u", "v", "w", 6.0, 5.0).collect()
     assert sorted((r["i"], r["j"], r["w"]) for r in best) == [(i, 28, 28.0) for i in range(0, 40, 2)]
     assert met == [(3, 3), (3, 3)]
+
+
+def test_best_and_widened_scenes_meet_days(spark):
+    import datetime as dt
+    import random
+
+    rng, day = random.Random(4), lambda k: dt.date(2020, 1, 1) + dt.timedelta(k)
+    points = [(i, rng.randrange(4), day(rng.randrange(300)) if i else None) for i in range(60)]
+    scenes = [(100 + k, rng.randrange(3), day(rng.randrange(300)), rng.choice([0.05, 0.1, 0.3])) for k in range(90)] + [(1, 0, None, 0.05), (2, 3, None, 0.05)]
+    p, s = spark.createDataFrame(points, "id long, tile int, want date"), spark.createDataFrame(scenes, "scene long, tile int, day date, defect double")
+    gap = lambda a, b: 10**6 if a is None or b is None else abs((a - b).days)
+    wanted, wide = [], []
+    for i, tile, want in points:
+        own = [x for x in scenes if x[1] == tile]
+        if fit := [(x[3], gap(want, x[2]), x[0]) for x in own if x[3] <= 0.2]:
+            wanted.append((i, min(fit)[2]))
+        levels = [(max(-(-gap(want, x[2]) // 5), 1), x[0]) for x in own if gap(want, x[2]) <= 182]
+        wide += [(i, k, level) for level, k in levels if level == min(levels)[0]]
+    best = jo.best_scene(p, s, "tile", "want", "scene", "day", "defect", 0.2)
+    assert sorted((r["id"], r["scene"]) for r in best.collect()) == wanted
+    found = jo.expanding_window(p, s, "id", "tile", "want", "scene", "day", 5).collect()
+    assert sorted((r["id"], r["scene"], r["level"]) for r in found) == sorted(wide)
