@@ -6,6 +6,7 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from voxelspan.operators import joins as jo
+from voxelspan.operators import resampling as rs
 from voxelspan.plans import catalogue
 
 
@@ -53,3 +54,21 @@ def test_best_and_widened_scenes_meet_days(spark):
     assert sorted((r["id"], r["scene"]) for r in best.collect()) == wanted
     found = jo.expanding_window(p, s, "id", "tile", "want", "scene", "day", 5).collect()
     assert sorted((r["id"], r["scene"], r["level"]) for r in found) == sorted(wide)
+
+
+def test_draws_of_many_blocks_are_shared_and_joined_by_shuffles(spark):
+    blocks = spark.createDataFrame([(k * 7 % 101 if k else None, float(k)) for k in range(101)], "key long, v double")
+    sums = rs.replicate_sums(blocks, "key", ["v"], 3)
+    order = [v for _, v in sorted((((k * 7 % 101) if k else -1), float(k)) for k in range(101))]
+
+    def drawn(r, d):
+        x = (r * 1000003 + d * 7919 + 104729) % rs.PRIME
+        for _ in range(3):
+            x = (x * rs.FACTOR + 12345) % rs.PRIME
+        return order[x % 101]
+
+    assert sorted((r["replicate"], r["v"]) for r in sums.collect()) == [(r, sum(drawn(r, d) for d in range(101))) for r in range(3)]
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "sequence(0, (_n" not in plan  # one row that holds all draws was one task's work
+    times = {r["key"]: r["times"] for r in rs.multiplicities(blocks, "key", 3).collect()}
+    assert len(times) == 101 and [sum(x[r] for x in times.values()) for r in range(3)] == [101] * 3

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
 from .order import beside, quantiles
-from .ranking import global_avg_rank
 
 PRIME, FACTOR = 2147483647, 48271
 
@@ -28,22 +27,26 @@ def draw(replicate: Column, number: Column, n: Column) -> Column:
 
 
 def numbered_blocks(blocks: DataFrame, key: str) -> DataFrame:
-    """Blocks (one row each) with a number from 0 in the order of their key, numbered as ranges with offsets."""
+    """Blocks (one row each) with a number from 0 in the order of their key: sorted by range and stored with their place; a row per task has the blocks before it."""
     keyed = blocks.withColumn("_key", F.struct(key))  # a null key is a block too
-    return global_avg_rank(keyed, "_key", "_i").withColumn("_i", F.col("_i").cast("long") - 1).drop("_key")
+    held = stored(keyed.repartitionByRange("_key").sortWithinPartitions("_key").drop("_key").withColumn("_at", F.monotonically_increasing_id()), "blocks")
+    held = held.withColumn("_part", F.shiftright("_at", 33))
+    ahead = held.groupBy("_part").agg(F.count("*").alias("_sum"))  # a row per task
+    ahead = ahead.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    return held.join(F.broadcast(ahead), "_part").withColumn("_i", F.col("_ahead") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_ahead")
 
 
 def picks(held: DataFrame, replicates: int) -> DataFrame:
-    """(replicate, _i, _k): how often each replicate draws the blocks numbered ``_i``; blocks it leaves out have no row."""
-    n = held.agg(F.count("*").cast("long").alias("_n")).where("_n > 0")
-    draws = n.select("_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).withColumn("_d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    """(replicate, _i, _k): how often each replicate draws the blocks numbered ``_i``; blocks it leaves out have no row. The blocks' own numbers are the numbers of the draws, so tasks share them."""
+    n = held.agg(F.count("*").cast("long").alias("_n"))
+    draws = held.select(F.col("_i").alias("_d"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).crossJoin(F.broadcast(n))  # one row
     return draws.select("replicate", draw(F.col("replicate"), F.col("_d"), F.col("_n")).alias("_i")).groupBy("replicate", "_i").agg(F.count("*").alias("_k"))
 
 
 def replicate_sums(blocks: DataFrame, key: str, sums: Sequence[str], replicates: int) -> DataFrame:
-    """Sums of the drawn blocks' statistics per replicate; as many draws as blocks."""
+    """Sums of the drawn blocks' statistics per replicate; as many draws as blocks. Blocks may be as many as rows, so none of the sides is broadcast."""
     held = numbered_blocks(blocks, key)
-    return picks(held, replicates).join(held, "_i").groupBy("replicate").agg(*(F.sum(F.col(c) * F.col("_k")).alias(c) for c in sums))
+    return picks(held, replicates).join(held.hint("merge"), "_i").groupBy("replicate").agg(*(F.sum(F.col(c) * F.col("_k")).alias(c) for c in sums))
 
 
 def multiplicities(blocks: DataFrame, key: str, replicates: int) -> DataFrame:
@@ -52,7 +55,7 @@ def multiplicities(blocks: DataFrame, key: str, replicates: int) -> DataFrame:
     drawn = picks(held, replicates).groupBy("_i").agg(F.map_from_entries(F.collect_list(F.struct("replicate", "_k"))).alias("_m"))  # at most ``replicates`` entries
     times = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: F.coalesce(F.try_element_at("_m", r), F.lit(0)))
     none = F.array_repeat(F.lit(0).cast("long"), replicates)
-    return held.join(drawn, "_i", "left").select(key, F.coalesce(times, none).alias("times"))
+    return held.join(drawn.hint("merge"), "_i", "left").select(key, F.coalesce(times, none).alias("times"))
 
 
 def error_sums(df: DataFrame, y: str, a: str, b: str, block: str) -> DataFrame:
