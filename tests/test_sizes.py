@@ -6,6 +6,7 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from voxelspan.operators import joins as jo
+from voxelspan.operators import ranking as rk
 from voxelspan.operators import resampling as rs
 from voxelspan.plans import catalogue
 
@@ -72,3 +73,23 @@ def test_draws_of_many_blocks_are_shared_and_joined_by_shuffles(spark):
     assert "SortMergeJoin" in plan and "sequence(0, (_n" not in plan  # one row that holds all draws was one task's work
     times = {r["key"]: r["times"] for r in rs.multiplicities(blocks, "key", 3).collect()}
     assert len(times) == 101 and [sum(x[r] for x in times.values()) for r in range(3)] == [101] * 3
+
+
+def test_signed_ranks_come_from_counts(spark):
+    import random
+    import statistics
+
+    rng = random.Random(2)
+    rows = [(g, rng.choice([0.0, 0.5, -1.0, 2.0, 3.5, -2.5]), rng.choice([0.0, 1.0, None])) for g in (1, 2) for _ in range(60)] + [(None, 1.0, 1.0), (None, 3.0, 1.0)]
+    df = spark.createDataFrame(rows * 3, "g int, a double, b double")
+    for zeros in ("wilcox", "pratt"):
+        found = rk.paired_wilcoxon(df, "a", "b", ["g"], zeros)
+        plan = found._jdf.queryExecution().analyzed().toString()
+        assert "median(" not in plan and "rank(_a" not in plan  # a group's rows met in one task
+        for r in found.collect():
+            d = [a - b for g, a, b in rows * 3 if g == r["g"] and b is not None]
+            size = [abs(x) for x in d if x or zeros == "pratt"]
+            rank = {v: sum(x < v for x in size) + (size.count(v) + 1) / 2 for v in set(size)}
+            some = [x for x in d if x]
+            assert (r["n"], r["n_zero"], r["median_difference"], r["w_plus"]) == (len(some), d.count(0), statistics.median(d), sum(rank[x] for x in some if x > 0))
+            assert abs(r["a_lower"] - sum(x < 0 for x in some) / len(some)) < 1e-12

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import normal_sf2, rank_sum_sf2
 from ..sources.scratch import stored
-from .order import beside, quantiles
+from .order import beside, quantiles, running_sums
 
 #: Most distinct values whose ranks Spark may broadcast.
 BROADCAST = 100_000
@@ -193,13 +193,19 @@ def paired_wilcoxon(df: DataFrame, a: str, b: str, by: Sequence[str], zeros: str
     """Signed-rank test of a - b: pairs, zeros, median difference over all pairs, W+, z, p, rank-biserial r, share where a is lower.
 
     zeros: ``wilcox`` drops zero differences before they are ranked, ``pratt`` after. The normal approximation with tie correction; where there are no ties or zeros and at most 50 pairs, ``p_exact`` besides.
+    Ranks and median come from counts of the distinct differences, sorted by range, so a group may be of any size.
     """
-    d = df.dropna(subset=[a, b]).withColumn("_d", F.col(a) - F.col(b)).withColumn("_a", F.abs("_d"))
-    all_pairs = d.groupBy(*by).agg(F.count_if(F.col("_d") == 0).alias("n_zero"), F.median("_d").alias("median_difference"))
-    ranked = avg_rank(d if zeros == "pratt" else d.where("_d <> 0"), "_a", by, "_r").where("_d <> 0")
-    ties = d.where("_d <> 0").groupBy(*by, "_a").agg(F.count("*").alias("_t")).groupBy(*by).agg(F.sum(F.col("_t") * (F.col("_t") * F.col("_t") - 1).cast("double")).alias("_ties"))
-    s = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.sum("_r").alias("_all"), F.avg((F.col("_d") < 0).cast("double")).alias("a_lower")).join(ties, list(by))
-    s = all_pairs.join(s, list(by), "left").fillna(0, ["n"])
+    by, d = list(by), F.col("_d")
+    rows = df.dropna(subset=[a, b]).groupBy(*by, (F.col(a) - F.col(b)).alias("_d")).agg(F.count("*").alias("_c"))
+    held = running_sums(stored(rows, "differences"), by, "_d", ["_c"])
+    size = held.groupBy(*by).agg(F.sum("_c").alias("_m"), F.sum(F.when(d == 0, F.col("_c")).otherwise(0)).alias("n_zero"))
+    at = lambda k: F.max(F.when((F.col("before__c") <= k) & (k < F.col("before__c") + F.col("_c")), d))
+    middle = beside(held, size, by).groupBy(*by, "n_zero").agg(((at(F.floor((F.col("_m") - 1) / 2)) + at(F.floor(F.col("_m") / 2))) / 2).alias("median_difference"))
+    sizes = held.where(F.lit(zeros == "pratt") | (d != 0)).groupBy(*by, F.abs("_d").alias("_a")).agg(F.sum("_c").alias("_t"), F.sum(F.when(d > 0, F.col("_c")).otherwise(0)).alias("_up"), F.sum(F.when(d < 0, F.col("_c")).otherwise(0)).alias("_down"))
+    ranked = running_sums(sizes, by, "_a", ["_t"]).where("_a <> 0").withColumn("_r", F.col("before__t") + (F.col("_t") + 1) / 2)
+    ties = F.sum(F.col("_t") * (F.col("_t") * F.col("_t") - 1).cast("double"))
+    s = ranked.groupBy(*by).agg(F.sum("_t").alias("n"), F.sum(F.col("_r") * F.col("_up")).alias("w_plus"), F.sum(F.col("_r") * F.col("_t")).alias("_all"), (F.sum("_down") / F.sum("_t")).alias("a_lower"), ties.alias("_ties"))
+    s = beside(middle, s, by, "left").fillna(0, ["n"])
     n, z0 = F.col("n").cast("double"), F.col("n_zero").cast("double")
     mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1)
     if zeros == "pratt":
