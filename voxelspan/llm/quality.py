@@ -10,7 +10,7 @@ its score is at least the threshold, which is set from labelled documents (``thr
 ``HELD``, by a hash of its id, takes no part in the trusted multinomial and sets the threshold; where none of these is
 good, all labelled documents do both.
 
-DataFrame functions only. To the driver come the weights, one number per bucket and at most ``MOST``, and at most ``LABELLED`` labelled scores.
+DataFrame functions only. To the driver come the weights, one number per bucket and at most ``MOST``, and two order statistics of the labelled scores. All labelled documents take part.
 
 Defined results: a null or blank text has no words and so fails the base rules; null labels are ignored, a
 document labelled twice takes its better label; without trusted documents every document that passes the base
@@ -20,14 +20,17 @@ and text pass through ``judge`` unless they have the name of one of its results.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.order import order_statistics
+from .shared import stored
+
 WHITE = r"[\x20\x09-\x0D]+"
 #: Fewest and most buckets; the weights are a constant of the plan, 8 MB at most.
 BUCKETS, MOST = 1 << 14, 1 << 20
-#: Most labelled documents used, in the order of a hash of their id.
-LABELLED = 10_000
+#: Most labelled documents whose marks are broadcast; more are joined by a shuffle.
+BROADCAST = 100_000
 #: Share of trusted documents that the threshold may lose.
 LOST = 0.001
 HELD = 4
@@ -103,18 +106,22 @@ def grams(words: Column, buckets: int) -> Column:
     return F.concat(F.transform(words, lambda x: bucket(x)), F.transform(words, lambda x, i: bucket(end(x), end(F.coalesce(F.get(words, i + 1), F.lit(""))))))
 
 
-def labelled(labels: DataFrame, most: int = LABELLED) -> DataFrame:
-    """At most ``most`` documents with a quality label, in the order of a hash."""
-    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(HELD)) == 0)
-    enough = F.max((F.col("held") & (F.col("quality") == 1)).cast("int")).over(Window.partitionBy(F.lit(0)))  # at most ``most`` rows
-    return known.withColumn("held", F.when(enough == 1, F.col("held")))
+def labelled(labels: DataFrame) -> DataFrame:
+    """Every document with a quality label, and whether it is held back (null: none of the good ones would be)."""
+    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(HELD)) == 0)
+    enough = known.agg(F.max((F.col("held") & (F.col("quality") == 1)).cast("int")).alias("_enough"))  # one row
+    return known.crossJoin(F.broadcast(enough)).withColumn("held", F.when(F.col("_enough") == 1, F.col("held"))).drop("_enough")
+
+
+def marked(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined with marks by doc_id; few marks are broadcast, so that texts stay where they are."""
+    return docs.join(F.broadcast(marks) if marks.count() <= BROADCAST else marks.hint("merge"), "doc_id", how)
 
 
 def fit_weights(docs: DataFrame, labels: DataFrame, buckets: int) -> str:
     """Weights of the buckets in micro-nats, comma-joined, or "" without trusted documents."""
-    marks = F.broadcast(labelled(labels).where("quality = 1 and coalesce(not held, true)").select("doc_id", F.lit(1).alias("trusted")))  # bounded by LABELLED
-    words = docs.select("doc_id", words_of(F.col("text")).alias("words")).join(marks, "doc_id", "left")
+    marks = labelled(labels).where("quality = 1 and coalesce(not held, true)").select("doc_id", F.lit(1).alias("trusted"))
+    words = marked(docs, marks, "left").select("trusted", words_of(F.col("text")).alias("words"))
     counts = words.select("trusted", F.explode(let(F.col("words"), lambda w: grams(w, buckets))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0, ["raw", "target"])
     one = every.agg(F.sum("raw").alias("a"), F.sum("target").alias("b"), F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("rows"))  # one row of ``buckets`` entries
@@ -138,17 +145,15 @@ def threshold(docs: DataFrame, labels: DataFrame, weights: str, buckets: int, lo
     """From labelled documents that pass the base rules: halfway between the good and the bad ones, but no more than loses the share ``lost`` of the good."""
     if not weights:
         return 0
-    known = docs.join(F.broadcast(labelled(labels).where("coalesce(held, true)")), "doc_id")  # bounded by LABELLED
-    scored = base_counts(known, lambda w: score_of(w, weights, buckets)).select("quality", "base_failed", "score")
-    good, bad = [], []
-    for r in scored.collect():  # at most LABELLED rows; a filter in Spark would move below the join and count all documents
-        if not r["base_failed"]:
-            (good if r["quality"] == 1 else bad).append(r["score"])
-    good.sort(), bad.sort()
-    if not good:
+    known = marked(docs, labelled(labels).where("coalesce(held, true)"), "inner")
+    # stored, since a filter would move below the join and count all documents
+    scored = stored(base_counts(known, lambda w: score_of(w, weights, buckets)).select((F.col("quality") == 1).alias("good"), "base_failed", "score"), "labelled")
+    found = order_statistics(scored.where(~F.col("base_failed")), "score", ["good"], [lambda n: F.floor(F.lit(lost) * n), lambda n: F.floor(F.lit(0.99) * (n - 1))])
+    ends = {r["good"]: r["at"] for r in found.collect()}  # two rows
+    if True not in ends:
         return -(1 << 62)
-    least = good[int(lost * len(good))]
-    most = bad[int(0.99 * (len(bad) - 1))] if bad else least
+    least = ends[True][0]
+    most = ends[False][1] if False in ends else least
     return (least + most) // 2 if most < least else least
 
 
