@@ -9,6 +9,7 @@ from voxelspan.operators import joins as jo
 from voxelspan.operators import ranking as rk
 from voxelspan.operators import resampling as rs
 from voxelspan.plans import catalogue
+from voxelspan.sources import tiles as so
 
 
 def test_a_height_of_minus_999_is_no_missing_one(spark, tmp_path):
@@ -93,3 +94,9 @@ def test_signed_ranks_come_from_counts(spark):
             some = [x for x in d if x]
             assert (r["n"], r["n_zero"], r["median_difference"], r["w_plus"]) == (len(some), d.count(0), statistics.median(d), sum(rank[x] for x in some if x > 0))
             assert abs(r["a_lower"] - sum(x < 0 for x in some) / len(some)) < 1e-12
+
+
+def test_a_tile_is_one_file(spark, tmp_path):
+    so.write_by_tile(spark.range(2_000).selectExpr("id % 20 as tile", "id"), str(tmp_path / "t"), "tile")
+    assert [len(list(d.glob("*.parquet"))) for d in (tmp_path / "t").glob("tile=*")] == [1] * 20
+    assert spark.read.parquet(str(tmp_path / "t")).selectExpr("count(*)", "sum(id)").first()[:] == (2_000, 1_999_000)

@@ -56,8 +56,8 @@ def read_geojson_csv(spark: SparkSession, path: str, geometry: str, name_pattern
 
 
 def write_by_tile(df: DataFrame, path: str, tile: str) -> None:
-    """A directory per tile; tiles not in ``df`` stay as they are. Rows are spread over tasks by tile and a hash, so a hot tile is several files."""
-    df.withColumn("_s", F.pmod(F.xxhash64(*df.columns), F.lit(4))).repartition(tile, "_s").drop("_s").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(tile).parquet(path)
+    """A directory per tile; tiles not in ``df`` stay as they are. A tile is one file, unless adaptive execution splits the task of a hot one."""
+    df.hint("rebalance", tile).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(tile).parquet(path)
 
 
 def consolidate_by_zone(df: DataFrame, path: str, tile: str, zone_chars: int = 3) -> None:
