@@ -162,7 +162,7 @@ def cross_validated(df: DataFrame, features: Sequence[str], label: str, tile: st
     given = df.dropna(subset=[*features, label, tile])
     if folds is None:
         number = global_avg_rank(given.select(tile).distinct(), tile, "_k").select(tile, (F.col("_k") - 1).cast("int").alias("fold"))
-        given = given.join(number, tile)
+        given = given.join(F.broadcast(number), tile)  # a row per fold, each of which has a model
     else:
         given = given.withColumn("fold", fold_of(tile, folds))
     rows = stored(_assembled(given, features).withColumn("_label", F.col(label).cast("double")), "assembled")
