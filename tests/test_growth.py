@@ -45,3 +45,11 @@ def test_f10_rows_are_not_shuffled_by_the_tile_left_out(spark, kept):
     seen = kept(re_)
     re_.cross_validated(labelled(spark), ["q", "s"], "g", "tile", None)
     assert [("BroadcastHashJoin" in p, "SortMergeJoin" in p) for name, p in seen if name == "assembled"] == [(True, False)]
+
+
+def test_f18_rows_of_the_calibration_are_read_once_for_all_replicates(spark, kept):
+    seen = kept(gr)
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(k % 7, *map(float, rng.normal(0, 1, 6))) for k in range(200)], "tile int, low_ref double, top_ref double, low_a double, top_a double, low_b double, top_b double")
+    got = gr.Calibration(df, "tile", 4, 5).curve()
+    assert "MapInArrow" not in plan(got) and [name for name, p in seen if "MapInArrow" in p] == ["bins"] and got.count() == 4

@@ -333,24 +333,26 @@ class Calibration:
             total = np.zeros((size, count, 5))
             for batch in batches:
                 x = np.column_stack([batch.column(c).to_numpy() for c in names])
-                k = np.asarray(batch.column("_k").to_pylist(), float)
+                k = batch.column("_k").flatten().to_numpy().reshape(len(x), size - 1).T
+                v = np.einsum("rsc,nc->srn", stack[:, :, :-1], x, optimize=True) + stack[:, :, -1].T[:, :, None]
+                v[0, 0] = batch.column("_r").to_numpy()  # rounded as the edges are
                 for r in range(size):
-                    times = np.ones(len(x)) if r == 0 else k[:, r - 1]
-                    on = np.flatnonzero(times)
-                    if not len(on):
-                        continue
-                    v = x[on] @ stack[r, :, :-1].T + stack[r, :, -1]
+                    at = np.searchsorted(inner, v[0, r], "right")
                     if r == 0:
-                        v[:, 0] = batch.column("_r").to_numpy()  # rounded as the edges are
-                    at = np.searchsorted(inner, v[:, 0], "right")
-                    for j, y in enumerate((np.ones(len(on)), v[:, 0], x[on, top], v[:, 1], v[:, 2])):
-                        total[r, :, j] += np.bincount(at, weights=times[on] * y, minlength=count)
+                        ones = np.ones(len(x))
+                        for j, y in enumerate((ones, v[0, 0], x[:, top], v[1, 0], v[2, 0])):
+                            total[0, :, j] += np.bincount(at, weights=y, minlength=count)
+                        continue
+                    times = k[r - 1].astype(float)
+                    for j, y in ((0, times), (3, times * v[1, r]), (4, times * v[2, r])):  # a replicate gives n and y alone
+                        total[r, :, j] += np.bincount(at, weights=y, minlength=count)
             import pyarrow as pa
 
             i, j = (z.reshape(-1) for z in np.indices((size, count)))
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *(pa.array(total[:, :, c].reshape(-1)) for c in range(5))], ["r", "bin", "n", "x", "top_ref", "y_a", "y_b"])
 
         sums = rows.mapInArrow(run, "r int, bin int, n double, x double, top_ref double, y_a double, y_b double").groupBy("r", "bin").agg(*(F.sum(c).alias(c) for c in ("n", "x", "top_ref", "y_a", "y_b"))).where("n > 0")
+        sums = stored(sums, "bins")  # both readers below would go through all rows
         means = sums.select("r", "bin", "n", *((F.col(c) / F.col("n")).alias(c) for c in ("x", "top_ref", "y_a", "y_b")))
         ends = F.array(F.lit(self.level / 2), F.lit(1 - self.level / 2))
         spread = means.where("r > 0").groupBy("bin").agg(F.percentile("y_a", ends).alias("_a"), F.percentile("y_b", ends).alias("_b"))
@@ -362,4 +364,4 @@ class Calibration:
 
     def _draws(self) -> DataFrame:
         """(_tile, _k): how often each replicate draws the tile."""
-        return multiplicities(self.blocks.select("_tile"), "_tile", self.replicates).withColumnRenamed("times", "_k")
+        return multiplicities(self.blocks.select("_tile"), "_tile", self.replicates).select("_tile", F.col("times").cast("array<int>").alias("_k"))
