@@ -53,3 +53,14 @@ def test_f18_rows_of_the_calibration_are_read_once_for_all_replicates(spark, kep
     df = spark.createDataFrame([(k % 7, *map(float, rng.normal(0, 1, 6))) for k in range(200)], "tile int, low_ref double, top_ref double, low_a double, top_a double, low_b double, top_b double")
     got = gr.Calibration(df, "tile", 4, 5).curve()
     assert "MapInArrow" not in plan(got) and [name for name, p in seen if "MapInArrow" in p] == ["bins"] and got.count() == 4
+
+
+def test_f13_f17_f25_folds_are_stored_once(spark, kept):
+    seen = kept(re_)
+    df = labelled(spark).withColumn("y", F.col("q") + F.col("s"))
+    both = re_.oof_residual_corr(df, ("y", "s"), "q", "tile", 2)
+    assert "md5" not in both._jdf.queryExecution().optimizedPlan().toString() and {(r["model"], r["n"]) for r in both.collect()} == {("linear", 240), ("trees", 240)}
+    base = re_.shape_baselines(df, "y", "q", "tile", 2)
+    assert "md5" not in base._jdf.queryExecution().optimizedPlan().toString() and {r["n"] for r in base.collect()} == {240}
+    re_.class_sets_report(df.withColumn("other", F.lit(1)), {"q": ["q"]}, "g", "tile", 2, "boosted")
+    assert [name for name, _ in seen] == ["folds", "folds", "folds", "predictions"]

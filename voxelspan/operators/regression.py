@@ -117,7 +117,8 @@ def out_of_fold(df: DataFrame, make, features: Sequence[str], label: str, tile:
     """Predictions of each fold by a model of the others. make(): an unfitted estimator with features '_x'."""
     from pyspark.ml.functions import vector_to_array
 
-    rows = _assembled(df, features).withColumn("_fold", fold_of(tile, folds)).withColumn("_label", F.col(label).cast("double"))
+    held = stored(df.withColumn("_fold", fold_of(tile, folds)), "folds")  # every fit and prediction reads the rows again
+    rows = _assembled(held, features).withColumn("_label", F.col(label).cast("double"))
     out_df = None
     for k in range(folds):
         model = make().fit(rows.where(F.col("_fold") != k))
@@ -288,11 +289,19 @@ def oof_residual_corr(df: DataFrame, targets: tuple[str, str], x: str, tile: str
     from pyspark.ml.regression import GBTRegressor, LinearRegression
 
     makers = {"linear": lambda: LinearRegression(featuresCol="_x", labelCol="_label"), "trees": lambda: GBTRegressor(featuresCol="_x", labelCol="_label", maxIter=5, seed=1)}
+    held = stored(df.select(*dict.fromkeys([x, *targets]), fold_of(tile, folds).alias("_fold")), "folds")  # every fit and prediction reads the rows again
+    rows = _assembled(held, [x])
     out = None
     for name, make in makers.items():
-        a = out_of_fold(df, make, [x], targets[0], tile, folds, "_pa").drop("fold")
-        both = out_of_fold(a, make, [x], targets[1], tile, folds, "_pb")
-        part = both.agg(F.count("*").alias("n"), F.corr(F.col(targets[0]) - F.col("_pa"), F.col(targets[1]) - F.col("_pb")).alias("r")).withColumn("model", F.lit(name))
+        both = None
+        for k in range(folds):
+            part = rows.where(F.col("_fold") == k)
+            for y in targets:
+                model = make().fit(rows.where(F.col("_fold") != k).withColumn("_label", F.col(y).cast("double")))
+                part = model.transform(part).withColumn(f"_r_{y}", F.col(y) - F.col("prediction")).drop("prediction")
+            part = part.select(*(F.col(f"_r_{y}") for y in targets))
+            both = part if both is None else both.unionByName(part)
+        part = both.agg(F.count("*").alias("n"), F.corr(*(F.col(f"_r_{y}") for y in targets)).alias("r")).withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
