@@ -47,6 +47,17 @@ def test_f10_rows_are_not_shuffled_by_the_tile_left_out(spark, kept):
     assert [("BroadcastHashJoin" in p, "SortMergeJoin" in p) for name, p in seen if name == "assembled"] == [(True, False)]
 
 
+def test_f24_edges_of_a_winsorized_table_are_no_list_of_its_values(spark):
+    values = [float(x) for x in np.random.default_rng(2).normal(0, 9, 20_000)]
+    df = spark.createDataFrame([(x,) for x in [*values, None]], "v double")
+    got = cu.winsorize(df, "v", 0.05, 0.95)
+    assert "percentile(" not in got._jdf.queryExecution().analyzed().toString()
+    low, high = np.quantile(values, [0.05, 0.95])
+    held = [r["v"] for r in got.collect()]
+    assert held.count(None) == 1 and sum(x for x in held if x is not None) == pytest.approx(np.clip(values, low, high).sum())
+    assert [r["v"] for r in cu.winsorize(df.where("v is null"), "v", 0.05, 0.95).collect()] == [None]
+
+
 def test_f18_rows_of_the_calibration_are_read_once_for_all_replicates(spark, kept):
     seen = kept(gr)
     rng = np.random.default_rng(5)

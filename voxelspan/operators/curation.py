@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import quantiles
+
 
 def quality_filter(df: DataFrame, least_sensitivity: float | None = None) -> DataFrame:
     """Shots of good quality that are not degraded, lie in a region and are not leaf-off."""
@@ -49,7 +51,7 @@ def clip_negative(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def winsorize(df: DataFrame, value: str, low: float, high: float) -> DataFrame:
     """The value clipped to two quantiles of all rows (one aggregated row is joined back)."""
-    q = df.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q"))
+    q = quantiles(df, value, [], [low, high]).agg(F.max("q").alias("_q"))  # a row also where all values are null
     return df.crossJoin(F.broadcast(q)).withColumn(value, F.when(F.col(value).isNotNull(), F.least(F.greatest(value, F.col("_q")[0]), F.col("_q")[1]))).drop("_q")
 
 
