@@ -383,13 +383,16 @@ def shape_baselines(df: DataFrame, target: str, x: str, tile: str, folds: int) -
     """RMSE out of fold of the mean, a linear model and a forest."""
     from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 
-    folded = df.withColumn("_f", fold_of(tile, folds))
+    folded = stored(df.select(*dict.fromkeys([x, target]), fold_of(tile, folds).alias("_f")), "folds")  # every fit and prediction reads the rows again
+    rows = _assembled(folded, [x]).withColumn("_label", F.col(target).cast("double"))
     sums = folded.groupBy("_f").agg(F.sum(target).alias("_s"), F.count(target).alias("_n"))
     all_ = sums.agg(F.sum("_s").alias("_all"), F.sum("_n").alias("_count"))
-    mean = folded.join(sums.crossJoin(F.broadcast(all_)).select("_f", ((F.col("_all") - F.col("_s")) / (F.col("_count") - F.col("_n"))).alias("_p")), "_f").select(F.lit("mean").alias("model"), (F.col(target) - F.col("_p")).alias("_e"))
+    mean = folded.join(F.broadcast(sums.crossJoin(F.broadcast(all_)).select("_f", ((F.col("_all") - F.col("_s")) / (F.col("_count") - F.col("_n"))).alias("_p"))), "_f").select(F.lit("mean").alias("model"), (F.col(target) - F.col("_p")).alias("_e"))
     makers = {"linear": lambda: LinearRegression(featuresCol="_x", labelCol="_label"), "forest": lambda: RandomForestRegressor(featuresCol="_x", labelCol="_label", numTrees=10, seed=1)}
     for name, make in makers.items():
-        mean = mean.union(out_of_fold(df, make, [x], target, tile, folds, "_p").select(F.lit(name), F.col(target) - F.col("_p")))
+        for k in range(folds):
+            model = make().fit(rows.where(F.col("_f") != k))
+            mean = mean.union(model.transform(rows.where(F.col("_f") == k)).select(F.lit(name), F.col(target) - F.col("prediction")))
     return mean.groupBy("model").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"))
 
 
