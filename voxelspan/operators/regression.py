@@ -245,11 +245,12 @@ def class_sets_report(df: DataFrame, feature_sets: dict[str, Sequence[str]], lab
     def make():
         if kind == "logit":
             return LogisticRegression(featuresCol="_x", labelCol="_label", family="multinomial", maxIter=20)
-        return OneVsRest(classifier=GBTClassifier(featuresCol="_x", labelCol="_label", maxIter=5, maxDepth=3, seed=1), featuresCol="_x", labelCol="_label")
+        return OneVsRest(classifier=GBTClassifier(featuresCol="_x", labelCol="_label", maxIter=5, maxDepth=3, seed=1), featuresCol="_x", labelCol="_label", parallelism=3)  # the classes' fits are short tasks: several at once
 
     out = None
     for name, features in feature_sets.items():
-        rows = stored(_assembled(df.dropna(subset=[label]), features).withColumn("_fold", fold_of(tile, folds)).withColumn("_label", F.col(label).cast("double")), "assembled")
+        given = df.dropna(subset=[label]).select(*features, F.col(label).cast("double").alias("_label"), fold_of(tile, folds).alias("_fold"))
+        rows = _assembled(stored(given, "folds"), features)
         held = None
         for k in range(folds):
             part = make().fit(rows.where(F.col("_fold") != k)).transform(rows.where(F.col("_fold") == k)).select(F.col("_label").cast("int").alias("truth"), F.col("prediction").cast("int").alias("predicted"))
