@@ -75,3 +75,10 @@ def test_f13_f17_f25_folds_are_stored_once(spark, kept):
     assert "md5" not in base._jdf.queryExecution().optimizedPlan().toString() and {r["n"] for r in base.collect()} == {240}
     re_.class_sets_report(df.withColumn("other", F.lit(1)), {"q": ["q"]}, "g", "tile", 2, "boosted")
     assert [name for name, _ in seen] == ["folds", "folds", "folds", "predictions"]
+
+
+def test_f23_scores_hold_no_other_columns(spark, monkeypatch):
+    seen, plain = [], re_.stored
+    monkeypatch.setattr(re_, "stored", lambda df, name="table": (seen.append((name, df.columns)), plain(df, name))[1])
+    re_.classify_report(labelled(spark).withColumn("other", F.lit("x")), {"q": ["q"]}, "g", "tile", "bin", 2)
+    assert [set(c) - {"fold", "_x", "_label", "score"} for name, c in seen] == [{"q", "g", "tile", "bin"}] * 2

@@ -194,7 +194,7 @@ def classify_report(df: DataFrame, feature_sets: dict[str, Sequence[str]], label
     """(features, part, name, n, auc, balanced_accuracy, f1, importance): per feature set its folds, their means, the pooled scores, the pooled scores per bin, and the mean importance of each feature. See ``cross_validated``."""
     out = None
     for name, features in feature_sets.items():
-        p, weights = cross_validated(df, features, label, tile, folds, kind)
+        p, weights = cross_validated(df.select(*dict.fromkeys([*features, label, tile, bin_column])), features, label, tile, folds, kind)
         spark = df.sparkSession
         per = _scores(p, label, ["fold"])
         numbers = ["n", "auc", "balanced_accuracy", "f1"]
