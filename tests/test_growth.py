@@ -77,6 +77,15 @@ def test_f13_f17_f25_folds_are_stored_once(spark, kept):
     assert [name for name, _ in seen] == ["folds", "folds", "folds", "predictions"]
 
 
+def test_f14_a_table_is_read_once_for_all_folds(spark, monkeypatch):
+    plans, plain = [], re_.auc
+    monkeypatch.setattr(re_, "auc", lambda df, *rest: (plans.append(plan(df)), plain(df, *rest))[1])
+    got = re_.permutation_importance(labelled(spark), ["q", "s"], "g", "tile", 3, "p", "id")
+    held = {r["feature"]: r for r in got.collect()}
+    assert set(held) == {"q", "s"} and all(r["loss"] > 0.02 for r in held.values())
+    assert "UDF" not in plans[0]  # a model and a read for each fold of each table
+
+
 def test_f23_scores_hold_no_other_columns(spark, monkeypatch):
     seen, plain = [], re_.stored
     monkeypatch.setattr(re_, "stored", lambda df, name="table": (seen.append((name, df.columns)), plain(df, name))[1])

@@ -226,11 +226,13 @@ def permutation_importance(df: DataFrame, features: Sequence[str], label: str, t
         dealt = base.select(tile, F.row_number().over(w.orderBy(pick_order(f"{seed}|{f}", tile, *ids), *ids)).alias("_at"), F.col(f).alias("_dealt"))
         tables[f] = base.join(dealt, [tile, "_at"]).drop(f).withColumnRenamed("_dealt", f)
     models = {k: LogisticRegression(featuresCol="_x", labelCol="_label", maxIter=50).fit(_assembled(base.where(F.col("fold") != k), features)) for k in range(folds)}
+    # the model of a row's fold as columns, so that each table is read once for all folds
+    of = lambda number: F.coalesce(*(F.when(F.col("fold") == k, F.lit(float(number(m)))) for k, m in models.items()))
+    margin = sum((of(lambda m, j=j: m.coefficients[j]) * F.col(f).cast("double") for j, f in enumerate(features)), of(lambda m: m.intercept))
     out = None
     for f, table in tables.items():
-        for k, model in models.items():
-            part = model.transform(_assembled(table.where(F.col("fold") == k), features)).select(F.lit(f).alias("feature"), "_label", vector_to_array("probability")[1].alias("score"))
-            out = part if out is None else out.unionByName(part)
+        part = table.select(F.lit(f).alias("feature"), "_label", (1 / (1 + F.exp(-margin))).alias("score"))
+        out = part if out is None else out.unionByName(part)
     found = auc(out, "score", "_label", ["feature"])
     whole = found.where("feature is null").select(F.col("auc").alias("_auc"))
     return found.where("feature is not null").crossJoin(F.broadcast(whole)).select("feature", F.col("_auc").alias("auc"), F.col("auc").alias("permuted_auc"), (F.col("_auc") - F.col("auc")).alias("loss"))  # one row
