@@ -47,6 +47,11 @@ def test_f10_rows_are_not_shuffled_by_the_tile_left_out(spark, kept):
     assert [("BroadcastHashJoin" in p, "SortMergeJoin" in p) for name, p in seen if name == "assembled"] == [(True, False)]
 
 
+def test_f22_rows_are_not_shuffled_by_the_fit(spark):
+    got = re_.random_intercept_fit(labelled(spark), "s", ["q"], "bin", ["tile"])
+    assert "BroadcastHashJoin" in plan(got) and "SortMergeJoin" not in plan(got) and got.count() == 4
+
+
 def test_f24_edges_of_a_winsorized_table_are_no_list_of_its_values(spark):
     values = [float(x) for x in np.random.default_rng(2).normal(0, 9, 20_000)]
     df = spark.createDataFrame([(x,) for x in [*values, None]], "v double")

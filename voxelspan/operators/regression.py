@@ -216,7 +216,6 @@ def permutation_importance(df: DataFrame, features: Sequence[str], label: str, t
     A feature's values are permuted within tiles: the rows of a tile in the order of their ids get the values in the order of a hash. The models are those of the true values.
     """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
 
     given = df.dropna(subset=[*features, label, tile]).select(tile, *ids, *features, F.col(label).cast("double").alias("_label")).withColumn("fold", fold_of(tile, folds))
     w = Window.partitionBy(tile)  # the rows of a tile
@@ -324,7 +323,7 @@ def random_intercept_fit(df: DataFrame, y: str, terms: Sequence[str], band: str,
     keys = list(by)
     given = wide.dropna(subset=[y, band, *names, *keys]).select(*keys, F.col(band).alias("_band"), *(F.col(f"`{c}`").cast("double").alias(f"_x{j}") for j, c in enumerate([*names, y])))
     columns = [f"_x{j}" for j in range(len(names) + 1)]
-    means = given.groupBy(*keys).agg(*(F.avg(c).alias(f"_m{c}") for c in columns))
+    means = stored(given.groupBy(*keys).agg(*(F.avg(c).alias(f"_m{c}") for c in columns)), "means")  # of known size, so that those of few fits are broadcast
     rows = given.join(means, keys) if keys else given.crossJoin(F.broadcast(means))  # one row
     rows = rows.withColumns({c: F.col(c) - F.col(f"_m{c}") for c in columns})
     pairs = [(j, k) for j in range(len(columns)) for k in range(j, len(columns))]
