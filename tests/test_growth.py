@@ -47,6 +47,13 @@ def test_f10_rows_are_not_shuffled_by_the_tile_left_out(spark, kept):
     assert [("BroadcastHashJoin" in p, "SortMergeJoin" in p) for name, p in seen if name == "assembled"] == [(True, False)]
 
 
+def test_f15_ranks_of_few_values_are_broadcast(spark):
+    df = spark.createDataFrame([(float(k % 3),) for k in range(30)] + [(None,)], "v double")
+    got = rk.global_avg_rank(df, "v")
+    assert "BroadcastHashJoin" in plan(got) and "SortMergeJoin" not in plan(got)
+    assert {(r["v"], r["rank"]) for r in got.collect()} == {(0.0, 5.5), (1.0, 15.5), (2.0, 25.5), (None, None)}
+
+
 def test_f22_rows_are_not_shuffled_by_the_fit(spark):
     got = re_.random_intercept_fit(labelled(spark), "s", ["q"], "bin", ["tile"])
     assert "BroadcastHashJoin" in plan(got) and "SortMergeJoin" not in plan(got) and got.count() == 4

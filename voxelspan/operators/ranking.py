@@ -42,8 +42,8 @@ def global_avg_rank(df: DataFrame, value: str, out: str = "rank") -> DataFrame:
     ahead = totals.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
     inner = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranks = held.withColumn("_inner", inner).join(F.broadcast(ahead), "_part").select("_v", (F.col("_ahead") + F.col("_inner") + (F.col("_n") + 1) / 2).alias(out))
-    if held.count() > BROADCAST:  # from the files' footers; their bytes say little of what the rows take in memory
-        ranks = ranks.hint("merge")
+    few = held.count() <= BROADCAST  # from the files' footers; their bytes say little of what the rows take in memory
+    ranks = ranks.hint("broadcast" if few else "merge")  # few values: a task that got all rows of one would hold much of the table
     return df.join(ranks, F.col(value) == F.col("_v"), "left").drop("_v")
 
 
