@@ -54,6 +54,14 @@ def test_f15_ranks_of_few_values_are_broadcast(spark):
     assert {(r["v"], r["rank"]) for r in got.collect()} == {(0.0, 5.5), (1.0, 15.5), (2.0, 25.5), (None, None)}
 
 
+def test_f20_rows_are_not_shuffled_by_the_group_of_an_offset(spark):
+    df = spark.createDataFrame([(k % 3, 10 + k, 20 + k, 30 + k) for k in range(9)], "g int, lo int, mid int, hi int")
+    off = df.where("g < 2").groupBy("g").agg(F.lit(2.0).alias("c_lo"), F.lit(3.0).alias("c_hi"), F.lit(1.0).alias("q_lo"), F.lit(1.0).alias("q_hi"))
+    for got in (cp.apply_offsets(df, off, ["g"], "lo", "mid", "hi"), cp.calibrate(df, off, "cqr", ["g"], "lo", "mid", "hi")):
+        assert "BroadcastHashJoin" in plan(got) and "SortMergeJoin" not in plan(got)
+    assert sorted(r["new_lo"] for r in cp.apply_offsets(df, off, ["g"], "lo", "mid", "hi").where("g = 2").collect()) == [12, 15, 18]
+
+
 def test_f22_rows_are_not_shuffled_by_the_fit(spark):
     got = re_.random_intercept_fit(labelled(spark), "s", ["q"], "bin", ["tile"])
     assert "BroadcastHashJoin" in plan(got) and "SortMergeJoin" not in plan(got) and got.count() == 4

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import quantile_sort
+from ..sources.scratch import stored
 from .order import beside, order_statistics
 
 METHODS = ("cqr", "cqr_r", "cqr_m", "se", "se_r", "se_m")
@@ -53,11 +54,11 @@ def fit_offsets(df: DataFrame, method: str, by: Sequence[str], y: str, lo: str,
 
 
 def calibrate(df: DataFrame, offsets: DataFrame, method: str, by: Sequence[str], lo: str, mid: str, hi: str) -> DataFrame:
-    """Intervals widened by their group's offsets; groups without offsets keep theirs. Offsets have a row per group."""
+    """Intervals widened by their group's offsets; groups without offsets keep theirs. Offsets have a row per group and are stored, see ``apply_offsets``."""
     kind = method.partition("_")[2]
     a, m, b = map(F.col, (lo, mid, hi))
     scale = {"r": (_width(b - a), _width(b - a)), "m": (_width(m - a), _width(b - m))}.get(kind, (F.lit(1), F.lit(1)))
-    rows = df.join(offsets.select(*by, "q_lo", "q_hi"), list(by), "left")
+    rows = df.join(stored(offsets.select(*by, "q_lo", "q_hi"), "offsets"), list(by), "left")
     return rows.withColumns({"cal_lo": F.coalesce(a - F.col("q_lo") * scale[0], a), "cal_hi": F.coalesce(b + F.col("q_hi") * scale[1], b)}).drop("q_lo", "q_hi")
 
 
@@ -95,8 +96,11 @@ def coverage_pivot(report: DataFrame, group: str, level: str, methods: Sequence[
 
 
 def apply_offsets(df: DataFrame, offsets: DataFrame, by: Sequence[str], lo: str, mid: str, hi: str, nodata: float = 32767) -> DataFrame:
-    """Bounds moved by c_lo and c_hi, never past the median; nodata and groups without offsets stay."""
-    rows = df.join(offsets.select(*by, "c_lo", "c_hi"), list(by), "left")
+    """Bounds moved by c_lo and c_hi, never past the median; nodata and groups without offsets stay.
+
+    Offsets are stored, so that Spark knows their size: those of few groups are broadcast, and no task gets all rows of a group.
+    """
+    rows = df.join(stored(offsets.select(*by, "c_lo", "c_hi"), "offsets"), list(by), "left")
     ok = (F.col(lo) != nodata) & (F.col(mid) != nodata) & (F.col(hi) != nodata) & F.col("c_lo").isNotNull()
     low = F.least(F.least(lo, hi) - F.col("c_lo"), F.col(mid))
     high = F.greatest(F.greatest(lo, hi) + F.col("c_hi"), F.col(mid))
