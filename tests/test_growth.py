@@ -78,6 +78,28 @@ def test_f24_edges_of_a_winsorized_table_are_no_list_of_its_values(spark):
     assert [r["v"] for r in cu.winsorize(df.where("v is null"), "v", 0.05, 0.95).collect()] == [None]
 
 
+def test_f26_groups_of_few_rows_are_sorted_once(spark, kept):
+    seen = kept(order)
+    rng = np.random.default_rng(3)
+    rows = [(g, float(x)) for g, n in ((1, 30), (2, 1), (3, 700), (None, 40), (4, 0)) for x in rng.integers(0, 50, n)] + [(1, None), (4, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    ranks = [lambda n: F.floor(n / 2), lambda n: n - 1, lambda n: n + 5, lambda n: F.lit(-1)]
+
+    def check(got):
+        want = {g: sorted(x for k, x in rows if k == g and x is not None) for g in (1, 2, 3, None)}
+        held = {r["g"]: r for r in got.collect()}
+        assert set(held) == set(want)
+        for g, v in want.items():
+            n = len(v)
+            assert held[g]["n"] == n and held[g]["at"] == [v[n // 2], v[-1], None, None] and held[g]["after"] == [v[min(n // 2 + 1, n - 1)], v[-1], None, None]
+
+    check(order.order_statistics(df, "v", ["g"], ranks, small=5_000))
+    assert not any("percentile_approx" in p or "Generate" in p for _, p in seen)  # no sketch per group, no row per rank
+    check(order.order_statistics(df, "v", ["g"], ranks, small=512))
+    assert any("percentile_approx" in p for _, p in seen)
+    assert m.bias_stats(df, "v", ["g"], 10).count() == 3
+
+
 def test_f18_rows_of_the_calibration_are_read_once_for_all_replicates(spark, kept):
     seen = kept(gr)
     rng = np.random.default_rng(5)

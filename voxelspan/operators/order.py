@@ -1,7 +1,8 @@
 """Exact order statistics per group, for groups of any size, and of the differences of all pairs without pair rows.
 
 ``order_statistics`` brackets each wanted rank by a mergeable sketch, then counts the rows below the bracket and the values
-inside it: two narrow passes, and no window or list over a group of unbounded size. Wide brackets are narrowed first.
+inside it: two narrow passes, and no window or list over a group of unbounded size. Wide brackets are narrowed first. Groups of few rows
+are sorted.
 
 ``pair_order_statistic`` finds the value of a rank among all a - b of a group. Cells of neighbouring values bound it, each value of b
 goes to those cells of a alone where its differences may lie inside the bounds, and tasks of one cell count the
@@ -52,7 +53,29 @@ def order_statistics(df: DataFrame, value: str, by: Sequence[str], ranks: Sequen
     """
     by, small = list(by), max(small, 2 * CELLS)  # so that a cell is wider than the sketch errs
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
-    held = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("_v").alias("_a"), F.max("_v").alias("_b"), _grid(F.col("_v")).alias("_g")).where("n > 0")
+    if not by:
+        return _bracketed(rows, by, ranks, small, most)
+    sizes = stored(rows.groupBy(*by).agg(F.count("*").alias("_n")), "sizes")
+    least, widest = sizes.agg(F.min("_n"), F.max("_n")).first()
+    if widest is None or widest <= small:
+        return _windowed(rows, by, ranks)
+    if least > small:
+        return _bracketed(rows, by, ranks, small, most)
+    part = lambda few: beside(rows, sizes.where((F.col("_n") <= small) == few).select(*by), by)
+    return _windowed(part(True), by, ranks).unionByName(_bracketed(part(False), by, ranks, small, most))
+
+
+def _windowed(rows: DataFrame, by: Sequence[str], ranks: Sequence[Callable[[Column], Column]]) -> DataFrame:
+    """``order_statistics`` of groups of few rows: one shuffle, and each row once for all ranks."""
+    w = Window.partitionBy(*by)  # at most SMALL rows
+    placed = rows.withColumns({"n": F.count("*").over(w), "_i": F.row_number().over(w.orderBy("_v")).cast("long") - 1})
+    rank = [f(F.col("n")).cast("long") for f in ranks]
+    here = lambda r, ahead: F.max(F.when((r >= 0) & (r < F.col("n")) & (F.col("_i") == F.least(r + ahead, F.col("n") - 1)), F.col("_v")))
+    return placed.groupBy(*by).agg(F.max("n").alias("n"), *(F.array(*(here(r, a) for r in rank)).alias(c) for a, c in enumerate(("at", "after"))))
+
+
+def _bracketed(rows: DataFrame, by: Sequence[str], ranks: Sequence[Callable[[Column], Column]], small: int, most: int) -> DataFrame:
+    held = stored(rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("_v").alias("_a"), F.max("_v").alias("_b"), _grid(F.col("_v")).alias("_g")).where("n > 0"), "sketches")
     n = F.col("n")
     wanted = F.array(*(F.struct(F.lit(k).alias("k"), f(n).cast("long").alias("rank")) for k, f in enumerate(ranks)))
     marks = held.withColumn("_w", F.explode(wanted)).select(*by, "n", "_a", "_b", "_g", "_w.*").where((F.col("rank") >= 0) & (F.col("rank") < n))
@@ -70,6 +93,7 @@ def order_statistics(df: DataFrame, value: str, by: Sequence[str], ranks: Sequen
         few = F.col("_m") <= small
         marks = found.select(*by, "n", "k", "rank", F.when(few | (at < 2), F.col("_a")).otherwise(F.get("_g", at - 1)).alias("_a"), F.when(few | (at > CELLS - 4), F.col("_b")).otherwise(F.get("_g", F.least(at + 3, last))).alias("_b"))
         expected = expected * 5 // CELLS
+    marks = stored(marks, "marks")  # of known size: few are broadcast, and rows then are not shuffled
     met = beside(rows, marks, by).where(F.col("_v") <= F.col("_b"))
     counts = met.groupBy(*by, "n", "k", "rank", F.when(F.col("_v") >= F.col("_a"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*by, "k").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
