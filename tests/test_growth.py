@@ -100,6 +100,32 @@ def test_f26_groups_of_few_rows_are_sorted_once(spark, kept):
     assert m.bias_stats(df, "v", ["g"], 10).count() == 3
 
 
+def test_f12_f16_scores_of_all_methods_share_their_passes(spark, kept):
+    seen = kept(order)
+    rng = np.random.default_rng(4)
+    n = 24_000
+    rows = list(zip(*(x.tolist() for x in (rng.integers(0, 2, n), rng.integers(0, 2, n), rng.integers(500, 900, n))), strict=True))
+    rows = [(g if k else None, v, y, y - 30 + int(e), y + int(e), y + 40 + int(e)) for k, ((g, v, y), e) in enumerate(zip(rows, rng.integers(-60, 60, n), strict=True))] + [(1, 1, None, 1, 2, 3), (7, 0, None, 1, 2, 3)]
+    df = spark.createDataFrame([(0, *r[1:]) if r[0] == 0 else r for r in rows], "g int, level int, y int, lo int, mid int, hi int")
+    df = df.withColumn("g", F.when(F.col("level") == 0, 0).otherwise(F.col("g")))
+    offsets = cp.fit_all_offsets(df, cp.METHODS, ["g"], "y", "lo", "mid", "hi", 0.1)
+    assert not any("Generate" in p for name, p in seen if name == "sketches")  # rows were copied for every method and side
+    held, own = offsets.collect(), [r for r in df.collect() if r["y"] is not None]
+    assert len(held) == 6 * len({r["g"] for r in own})
+    for r in held:
+        mine, scale = [x for x in own if x["g"] == r["g"]], (lambda x, kind=r["method"][-2:]: {"_r": (x["hi"] - x["lo"],) * 2, "_m": (x["mid"] - x["lo"], x["hi"] - x["mid"])}.get(kind, (1, 1)))
+        low, high = (np.asarray([f(x) / scale(x)[k] for x in mine]) for k, f in enumerate((lambda x: x["lo"] - x["y"], lambda x: x["y"] - x["hi"])))
+        if not r["method"].startswith("se"):
+            low = high = np.maximum(low, high)
+        at = int(np.ceil((len(mine) + 1) * (0.95 if r["method"].startswith("se") else 0.9))) - 1
+        value = lambda v: float(np.sort(v)[at]) if at < len(v) else None
+        assert r["n_cal"] == len(mine) and (r["q_lo"], r["q_hi"]) == (value(low), value(high))
+    key = ["method", "g"]
+    one = cp.coverage_of_methods(df, offsets, cp.METHODS, ["g"], "y", "lo", "mid", "hi").orderBy(*key).select(*key, "n", "coverage", "cal_coverage", "width", "cal_width").collect()
+    two = cp.coverage_report(cp.calibrate_all(df, offsets, cp.METHODS, ["g"], "lo", "mid", "hi"), key, "y", "lo", "hi").orderBy(*key).select(*one[0].asDict()).collect()
+    assert len(one) == len(two) and all(a[:3] == b[:3] and [x or 0 for x in a[3:]] == pytest.approx([x or 0 for x in b[3:]]) for a, b in zip(one, two, strict=True))
+
+
 def test_f18_rows_of_the_calibration_are_read_once_for_all_replicates(spark, kept):
     seen = kept(gr)
     rng = np.random.default_rng(5)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import quantile_sort
 from ..sources.scratch import stored
-from .order import beside, order_statistics
+from .order import beside, order_statistic_of_each
 
 METHODS = ("cqr", "cqr_r", "cqr_m", "se", "se_r", "se_m")
 
@@ -35,17 +35,17 @@ def scores(method: str, y: Column, lo: Column, mid: Column, hi: Column) -> tuple
 
 def fit_all_offsets(df: DataFrame, methods: Sequence[str], by: Sequence[str], y: str, lo: str, mid: str, hi: str, alpha: float) -> DataFrame:
     """Offsets q_lo and q_hi per group and method: the score of rank k = ceil((n + 1) (1 - alpha)), exactly, null where k > n; two-sided methods spend half of alpha on each side. Rows with a null score don't count."""
-    sides = []
+    rows, shares, sides = df, [], {}
     for name in methods:
         low, high = scores(name, *map(F.col, (y, lo, mid, hi)))
         for side, score in (("lo", low), ("hi", high))[: 1 + name.startswith("se")]:
-            sides.append(F.struct(F.lit(name).alias("method"), F.lit(side).alias("_side"), score.cast("double").alias("_s")))
-    rows = df.select(*by, F.explode(F.array(*sides)).alias("_e")).select(*by, "_e.*")
-    share = F.when(F.col("method").startswith("se"), 1 - alpha / 2).otherwise(1 - alpha)
-    found = order_statistics(rows, "_s", [*by, "method", "_side"], [lambda n: F.ceil((n + 1) * share) - 1]).withColumn("_q", F.get("at", F.lit(0)))
-    q = lambda side: F.max(F.when(F.col("_side") == side, F.col("_q")))
-    one = F.count("*") == 1
-    return found.groupBy(*by, "method").agg(q("lo").alias("q_lo"), F.when(one, q("lo")).otherwise(q("hi")).alias("q_hi"), F.max("n").alias("n_cal"))
+            rows = rows.withColumn(f"_s{len(shares)}", score.cast("double"))
+            sides.setdefault(name, []).append(len(shares))
+            shares.append(1 - alpha / 2 if name.startswith("se") else 1 - alpha)
+    rank = [lambda n, s=s: F.ceil((n + 1) * F.lit(s)) - 1 for s in shares]
+    found = order_statistic_of_each(rows, [f"_s{k}" for k in range(len(shares))], by, shares, rank)
+    told = lambda name, at: F.struct(F.lit(name).alias("method"), F.col("at")[at[0]].alias("q_lo"), F.col("at")[at[-1]].alias("q_hi"), F.greatest(*(F.col("n")[k] for k in [*at, at[0]])).alias("n_cal"))
+    return found.select(*by, F.explode(F.array(*(told(name, at) for name, at in sides.items()))).alias("_o")).select(*by, "_o.*").where("n_cal > 0")
 
 
 def fit_offsets(df: DataFrame, method: str, by: Sequence[str], y: str, lo: str, mid: str, hi: str, alpha: float) -> DataFrame:
@@ -75,16 +75,38 @@ def calibrate_all(df: DataFrame, offsets: DataFrame, methods: Sequence[str], by:
     low = F.when(kind("_r"), _width(b - a)).when(kind("_m"), _width(m - a)).otherwise(1)
     high = F.when(kind("_r"), _width(b - a)).when(kind("_m"), _width(b - m)).otherwise(1)
     rows = df.withColumn("method", F.explode(F.array(*map(F.lit, methods))))
-    rows = beside(rows, offsets.select(*by, "method", "q_lo", "q_hi"), [*by, "method"], "left")
+    rows = beside(rows, stored(offsets.select(*by, "method", "q_lo", "q_hi"), "offsets"), [*by, "method"], "left")
     return rows.withColumns({"cal_lo": F.coalesce(a - F.col("q_lo") * low, a), "cal_hi": F.coalesce(b + F.col("q_hi") * high, b)}).drop("q_lo", "q_hi")
 
 
+def coverage_of_methods(df: DataFrame, offsets: DataFrame, methods: Sequence[str], by: Sequence[str], y: str, lo: str, mid: str, hi: str) -> DataFrame:
+    """``coverage_report`` per group and method of ``calibrate_all``'s intervals: each row meets its group's offsets once and is counted for all methods at once."""
+    a, m, b = map(F.col, (lo, mid, hi))
+    known = offsets.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("method", F.struct("q_lo", "q_hi")))).alias("_q"))  # an entry per method
+    rows = beside(df, stored(known, "offsets"), by, "left")
+    inside = lambda low, high: F.avg(((F.col(y) >= low) & (F.col(y) <= high)).cast("double"))
+
+    def of(name: str) -> Column:
+        q, kind = F.try_element_at("_q", F.lit(name)), name.partition("_")[2]
+        wide = {"r": (_width(b - a), _width(b - a)), "m": (_width(m - a), _width(b - m))}.get(kind, (F.lit(1), F.lit(1)))
+        low, high = F.coalesce(a - q["q_lo"] * wide[0], a), F.coalesce(b + q["q_hi"] * wide[1], b)
+        return F.struct(F.lit(name).alias("method"), inside(low, high).alias("cal_coverage"), (F.avg(high - low) / 10).alias("cal_width"))
+
+    per = rows.groupBy(*by).agg(F.count("*").alias("n"), inside(a, b).alias("coverage"), (F.avg(b - a) / 10).alias("width"), F.array(*map(of, methods)).alias("_m"))
+    return per.select(*by, "n", "coverage", "width", F.explode("_m").alias("_m")).select("_m.method", *by, "n", "coverage", "_m.cal_coverage", "width", "_m.cal_width")
+
+
 SCORES = ("coverage", "cal_coverage", "width", "cal_width")
 
 
 def coverage_by_method(calibrated: DataFrame, group: str, level: str, y: str, lo: str, hi: str) -> DataFrame:
     """``coverage_report`` per method, group and level, and per method and level the mean over groups weighted by their rows (``all_groups`` true, the group null)."""
-    per = coverage_report(calibrated, ["method", group, level], y, lo, hi).withColumn("all_groups", F.lit(False))
+    return with_all_groups(coverage_report(calibrated, ["method", group, level], y, lo, hi), group, level)
+
+
+def with_all_groups(report: DataFrame, group: str, level: str) -> DataFrame:
+    """A report per method, group and level, and per method and level the mean over groups weighted by their rows."""
+    per = report.withColumn("all_groups", F.lit(False))
     whole = per.groupBy("method", level).agg(F.sum("n").alias("_n"), *((F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in SCORES))
     whole = whole.withColumnRenamed("_n", "n").withColumns({group: F.lit(None).cast(per.schema[group].dataType), "all_groups": F.lit(True)})
     return per.unionByName(whole)

@@ -2,7 +2,7 @@
 
 ``order_statistics`` brackets each wanted rank by a mergeable sketch, then counts the rows below the bracket and the values
 inside it: two narrow passes, and no window or list over a group of unbounded size. Wide brackets are narrowed first. Groups of few rows
-are sorted.
+are sorted. ``order_statistic_of_each`` does the same for several columns in the same passes, one rank each.
 
 ``pair_order_statistic`` finds the value of a rank among all a - b of a group. Cells of neighbouring values bound it, each value of b
 goes to those cells of a alone where its differences may lie inside the bounds, and tasks of one cell count the
@@ -118,6 +118,40 @@ def quantiles(df: DataFrame, value: str, by: Sequence[str], shares: Sequence[flo
     return found.select(*by, "n", F.array(*(one(k, s) for k, s in enumerate(shares))).alias("q"))
 
 
+def order_statistic_of_each(df: DataFrame, values: Sequence[str], by: Sequence[str], shares: Sequence[float], ranks: Sequence[Callable[[Column], Column]]) -> DataFrame:
+    """(*by, n, at): arrays with an entry per column of ``values``, its number of values and the one of its rank, a function of n counted from 0. Nulls don't count.
+
+    A rank lies within two rows of n times the column's share; outside 0 to n - 1 it gives null. Every row is read twice, whatever the number of columns: for the
+    sketches, and for the counts below the brackets together with the values inside them.
+    """
+    by, size = list(by), range(len(values))
+    rows = df.select(*by, *(F.col(c).alias(f"_v{k}") for k, c in enumerate(values)))
+    widest = rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    accuracy = max(1_000, min(20_000, widest // 50_000))
+    near = lambda s: F.array(*(F.lit(min(1.0, max(0.0, s + d / accuracy))) for d in (-3, 3)))
+    sketch = lambda k: F.struct(F.count(f"_v{k}").alias("n"), F.min(f"_v{k}").alias("a"), F.max(f"_v{k}").alias("b"), F.percentile_approx(f"_v{k}", near(shares[k]), F.lit(accuracy)).alias("q")).alias(f"_k{k}")
+    held = stored(rows.groupBy(*by).agg(*(sketch(k) for k in size)), "sketches")
+
+    def mark(k: int) -> Column:
+        c = F.col(f"_k{k}")
+        whole = c["n"] <= 10 * accuracy  # a bracket then might hold no two neighbours
+        low, high = F.when(whole | F.lit(shares[k] * accuracy <= 3), c["a"]).otherwise(c["q"][0]), F.when(whole | F.lit((1 - shares[k]) * accuracy <= 3), c["b"]).otherwise(c["q"][1])
+        return F.struct(c["n"].alias("n"), ranks[k](c["n"]).cast("long").alias("rank"), low.alias("a"), high.alias("b"))
+
+    marks = stored(held.select(*by, F.array(*(mark(k) for k in size)).alias("_m")), "marks")  # of known size: few are broadcast
+    met = beside(rows, marks, by)
+    at = [F.col("_m")[k] for k in size]
+    inside = F.filter(F.array(*(F.struct(F.lit(k).alias("k"), F.when((F.col(f"_v{k}") >= at[k]["a"]) & (F.col(f"_v{k}") <= at[k]["b"]), F.col(f"_v{k}")).alias("v")) for k in size)), lambda x: x["v"].isNotNull())
+    below = met.groupBy(*by).agg(F.array(*(F.count_if(F.col(f"_v{k}") < at[k]["a"]) for k in size)).alias("_below"))
+    counts = met.select(*by, F.explode(inside).alias("_x")).groupBy(*by, "_x.k", "_x.v").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*by, "k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)  # the values inside a bracket
+    run = beside(beside(counts.withColumn("_r", F.sum("_c").over(w)), stored(below, "below"), by), marks, by)
+    run = run.where(F.get("_below", F.col("k")) + F.col("_r") > F.get("_m", F.col("k"))["rank"]).groupBy(*by, "k").agg(F.min("v").alias("v"))
+    known = run.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_at"))  # an entry per column
+    pick = lambda k: F.when((at[k]["rank"] >= 0) & (at[k]["rank"] < at[k]["n"]), F.try_element_at("_at", F.lit(k)))
+    return beside(marks, known, by, "left").select(*by, F.array(*(at[k]["n"] for k in size)).alias("n"), F.array(*(pick(k) for k in size)).alias("at"))
+
+
 def running_sums(df: DataFrame, by: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
     """``df`` with ``before_<c>``: the sum of each column over the group's rows that come before in the order, for groups of any size.
 

@@ -74,8 +74,8 @@ rep AS (SELECT *, false AS all_groups FROM g UNION ALL SELECT method, NULL, leve
 def _by_method(t):
     rows = t.triples().withColumn("level", F.expr("tile % 3"))
     offsets = cp.fit_all_offsets(rows, cp.METHODS, ["biome", "level"], "y", "lo", "mid", "hi", 0.1)
-    done = cp.calibrate_all(rows, offsets, cp.METHODS, ["biome", "level"], "lo", "mid", "hi")
-    return cp.coverage_by_method(done, "biome", "level", "y", "lo", "hi")
+    report = cp.coverage_of_methods(rows, offsets, cp.METHODS, ["biome", "level"], "y", "lo", "mid", "hi")
+    return cp.with_all_groups(report, "biome", "level")
 
 
 @query("c04_coverage_by_method", "WITH {triples}, " + COVERAGE + " SELECT * REPLACE (CAST(n AS BIGINT) AS n) FROM rep", "coverage cal_coverage width cal_width")
