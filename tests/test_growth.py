@@ -159,3 +159,27 @@ def test_f23_scores_hold_no_other_columns(spark, monkeypatch):
     monkeypatch.setattr(re_, "stored", lambda df, name="table": (seen.append((name, df.columns)), plain(df, name))[1])
     re_.classify_report(labelled(spark).withColumn("other", F.lit("x")), {"q": ["q"]}, "g", "tile", "bin", 2)
     assert [set(c) - {"fold", "_x", "_label", "score"} for name, c in seen] == [{"q", "g", "tile", "bin"}] * 2
+
+
+def test_pipeline_open_levels_of_the_packing_search_hold_few_tables(monkeypatch):
+    import gc
+
+    from voxelspan.llm import packing
+
+    most, plain = [0], packing.Sums.table
+
+    def table(self):
+        fresh = self.reach is None
+        got = plain(self)
+        if fresh and self.kept is not None and len(most) < 400:
+            most.append(sum(type(x) is list and len(x) == size and x[0] == 1 for x in gc.get_objects()) if (size := len(got[1])) else 0)
+        return got
+
+    counts = {x: 3 for x in range(150, 400)}
+    left = [0] * 4097
+    for x, n in counts.items():
+        left[x] = n
+    want = packing.complete(left, 4096, packing.dive(left, 4096, packing.best_fit), 1, 3_000)
+    monkeypatch.setattr(packing, "KEPT_SUMS", 2)
+    monkeypatch.setattr(packing.Sums, "table", table)
+    assert packing.complete(left, 4096, packing.dive(left, 4096, packing.best_fit), 1, 3_000) == want and 1 < len(most) and max(most) <= 4

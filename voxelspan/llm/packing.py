@@ -41,7 +41,7 @@ CAPACITY = 4096
 #: Steps of the branch-and-bound (None: until all branches are closed), and of the subset-sum search for one sequence of an incumbent.
 NODES, STEPS = 100_000, 2_000
 #: Levels of the search that keep their table of reachable sums.
-KEPT_SUMS = 64
+KEPT_SUMS = 32
 #: Pieces that ``balanced`` deals out at once; of more, every so many of a length stand for one.
 DEALT = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, task long, local long"
@@ -82,10 +82,13 @@ def least_waste(room: int, left: list[int], top: int, steps: int = STEPS) -> lis
 
 
 class Sums:
-    """Fillings from the counts ``left`` of lengths up to ``top``, by the sums that the lengths up to each can reach."""
+    """Fillings from the counts ``left`` of lengths up to ``top``, by the sums that the lengths up to each can reach.
 
-    def __init__(self, room: int, left: list[int], top: int):
-        self.left, self.top, self.room, self.steps, self.reach = left, min(room, top), room, 0, None
+    kept: of all that share it, the last ``KEPT_SUMS`` to make their table keep it; the others make it anew when they go on, with the same counts left.
+    """
+
+    def __init__(self, room: int, left: list[int], top: int, kept: deque[Sums] | None = None):
+        self.left, self.top, self.room, self.steps, self.reach, self.kept = left, min(room, top), room, 0, None, kept
 
     def table(self) -> tuple[list[int], list[int]]:
         """The lengths in ascending order, and for each k the sums of the first k as bits."""
@@ -103,6 +106,10 @@ class Sums:
                     sums.append(bits)
                     lengths.append(x)
             self.reach = lengths, sums
+            if self.kept is not None:
+                self.kept.append(self)
+                if len(self.kept) > KEPT_SUMS:
+                    self.kept.popleft().reach = None
         return self.reach
 
     def fillings(self, target: int, below: int | None = None) -> Iterator[list[tuple[int, int]]]:
@@ -110,17 +117,15 @@ class Sums:
         if target == 0:
             yield []
             return
-        lengths, sums = self.table()
-        k = len(lengths) if below is None else below
-        while k and sums[k] >> target & 1:
-            x = lengths[k - 1]
+        # no table in a variable: the open levels of a search would hold all of theirs
+        k = len(self.table()[0]) if below is None else below
+        while k and self.table()[1][k] >> target & 1:
+            x = self.table()[0][k - 1]
             for n in range(min(self.left[x], target // x), 0, -1):
                 self.steps += 1
-                lengths, sums = self.table()
-                if sums[k - 1] >> (target - n * x) & 1:
+                if self.table()[1][k - 1] >> (target - n * x) & 1:
                     for rest in self.fillings(target - n * x, k - 1):
                         yield [(x, n), *rest]
-            lengths, sums = self.table()
             k -= 1
 
 
@@ -259,12 +264,9 @@ def complete(left: list[int], capacity: int, best: Plan, low: int, nodes: int |
         nonlocal steps
         room = capacity - top
         left[top] -= 1
-        sums = Sums(room, left, top)
+        sums = Sums(room, left, top, kept)
         sums.table()
         left[top] += 1
-        kept.append(sums)
-        if len(kept) > KEPT_SUMS:
-            kept.popleft().reach = None
         for spare in range(room + 1):
             if wasted + spare > (most - 1) * capacity - total:
                 return
