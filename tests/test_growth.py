@@ -183,3 +183,23 @@ def test_pipeline_open_levels_of_the_packing_search_hold_few_tables(monkeypatch)
     monkeypatch.setattr(packing, "KEPT_SUMS", 2)
     monkeypatch.setattr(packing.Sums, "table", table)
     assert packing.complete(left, 4096, packing.dive(left, 4096, packing.best_fit), 1, 3_000) == want and 1 < len(most) and max(most) <= 4
+
+
+def test_op7_places_of_plain_words_need_no_second_look(monkeypatch):
+    from voxelspan.llm import langid
+
+    rng = np.random.default_rng(6)
+    s = -rng.integers(0, 13, (300, 4)) / 2.0
+    s[:150, 1] += 4.0
+    v, came = s[0].copy(), []
+    for row in s[1:]:
+        moved = v.max() - 3.0 > v
+        came.append(np.where(moved, v.argmax(), np.arange(4)))
+        v = np.where(moved, v.max() - 3.0, v) + row
+    want = [int(v.argmax())]
+    for c in reversed(came):
+        want.append(int(c[want[-1]]))
+    assert langid.viterbi(s, 3.0).tolist() == want[::-1] and len(set(want)) > 1
+    seen, plain = [], langid.letters_of
+    monkeypatch.setattr(langid, "letters_of", lambda run: (seen.append(run), plain(run))[1])
+    assert langid.starts_of("ab c\u00bdd  ef") == [0, 3, 5, 8] and seen == ["c\u00bdd"]

@@ -80,7 +80,7 @@ def words_of(text: str) -> list[str]:
 
 
 def starts_of(text: str) -> list[int]:
-    return [m.start() + at for m in WORD.finditer(text) for at, _ in letters_of(m.group())]
+    return [m.start() + at for m in WORD.finditer(text) for at in ((0,) if m.group().isalpha() else [a for a, _ in letters_of(m.group())])]
 
 
 class Model:
@@ -119,16 +119,20 @@ class Model:
 def viterbi(s: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """Best path through (words, languages) scores. At equal values staying wins, then the first language."""
     n, k = s.shape
-    came = np.zeros((n, k), np.int32)
-    v = s[0].copy()
-    stay = np.arange(k)
-    for t in range(1, n):
-        b = int(v.argmax())
-        moved = v[b] - penalty > v
-        came[t] = np.where(moved, b, stay)
-        v = np.where(moved, v[b] - penalty, v) + s[t]
+    came = np.tile(np.arange(k, dtype=np.int32), (n, 1))
+    v = s[0].tolist()
+    for a in range(1, n, 4_096):
+        for t, row in enumerate(s[a : a + 4_096].tolist(), a):  # few languages: lists take half the time of arrays
+            top = max(v)
+            low = top - penalty
+            if low > min(v):
+                b = v.index(top)
+                came[t] = [b if low > x else c for c, x in enumerate(v)]
+                v = [(low if low > x else x) + y for x, y in zip(v, row, strict=True)]
+            else:
+                v = [x + y for x, y in zip(v, row, strict=True)]
     path = np.empty(n, np.int32)
-    path[-1] = int(v.argmax())
+    path[-1] = v.index(max(v))
     for t in range(n - 1, 0, -1):
         path[t - 1] = came[t][path[t]]
     return path
