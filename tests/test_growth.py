@@ -203,3 +203,10 @@ def test_op7_places_of_plain_words_need_no_second_look(monkeypatch):
     seen, plain = [], langid.letters_of
     monkeypatch.setattr(langid, "letters_of", lambda run: (seen.append(run), plain(run))[1])
     assert langid.starts_of("ab c\u00bdd  ef") == [0, 3, 5, 8] and seen == ["c\u00bdd"]
+
+
+def test_f21_runs_of_numbers_take_one_shuffle(spark):
+    df = spark.createDataFrame([(g, k) for g in (1, 2, None) for k in (3, 4, 4, 5, 9, 9, None, 10 + (g or 0))], "g int, k long")
+    got = cu.number_ranges(df, ["g"], "k")
+    assert plan(got).count("Exchange hashpartitioning") == 1
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(str((g, *x)) for g in (1, 2, None) for x in ((3, 5), (9, 10) if g is None else (9, 9) if g == 2 else (9, 9), *(((10 + g, 10 + g),) if g else ()), (None, None)))

@@ -104,7 +104,7 @@ def release_manifest(listing: DataFrame, pattern: str = r"^(.+)/([A-Z0-9]+)/(?:R
 def number_ranges(df: DataFrame, by: Sequence[str], number: str) -> DataFrame:
     """Runs of consecutive numbers as (first, last)."""
     w = Window.partitionBy(*by).orderBy(number)
-    rows = df.select(*by, number).distinct().withColumn("_g", F.col(number) - F.row_number().over(w))
+    rows = df.select(*by, number).withColumn("_g", F.col(number) - F.dense_rank().over(w))  # repeated numbers share a rank: one shuffle, no table of distinct ones in a task
     return rows.groupBy(*by, "_g").agg(F.min(number).alias("first"), F.max(number).alias("last")).drop("_g")
 
 
