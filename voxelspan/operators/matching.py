@@ -1,16 +1,18 @@
-"""Matching, drawn points, shifts and profiles; pandas only inside the stretches of a match."""
+"""Matching, drawn points, shifts and profiles; Arrow and numpy only inside the stretches of a match."""
 
 from __future__ import annotations
 
-from bisect import bisect_left
+import math
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import inside
-from ..sources.scratch import stored
+from ..sources.scratch import scratch_path, stored
 from .order import PAIRS, beside, pair_order_statistic
 
 
@@ -93,82 +95,95 @@ def _free(next_: list[int], k: int) -> int:
     return k
 
 
-def match_stretch(highs: list[tuple], lows: list[tuple], taken: set, tolerance: float) -> list[tuple]:
-    """Matches (high, low, distance, low's number) of highs (height, id) with lows (height, id), both in order; ``taken`` lows are not free.
+def match_stretch(highs: np.ndarray, lows: np.ndarray, taken: np.ndarray, tolerance: float) -> np.ndarray:
+    """Place of the low that each high takes (-1: none), of heights of highs and lows in order; ``taken`` marks lows that are not free.
 
-    ``up`` and ``down`` lead to the next low that is free; 0 and n + 1 stand for none.
+    ``up`` and ``down`` lead to the next low that is free; lows are numbered from 1, 0 and n + 1 stand for none.
     """
-    at, n, out = [h for h, _ in lows], len(lows), []
+    at, n, out = lows.tolist(), len(lows), []
     up, down = list(range(n + 2)), list(range(n + 2))
-    for k, (_, name) in enumerate(lows, 1):
-        if name in taken:
+    for k in (np.flatnonzero(taken) + 1).tolist():
+        down[k], up[k] = k - 1, k + 1
+    for h, below in zip(highs.tolist(), np.searchsorted(lows, highs).tolist(), strict=True):
+        i, j = _free(down, below), _free(up, below + 1)
+        x, y = h - at[i - 1] if i else math.inf, at[j - 1] - h if j <= n else math.inf
+        lower = x < y or x == y and below - i < j - below - 1
+        if (x if lower else y) < tolerance:
+            k = i if lower else j
             down[k], up[k] = k - 1, k + 1
-    for h, name in highs:
-        first = bisect_left(at, h) + 1  # lows are numbered from 1
-        i, j = _free(down, first - 1), _free(up, first)
-        options = [(h - at[i - 1], first - 1 - i, 1, i)] if i else []
-        options += [(at[j - 1] - h, j - first, 0, j)] if j <= n else []
-        if options and min(options)[0] < tolerance:
-            distance, _, _, k = min(options)
-            down[k], up[k] = k - 1, k + 1
-            out.append((name, lows[k - 1][1], float(distance), k - 1))
-    return out
+            out.append(k - 1)
+        else:
+            out.append(-1)
+    return np.array(out, dtype=np.int64)
 
 
-def greedy_match(df: DataFrame, bin_column: str, id_column: str, height: str, high: str, tolerance: float, size: int = 20_000) -> DataFrame:
+def greedy_match(df: DataFrame, bin_column: str, id_column: str, height: str, high: str, tolerance: float, size: int = 50_000) -> DataFrame:
     """One-to-one matches of high (1) and low (0) rows nearest in height, highs ascending (of equal ones by id), nearer than a tolerance.
 
     Of equally near lows the one reached in fewer outward steps wins, then the taller one. A bin's highs are cut into stretches of equal height,
-    of about ``size`` rows on average in the largest bin and at least two tolerances, each with the lows that its highs reach, so a low is in two stretches at most. All
-    stretches are matched at once; where the lows that a stretch took are in the next one's reach, that one is matched again without
-    them, until nothing changes: a stretch is right once the one below it is. A task holds one stretch. The cut does not change the result. Ids are unique within a bin; rows with a null in height or side don't count.
+    of about ``size`` rows on average in the largest bin and at least four tolerances, each with the lows that its highs reach. All
+    stretches are matched at once, each from an eighth of a stretch below its lower border on: what depends on the highs further below seldom lasts so long.
+    Where the lows near the border that those highs took are not the ones that the stretch below took in the end, the stretch is matched again from
+    its border on with these, until all agree: a stretch is right once the one below it is. A task holds one stretch. The cut does not change the result.
+    Ids are unique within a bin; rows with a null in height or side don't count.
     """
     rows = df.dropna(subset=[height, high]).where(F.col(high).isin(0, 1))
-    most = rows.groupBy(bin_column).agg(F.count("*").alias("n"), (F.max(height) - F.min(height)).cast("double").alias("range")).agg(F.max(F.struct("n", "range"))).first()[0]
-    wide = max(2.0 * tolerance, most["range"] * size / most["n"]) if most else 1.0
     rows = rows.select(F.col(bin_column).alias("_bin"), F.col(id_column).alias("_id"), F.col(height).cast("double").alias("_h"), F.col(high).cast("int").alias("_high"))
+    rows = stored(rows.where(F.abs("_h") < math.inf), "rows")
+    most = rows.groupBy("_bin").agg(F.count("*").alias("n"), (F.max("_h") - F.min("_h")).alias("range")).agg(F.max(F.struct("n", "range"))).first()[0]
+    wide = max(4.0 * tolerance, most["range"] * size / most["n"] if most else 0.0) or 1.0
     at = lambda h: F.floor(h / wide)
-    reach = F.when(F.col("_high") == 1, F.array(at(F.col("_h")))).otherwise(F.sequence(at(F.col("_h") - tolerance), at(F.col("_h") + tolerance)))
-    rows = rows.withColumn("_last", at(F.col("_h") + tolerance)).withColumn("_s", F.explode(reach))
-    both = rows.groupBy("_bin", "_s").agg(F.max("_high").alias("_x"), F.min("_high").alias("_y")).where("_x = 1 and _y = 0").select("_bin", "_s")
-    rows = stored(beside(rows, both, ["_bin", "_s"]), "stretches")
+    first = at(F.when(F.col("_high") == 1, F.col("_h")).otherwise(F.col("_h") - tolerance))
+    last = at(F.col("_h") + wide / 8 + F.when(F.col("_high") == 1, 0.0).otherwise(tolerance))
+    stretches = rows.withColumn("_s", F.explode(F.sequence(first, last)))
     kind, name = df.schema[bin_column].dataType.simpleString(), df.schema[id_column].dataType.simpleString()
-    schema = f"_bin {kind}, _s bigint, high_id {name}, low_id {name}, distance double, _last bigint"
+    schema = f"_bin {kind}, _s bigint, high_id {name}, low_id {name}, distance double, used binary, left binary"
     spark = df.sparkSession
 
-    def match(held: pd.DataFrame, taken: pd.DataFrame) -> pd.DataFrame:
-        columns = ["_bin", "_s", "high_id", "low_id", "distance", "_last"]
-        if not len(held):
-            return pd.DataFrame(columns=columns)
-        held = held.sort_values(["_h", "_id"])
-        highs, lows = held[held["_high"] == 1], held[held["_high"] == 0]
-        pairs = lambda x: list(zip(x["_h"].tolist(), x["_id"].tolist(), strict=True))
-        last = lows["_last"].tolist()
-        found = match_stretch(pairs(highs), pairs(lows), set(taken["low_id"]), tolerance)
-        return pd.DataFrame([(held["_bin"].iloc[0], held["_s"].iloc[0], a, b, d, last[k]) for a, b, d, k in found], columns=columns)
-
-    def borders(found: DataFrame) -> DataFrame:
-        """Lows that a stretch took and the next one reaches."""
-        return found.where(F.col("_last") > F.col("_s")).select("_bin", (F.col("_s") + 1).alias("_s"), "low_id")
-
-    def marks(taken: DataFrame, c: str) -> DataFrame:
-        return taken.groupBy("_bin", "_s").agg(F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("low_id").cast("decimal(20,0)")).alias("h")).alias(c))
-
-    taken = spark.createDataFrame([], f"_bin {kind}, _s bigint, low_id {name}")
-    found, again = spark.createDataFrame([], schema), both
+    def match(key: tuple, held: pa.Table, given: pa.Table) -> pa.Table:
+        """The stretch's matches, and a row with the lows near its lower border that were taken before it (used) and near its upper border that it took (left), a bit per low."""
+        s = key[1].as_py()
+        held = held.take(pc.sort_indices(held, sort_keys=[("_h", "ascending"), ("_id", "ascending")]))
+        h, side = held["_h"].to_numpy(), held["_high"].to_numpy() == 1
+        highs, lows = np.flatnonzero(side), np.flatnonzero(~side)
+        a, b = np.floor((h[lows] - tolerance) / wide), np.floor((h[lows] + tolerance) / wide)
+        lower, upper = (a < s) & (b >= s), (a <= s) & (b > s)
+        before, taken = np.floor(h[highs] / wide) < s, np.zeros(len(lows), dtype=bool)
+        if given.num_rows:
+            highs, before = highs[~before], before[~before]
+            bits = np.frombuffer(given["given"][0].as_py() + b"\0", dtype=np.uint8)
+            taken[lower] = np.unpackbits(bits, count=int(lower.sum()), bitorder="little")
+        low = match_stretch(h[highs], h[lows], taken, tolerance)
+        taken[low[before & (low >= 0)]] = True
+        own = ~before & (low >= 0)
+        mine = np.zeros(len(lows), dtype=bool)
+        mine[low[own]] = True
+        packed = lambda x: np.packbits(x, bitorder="little").tobytes().rstrip(b"\0")
+        highs, lows = highs[own], lows[low[own]]
+        n = len(highs)
+        last = np.arange(n + 1) == n  # the row of the stretch itself
+        pick = lambda x: pa.array(np.append(x, 0), mask=last)
+        mark = lambda x: pa.chunked_array([pa.nulls(n, pa.binary()), pa.array([x], pa.binary())])
+        same, ids = np.zeros(n + 1, dtype=np.int64), held["_id"]
+        columns = [held["_bin"].take(same), held["_s"].take(same), ids.take(pick(highs)), ids.take(pick(lows)), pick(np.abs(h[highs] - h[lows])), mark(packed(taken[lower])), mark(packed(mine[upper]))]
+        return pa.table(columns, names=["_bin", "_s", "high_id", "low_id", "distance", "used", "left"])
+
+    path, turn = scratch_path(spark, "matches"), 0
+    part, given = stretches, spark.createDataFrame([], f"_bin {kind}, _s bigint, given binary")
     while True:
-        part = beside(rows, again, ["_bin", "_s"])
-        fresh = part.groupBy("_bin", "_s").cogroup(taken.groupBy("_bin", "_s")).applyInPandas(match, schema)
-        kept = beside(found, again.withColumn("_again", F.lit(1)), ["_bin", "_s"], "left").where("_again is null").drop("_again")
-        found = stored(kept.unionByName(fresh), "matches")
-        new = stored(borders(found), "taken")
-        known = marks(new, "_new")
-        changed = beside(both, known, ["_bin", "_s"], "left")
-        changed = beside(changed, marks(taken, "_old"), ["_bin", "_s"], "left").where(~F.col("_new").eqNullSafe(F.col("_old")))
-        again = stored(changed.select("_bin", "_s"), "again")
-        if again.isEmpty():
-            return found.select(F.col("_bin").alias(bin_column), "high_id", "low_id", "distance")
-        taken = new
+        fresh = part.groupBy("_bin", "_s").cogroup(given.groupBy("_bin", "_s")).applyInArrow(match, schema)
+        fresh.withColumn("_turn", F.lit(turn)).write.mode("append").parquet(path)
+        found = spark.read.schema(f"{schema}, _turn int").parquet(path)
+        marks = found.where("used is not null").groupBy("_bin", "_s").agg(F.max(F.struct("_turn", "used", "left")).alias("m"))
+        marks = stored(marks.select("_bin", "_s", "m.*"), "marks")
+        below = marks.select("_bin", (F.col("_s") + 1).alias("_s"), F.col("left").alias("given"))
+        known = beside(marks, below, ["_bin", "_s"], "left").withColumn("given", F.coalesce("given", F.lit(bytearray())))
+        given = stored(known.where("given <> used").select("_bin", "_s", "given"), "again")
+        if given.isEmpty():
+            break
+        part, turn = beside(stretches, given.select("_bin", "_s"), ["_bin", "_s"]), turn + 1
+    found = beside(found.where("used is null"), marks.select("_bin", "_s", "_turn"), ["_bin", "_s", "_turn"])
+    return found.select(F.col("_bin").alias(bin_column), "high_id", "low_id", "distance")
 
 
 def hodges_lehmann(a: DataFrame, b: DataFrame, value: str, by: str, pairs: int = PAIRS) -> DataFrame:
