@@ -196,7 +196,8 @@ def _(t):
 
 @query("w15_greedy_match")
 def _(t):
-    f = t.fp().selectExpr("biome", "concat_ws('-', cast(shot as string), cast(beam as string), cast(part as string), cast(tile as string)) as id", "y as height", "cast(flag = 'R' as int) as high").groupBy("biome", "id", "high").agg(F.max("height").alias("height"))
+    f = t.fp().selectExpr("biome", "concat_ws('-', cast(shot as string), cast(beam as string), cast(part as string), cast(tile as string)) as id", "y as height", "cast(flag = 'R' as int) as high")
+    f = f.repartition("biome", "id", "high").groupBy("biome", "id", "high").agg(F.max("height").alias("height"))  # ids seldom repeat: grouping them before the shuffle saves nothing
     return ma.greedy_match(f, "biome", "id", "height", "high", 3.0)
 
 
