@@ -238,25 +238,29 @@ def permutation_importance(df: DataFrame, features: Sequence[str], label: str, t
 
 
 def class_sets_report(df: DataFrame, feature_sets: dict[str, Sequence[str]], label: str, tile: str, folds: int, kind: str = "logit") -> DataFrame:
-    """``class_report_averages`` of out-of-fold predictions for every feature set. kind: multinomial ``logit``, or ``boosted`` trees, one class against the rest."""
+    """``class_report_averages`` of out-of-fold predictions for every feature set. kind: multinomial ``logit``, or ``boosted`` trees, one class against the rest.
+
+    Rows of one fold with equal features and class are one row with their number as its weight: the models are those of all rows, and read the rows themselves once.
+    """
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 
     from .metrics import class_report_averages
 
     def make():
         if kind == "logit":
-            return LogisticRegression(featuresCol="_x", labelCol="_label", family="multinomial", maxIter=20)
-        return OneVsRest(classifier=GBTClassifier(featuresCol="_x", labelCol="_label", maxIter=5, maxDepth=3, seed=1), featuresCol="_x", labelCol="_label", parallelism=3)  # the classes' fits are short tasks: several at once
+            return LogisticRegression(featuresCol="_x", labelCol="_label", weightCol="_times", family="multinomial", maxIter=20)
+        return OneVsRest(classifier=GBTClassifier(featuresCol="_x", labelCol="_label", weightCol="_times", maxIter=5, maxDepth=3, seed=1), featuresCol="_x", labelCol="_label", weightCol="_times", parallelism=3)  # the classes' fits are short tasks: several at once
 
     out = None
     for name, features in feature_sets.items():
-        given = df.dropna(subset=[label]).select(*features, F.col(label).cast("double").alias("_label"), fold_of(tile, folds).alias("_fold"))
-        rows = _assembled(stored(given, "folds"), features)
+        given = df.dropna(subset=[label, *features]).select(*features, F.col(label).cast("double").alias("_label"), fold_of(tile, folds).alias("_fold"))
+        counts = given.groupBy(*features, "_label", "_fold").agg(F.count("*").alias("_times"))
+        rows = _assembled(stored(counts, "folds"), features)
         held = None
         for k in range(folds):
-            part = make().fit(rows.where(F.col("_fold") != k)).transform(rows.where(F.col("_fold") == k)).select(F.col("_label").cast("int").alias("truth"), F.col("prediction").cast("int").alias("predicted"))
+            part = make().fit(rows.where(F.col("_fold") != k)).transform(rows.where(F.col("_fold") == k)).select(F.col("_label").cast("int").alias("truth"), F.col("prediction").cast("int").alias("predicted"), "_times")
             held = part if held is None else held.unionByName(part)
-        one = class_report_averages(stored(held, "predictions"), "truth", "predicted").withColumn("features", F.lit(name))
+        one = class_report_averages(stored(held, "predictions"), "truth", "predicted", "_times").withColumn("features", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
