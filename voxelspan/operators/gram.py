@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import student_sf2
 from ..sources.scratch import stored
-from .order import beside, quantiles
-from .ranking import global_avg_rank
-from .regression import fold_of, out_of_fold
+from .order import beside, quantiles, running_sums
+from .ranking import BROADCAST, global_avg_rank
+from .regression import _assembled, fold_of
 from .resampling import multiplicities, replicate_sums
 
 
@@ -59,15 +59,34 @@ def knots_of(df: DataFrame, x: str, count: int) -> list[float]:
     return sorted(set(row["q"])) if row else []
 
 
-def moments(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), block: Sequence[str] = ()) -> DataFrame:
-    """(*by, *block, n, sums, m): sums of complete rows about the group's means ``m`` of the columns."""
+def counted_knots(df: DataFrame, x: str, times: str, count: int) -> list[float]:
+    """``knots_of`` of rows that each stand for ``times`` rows: running sums over the distinct values tell which of them hold the wanted ranks."""
+    n = df.agg(F.sum(times)).first()[0]
+    if not n:
+        return []
+    places = [(n - 1) * (k / (count - 1)) for k in range(count)]
+    ranks = sorted({min(int(p) + d, n - 1) for p in places for d in (0, 1)})
+    run = running_sums(df.groupBy(F.col(x).cast("double").alias("_v")).agg(F.sum(times).alias("_c")), [], "_v", ["_c"])
+    inside = lambda r: (F.col("before__c") <= r) & (F.col("before__c") + F.col("_c") > r)
+    held = run.where(reduce(lambda a, b: a | b, map(inside, ranks))).collect()  # two per knot at most
+    at = {r: next(h["_v"] for h in held if h["before__c"] <= r < h["before__c"] + h["_c"]) for r in ranks}
+    return sorted({at[int(p)] + (at[min(int(p) + 1, n - 1)] - at[int(p)]) * (p - int(p)) for p in places})
+
+
+def moments(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), block: Sequence[str] = (), times: str | None = None, means: DataFrame | None = None) -> DataFrame:
+    """(*by, *block, n, sums, m): sums of complete rows about the group's means ``m`` of the columns. times: how many rows a row stands for; means: numbers near the means, where they are known, so that rows are read once."""
     by, block, t = list(by), list(block), Sums(len(columns))
-    rows = df.dropna(subset=list(dict.fromkeys(columns))).select(*by, *block, *(F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)))
-    means = rows.groupBy(*by).agg(F.array(*(F.avg(f"_x{i}") for i in range(t.k))).alias("m"))
+    rows = df.dropna(subset=list(dict.fromkeys(columns))).select(*by, *block, (F.col(times).cast("double") if times else F.lit(1.0)).alias("_w"), *(F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)))
+    mean = lambda c: F.sum(F.col("_w") * F.col(c)) / F.sum("_w") if times else F.avg(c)
+    if means is None:
+        means = rows.groupBy(*by).agg(F.array(*(mean(f"_x{i}") for i in range(t.k))).alias("m"))
     rows = beside(rows, means, by)
     rows = rows.withColumns({f"_x{i}": F.col(f"_x{i}") - F.get("m", F.lit(i)) for i in range(t.k)})
-    sums = [F.sum(f"_x{i}").alias(s) for i, s in enumerate(t.first)] + [F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(p) for (i, j), p in zip(t.pairs, t.second, strict=True)]
-    return rows.groupBy(*by, *block).agg(F.count("*").cast("double").alias("n"), F.first("m").alias("m"), *sums)
+    one = lambda x: F.sum(F.col("_w") * x if times else x)
+    sums = [one(F.col(f"_x{i}")).alias(s) for i, s in enumerate(t.first)] + [one(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(p) for (i, j), p in zip(t.pairs, t.second, strict=True)]
+    held = [f"_m{i}" for i in range(t.k)]  # numbers, since rows are sorted for an aggregate that holds an array
+    found = rows.groupBy(*by, *block).agg((F.sum("_w") if times else F.count("*").cast("double")).alias("n"), *(F.first(F.get("m", F.lit(i))).alias(c) for i, c in enumerate(held)), *sums)
+    return found.select(*by, *block, "n", F.array(*held).alias("m"), *t.first, *t.second)
 
 
 def least_squares(cov: np.ndarray, y: int, xs: Sequence[int]) -> np.ndarray:
@@ -136,44 +155,60 @@ def bootstrap_ols(df: DataFrame, y: str, xs: Sequence[str], block: str, replicat
     return named(whole).join(ends, "term")
 
 
-def out_of_fold_residuals(df: DataFrame, targets: Sequence[str], xs: Sequence[str], fold: str) -> DataFrame:
-    """``df`` with ``residual_<target>`` of a linear fit on the rows of all other folds: the total's sums less the fold's, one pass for all folds."""
+def out_of_fold_fits(df: DataFrame, targets: Sequence[str], xs: Sequence[str], fold: str, times: str | None = None) -> DataFrame:
+    """``df`` with ``fit_<target>``, a linear fit on the rows of all other folds: the total's sums less the fold's, one pass for all folds. times: how many rows a row stands for, their mean targets in its targets."""
     columns = [*targets, *xs]
     t, nt = Sums(len(columns)), len(targets)
-    per = moments(df, columns, (), [fold])
+    per = moments(df, columns, (), [fold], times)
     total = per.agg(*(F.sum(c).alias(f"_all_{c}") for c in t.all))
     rest = per.crossJoin(F.broadcast(total)).select(fold, "m", *((F.col(f"_all_{c}") - F.col(c)).alias(c) for c in t.all))  # a row per fold
     fits = rest.select(fold, *(solved(t, k, range(nt, len(columns)))["coef"].alias(f"_b{k}") for k in range(nt)))
     rows = beside(df, fits, [fold])
     for k, y in enumerate(targets):
-        fit = sum((F.get(f"_b{k}", F.lit(i + 1)) * F.col(x) for i, x in enumerate(xs)), F.get(f"_b{k}", F.lit(0)))
-        rows = rows.withColumn(f"residual_{y}", F.col(y) - fit)
+        rows = rows.withColumn(f"fit_{y}", sum((F.get(f"_b{k}", F.lit(i + 1)) * F.col(x) for i, x in enumerate(xs)), F.get(f"_b{k}", F.lit(0))))
     return rows.drop(*(f"_b{k}" for k in range(nt)))
 
 
-def correlation_intervals(rows: DataFrame, a: str, b: str, block: str, replicates: int, level: float = 0.05) -> DataFrame:
-    """One row: n, r, low, high, and p_boot (two-sided, at least 1 / replicates) of the correlation, by whole blocks; null for fewer than 10 rows or a column without spread."""
-    t = Sums(2)
-    blocks = stored(moments(rows, [a, b], (), [block]), "blocks")
+def out_of_fold_trees(cells: DataFrame, targets: Sequence[str], xs: Sequence[str], fold: str, folds: int, times: str) -> DataFrame:
+    """``cells`` with ``fit_<target>``, boosted trees of all other folds. Cells of equal xs with their mean targets make the trees that their rows make: a split is told by sums of targets."""
+    from pyspark.ml.regression import GBTRegressor
+
+    rows, out = _assembled(cells, xs), None
+    for k in range(folds):
+        part = rows.where(F.col(fold) == k)
+        for y in targets:
+            part = GBTRegressor(featuresCol="_x", labelCol=y, weightCol=times, predictionCol=f"fit_{y}", maxIter=5, seed=1).fit(rows.where(F.col(fold) != k)).transform(part)
+        out = part.drop("_x") if out is None else out.unionByName(part.drop("_x"))
+    return out
+
+
+def correlation_intervals(rows: DataFrame, pairs: dict[str, tuple[str, str]], block: str, replicates: int, level: float = 0.05, means: DataFrame | None = None) -> DataFrame:
+    """One row: n, and per named pair of columns the correlation ``<name>``, its <name>_low and _high, and <name>_p (two-sided, at least 1 / replicates), by whole blocks, the same draws for all pairs; null for fewer than 10 rows or a column without spread. See ``moments`` for the means, of the columns in the order of the pairs."""
+    columns = [c for pair in pairs.values() for c in pair]
+    t = Sums(len(columns))
+    blocks = stored(moments(rows, columns, (), [block], None, means), "blocks")
 
-    def r() -> Column:
-        c = lambda i, j: F.col(f"p{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n")
+    def r(k: int) -> Column:
+        c = lambda i, j: F.col(f"p{2 * k + i}_{2 * k + j}") - F.col(f"s{2 * k + i}") * F.col(f"s{2 * k + j}") / F.col("n")
         return F.when((F.col("n") >= 10) & (c(0, 0) > 1e-18 * F.col("n")) & (c(1, 1) > 1e-18 * F.col("n")), c(0, 1) / F.sqrt(c(0, 0) * c(1, 1)))
 
-    whole = blocks.agg(*(F.sum(c).alias(c) for c in t.all)).select(F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"), r().alias("r"))
-    reps = replicate_sums(blocks, block, t.all, replicates).select(r().alias("_r"))
-    q = F.percentile("_r", F.array(F.lit(level / 2), F.lit(1 - level / 2)))
-    side = F.least(F.avg((F.col("_r") <= 0).cast("double")), F.avg((F.col("_r") >= 0).cast("double")))
-    ends = reps.agg(q.alias("_q"), F.greatest(F.least(2 * side, F.lit(1.0)), F.lit(1.0 / replicates)).alias("_p"))
-    ok = F.col("r").isNotNull()
-    return whole.crossJoin(ends).select("n", "r", F.when(ok, F.col("_q")[0]).alias("low"), F.when(ok, F.col("_q")[1]).alias("high"), F.when(ok, F.col("_p")).alias("p_boot"))  # one row each
+    whole = blocks.agg(*(F.sum(c).alias(c) for c in t.all)).select(F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"), *(r(k).alias(name) for k, name in enumerate(pairs)))
+    reps = replicate_sums(blocks, block, t.all, replicates).select(*(r(k).alias(f"_{name}") for k, name in enumerate(pairs)))
+    ends = []
+    for name in pairs:
+        side = F.least(F.avg((F.col(f"_{name}") <= 0).cast("double")), F.avg((F.col(f"_{name}") >= 0).cast("double")))
+        ends += [F.percentile(f"_{name}", F.array(F.lit(level / 2), F.lit(1 - level / 2))).alias(f"_q_{name}"), F.greatest(F.least(2 * side, F.lit(1.0)), F.lit(1.0 / replicates)).alias(f"_p_{name}")]
+    ok = lambda name, x: F.when(F.col(name).isNotNull(), x)
+    of = lambda name: [F.col(name), ok(name, F.col(f"_q_{name}")[0]).alias(f"{name}_low"), ok(name, F.col(f"_q_{name}")[1]).alias(f"{name}_high"), ok(name, F.col(f"_p_{name}")).alias(f"{name}_p")]
+    return whole.crossJoin(reps.agg(*ends)).select("n", *(x for name in pairs for x in of(name)))  # one row each
 
 
 def residual_ladder(df: DataFrame, targets: tuple[str, str], controls: Sequence[str], tile: str, folds: int, replicates: int = 200, rungs: Sequence[str] = ("linear", "spline", "trees"), knots: int = 5) -> DataFrame:
     """(rung, n, pearson, its low, high and p_boot, spearman, its low, high and p_boot): correlation of two targets' out-of-fold residuals on the controls, for ever more flexible models.
 
     linear and spline (natural cubic in every control, knots at quantiles of all rows) are solved for all folds from one pass; trees
-    are boosted and fitted once per fold. Folds and the blocks of the intervals are whole tiles; Spearman is the correlation
+    are boosted and fitted once per fold. A fit depends on the controls alone, so all fits and knots come from cells, the rows of a fold with equal
+    controls, with their number and mean targets; rows meet the fits of their cell once. Folds and the blocks of the intervals are whole tiles; Spearman is the correlation
     of ranks over all rows. A target that is itself a control (the anchor) leaves nothing to correlate: its rungs have nulls.
     Rows with a null or infinite value in a target or control don't count.
     """
@@ -185,30 +220,35 @@ def residual_ladder(df: DataFrame, targets: tuple[str, str], controls: Sequence[
     if set(targets) & set(controls):
         n = given.count()
         return spark.createDataFrame([(r, n, *[None] * 8) for r in rungs], schema)
-    given = stored(given.withColumn("_fold", fold_of("_tile", folds)), "ladder")
-    out = spark.createDataFrame([], schema)
+    given = given.withColumn("_fold", fold_of("_tile", folds))
+    key = [*controls, "_fold"]
+    cells = stored(given.groupBy(*key).agg(F.count("*").alias("_times"), *(F.avg(y).alias(y) for y in targets)), "cells")
+    few = cells.count() <= BROADCAST  # from the files' footers
+    told, fits = cells.select(*key), [f"fit_{y}" for y in targets]
     for rung in rungs:
         if rung == "trees":
-            from pyspark.ml.regression import GBTRegressor
-
-            make = lambda: GBTRegressor(featuresCol="_x", labelCol="_label", maxIter=5, seed=1)
-            a = stored(out_of_fold(given, make, controls, targets[0], "_tile", folds, "_pa").drop("fold"), "trees")
-            rows = out_of_fold(a, make, controls, targets[1], "_tile", folds, "_pb").drop("fold")
-            rows = rows.withColumns({f"residual_{y}": F.col(y) - F.col(p) for y, p in zip(targets, ("_pa", "_pb"), strict=True)})
+            one = out_of_fold_trees(cells, targets, controls, "_fold", folds, "_times")
         else:
-            wide, names = given, list(controls)
+            wide, names = cells, list(controls)
             for k, c in enumerate(controls if rung == "spline" else ()):
-                at = knots_of(given, c, knots)
+                at = counted_knots(cells, c, "_times", knots)
                 extra = {f"_n{k}_{i}": x for i, x in enumerate(spline(F.col(c), at) if len(at) > 2 else [])}
                 wide, names = wide.withColumns(extra) if extra else wide, [*names, *extra]
-            rows = out_of_fold_residuals(wide, targets, names, "_fold")
-        a, b = (f"residual_{y}" for y in targets)
-        rows = stored(rows.select("_tile", a, b), "residuals")
-        ranks = global_avg_rank(global_avg_rank(rows.dropna(subset=[a, b]), a, "_ra"), b, "_rb")
-        x, y = correlation_intervals(rows, a, b, "_tile", replicates), correlation_intervals(ranks, "_ra", "_rb", "_tile", replicates)
-        one = x.select("n", *(F.col(c).alias(d) for c, d in (("r", "pearson"), ("low", "pearson_low"), ("high", "pearson_high"), ("p_boot", "pearson_p"))))
-        two = y.select(*(F.col(c).alias(d) for c, d in (("r", "spearman"), ("low", "spearman_low"), ("high", "spearman_high"), ("p_boot", "spearman_p"))))
-        out = out.unionByName(one.crossJoin(two).withColumn("rung", F.lit(rung)))  # one row each
+            one = out_of_fold_fits(wide, targets, names, "_fold", "_times")
+        told = told.join(one.select(*key, *(F.col(f).alias(f"_{rung}_{k}") for k, f in enumerate(fits))), key)
+    told = stored(told, "fits")
+    residuals = {rung: [(F.col(y) - F.col(f"_{rung}_{k}")).alias(f"{rung}_{k}") for k, y in enumerate(targets)] for rung in rungs}
+    every = given.join(told.hint("broadcast" if few else "merge"), key).select("_tile", *(c for pair in residuals.values() for c in pair))
+    every = stored(every, "residuals")
+    out = spark.createDataFrame([], schema)
+    for rung in rungs:
+        a, b = f"{rung}_0", f"{rung}_1"
+        rows = every.select("_tile", a, b).dropna(subset=[a, b])
+        middle = (F.count("*") + 1) / 2  # of ranks
+        means = rows.agg(F.array(F.avg(a), F.avg(b), middle, middle).alias("m"))
+        ranks = global_avg_rank(global_avg_rank(rows, b, "_rb"), a, "_ra")
+        found = correlation_intervals(ranks, {"pearson": (a, b), "spearman": ("_ra", "_rb")}, "_tile", replicates, means=means)
+        out = out.unionByName(found.withColumn("rung", F.lit(rung)))
     return out
 
 
